@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import bpe
+from spanloom.llm import bpe, mixing, topk, urls
 from spanloom.runtime import table
 
 
@@ -16,8 +16,20 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = [op2_byte_bpe]
-ORACLES: dict[str, str] = {}
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.allocate(table(spark, sf_dir, "documents"))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.page_verdicts(table(spark, sf_dir, "pages"))
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = [op2_byte_bpe, op4_mix_sources, op5_url_filters, op10_exact_topk]
+ORACLES: dict[str, str] = {"op5_url_filters": urls.PAGES_SQL, "op10_exact_topk": topk.NEAREST_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
