@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import bpe, mixing, topk, urls
+from spanloom.llm import bpe, chat, lines, media, mixing, topk, urls
 from spanloom.runtime import table
 
 
@@ -24,12 +24,24 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.page_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.neighbour_pairs(table(spark, sf_dir, "conversations"))
+
+
+def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = [op2_byte_bpe, op4_mix_sources, op5_url_filters, op10_exact_topk]
-ORACLES: dict[str, str] = {"op5_url_filters": urls.PAGES_SQL, "op10_exact_topk": topk.NEAREST_SQL}
+QUERIES = [op2_byte_bpe, op4_mix_sources, op5_url_filters, op6_preference_format, op7_media_chunks, op8_line_dedup, op10_exact_topk]
+ORACLES: dict[str, str] = {"op5_url_filters": urls.PAGES_SQL, "op6_preference_format": chat.PAIRS_SQL, "op8_line_dedup": lines.REPORT_SQL, "op10_exact_topk": topk.NEAREST_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
