@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import bpe, chat, lines, media, mixing, topk, urls
+from spanloom.llm import bpe, chat, langid, lines, media, mixing, topk, urls
 from spanloom.runtime import table
 
 
@@ -16,6 +16,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allocate(table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = [op2_byte_bpe, op4_mix_sources, op5_url_filters, op6_preference_format, op7_media_chunks, op8_line_dedup, op10_exact_topk]
+QUERIES = [op2_byte_bpe, op3_language_id, op4_mix_sources, op5_url_filters, op6_preference_format, op7_media_chunks, op8_line_dedup, op10_exact_topk]
 ORACLES: dict[str, str] = {"op5_url_filters": urls.PAGES_SQL, "op6_preference_format": chat.PAIRS_SQL, "op8_line_dedup": lines.REPORT_SQL, "op10_exact_topk": topk.NEAREST_SQL}
 
 
