@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import bpe, chat, langid, lines, media, mixing, topk, urls
+from spanloom.llm import bpe, chat, langid, lines, media, mixing, quality, topk, urls
 from spanloom.runtime import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), quality.trusted_ids(table(spark, sf_dir, "labels")))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,7 +48,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = [op2_byte_bpe, op3_language_id, op4_mix_sources, op5_url_filters, op6_preference_format, op7_media_chunks, op8_line_dedup, op10_exact_topk]
+QUERIES = [op1_quality_classifier, op2_byte_bpe, op3_language_id, op4_mix_sources, op5_url_filters, op6_preference_format, op7_media_chunks, op8_line_dedup, op10_exact_topk]
 ORACLES: dict[str, str] = {"op5_url_filters": urls.PAGES_SQL, "op6_preference_format": chat.PAIRS_SQL, "op8_line_dedup": lines.REPORT_SQL, "op10_exact_topk": topk.NEAREST_SQL}
 
 
