@@ -15,7 +15,8 @@ All counts cover all trusted texts, thresholds all of their perplexities, and ev
 
 Defined results: null and empty texts have no symbols, perplexity null and are kept (there is nothing to judge); a null language is a
 language of its own; several trusted rows of an id count once; rows with equal ids share trust, and each gets its own
-result; without trusted text nothing is rejected; an empty table gives an empty result; other columns are kept by ``keep``.
+result; without trusted text every perplexity is 1 and
+nothing is rejected; an empty table gives an empty result; other columns are kept by ``keep``.
 """
 
 from __future__ import annotations
@@ -196,7 +197,7 @@ def model(counts: DataFrame, order: int = 4) -> tuple[dict[int, DataFrame], dict
         own = own.withColumn("own", F.greatest(F.col("n") - less, F.lit(0.0)) / F.col("total"))
         if k == 1:
             uniform = F.col("gamma") / (F.col("kinds") + 1)
-            unknown = write_once(ctx.select(uniform.alias("p0")), "kn0")  # one row
+            unknown = write_once(ctx.agg(F.max(uniform).alias("p0")), "kn0")  # one row
             prob[1] = write_once(own.select("g", (F.col("own") + uniform).alias("p")), "knp1")
         else:
             lower = prob[k - 1].select(F.col("g").alias("low"), F.col("p").alias("below"))
@@ -213,7 +214,7 @@ def log_probabilities(grams: DataFrame, tables: tuple[dict[int, DataFrame], dict
         r = r.withColumn(f"t{k}", _tail(F.col("g"), k)).join(prob[k].select(F.col("g").alias(f"t{k}"), F.col("p").alias(f"p{k}")), f"t{k}", "left")
         if k > 1:
             r = r.withColumn(f"c{k}", _head(F.col(f"t{k}"))).join(gamma[k].select(F.col("ctx").alias(f"c{k}"), F.col("gamma").alias(f"g{k}")), f"c{k}", "left")
-    p = F.coalesce(F.col("p1"), F.col("p0"))
+    p = F.coalesce(F.col("p1"), F.col("p0"), F.lit(1.0))
     for k in range(2, order + 1):
         p = F.coalesce(F.col(f"p{k}"), F.coalesce(F.col(f"g{k}"), F.lit(1.0)) * p)
     return r.join(F.broadcast(unknown)).select("g", F.log(p).alias("lp"))
