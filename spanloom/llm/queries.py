@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import bpe, chat, langid, lines, media, mixing, quality, topk, urls
+from spanloom.llm import bpe, chat, langid, lines, media, mixing, neardup, quality, topk, urls
 from spanloom.runtime import table
 
 
@@ -44,11 +44,15 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = [op1_quality_classifier, op2_byte_bpe, op3_language_id, op4_mix_sources, op5_url_filters, op6_preference_format, op7_media_chunks, op8_line_dedup, op10_exact_topk]
+QUERIES = [op1_quality_classifier, op2_byte_bpe, op3_language_id, op4_mix_sources, op5_url_filters, op6_preference_format, op7_media_chunks, op8_line_dedup, op9_minhash_neardup, op10_exact_topk]
 ORACLES: dict[str, str] = {"op5_url_filters": urls.PAGES_SQL, "op6_preference_format": chat.PAIRS_SQL, "op8_line_dedup": lines.REPORT_SQL, "op10_exact_topk": topk.NEAREST_SQL}
 
 
