@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("retrieval", "store", "aggregates")
 _REGISTRY: dict[str, tuple[Query, str | None, tuple[str, ...]]] = {}
 
 
@@ -23,7 +24,7 @@ def register(name: str, survey: str, sql: str | None = None) -> Callable[[Query]
 def _load() -> None:
     import importlib
 
-    for m in ("retrieval",):
+    for m in MODULES:
         importlib.import_module(f"spanloom.plans.{m}")
 
 
