@@ -69,12 +69,12 @@ def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = 0.85, tolerance:
     if not n:
         return ids.withColumn("score", F.lit(0.0))
     r = write_once(ids.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("total").isNull().alias("dangling"), F.lit(1.0 / n).alias("score")), "prs")
+    lost = r.filter("dangling").count() / n
     for _ in range(most):
-        lost = r.filter("dangling").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("x")).first()["x"]
         got = e.join(r.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("w")).alias("got"))
         new = r.join(got, "id", "left").select("id", "dangling", F.col("score").alias("old"), (F.lit((1 - alpha) / n + alpha * lost / n) + alpha * F.coalesce("got", F.lit(0.0))).alias("score"))
         new = write_once(new, "prs")
-        moved = new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
+        moved, lost = new.agg(F.sum(F.abs(F.col("score") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0))).first()
         discard(r)
         r = new.select("id", "dangling", "score")
         r._spanloom_path = new._spanloom_path
