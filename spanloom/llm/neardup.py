@@ -8,12 +8,14 @@ coordinate with the probability of their weighted Jaccard similarity.
 
 Bands of coordinates are join keys. Exact copies are one node. No bucket is expanded into all pairs:
 
-A. The smallest node of a bucket is its hub; each (hub, member) pair whose signatures allow it is verified on the shingles.
-B. After joining nodes by these links, only members that are not with their hub are compared with the members of other
-   components, on signatures, in blocks of bounded size; what passes is verified too.
-
-So every pair that shares a bucket is either verified or already joined: no link is lost, and a tight group of any size costs a
-number of comparisons proportional to its size. Components are found by alternating stars, whose largest groups are only
+A. The smallest node of a bucket is its hub; each (hub, member) pair whose signatures allow it is verified on the shingles, and
+   nodes are joined by these links.
+B. In buckets, members that are not with their hub are compared with the members of other components, on signatures, in blocks of bounded
+   size. The nodes of pairs that agree form loose groups (an edge a node leaves a block, not one a pair). In each loose group, the
+   members away from its largest component are compared with the others once, and what agrees is verified, in blocks again.
+
+So every pair that shares a bucket and agrees is either verified or joined already: no link is lost, and a tight group of any size
+costs a number of comparisons proportional to its size. Components are found by alternating stars, whose largest groups are only
 aggregated (minimum) and joined.
 
 A pair of similarity 0.8 shares one of the 24 bands of 6 with probability 0.9993.
@@ -151,24 +153,18 @@ def signatures(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _cells(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
-    """(node, cells): the sorted regions of the wanted nodes, once or (for copies in several tasks) a few times."""
+    """(node, cells): the sorted regions of the wanted nodes; copies are dropped where they are read, before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
         for b in text_slices(batches, "text"):
-            nodes = b.column("node").to_pylist()
-            pick = [i for i, n in enumerate(nodes) if n != (nodes[i - 1] if i else last)]  # sorted by node: copies are neighbours
-            last = nodes[-1]
-            if not pick:
-                continue
-            doc, cell = regions([b.column("text")[i].as_py() for i in pick])
+            doc, cell = regions(b.column("text").to_pylist())
             cell = cell.astype(np.int64)
-            edge = np.searchsorted(doc, np.arange(len(pick) + 1))
+            edge = np.searchsorted(doc, np.arange(b.num_rows + 1))
             cells = [np.sort(cell[a:z]) for a, z in zip(edge[:-1], edge[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in pick], pa.int64()), pa.array(cells, pa.list_(pa.int64()))], names=["node", "cells"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(cells, pa.list_(pa.int64()))], names=["node", "cells"])
 
-    rows = _nodes(docs, text_col).join(wanted.select("node"), "node", "left_semi")
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "node long, cells array<long>")
+    rows = _nodes(docs, text_col).dropDuplicates(["node"]).join(wanted.select("node"), "node", "left_semi")
+    return rows.mapInArrow(run, "node long, cells array<long>")
 
 
 def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -216,56 +212,123 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _rest(buckets: DataFrame, hubs: DataFrame, comps: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of phase B that agree: members away from their hub against members of other components."""
+def _blocks(m: DataFrame, group: str, away: str, extra: list[str], size: int) -> DataFrame:
+    """Rows (group, i, j, left, *extra): members away against all members, in pairs of blocks of about ``size`` rows."""
+    n = m.groupBy(group).agg(F.count_if(away).alias("r"), F.count("*").alias("n")).filter("r > 0 AND n > 1")
+    m = m.join(n, group).withColumn("ri", F.ceil(F.col("r") / size).cast("int")).withColumn("nj", F.ceil(F.col("n") / size).cast("int"))
+    block = lambda k: F.pmod(F.xxhash64(F.lit(5), "node"), k).cast("int")
+    left = m.filter(away).select(group, block(F.col("ri")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(True).alias("left"), *extra)
+    right = m.select(group, F.explode(F.sequence(F.lit(0), F.col("ri") - 1)).alias("i"), block(F.col("nj")).alias("j"), F.lit(False).alias("left"), *extra)
+    return left.unionByName(right).repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], done) -> Iterator[pa.RecordBatch]:
+    """Calls ``done`` with the rows of each key, which are neighbours, as a dict of arrays."""
+    held = None
+
+    def each(x: dict) -> Iterator[pa.RecordBatch]:
+        key = np.stack([x[c] for c in keys])
+        cut = (np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()
+        for s, t in zip([0, *cut], [*cut, key.shape[1]], strict=True):
+            out = done({c: v[s:t] for c, v in x.items()}) if t - s > 1 else None
+            if out is not None and len(out[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names if c != "sig"}
+        x["sig"] = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        x["left"] = x["left"].astype(bool)
+        if held is not None:
+            x = {c: np.concatenate([held[c], x[c]]) for c in x}
+        tail = np.logical_and.reduce([x[c] == x[c][-1] for c in keys])
+        held = {c: v[tail] for c, v in x.items()}
+        if not tail.all():
+            yield from each({c: v[~tail] for c, v in x.items()})
+    if held is not None:
+        yield from each(held)
+
+
+def _agreements(x: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left row, right row, coordinates that agree) of the pairs of different components that agree enough."""
+    a, b = np.flatnonzero(x["left"]), np.flatnonzero(~x["left"])
+    out = []
+    for k in range(0, len(a), 64):
+        part = a[k : k + 64]
+        same = np.zeros((len(part), len(b)), np.int32)
+        for c in range(0, COORDINATES, 16):
+            same += (x["sig"][part][:, None, c : c + 16] == x["sig"][b][None, :, c : c + 16]).sum(axis=2, dtype=np.int32)
+        p, q = np.nonzero((same >= AGREE) & (x["root"][part][:, None] != x["root"][b][None]))
+        out.append((part[p], b[q], same[p, q]))
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
+
+
+def _loose(buckets: DataFrame, hubs: DataFrame, comps: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Edges (a, b) that join, per block of a bucket, all nodes of pairs that agree: one edge a node, not one a pair."""
     c = comps.select("node", "root")
     m = buckets.join(c, "node", "left").withColumn("root", F.coalesce("root", "node"))
     h = hubs.join(c.toDF("hub", "hub_root"), "hub", "left").select("bucket", "hub", F.coalesce("hub_root", "hub").alias("hub_root"))
     m = m.join(h, "bucket").filter("node <> hub").withColumn("away", F.col("root") != F.col("hub_root"))
-    n = m.groupBy("bucket").agg(F.count_if("away").alias("r"), F.count("*").alias("n")).filter("r > 0 AND n > 1")
-    m = m.join(n, "bucket").join(sigs.select("node", "sig"), "node").select("bucket", "node", "root", "away", "sig", F.ceil(F.col("r") / BLOCK).cast("int").alias("ri"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nj"))
-    block = lambda k: F.pmod(F.xxhash64(F.lit(5), "node"), k).cast("int")
-    left = m.filter("away").select("bucket", block(F.col("ri")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(True).alias("left"), "node", "root", "sig")
-    right = m.select("bucket", F.explode(F.sequence(F.lit(0), F.col("ri") - 1)).alias("i"), block(F.col("nj")).alias("j"), F.lit(False).alias("left"), "node", "root", "sig")
-    rows = left.unionByName(right).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    some = m.filter("away").select("bucket").distinct()
+    m = m.join(some, "bucket").join(sigs.select("node", "sig"), "node")
+    rows = _blocks(m, "bucket", "away", ["node", "root", "sig"], BLOCK)
+
+    def done(x: dict) -> tuple[np.ndarray, np.ndarray] | None:
+        p, q, _ = _agreements(x)
+        if not len(p):
+            return None
+        a, b = x["node"][p], x["node"][q]
+        names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b, label = at[: len(p)], at[len(p) :], np.arange(len(names))
+        while True:
+            low = np.minimum(label[a], label[b])
+            new = label.copy()
+            np.minimum.at(new, a, low)
+            np.minimum.at(new, b, low)
+            if (new == label).all():
+                return names[label], names
+            label = new[new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compare(node, root, sig, left) -> tuple[np.ndarray, np.ndarray]:
-            a, b = np.flatnonzero(left), np.flatnonzero(~left)
-            out = []
-            for k in range(0, len(a), 64):
-                part = a[k : k + 64]
-                same = np.zeros((len(part), len(b)), np.int32)
-                for c in range(0, COORDINATES, 16):
-                    same += (sig[part][:, None, c : c + 16] == sig[b][None, :, c : c + 16]).sum(axis=2, dtype=np.int32)
-                x, y = np.nonzero((same >= AGREE) & (root[part][:, None] != root[b][None]))
-                out.append((node[part[x]], node[b[y]]))
-            return np.concatenate([o[0] for o in out] or [np.empty(0, np.int64)]), np.concatenate([o[1] for o in out] or [np.empty(0, np.int64)])
-
-        held = None
-
-        def done(x) -> Iterator[pa.RecordBatch]:
-            key = np.stack([x[c] for c in ("bucket", "i", "j")])
-            cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            found = [compare(*(x[c][s:t] for c in ("node", "root", "sig", "left"))) for s, t in zip([0, *cut], [*cut, key.shape[1]], strict=True) if t - s > 1]
-            if found:
-                a, b = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-                if len(a):
-                    p = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
+        yield from _groups(batches, ["bucket", "i", "j"], done)
+
+    return rows.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+
+
+def _rest(loose: DataFrame, comps: DataFrame, sigs: DataFrame, cells: DataFrame) -> DataFrame:
+    """The verified links (a, b) of phase B that join components; within a block, pairs that are joined already are skipped."""
+    m = loose.select("node", F.col("root").alias("grp")).join(comps.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    size = m.groupBy("grp", "root").agg(F.count("*").alias("n"))
+    main = size.groupBy("grp").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("k")).filter("k > 1")
+    m = m.join(main, "grp").withColumn("away", F.col("root") != F.col("main")).join(sigs, "node").join(cells, "node")
+    rows = _blocks(m, "grp", "away", ["node", "root", "sig", "cells"], BLOCK // 4)
+
+    def done(x: dict) -> tuple[np.ndarray, np.ndarray] | None:
+        p, q, n = _agreements(x)
+        order = np.argsort(-n, kind="stable")
+        root: dict[int, int] = {}
+
+        def find(r: int) -> int:
+            while root.get(r, r) != r:
+                r = root[r]
+            return r
+
+        out = []
+        for i, j in zip(p[order].tolist(), q[order].tolist(), strict=True):
+            a, b = find(int(x["root"][i])), find(int(x["root"][j]))
+            if a != b:
+                ca, cb = x["cells"][i], x["cells"][j]
+                if min(len(ca), len(cb)) < SIMILARITY * max(len(ca), len(cb)):
+                    continue
+                both = len(np.intersect1d(ca, cb, assume_unique=True))
+                if both >= SIMILARITY * (len(ca) + len(cb) - both):
+                    root[max(a, b)] = min(a, b)
+                    out.append((x["node"][i], x["node"][j]))
+        return tuple(np.array(z, np.int64) for z in zip(*out, strict=True)) if out else None
 
-        for b in batches:
-            x = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "i", "j", "node", "root", "left")}
-            x["sig"] = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-            x["left"] = x["left"].astype(bool)
-            if held is not None:
-                x = {c: np.concatenate([held[c], x[c]]) for c in x}
-            tail = (x["bucket"] == x["bucket"][-1]) & (x["i"] == x["i"][-1]) & (x["j"] == x["j"][-1])
-            held = {c: v[tail] for c, v in x.items()}
-            if not tail.all():
-                yield from done({c: v[~tail] for c, v in x.items()})
-        if held is not None:
-            yield from done(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _groups((y for b in batches for y in (b.slice(k, 512) for k in range(0, b.num_rows, 512))), ["grp", "i", "j"], done)
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -284,10 +347,10 @@ def node_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     cells = write_once(_cells(docs, members, text_col), "cells")
     links = write_once(_verified(first, cells), "links")
     found = write_once(components(links), "comps")
-    second = write_once(_rest(buckets.select("bucket", "node"), hubs, found, sigs), "pairs")
-    links = links.unionByName(_verified(second, cells))
-    out = write_once(components(links), "comps")
-    for t in (sigs, buckets, first, cells, found, second):
+    edges = write_once(first.unionByName(_loose(buckets.select("bucket", "node"), hubs, found, sigs)), "pairs")
+    loose = write_once(components(edges), "comps")
+    out = write_once(components(links.unionByName(_rest(loose, found, sigs, cells))), "comps")
+    for t in (sigs, buckets, first, cells, found, edges, loose):
         discard(t)
     return out
 
