@@ -64,10 +64,9 @@ def note_items(spark, sf):
 @register("entity_context", "H5", f"WITH {NOTES} SELECT id, id % 3 = 0 AS negated, true AS family, false AS historical FROM w")
 def entity_context(spark, sf):
     """Flags around the finding of the first line, and around hypertension."""
-    n = notes(spark, sf)
-    at = F.instr("text", "patient ") - 1
-    h = F.instr("text", "hypertension") - 1
-    a, b = phi.context(F.substring_index("text", "\n", 2), at + 15, at + 16), phi.context(F.col("text"), h, h + 12)
+    n = notes(spark, sf).withColumn("text", F.regexp_replace("text", r"(denies|has) \w*", "$1 pain"))
+    at, h = F.instr("text", "pain") - 1, F.instr("text", "hypertension") - 1
+    a, b = phi.context(F.substring_index("text", "\n", 2), at, at + 4), phi.context(F.col("text"), h, h + 12)
     return n.select("id", a["negated"].alias("negated"), b["family"].alias("family"), a["historical"].alias("historical"))
 
 
