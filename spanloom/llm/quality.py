@@ -21,6 +21,7 @@ nothing is rejected; an empty table gives an empty result; other columns are kep
 
 from __future__ import annotations
 
+import bz2
 import itertools
 from collections.abc import Iterator
 
@@ -98,10 +99,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFram
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
         name = itertools.count(TaskContext.get().partitionId() << 32)
-        zip_ = zstandard.ZstdCompressor(level=3)
         ids: list[pa.Array] = []
         langs: list[pa.Array] = []
         parts: list[bytes] = []
@@ -117,7 +115,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFram
             texts = [normal(t) for t in b.column("text").to_pylist()]
             ids.append(b.column("id"))
             langs.append(b.column("lang"))
-            parts.append(zip_.compress("\n".join(texts).encode()))
+            parts.append(bz2.compress("\n".join(texts).encode()))
             grams = np.union1d(grams, codes(texts)[0])
             held += sum(map(len, texts)) + 100 * len(texts)
             if held >= SLICE:
@@ -130,11 +128,8 @@ def pack(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFram
 
 
 def _texts(parts: list[bytes]) -> Iterator[list[str]]:
-    import zstandard
-
-    unzip = zstandard.ZstdDecompressor()
     for p in parts:
-        yield unzip.decompress(p).decode().split("\n")
+        yield bz2.decompress(p).decode().split("\n")
 
 
 def count_grams(packed: DataFrame, trusted: DataFrame) -> DataFrame:
