@@ -64,5 +64,5 @@ def patch_graph(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_ed
     differ = F.filter(F.map_keys("m1"), lambda k: F.array_contains(F.map_keys("m0"), k) & (F.element_at("m0", k) != F.element_at("m1", k)))
     conflicts = j.select("id", F.explode(differ).alias("key"))
     ids = out.select("id")
-    e = edges.unionByName(new_edges).distinct().join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    e = edges.unionByName(new_edges).distinct().join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
     return out, e, conflicts
