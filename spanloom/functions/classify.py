@@ -205,3 +205,11 @@ def complexity(query: Column, n_entities: Column) -> Column:
 
 def freshness(head: Column, indexed: Column) -> Column:
     return F.when(head.isNull() | indexed.isNull(), "UNKNOWN").when(head == indexed, "FRESH").otherwise("STALE")
+
+
+def match_order(nodes, symbol: str):
+    """Nodes (id, name, kind, path) that match a symbol, best first, with their score."""
+    from spanloom.functions.symbols import PRIORITY, by_kind, match_score
+
+    m = nodes.withColumn("score", match_score(F.lit(symbol), F.col("name"))).filter("score IS NOT NULL")
+    return m.orderBy(F.desc("score"), F.desc(by_kind(F.col("kind"), PRIORITY)), "id")

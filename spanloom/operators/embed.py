@@ -49,3 +49,25 @@ def embed(rows: DataFrame, key: str, make: Callable[[], Provider], text: str = "
 
 def hash_vectors(rows: DataFrame, key: str, dim: int = 64, text: str = "text") -> DataFrame:
     return embed(rows, key, lambda: PROVIDERS["hash"](dim), text)
+
+
+def pack(rows: DataFrame, key: str, vector: str = "vector") -> DataFrame:
+    """(key, blob): vectors as little-endian float32."""
+    import numpy as np
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "blob": [np.asarray(v, "<f4").tobytes() for v in b[vector]]})
+
+    return rows.select(key, vector).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, blob binary")
+
+
+def unpack(rows: DataFrame, key: str, blob: str = "blob") -> DataFrame:
+    """(key, vector) of little-endian float32 blobs."""
+    import numpy as np
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "vector": [np.frombuffer(x, "<f4").tolist() for x in b[blob]]})
+
+    return rows.select(key, blob).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, vector array<float>")

@@ -94,7 +94,7 @@ def truncate_functions(spark, sf):
     return files(spark, sf).select("id", T.ellipsis(x, 40).alias("cut"), T.first_words(x, 5).alias("words"), T.slug(F.substring(x, 1, 30)).alias("slug"), T.head_trim(x, 100).alias("head"), F.length(T.embedding_text(F.col("path"), F.lit("s"), F.col("lang"), F.lit("1"), F.lit("9"), x)).alias("embed_chars"))
 
 
-@register("token_estimates", "F32 T23x", "SELECT doc_id, length(text) // 4 AS by_chars, length(text) // 3 + 1 AS of_prompt, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS INTEGER) AS by_words, NOT regexp_matches(text, '[^\\x00-\\x{FF}]') AS latin1 FROM documents")
+@register("token_estimates", "F32", "SELECT doc_id, length(text) // 4 AS by_chars, length(text) // 3 + 1 AS of_prompt, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS INTEGER) AS by_words, NOT regexp_matches(text, '[^\\x00-\\x{FF}]') AS latin1 FROM documents")
 def token_estimates(spark, sf):
     x = F.col("text")
     return table(spark, sf, "documents").select("doc_id", T.tokens_by_chars(x).alias("by_chars"), T.tokens_of_prompt(x).alias("of_prompt"), T.tokens_by_words(x).alias("by_words"), T.latin1(x).alias("latin1"))

@@ -123,7 +123,7 @@ def point_in_interval(spark, sf):
     return overlap_join(f, spans(spark, sf).select("file_id", "start_line", "end_line", "id"), "file_id", ("at", "at"), ("start_line", "end_line")).select(F.col("file_id").alias("file"), F.col("id").alias("span"))
 
 
-@register("location_join", "J13 T8x", f"WITH {ENR}, e AS (SELECT path, start_line, max(summary) AS summary FROM spans s JOIN files f ON s.file_id = f.id JOIN enrichments USING (span_hash) GROUP BY ALL) SELECT s.id, e.summary FROM spans s JOIN files f ON s.file_id = f.id JOIN e ON e.path = f.path AND e.start_line = s.start_line")
+@register("location_join", "J13", f"WITH {ENR}, e AS (SELECT path, start_line, max(summary) AS summary FROM spans s JOIN files f ON s.file_id = f.id JOIN enrichments USING (span_hash) GROUP BY ALL) SELECT s.id, e.summary FROM spans s JOIN files f ON s.file_id = f.id JOIN e ON e.path = f.path AND e.start_line = s.start_line")
 def location_join(spark, sf):
     f = files(spark, sf).select(F.col("id").alias("file_id"), "path")
     s = spans(spark, sf).join(f, "file_id")
