@@ -66,22 +66,25 @@ def top(rows: DataFrame, keys: list[str], k: int, *order) -> DataFrame:
     return rows.withColumn("rank", n).filter(F.col("rank") <= k)
 
 
-def _hits(text):
-    return F.size(F.filter("t", lambda x: F.contains(text, x)))
-
-
 def plan_scores(candidates: DataFrame, queries: DataFrame, fields: list[str], least: float = 0.4) -> DataFrame:
-    """(query_id, id, score) of candidates (id and text fields) for queries (query_id, text).
+    """(query_id, id, score) of candidates (id and text fields) for queries (query_id, text), a stated set.
 
-    A query's distinct tokens are compared with the fields of each candidate: queries are a given set, in one broadcastable block per call.
+    Distinct tokens are compared with the distinct values of each field; what matches, which is sparse, is joined back to candidates and queries.
     """
-    q = queries.select("query_id", F.array_distinct(plan_tokens(F.col("text"))).alias("t"))
-    c = candidates.crossJoin(q)
-    score = F.lit(0.0)
+    q = queries.select("query_id", F.explode(F.array_distinct(plan_tokens(F.col("text")))).alias("token"))
+    tokens_ = F.broadcast(q.select("token").distinct())  # the tokens of the given queries
+    parts = None
     for f in fields:
-        score = score + _hits(F.lower(F.coalesce(F.col(f), F.lit("")))) * PLAN[f]
-    bonus = F.when(F.coalesce(F.length("summary"), F.lit(0)) > 0, 0.5).otherwise(0.0) if "summary" in fields else F.lit(0.0)
-    return c.select("query_id", "id", F.round(F.when(F.size("t") > 0, score).otherwise(0.0) + bonus, 3).alias("score")).filter(F.col("score") >= least)
+        value = F.lower(F.coalesce(F.col(f), F.lit("")))
+        c = candidates.select("id", value.alias("value")).filter("value <> ''")
+        hits = c.select("value").distinct().join(tokens_, F.contains("value", "token"))
+        x = c.join(hits, "value").select("id", "token", F.lit(PLAN[f]).alias("weight"))
+        parts = x if parts is None else parts.unionByName(x)
+    scored = parts.groupBy("id", "token").agg(F.sum("weight").alias("weight")).join(q, "token").select("query_id", "id", "weight")
+    if "summary" in fields:
+        some = candidates.filter("summary IS NOT NULL AND summary <> ''").select("id")
+        scored = scored.unionByName(some.crossJoin(F.broadcast(queries.select("query_id"))).select("query_id", "id", F.lit(0.5).alias("weight")))
+    return scored.groupBy("query_id", "id").agg(F.round(F.sum("weight"), 3).alias("score")).filter(F.col("score") >= least)
 
 
 def expand(hits: DataFrame, index: DataFrame, top_n: int = 5, per: int = 3, hub: int = 50, decay: float = 0.4) -> DataFrame:
