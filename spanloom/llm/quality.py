@@ -8,7 +8,7 @@ repetition, foreign separators and odd casing all become rare 4-grams.
    lower orders are aggregations of that table; probabilities of each order are joins with the order below. All are sharded by n-gram or context.
 3. The 4-grams that occur in any text are joined with these tables, once per distinct 4-gram, backing off where one was not seen.
 4. (slice, 4-gram) pairs are joined with the log probabilities and meet their slice again, which gives each text's perplexity.
-5. A language's threshold is a quantile of its trusted texts' perplexities (approximate, mergeable); languages with few trusted
+5. A language's threshold is a quantile of its trusted texts' perplexities (from counts by steps of half a percent); languages with few trusted
    texts use the quantile of all. Texts above it are rejected.
 
 All counts cover all trusted texts, thresholds all of their perplexities, and every text is scored whole.
@@ -30,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import text_slices
@@ -37,6 +38,8 @@ from spanloom.runtime import discard, write_once
 
 SLICE, STEP = 1 << 24, 1 << 21
 QUANTILE, LEAST_TRUSTED = 0.995, 30
+#: Steps of log perplexity, per unit, in which thresholds are found.
+FINE = 200
 START, SAME = "\x02\x02\x02", "\x01"
 _DIGITS = str.maketrans("123456789", "000000000")
 
@@ -253,13 +256,22 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     return out
 
 
+def _quantile(steps: DataFrame, keys: list[str], quantile: float) -> DataFrame:
+    """(keys, all, value): the upper end of the step in which a quantile of counted values lies."""
+    w = W.partitionBy(*keys)
+    s = steps.withColumn("all", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy("step")))
+    at = s.filter(F.col("upto") >= F.ceil(F.col("all") * quantile)).groupBy(*keys, "all").agg(F.min("step").alias("step"))
+    return at.select(*keys, "all", F.exp((F.col("step") + 1) / FINE).alias("value"))
+
+
 def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, least_trusted: int = LEAST_TRUSTED, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, lang, n_symbols, perplexity, threshold, keep) of every row."""
     s = perplexities(docs, trusted, id_col, text_col, lang_col)
     own = s.filter("n_symbols > 0").join(trusted.select(F.col(trusted.columns[0]).alias("id")).distinct(), "id")
-    q = F.percentile_approx("perplexity", quantile, 10_000)
-    by = own.groupBy(F.col("lang").alias("q_lang")).agg(q.alias("own"), F.count("*").alias("n")).filter(F.col("n") >= least_trusted)
-    every = own.agg(q.alias("every"))  # one row
+    step = own.groupBy(F.col("lang").alias("q_lang"), F.floor(F.log("perplexity") * FINE).alias("step")).agg(F.count("*").alias("n"))
+    step = write_once(step, "lmsteps")  # a language has some thousand steps at most
+    by = _quantile(step, ["q_lang"], quantile).filter(F.col("all") >= least_trusted).select("q_lang", F.col("value").alias("own"))
+    every = _quantile(step.groupBy("step").agg(F.sum("n").alias("n")), [], quantile).agg(F.max("value").alias("every"))  # one row
     r = s.join(by, F.col("lang").eqNullSafe(F.col("q_lang")), "left").join(F.broadcast(every))
     r = r.withColumn("threshold", F.coalesce("own", "every"))
     keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))

@@ -98,3 +98,20 @@ def test_no_trusted_and_empty(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert quality.keep(d, none).count() == 2 and quality.keep(d.limit(0), none).collect() == []
     assert quality.keep(d, spark.createDataFrame([(1,), (1,), (None,)], "doc_id long")).count() == 2
+
+
+def test_thresholds_are_quantiles(spark):
+    d, lab = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
+    t = quality.trusted_ids(lab)
+    r = quality.classify(d, t, quantile=0.9, least_trusted=60).collect()
+    ids = {x.doc_id for x in t.collect()}
+    own = defaultdict(list)
+    for x in r:
+        if x.doc_id in ids:
+            own[x.lang].append(x.perplexity)
+    every = sorted(sum(own.values(), []))
+    for x in r:
+        v = sorted(own[x.lang]) if len(own[x.lang]) >= 60 else every
+        want = v[math.ceil(0.9 * len(v)) - 1]
+        assert want < x.threshold <= want * 1.0051 and x.keep == (x.perplexity <= x.threshold)
+    assert len({x.threshold for x in r}) > 1
