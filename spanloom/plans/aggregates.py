@@ -61,12 +61,12 @@ def top_files_unnest(spark, sf):
     return a.groupBy("part").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "part").limit(20)
 
 
-@register("usage_distinct", "A9 A10", f"WITH {TELE} SELECT count(*) AS n, count(DISTINCT agent) AS agents, round(avg(latency_ms), 1) AS avg_ms, sum(size) AS size FROM tele")
+@register("usage_distinct", "A9 A10", f"WITH {TELE} SELECT count(*) AS n, count(DISTINCT agent) AS agents, round(avg(latency_ms), 1) AS avg_ms, CAST(sum(size) AS BIGINT) AS size FROM tele")
 def usage_distinct(spark, sf):
     return telemetry(spark, sf).agg(F.count("*").alias("n"), F.count_distinct("agent").alias("agents"), F.round(F.avg("latency_ms"), 1).alias("avg_ms"), F.sum("size").alias("size"))
 
 
-@register("conditional_sums", "A11 A21", f"WITH {TELE} SELECT cmd, sum(CASE WHEN ok THEN 1 ELSE 0 END) AS n_ok, sum(CASE WHEN ts >= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY AND ts < TIMESTAMP '{AS_OF}' THEN 1 ELSE 0 END) AS recent, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS share FROM tele GROUP BY cmd")
+@register("conditional_sums", "A11 A21", f"WITH {TELE} SELECT cmd, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS n_ok, CAST(sum(CASE WHEN ts >= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY AND ts < TIMESTAMP '{AS_OF}' THEN 1 ELSE 0 END) AS BIGINT) AS recent, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS share FROM tele GROUP BY cmd")
 def conditional_sums(spark, sf):
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
     return telemetry(spark, sf).groupBy("cmd").agg(one(F.col("ok")).alias("n_ok"), one(since(F.col("ts"), AS_OF, "1 day")).alias("recent"), F.round(F.avg(F.when(F.col("ok"), 1.0).otherwise(0.0)), 6).alias("share"))
@@ -84,7 +84,7 @@ def routing_payloads(spark, sf):
     return m.groupBy(F.col("m")["route"].alias("route"), F.col("m")["tier"].cast("long").alias("tier")).agg(F.count("*").alias("n"))
 
 
-@register("tool_usage", "A14 A15", f"WITH {TELE} SELECT cmd AS tool, count(*) AS calls, count(*) FILTER (WHERE NOT ok) AS errors, round(avg(latency_ms), 4) AS avg_ms, min(latency_ms) AS min_ms, max(latency_ms) AS max_ms, round(count(*) FILTER (WHERE NOT ok) / greatest(1, count(*)), 6) AS error_rate, sum(k) AS tokens FROM tele GROUP BY cmd")
+@register("tool_usage", "A14 A15", f"WITH {TELE} SELECT cmd AS tool, count(*) AS calls, count(*) FILTER (WHERE NOT ok) AS errors, round(avg(latency_ms), 4) AS avg_ms, min(latency_ms) AS min_ms, max(latency_ms) AS max_ms, round(count(*) FILTER (WHERE NOT ok) / greatest(1, count(*)), 6) AS error_rate, CAST(sum(k) AS BIGINT) AS tokens FROM tele GROUP BY cmd")
 def tool_usage(spark, sf):
     e = F.count_if(~F.col("ok"))
     return telemetry(spark, sf).groupBy(F.col("cmd").alias("tool")).agg(F.count("*").alias("calls"), e.alias("errors"), F.round(F.avg("latency_ms"), 4).alias("avg_ms"), F.min("latency_ms").alias("min_ms"), F.max("latency_ms").alias("max_ms"), F.round(e / F.greatest(F.lit(1), F.count("*")), 6).alias("error_rate"), F.sum("k").alias("tokens"))
@@ -101,7 +101,7 @@ def exclusive_quantiles(spark, sf):
     return quantiles_exclusive(t.select("cmd", F.col("latency_ms").alias("v")), "cmd", "v", [0.25, 0.5, 0.75]).join(share, "cmd").select("cmd", "p", F.round("value", 6).alias("value"), "share")
 
 
-@register("coarse_quality", "A20", "SELECT sum(CASE WHEN length(trim(text)) = 0 THEN 1 ELSE 0 END) AS empty, sum(CASE WHEN lower(text) LIKE '%placeholder%' OR lower(text) LIKE '%todo%' THEN 1 ELSE 0 END) AS placeholder, sum(CASE WHEN length(text) < 20 THEN 1 ELSE 0 END) AS short FROM documents")
+@register("coarse_quality", "A20", "SELECT CAST(sum(CASE WHEN length(trim(text)) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS empty, CAST(sum(CASE WHEN lower(text) LIKE '%placeholder%' OR lower(text) LIKE '%todo%' THEN 1 ELSE 0 END) AS BIGINT) AS placeholder, CAST(sum(CASE WHEN length(text) < 20 THEN 1 ELSE 0 END) AS BIGINT) AS short FROM documents")
 def coarse_quality(spark, sf):
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
     x = F.col("text")
