@@ -170,7 +170,7 @@ def hash_sample(spark, sf):
     return table(spark, sf, "documents").select("doc_id").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(100)
 
 
-@register("graph_expand", "R17 E5", f"""WITH {NODES}, {EDGES}, u AS (SELECT DISTINCT d.id AS key, s.path FROM edges e JOIN nodes s ON s.id = e.src JOIN nodes d ON d.id = e.dst WHERE e.type = 'IMPORTS'), h AS (SELECT n_nationkey % 4 AS query_id, n_nationkey // 4 + 1 AS "rank", 'n:' || n_nationkey AS symbol, 'nation/f' || n_nationkey || '.py' AS path, 100.0 - n_nationkey AS score FROM nation),
+@register("graph_expand", "R17 E5", f"""WITH {NODES}, {EDGES}, u AS (SELECT DISTINCT d.id AS key, s.path FROM edges e JOIN nodes s ON s.id = e.src JOIN nodes d ON d.id = e.dst WHERE e.type = 'IMPORTS'), h AS (SELECT CAST(n_nationkey % 4 AS BIGINT) AS query_id, CAST(n_nationkey // 4 + 1 AS BIGINT) AS "rank", 'n:' || n_nationkey AS symbol, 'nation/f' || n_nationkey || '.py' AS path, 100.0 - n_nationkey AS score FROM nation),
 c AS (SELECT h.query_id, h."rank", h.score, u.path, count(*) OVER (PARTITION BY h.query_id, h."rank") AS deg, row_number() OVER (PARTITION BY h.query_id, h."rank" ORDER BY u.path) AS i FROM h JOIN u ON u.key = h.symbol WHERE h."rank" <= 5),
 x AS (SELECT query_id, path, min("rank") AS r FROM c WHERE deg <= 50 AND i <= 3 GROUP BY query_id, path)
 SELECT query_id, "rank", path, CAST(score AS DOUBLE) AS score, 'hit' AS origin FROM h UNION ALL SELECT x.query_id, x.r, x.path, CAST(h.score * 0.4 AS DOUBLE), 'neighbour' FROM x JOIN h ON h.query_id = x.query_id AND h."rank" = x.r WHERE x.path NOT IN (SELECT path FROM h h2 WHERE h2.query_id = x.query_id)""")
