@@ -67,7 +67,7 @@ class Engine:
         """Best matching nodes and how many edges go in and out."""
         i, o = (self.edges.groupBy(F.col(c).alias("id")).agg(F.count("*").alias(n)) for c, n in (("dst", "n_in"), ("src", "n_out")))
         m = match_order(self.nodes, symbol).limit(limit)
-        return m.join(i, "id", "left").join(o, "id", "left").fillna(0, ["n_in", "n_out"])
+        return match_order(m.drop("score").join(i, "id", "left").join(o, "id", "left").fillna(0, ["n_in", "n_out"]), symbol)
 
     def read_symbol(self, symbol: str) -> DataFrame:
         """(path, symbol, source): the lines of the spans of a symbol."""
@@ -125,8 +125,9 @@ def cycle(spark: SparkSession, files: DataFrame, language: Callable, model: Call
     s = write_once(s.withColumn("id", F.xxhash64("path", "start_line", "symbol")), "spans")
     e = write_once(enrich.cascade(s.dropDuplicates(["span_hash"]), model or (lambda: [("offline", enrich.offline)])).filter("summary IS NOT NULL").select("span_hash", "summary"), "enriched")
     v = write_once(embed.hash_vectors(s, "id", 64), "vectors")
-    g = write_once(chunking.schema_graph(f.filter("lang = 'python'").select(F.regexp_replace("path", r"\.[^.]*$", "").alias("module"), "text")), "graph")
-    nodes = g.filter("what = 'entity'").select(F.col("a").alias("id"), F.regexp_replace("a", "^[a-z]+:", "").alias("name"), F.col("edge").alias("kind"), F.concat("module", F.lit(".py")).alias("path"))
+    modules = f.filter("lang = 'python'").withColumn("module", F.replace(F.regexp_replace("path", r"\.[^.]*$", ""), F.lit("/"), F.lit(".")))
+    g = write_once(chunking.schema_graph(modules).join(modules.select("module", "path"), "module"), "graph")
+    nodes = g.filter("what = 'entity'").select(F.col("a").alias("id"), F.regexp_replace("a", "^[a-z]+:", "").alias("name"), F.col("edge").alias("kind"), "path")
     edges = g.filter("what = 'relation'").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("edge").alias("type"))
     health = e.groupBy(summary_quality(F.col("summary")).alias("quality")).agg(F.count("*").alias("n"))
     return Engine(spark, f, s, e, nodes, edges, v), health
