@@ -212,10 +212,15 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _blocks(m: DataFrame, group: str, away: str, extra: list[str], size: int) -> DataFrame:
-    """Rows (group, i, j, left, *extra): members away against all members, in pairs of blocks of about ``size`` rows."""
+def _blocks(m: DataFrame, group: str, away: str, facts: list[DataFrame], size: int) -> DataFrame:
+    """Rows (group, i, j, left, node, root, and the columns of ``facts`` by node): members away against all members, in pairs of
+    blocks of about ``size`` rows. Facts, which are large, are joined by node and dealt by block, never by group."""
     n = m.groupBy(group).agg(F.count_if(away).alias("r"), F.count("*").alias("n")).filter("r > 0 AND n > 1")
     m = m.join(n, group).withColumn("ri", F.ceil(F.col("r") / size).cast("int")).withColumn("nj", F.ceil(F.col("n") / size).cast("int"))
+    extra = ["node", "root"]
+    for f in facts:
+        m = m.join(f, "node")
+        extra += [c for c in f.columns if c != "node"]
     block = lambda k: F.pmod(F.xxhash64(F.lit(5), "node"), k).cast("int")
     left = m.filter(away).select(group, block(F.col("ri")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(True).alias("left"), *extra)
     right = m.select(group, F.explode(F.sequence(F.lit(0), F.col("ri") - 1)).alias("i"), block(F.col("nj")).alias("j"), F.lit(False).alias("left"), *extra)
@@ -271,8 +276,7 @@ def _loose(buckets: DataFrame, hubs: DataFrame, comps: DataFrame, sigs: DataFram
     h = hubs.join(c.toDF("hub", "hub_root"), "hub", "left").select("bucket", "hub", F.coalesce("hub_root", "hub").alias("hub_root"))
     m = m.join(h, "bucket").filter("node <> hub").withColumn("away", F.col("root") != F.col("hub_root"))
     some = m.filter("away").select("bucket").distinct()
-    m = m.join(some, "bucket").join(sigs.select("node", "sig"), "node")
-    rows = _blocks(m, "bucket", "away", ["node", "root", "sig"], BLOCK)
+    rows = _blocks(m.join(some, "bucket"), "bucket", "away", [sigs.select("node", "sig")], BLOCK)
 
     def done(x: dict) -> tuple[np.ndarray, np.ndarray] | None:
         p, q, _ = _agreements(x)
@@ -301,8 +305,8 @@ def _rest(loose: DataFrame, comps: DataFrame, sigs: DataFrame, cells: DataFrame)
     m = loose.select("node", F.col("root").alias("grp")).join(comps.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     size = m.groupBy("grp", "root").agg(F.count("*").alias("n"))
     main = size.groupBy("grp").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("k")).filter("k > 1")
-    m = m.join(main, "grp").withColumn("away", F.col("root") != F.col("main")).join(sigs, "node").join(cells, "node")
-    rows = _blocks(m, "grp", "away", ["node", "root", "sig", "cells"], BLOCK // 4)
+    m = m.join(main, "grp").withColumn("away", F.col("root") != F.col("main"))
+    rows = _blocks(m, "grp", "away", [sigs.select("node", "sig"), cells], BLOCK // 4)
 
     def done(x: dict) -> tuple[np.ndarray, np.ndarray] | None:
         p, q, n = _agreements(x)
