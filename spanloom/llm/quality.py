@@ -8,21 +8,24 @@ repetition, foreign separators and odd casing all become rare 4-grams.
    lower orders are aggregations of that table; probabilities of each order are joins with the order below. All are sharded by n-gram or context.
 3. The 4-grams that occur in any text are joined with these tables, once per distinct 4-gram, backing off where one was not seen.
 4. (slice, 4-gram) pairs are joined with the log probabilities and meet their slice again, which gives each text's perplexity.
-5. A language's threshold is a quantile of its trusted texts' perplexities (from counts by steps of half a percent); languages with few trusted
-   texts use the quantile of all. Texts above it are rejected.
+5. Texts fall into folds by hash, and the tables hold, beside the model of all trusted texts, one for each fold that leaves its texts out. A trusted
+   text is judged by the model that leaves its fold out, any other text by the model of all: no text by one that was trained on it.
+6. A language's threshold is a quantile of these perplexities of its trusted texts (from counts by steps of half a percent); languages with few
+   trusted texts use the quantile of all. Texts above it are rejected.
 
 All counts cover all trusted texts, thresholds all of their perplexities, and every text is scored whole.
 
 Defined results: null and empty texts have no symbols, perplexity null and are kept (there is nothing to judge); a null language is a
 language of its own; several trusted rows of an id count once; rows with equal ids share trust, and each gets its own
 result; without trusted text every perplexity is 1 and
-nothing is rejected; an empty table gives an empty result; other columns are kept by ``keep``.
+nothing is rejected, nor if all trusted texts are in one fold, which leaves none to judge them by; an empty table gives an empty result; other columns are kept by ``keep``.
 """
 
 from __future__ import annotations
 
 import bz2
 import itertools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +41,9 @@ from spanloom.runtime import discard, write_once
 
 SLICE, STEP = 1 << 24, 1 << 21
 QUANTILE, LEAST_TRUSTED = 0.995, 30
+#: Parts of the trusted texts, each scored by a model of the others.
+FOLDS = 5
+MODELS = range(FOLDS + 1)
 #: Steps of log perplexity, per unit, in which thresholds are found.
 FINE = 200
 START, SAME = "\x02\x02\x02", "\x01"
@@ -49,6 +55,11 @@ def normal(text: str) -> str:
     return " ".join([SAME if a == b else b for a, b in zip([None, *words[:-1]], words, strict=True)]).replace(" " + SAME, SAME) if words else ""
 
 
+def folds(texts: list[str]) -> np.ndarray:
+    """The fold of each text: equal texts share one."""
+    return np.fromiter((zlib.crc32(t.encode("utf-8", "surrogatepass")) % FOLDS for t in texts), np.int64, len(texts))
+
+
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct 4-grams packed into 64 bits, index of each position's 4-gram, number of positions of each text)."""
     size = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -136,26 +147,30 @@ def _texts(parts: list[bytes]) -> Iterator[list[str]]:
 
 
 def count_grams(packed: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(g, n): counts of 4-grams over the trusted texts of the slices."""
+    """(g, f0, f1, ...): counts of 4-grams over the trusted texts of the slices, by fold."""
     place = packed.select("slice", F.posexplode("ids").alias("at", "id")).join(trusted.select(F.col(trusted.columns[0]).alias("id")).distinct(), "id")
     place = place.groupBy("slice").agg(F.collect_list("at").alias("places"))  # bounded by a slice
     rows = packed.select("slice", "texts").join(place, "slice").select("texts", "places")
+    names = [f"f{j}" for j in range(FOLDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for parts, places in zip(b.column("texts"), b.column("places").to_pylist(), strict=True):
-                want, at, total = set(places), 0, None
+                want, at, grams, counts = set(places), 0, [], []
                 for texts in _texts(parts.as_py()):
                     mine = [t for i, t in enumerate(texts, at) if i in want]
                     at += len(texts)
                     if mine:
-                        g, index, _ = codes(mine)
-                        s = pd.Series(np.bincount(index, minlength=len(g)), index=g)
-                        total = s if total is None else total.add(s, fill_value=0)
-                if total is not None and len(total):
-                    yield pa.RecordBatch.from_arrays([pa.array(total.index.to_numpy(np.int64)), pa.array(total.to_numpy(np.int64))], names=["g", "n"])
+                        g, index, size = codes(mine)
+                        grams.append(g)
+                        counts.append(np.bincount(index * FOLDS + np.repeat(folds(mine), size), minlength=len(g) * FOLDS).reshape(-1, FOLDS))
+                if grams and len(g := np.concatenate(grams)):
+                    order = np.argsort(g, kind="stable")
+                    key, first = np.unique(g[order], return_index=True)
+                    total = np.add.reduceat(np.concatenate(counts)[order], first)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(total[:, j].astype(np.int64)) for j in range(FOLDS)]], names=["g", *names])
 
-    return rows.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ["g", *names])).groupBy("g").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def _tail(g: Column, order: int) -> Column:
@@ -169,89 +184,109 @@ def _head(g: Column) -> Column:
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
-    """One row: the three discounts of modified Kneser-Ney (d1, d2, d3), from counts of counts."""
-    c = counts.agg(*[F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
-    y = F.when(F.col("n1") + F.col("n2") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
-    c = c.withColumn("y", y)
-    one = lambda k: F.when(F.col(f"n{k}") > 0, F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), k - (k + 1) * F.col("y") * F.col(f"n{k + 1}") / F.col(f"n{k}")))).otherwise(0.5 * k)
-    return c.select(*[one(k).alias(f"d{k}") for k in (1, 2, 3)])
+    """One row: the three discounts of modified Kneser-Ney (d1, d2, d3) of each model, from counts of counts."""
+    c = counts.agg(*[F.count_if(F.col(f"n_{j}") == k).cast("double").alias(f"n{k}_{j}") for j in MODELS for k in (1, 2, 3, 4)])
+    y = lambda j: F.when(F.col(f"n1_{j}") + F.col(f"n2_{j}") > 0, F.col(f"n1_{j}") / (F.col(f"n1_{j}") + 2 * F.col(f"n2_{j}"))).otherwise(0.5)
+    c = c.select("*", *[y(j).alias(f"y_{j}") for j in MODELS])
+    one = lambda k, j: F.when(F.col(f"n{k}_{j}") > 0, F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), k - (k + 1) * F.col(f"y_{j}") * F.col(f"n{k + 1}_{j}") / F.col(f"n{k}_{j}")))).otherwise(0.5 * k)
+    return c.select(*[one(k, j).alias(f"d{k}_{j}") for j in MODELS for k in (1, 2, 3)])
 
 
 def model(counts: DataFrame, order: int = 4) -> tuple[dict[int, DataFrame], dict[int, DataFrame], DataFrame]:
-    """Tables of the model: by order (g, p) and (ctx, gamma), and one row with the probability of an unknown symbol."""
-    tables = {order: counts}
+    """Tables of the models: by order (g, p_j) and (ctx, gamma_j), and one row with the probabilities p0_j of an unknown symbol.
+
+    Model j < FOLDS leaves fold j out, the last one has all; a model without texts has null. What a model has not seen but others have gets
+    its backed-off probability.
+    """
+    every = sum((F.col(f"f{j}") for j in range(1, FOLDS)), F.col("f0"))
+    tables = {order: counts.select("g", *[(every - F.col(f"f{j}") if j < FOLDS else every).alias(f"n_{j}") for j in MODELS])}
     for k in range(order - 1, 0, -1):  # continuation counts: distinct symbols seen before
-        tables[k] = tables[k + 1].groupBy(_tail(F.col("g"), k).alias("g")).agg(F.count("*").alias("n"))
+        tables[k] = tables[k + 1].groupBy(_tail(F.col("g"), k).alias("g")).agg(*[F.count_if(F.col(f"n_{j}") > 0).alias(f"n_{j}") for j in MODELS])
     prob: dict[int, DataFrame] = {}
     gamma: dict[int, DataFrame] = {}
     unknown = None
     for k in range(1, order + 1):
         c = tables[k] if k == order else write_once(tables[k], f"kn{k}")
         d = F.broadcast(_discounts(c))  # one row
-        ctx = c.groupBy(_head(F.col("g")).alias("ctx")).agg(F.sum("n").cast("double").alias("total"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.count_if(F.col("n") > 2).alias("n3"), F.count("*").alias("kinds"))
-        ctx = ctx.join(d).select("ctx", "total", ((F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")) / F.col("total")).alias("gamma"), "kinds")
-        less = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        sums = lambda j: [F.sum(n := F.col(f"n_{j}")).cast("double").alias(f"total_{j}"), F.count_if(n == 1).alias(f"n1_{j}"), F.count_if(n == 2).alias(f"n2_{j}"), F.count_if(n > 2).alias(f"n3_{j}"), F.count_if(n > 0).alias(f"kinds_{j}")]
+        ctx = c.groupBy(_head(F.col("g")).alias("ctx")).agg(*[x for j in MODELS for x in sums(j)])
+        share = lambda j: F.when(F.col(f"total_{j}") > 0, sum((F.col(f"d{i}_{j}") * F.col(f"n{i}_{j}") for i in (2, 3)), F.col(f"d1_{j}") * F.col(f"n1_{j}")) / F.col(f"total_{j}"))
+        ctx = ctx.join(d).select("ctx", *[x for j in MODELS for x in (f"total_{j}", share(j).alias(f"gamma_{j}"), f"kinds_{j}")])
+        less = lambda j: F.when(F.col(f"n_{j}") == 1, F.col(f"d1_{j}")).when(F.col(f"n_{j}") == 2, F.col(f"d2_{j}")).otherwise(F.col(f"d3_{j}"))
         own = c.withColumn("ctx", _head(F.col("g"))).join(ctx, "ctx").join(d)
-        own = own.withColumn("own", F.greatest(F.col("n") - less, F.lit(0.0)) / F.col("total"))
+        own = own.select("g", *[x for j in MODELS for x in (f"gamma_{j}", f"kinds_{j}", F.when(F.col(f"total_{j}") > 0, F.greatest(F.col(f"n_{j}") - less(j), F.lit(0.0)) / F.col(f"total_{j}")).alias(f"own_{j}"))])
         if k == 1:
-            uniform = F.col("gamma") / (F.col("kinds") + 1)
-            unknown = write_once(ctx.agg(F.max(uniform).alias("p0")), "kn0")  # one row
-            prob[1] = write_once(own.select("g", (F.col("own") + uniform).alias("p")), "knp1")
+            uniform = lambda j: F.col(f"gamma_{j}") / (F.col(f"kinds_{j}") + 1)
+            unknown = write_once(ctx.agg(*[F.max(uniform(j)).alias(f"p0_{j}") for j in MODELS]), "kn0")  # one row
+            prob[1] = write_once(own.select("g", *[(F.col(f"own_{j}") + uniform(j)).alias(f"p_{j}") for j in MODELS]), "knp1")
         else:
-            lower = prob[k - 1].select(F.col("g").alias("low"), F.col("p").alias("below"))
-            prob[k] = write_once(own.withColumn("low", _tail(F.col("g"), k - 1)).join(lower, "low").select("g", (F.col("own") + F.col("gamma") * F.col("below")).alias("p")), f"knp{k}")
-            gamma[k] = write_once(ctx.select("ctx", "gamma"), f"kng{k}")
+            lower = prob[k - 1].select(F.col("g").alias("low"), *[F.col(f"p_{j}").alias(f"below_{j}") for j in MODELS])
+            own = own.withColumn("low", _tail(F.col("g"), k - 1)).join(lower, "low")
+            prob[k] = write_once(own.select("g", *[F.coalesce(F.col(f"own_{j}") + F.col(f"gamma_{j}") * F.col(f"below_{j}"), F.col(f"below_{j}")).alias(f"p_{j}") for j in MODELS]), f"knp{k}")
+            gamma[k] = write_once(ctx.select("ctx", *[f"gamma_{j}" for j in MODELS]), f"kng{k}")
+        if k < order:
+            discard(c)
     return prob, gamma, unknown
 
 
 def log_probabilities(grams: DataFrame, tables: tuple[dict[int, DataFrame], dict[int, DataFrame], DataFrame], order: int = 4) -> DataFrame:
-    """(g, lp) for distinct 4-grams, seen or not."""
+    """(g, lp, h0, h1, ...) for distinct 4-grams, seen or not: of the model of all, and of those that leave a fold out (NaN without texts)."""
     prob, gamma, unknown = tables
-    r = grams
+    r = grams.join(F.broadcast(unknown))
     for k in range(1, order + 1):
-        r = r.withColumn(f"t{k}", _tail(F.col("g"), k)).join(prob[k].select(F.col("g").alias(f"t{k}"), F.col("p").alias(f"p{k}")), f"t{k}", "left")
-        if k > 1:
-            r = r.withColumn(f"c{k}", _head(F.col(f"t{k}"))).join(gamma[k].select(F.col("ctx").alias(f"c{k}"), F.col("gamma").alias(f"g{k}")), f"c{k}", "left")
-    p = F.coalesce(F.col("p1"), F.col("p0"), F.lit(1.0))
-    for k in range(2, order + 1):
-        p = F.coalesce(F.col(f"p{k}"), F.coalesce(F.col(f"g{k}"), F.lit(1.0)) * p)
-    return r.join(F.broadcast(unknown)).select("g", F.log(p).alias("lp"))
+        r = r.withColumn("t", _tail(F.col("g"), k)).join(prob[k].withColumnRenamed("g", "t"), "t", "left")
+        if k == 1:
+            p = lambda j: F.coalesce(f"p_{j}", f"p0_{j}", *[F.lit(1.0)] * (j == FOLDS))
+        else:
+            r = r.withColumn("c", _head(F.col("t"))).join(gamma[k].withColumnRenamed("ctx", "c"), "c", "left")
+            p = lambda j: F.coalesce(F.col(f"p_{j}"), F.coalesce(F.col(f"gamma_{j}"), F.lit(1.0)) * F.col(f"q_{j}"))
+        r = r.select("g", *[f"p0_{j}" for j in MODELS], *[p(j).alias(f"q_{j}") for j in MODELS])
+    held = [F.coalesce(F.log(f"q_{j}"), F.lit(float("nan"))).cast("float").alias(f"h{j}") for j in range(FOLDS)]
+    return r.select("g", F.log(f"q_{FOLDS}").alias("lp"), *held)
 
 
 def _score(packed: DataFrame, scored: DataFrame) -> DataFrame:
-    """(id, lang, n_symbols, log_prob) of every row."""
+    """(id, lang, n_symbols, log_prob, held) of every row; ``held`` is the log probability by the model that leaves the text's fold out."""
     kind = packed.schema["ids"].dataType.elementType.simpleString()
-    pairs = packed.select("slice", F.explode("grams").alias("g")).join(scored, "g").select("slice", "g", "lp")
+    names = [f"h{j}" for j in range(FOLDS)]
+    pairs = packed.select("slice", F.explode("grams").alias("g")).join(scored, "g").select("slice", "g", "lp", *names)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.table({"id": pa.array([], left.column("ids").type.value_type), "lang": pa.array([], pa.string()), "n_symbols": pa.array([], pa.int64()), "log_prob": pa.array([], pa.float64())})
-        g, lp = right.column("g").to_numpy(), right.column("lp").to_numpy()
+            return pa.table({"id": pa.array([], left.column("ids").type.value_type), "lang": pa.array([], pa.string()), "n_symbols": pa.array([], pa.int64()), "log_prob": pa.array([], pa.float64()), "held": pa.array([], pa.float64())})
+        g = right.column("g").to_numpy()
         order = np.argsort(g)
-        g, lp = g[order], lp[order]
-        n, total = [], []
+        g, lp = g[order], right.column("lp").to_numpy()[order]
+        h = np.stack([right.column(c).to_numpy()[order] for c in names])
+        none = np.isnan(h).any(axis=1)
+        h[none] = 0
+        n, total, held = [], [], []
         for texts in _texts(left.column("texts")[0].as_py()):
             key, index, size = codes(texts)
-            each = lp[np.searchsorted(g, key)][index] if len(key) else np.empty(0)
-            sums = np.concatenate([[0.0], np.cumsum(each)])
-            end = np.cumsum(size)
+            end, fold, at = np.cumsum(size), folds(texts), np.searchsorted(g, key)
+            sums = lambda each, end=end, size=size: (s := np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)]))[end] - s[end - size]
             n.append(size)
-            total.append(sums[end] - sums[end - size])
-        return pa.table({"id": left.column("ids")[0].values, "lang": left.column("langs")[0].values, "n_symbols": np.concatenate(n), "log_prob": np.concatenate(total)})
+            total.append(sums(lp[at][index]))
+            held.append(np.where(none[fold], np.nan, sums(h[:, at][np.repeat(fold, size), index])))
+        return pa.table({"id": left.column("ids")[0].values, "lang": left.column("langs")[0].values, "n_symbols": np.concatenate(n), "log_prob": np.concatenate(total), "held": pa.array(np.concatenate(held), from_pandas=True)})
 
     again = packed.sparkSession.read.schema(packed.schema).parquet(packed._spanloom_path)  # a cogroup takes no table that joins itself
     both = again.select("slice", "ids", "langs", "texts").groupBy("slice").cogroup(pairs.groupBy("slice"))
-    return both.applyInArrow(run, f"id {kind}, lang string, n_symbols long, log_prob double")
+    return both.applyInArrow(run, f"id {kind}, lang string, n_symbols long, log_prob double, held double")
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, lang, n_symbols, log_prob, perplexity), materialised. ``trusted``: ids of trusted texts, in the first column."""
+    """(id, lang, n_symbols, log_prob, held, perplexity, held_perplexity), materialised. ``trusted``: ids of trusted texts, in the first column."""
     packed = write_once(pack(docs, id_col, text_col, lang_col), "lmslices")
     counts = write_once(count_grams(packed, trusted), "lmcounts")
     grams = packed.select(F.explode("grams").alias("g")).distinct()
-    scored = write_once(log_probabilities(grams, model(counts)), "lmlogp")
+    tables = model(counts)
+    scored = write_once(log_probabilities(grams, tables), "lmlogp")
+    for t in (counts, *tables[0].values(), *tables[1].values()):
+        discard(t)
     s = _score(packed, scored)
-    out = write_once(s.withColumn("perplexity", F.when(F.col("n_symbols") > 0, F.exp(-F.col("log_prob") / F.col("n_symbols")))), "lmscores")
+    each = lambda c: F.when(F.col("n_symbols") > 0, F.exp(-F.col(c) / F.col("n_symbols")))
+    out = write_once(s.select("*", each("log_prob").alias("perplexity"), each("held").alias("held_perplexity")), "lmscores")
     discard(packed)
     return out
 
@@ -265,9 +300,11 @@ def _quantile(steps: DataFrame, keys: list[str], quantile: float) -> DataFrame:
 
 
 def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, least_trusted: int = LEAST_TRUSTED, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, lang, n_symbols, perplexity, threshold, keep) of every row."""
+    """(id, lang, n_symbols, perplexity, threshold, keep) of every row; a trusted text's perplexity is that of the model without its fold."""
     s = perplexities(docs, trusted, id_col, text_col, lang_col)
-    own = s.filter("n_symbols > 0").join(trusted.select(F.col(trusted.columns[0]).alias("id")).distinct(), "id")
+    s = s.join(trusted.select(F.col(trusted.columns[0]).alias("id"), F.lit(True).alias("trusted")).distinct(), "id", "left")
+    s = s.withColumn("perplexity", F.when(F.col("trusted"), F.coalesce("held_perplexity", "perplexity")).otherwise(F.col("perplexity")))
+    own = s.filter("n_symbols > 0 AND trusted AND held IS NOT NULL")
     step = own.groupBy(F.col("lang").alias("q_lang"), F.floor(F.log("perplexity") * FINE).alias("step")).agg(F.count("*").alias("n"))
     step = write_once(step, "lmsteps")  # a language has some thousand steps at most
     by = _quantile(step, ["q_lang"], quantile).filter(F.col("all") >= least_trusted).select("q_lang", F.col("value").alias("own"))

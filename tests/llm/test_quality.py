@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.llm import quality
 
@@ -115,3 +116,28 @@ def test_thresholds_are_quantiles(spark):
         want = v[math.ceil(0.9 * len(v)) - 1]
         assert want < x.threshold <= want * 1.0051 and x.keep == (x.perplexity <= x.threshold)
     assert len({x.threshold for x in r}) > 1
+
+
+def test_trusted_texts_are_judged_by_models_without_them(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    t = quality.trusted_ids(spark.read.parquet(f"{SF}/labels.parquet"))
+    texts, ids = {r.doc_id: quality.normal(r.text or "") for r in d.collect()}, {r.doc_id for r in t.collect()}
+    fold = dict(zip(texts, quality.folds(list(texts.values())), strict=True))
+    got = {r.doc_id: r.perplexity for r in quality.classify(d, t).collect()}
+    for j in range(quality.FOLDS):
+        plain = Plain([texts[i] for i in ids if fold[i] != j])
+        for i in [i for i in sorted(ids) if fold[i] == j and texts[i]][:12]:
+            assert got[i] == pytest.approx(math.exp(-plain.log_prob(texts[i]) / len(texts[i])), rel=1e-5)
+
+
+def test_clean_texts_that_were_not_trained_on_stay(spark):
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    d, t = d.join(lab, "doc_id", "left_semi"), quality.trusted_ids(lab).withColumn("part", F.crc32(F.col("doc_id").cast("string")) % 10)
+    r = quality.classify(d, t.filter("part = 0").select("doc_id")).join(t.filter("part <> 0"), "doc_id").groupBy("keep").count().collect()
+    n = {x.keep: x["count"] for x in r}
+    assert n.get(False, 0) < 0.04 * sum(n.values())
+
+
+def test_one_trusted_text_rejects_nothing(spark):
+    d = spark.createDataFrame([(1, "some text", "en"), (2, "zq xk", "en")], "doc_id long, text string, lang string")
+    assert quality.keep(d, spark.createDataFrame([(1,)], "doc_id long")).count() == 2
