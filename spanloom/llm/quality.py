@@ -1,7 +1,8 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of character 4-grams, trained on trusted text.
 
 Texts are words joined by single spaces, digits folded, a word equal to the one before it (with its space) replaced by one symbol; so
-repetition, foreign separators and odd casing all become rare 4-grams.
+repetition, foreign separators and odd casing all become rare 4-grams. Words are compared before digits are folded: different numbers repeat
+nothing. A text is judged with the probability of an unknown symbol for each repeat that follows a repeat: a run gains nothing from runs in trusted texts.
 
 1. Texts are packed once: a row per slice of about 16 MB holds ids, the normalised texts (compressed) and the distinct 4-grams.
 2. The slices' trusted texts give 4-gram counts, which are summed by 4-gram. Discounts, context totals and the continuation counts of
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import bz2
 import itertools
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -51,8 +53,8 @@ _DIGITS = str.maketrans("123456789", "000000000")
 
 
 def normal(text: str) -> str:
-    words = text.translate(_DIGITS).split()
-    return " ".join([SAME if a == b else b for a, b in zip([None, *words[:-1]], words, strict=True)]).replace(" " + SAME, SAME) if words else ""
+    words = text.split()
+    return " ".join([SAME if a == b else b for a, b in zip([None, *words[:-1]], words, strict=True)]).replace(" " + SAME, SAME).translate(_DIGITS) if words else ""
 
 
 def folds(texts: list[str]) -> np.ndarray:
@@ -245,38 +247,44 @@ def log_probabilities(grams: DataFrame, tables: tuple[dict[int, DataFrame], dict
     return r.select("g", F.log(f"q_{FOLDS}").alias("lp"), *held)
 
 
-def _score(packed: DataFrame, scored: DataFrame) -> DataFrame:
-    """(id, lang, n_symbols, log_prob, held) of every row; ``held`` is the log probability by the model that leaves the text's fold out."""
+def _score(packed: DataFrame, scored: DataFrame, unknown: DataFrame) -> DataFrame:
+    """(id, lang, n_symbols, log_prob, judged, held) of every row: the log probability by the model of all, the same with repeats after repeats as
+    unknown symbols, and that by the model that leaves the text's fold out."""
+    floor = [math.log(p) if p else 0.0 for p in unknown.first()]  # one row
     kind = packed.schema["ids"].dataType.elementType.simpleString()
     names = [f"h{j}" for j in range(FOLDS)]
     pairs = packed.select("slice", F.explode("grams").alias("g")).join(scored, "g").select("slice", "g", "lp", *names)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.table({"id": pa.array([], left.column("ids").type.value_type), "lang": pa.array([], pa.string()), "n_symbols": pa.array([], pa.int64()), "log_prob": pa.array([], pa.float64()), "held": pa.array([], pa.float64())})
+            return pa.table({"id": pa.array([], left.column("ids").type.value_type), "lang": pa.array([], pa.string()), "n_symbols": pa.array([], pa.int64()), "log_prob": pa.array([], pa.float64()), "judged": pa.array([], pa.float64()), "held": pa.array([], pa.float64())})
         g = right.column("g").to_numpy()
         order = np.argsort(g)
         g, lp = g[order], right.column("lp").to_numpy()[order]
         h = np.stack([right.column(c).to_numpy()[order] for c in names])
         none = np.isnan(h).any(axis=1)
         h[none] = 0
-        n, total, held = [], [], []
+        n, total, judged, held = [], [], [], []
+        run_on = (g & 0xFFFFFFFF) == (ord(SAME) << 16 | ord(SAME))
+        bound = np.where(run_on, np.minimum(lp, floor[-1]), lp)
+        h[:, run_on] = np.minimum(h[:, run_on], np.array(floor[:-1], h.dtype)[:, None])
         for texts in _texts(left.column("texts")[0].as_py()):
             key, index, size = codes(texts)
             end, fold, at = np.cumsum(size), folds(texts), np.searchsorted(g, key)
             sums = lambda each, end=end, size=size: (s := np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)]))[end] - s[end - size]
             n.append(size)
             total.append(sums(lp[at][index]))
+            judged.append(sums(bound[at][index]))
             held.append(np.where(none[fold], np.nan, sums(h[:, at][np.repeat(fold, size), index])))
-        return pa.table({"id": left.column("ids")[0].values, "lang": left.column("langs")[0].values, "n_symbols": np.concatenate(n), "log_prob": np.concatenate(total), "held": pa.array(np.concatenate(held), from_pandas=True)})
+        return pa.table({"id": left.column("ids")[0].values, "lang": left.column("langs")[0].values, "n_symbols": np.concatenate(n), "log_prob": np.concatenate(total), "judged": np.concatenate(judged), "held": pa.array(np.concatenate(held), from_pandas=True)})
 
     again = packed.sparkSession.read.schema(packed.schema).parquet(packed._spanloom_path)  # a cogroup takes no table that joins itself
     both = again.select("slice", "ids", "langs", "texts").groupBy("slice").cogroup(pairs.groupBy("slice"))
-    return both.applyInArrow(run, f"id {kind}, lang string, n_symbols long, log_prob double, held double")
+    return both.applyInArrow(run, f"id {kind}, lang string, n_symbols long, log_prob double, judged double, held double")
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, lang, n_symbols, log_prob, held, perplexity, held_perplexity), materialised. ``trusted``: ids of trusted texts, in the first column."""
+    """(id, lang, n_symbols, log_prob, judged, held, perplexity, judged_perplexity, held_perplexity), materialised. ``trusted``: ids of trusted texts, in the first column."""
     packed = write_once(pack(docs, id_col, text_col, lang_col), "lmslices")
     counts = write_once(count_grams(packed, trusted), "lmcounts")
     grams = packed.select(F.explode("grams").alias("g")).distinct()
@@ -284,9 +292,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     scored = write_once(log_probabilities(grams, tables), "lmlogp")
     for t in (counts, *tables[0].values(), *tables[1].values()):
         discard(t)
-    s = _score(packed, scored)
+    s = _score(packed, scored, tables[2])
     each = lambda c: F.when(F.col("n_symbols") > 0, F.exp(-F.col(c) / F.col("n_symbols")))
-    out = write_once(s.select("*", each("log_prob").alias("perplexity"), each("held").alias("held_perplexity")), "lmscores")
+    out = write_once(s.select("*", each("log_prob").alias("perplexity"), each("judged").alias("judged_perplexity"), each("held").alias("held_perplexity")), "lmscores")
     discard(packed)
     return out
 
@@ -303,7 +311,7 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, le
     """(id, lang, n_symbols, perplexity, threshold, keep) of every row; a trusted text's perplexity is that of the model without its fold."""
     s = perplexities(docs, trusted, id_col, text_col, lang_col)
     s = s.join(trusted.select(F.col(trusted.columns[0]).alias("id"), F.lit(True).alias("trusted")).distinct(), "id", "left")
-    s = s.withColumn("perplexity", F.when(F.col("trusted"), F.coalesce("held_perplexity", "perplexity")).otherwise(F.col("perplexity")))
+    s = s.withColumn("perplexity", F.when(F.col("trusted"), F.coalesce("held_perplexity", "judged_perplexity")).otherwise(F.col("judged_perplexity")))
     own = s.filter("n_symbols > 0 AND trusted AND held IS NOT NULL")
     step = own.groupBy(F.col("lang").alias("q_lang"), F.floor(F.log("perplexity") * FINE).alias("step")).agg(F.count("*").alias("n"))
     step = write_once(step, "lmsteps")  # a language has some thousand steps at most

@@ -127,7 +127,9 @@ def test_trusted_texts_are_judged_by_models_without_them(spark):
     for j in range(quality.FOLDS):
         plain = Plain([texts[i] for i in ids if fold[i] != j])
         for i in [i for i in sorted(ids) if fold[i] == j and texts[i]][:12]:
-            assert got[i] == pytest.approx(math.exp(-plain.log_prob(texts[i]) / len(texts[i])), rel=1e-5)
+            t = "\x02" * 3 + texts[i]
+            each = [plain.p("\0") if t[k - 1 : k + 1] == quality.SAME * 2 else plain.p(t[k - 3 : k + 1]) for k in range(3, len(t))]
+            assert got[i] == pytest.approx(math.exp(-sum(map(math.log, each)) / len(each)), rel=1e-5)
 
 
 def test_clean_texts_that_were_not_trained_on_stay(spark):
@@ -141,3 +143,16 @@ def test_clean_texts_that_were_not_trained_on_stay(spark):
 def test_one_trusted_text_rejects_nothing(spark):
     d = spark.createDataFrame([(1, "some text", "en"), (2, "zq xk", "en")], "doc_id long, text string, lang string")
     assert quality.keep(d, spark.createDataFrame([(1,)], "doc_id long")).count() == 2
+
+
+def test_runs_of_a_word_gain_nothing_from_trusted_runs(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    t = quality.trusted_ids(spark.read.parquet(f"{SF}/labels.parquet"))
+    extra = [(-i, f"some words {w * 40}", "de") for i, w in enumerate(("der ", "oft ", "und "), 1)]
+    r = {x.doc_id: x for x in quality.classify(d.unionByName(spark.createDataFrame(extra, d.schema)), t.union(spark.createDataFrame([(-1,)], "doc_id long"))).filter("doc_id < 0").collect()}
+    assert not r[-2].keep and not r[-3].keep and r[-2].perplexity > 100
+
+
+def test_different_numbers_are_no_repeats():
+    assert quality.normal("a 12 13 14 14 b b") == f"a 00 00 00{quality.SAME} b{quality.SAME}"
+    assert quality.normal("1 2 3") == "0 0 0"
