@@ -148,7 +148,7 @@ def test_one_trusted_text_rejects_nothing(spark):
 def test_runs_of_a_word_gain_nothing_from_trusted_runs(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     t = quality.trusted_ids(spark.read.parquet(f"{SF}/labels.parquet"))
-    extra = [(-i, f"some words {w * 40}", "de") for i, w in enumerate(("der ", "oft ", "und "), 1)]
+    extra = [(-i, f"some words {w * 40}", "xx") for i, w in enumerate(("der ", "oft ", "und "), 1)]
     r = {x.doc_id: x for x in quality.classify(d.unionByName(spark.createDataFrame(extra, d.schema)), t.union(spark.createDataFrame([(-1,)], "doc_id long"))).filter("doc_id < 0").collect()}
     assert not r[-2].keep and not r[-3].keep and r[-2].perplexity > 100
 
