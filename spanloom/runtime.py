@@ -51,7 +51,9 @@ def scratch_dir(spark: SparkSession) -> str:
     held = getattr(sc, "_spanloom_scratch", None)
     if held is None:
         base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not base:  # only where nothing is configured, as in local tests
+        if not base:  # only in local tests, where driver and executors are one process
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="spanloom-")
         held = sc._spanloom_scratch = f"{base.rstrip('/')}/spanloom-{sc.applicationId}-{uuid.uuid4().hex[:8]}"
         atexit.register(_drop, spark, held)
@@ -90,5 +92,20 @@ def discard(df: DataFrame) -> None:
         _drop(df.sparkSession, path)
 
 
+#: Bytes a core, below which a table may be dealt anew.
+SMALL = 8 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a small table dealt to all cores, for work in Python that costs more than the move: a file of one row group is one task otherwise.
+
+    A table of more than SMALL bytes a core, or than a file split a core, has tasks enough, and stays as it is.
+    """
+    spark = rows.sparkSession
+    cores, split = spark.sparkContext.defaultParallelism, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < min(SMALL, split) * cores else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
