@@ -12,9 +12,9 @@ from spanloom.functions.paths import CODE, DOCS, basename, extension, is_test, s
 # Word lists, patterns and constants that classifications depend on.
 INTENT_DOCS = ["how to", "guide", "tutorial", "explain", "overview", "what is"]
 INTENT_CODE = ["function", "class", "def ", "import ", "return ", "async "]
-QUERY_EXTENSIONS = CODE + [".cs", ".php", ".scala", ".lua", ".sh", ".bash", ".zsh"]
+QUERY_EXTENSIONS = [".py", ".ts", ".js", ".rs", ".go", ".c", ".cpp", ".h", ".tsx", ".jsx", ".vue", ".rb", ".java", ".kt", ".swift", ".cs", ".php", ".scala", ".lua", ".sh", ".bash", ".zsh"]
 CODE_SHAPES = [
-    r"(?:^|\n)\s*(?:def|async\s+def|class)\s+\w+", r"(?:^|\n)\s*from\s+\w+", r"(?:^|\n)\s*import\s+\w+", r"(?:^|\n)\s*\w+\s*=\s*[^=\n]+",
+    r"(?:^|\n)\s*(def|async\s+def|class)\s+\w+", r"(?:^|\n)\s*from\s+\w+", r"(?:^|\n)\s*import\s+\w+", r"(?:^|\n)\s*\w+\s*=\s*[^=\n]+",
     r"\bfor\s+\w+\s+in\s+[^:\n]+:?\s*", r"\bwhile\s+[^:\n]+:?\s*", r"\blambda\s+\w+\s*:\s*[^:\n]+", r"\b\w+\s*\([^()\n]*\)",
 ]
 CODE_WORDS = [

@@ -80,7 +80,21 @@ def provenance(path: Column) -> Column:
 
 
 #: Language by extension.
-LANGUAGES = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "tsx", ".go": "go", ".java": "java", ".rs": "rust", ".rb": "ruby", ".c": "c", ".h": "c", ".cpp": "cpp", ".md": "markdown", ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml", ".sh": "bash", ".html": "html", ".css": "css", ".sql": "sql", ".txt": "text"}
+LANGUAGES = {
+    ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "tsx", ".py": "python", ".go": "go",
+    ".java": "java", ".c": "c", ".h": "c", ".cc": "cpp", ".cpp": "cpp", ".hpp": "cpp", ".hh": "cpp", ".rs": "rust", ".sh": "bash", ".bash": "bash",
+    ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".sql": "sql", ".md": "markdown", ".markdown": "markdown",
+}
+#: Extensions of code files in evaluations.
+CODE_FILES = [
+    ".py", ".ts", ".js", ".rs", ".go", ".c", ".cpp", ".h", ".hpp", ".java", ".scala", ".kt", ".swift", ".rb", ".php", ".sh", ".bash", ".yaml", ".yml", ".json",
+    ".toml", ".xml", ".html", ".css", ".scss", ".sql", ".lua", ".pl", ".pm", ".r", ".m", ".fs", ".fsi", ".hs", ".ex", ".exs", ".erl", ".hrl", ".clj", ".cljs",
+    ".lisp", ".scm", ".el", ".vim", ".zsh", ".fish", ".bat", ".cmd", ".ps1",
+]
+
+
+def is_code(path: Column) -> Column:
+    return extension(path).isin(*CODE_FILES)
 
 
 def language(path: Column) -> Column:

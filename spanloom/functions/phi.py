@@ -41,7 +41,7 @@ HEADERS = {
     "allergies": ["allergies", "allergies/intolerances", "all"], "labs": ["labs", "laboratory results", "lab results", "studies"],
     "imaging": ["imaging", "radiology", "studies", "x-ray", "mri", "ct"], "findings": ["findings", "examination"], "impression": ["impression", "conclusion"], "technique": ["technique", "procedure"],
 }
-SECTION_WEIGHTS = {"IMPRESSION": 1.0, "CONCLUSION": 1.0, "ASSESSMENT": 0.9, "DIAGNOSIS": 0.9, "FINDINGS": 0.8, "RESULTS": 0.8, "SUBJECTIVE": 0.7, "OBJECTIVE": 0.7, "PLAN": 0.6, "RECOMMENDATIONS": 0.6, "HISTORY": 0.5, "PROCEDURE": 0.4, "BACKGROUND": 0.4, "TECHNIQUE": 0.3, "METHOD": 0.3, "OTHER": 0.2}
+SECTION_WEIGHTS = {"IMPRESSION": 1.0, "CONCLUSION": 1.0, "ASSESSMENT": 0.9, "DIAGNOSIS": 0.9, "FINDINGS": 0.8, "RESULTS": 0.8, "SUBJECTIVE": 0.7, "OBJECTIVE": 0.7, "PLAN": 0.6, "RECOMMENDATIONS": 0.6, "TECHNIQUE": 0.3, "METHOD": 0.3, "PROCEDURE": 0.4, "HISTORY": 0.5, "BACKGROUND": 0.4, "OTHER": 0.2}
 NEGATION = r"\b(?:no\s+evidence\s+of|rules?\s+out|negative\s+for|denies|without|not\s+(?:present|seen|identified|detected)|absence\s+of|excluded)\b"
 AFFIRMATION = r"\b(?:positive\s+for|confirmed|evidence\s+of|consistent\s+with|shows|demonstrates|findings\s+suggest|indicates)\b"
 ABBREVIATIONS = {

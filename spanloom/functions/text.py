@@ -12,7 +12,7 @@ def tokens(text: Column) -> Column:
 
 
 #: Words that a query plan ignores.
-STOP = ["a", "an", "the", "to", "of", "for", "and", "or", "in", "on", "with", "is", "are", "be", "this", "that", "it", "as", "by", "from", "at", "into"]
+STOP = ["the", "a", "an", "and", "or", "to", "of", "in", "for", "with", "is", "are", "do", "does", "how", "what", "where", "when", "why", "who", "we", "please"]
 
 
 def plan_tokens(text: Column) -> Column:

@@ -17,12 +17,12 @@ ENDS = ["", " how to configure the guide", " def main(x)", " sku AB-12345 price"
 
 
 def asked(spark, sf):
-    """(item_id, q): benchmark texts with endings that different classes answer to."""
+    """(item_id, q): whole benchmark texts with endings that different classes answer to."""
     end = F.element_at(F.array(*map(F.lit, ENDS)), (F.col("item_id") % 8 + 1).cast("int"))
-    return table(spark, sf, "benchmark").select("item_id", F.concat(F.lower(F.substring("text", 1, 60)), end).alias("q"))
+    return table(spark, sf, "benchmark").select("item_id", F.concat(F.lower("text"), end).alias("q"))
 
 
-ASKED = "asked AS (SELECT item_id, lower(substr(text, 1, 60)) || [" + ", ".join(f"'{e}'" for e in ENDS) + "][item_id % 8 + 1] AS q FROM benchmark)"
+ASKED = "asked AS (SELECT item_id, lower(text) || [" + ", ".join(f"'{e}'" for e in ENDS) + "][item_id % 8 + 1] AS q FROM benchmark)"
 
 
 def sql_any(col: str, words: list[str]) -> str:
@@ -44,9 +44,10 @@ def token_functions(spark, sf):
     return t.select("doc_id", F.size("w").alias("n"), F.get("w", F.lit(0)).alias("first"), F.get(T.bigrams(F.col("w")), F.lit(0)).alias("bigram"), F.round(T.jaccard(F.col("w"), few), 6).alias("overlap"))
 
 
-@register("plan_tokens", "F2 F6", "WITH t AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1), lambda t: NOT list_contains([" + ", ".join(f"'{w}'" for w in T.STOP) + "], t)) AS w FROM benchmark) SELECT item_id, CAST(len(w) AS INTEGER) AS n, CASE WHEN len(w) > 0 THEN array_to_string(w[1:4], '-') ELSE 'general_query' END AS intent FROM t")
+@register("plan_tokens", "F2 F6", "WITH t AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1), lambda t: NOT list_contains(['the', 'a', 'an', 'and', 'or', 'to', 'of', 'in', 'for', 'with', 'is', 'are', 'do', 'does', 'how', 'what', 'where', 'when', 'why', 'who', 'we', 'please'], t)) AS w FROM (SELECT item_id, 'How do we ' || text || [' please', ' this into that', ' does it'][item_id % 3 + 1] AS text FROM benchmark)) SELECT item_id, CAST(len(w) AS INTEGER) AS n, CASE WHEN len(w) > 0 THEN array_to_string(w[1:4], '-') ELSE 'general_query' END AS intent FROM t")
 def plan_tokens(spark, sf):
-    t = table(spark, sf, "benchmark").select("item_id", T.plan_tokens(F.col("text")).alias("w"))
+    end = F.element_at(F.array(*map(F.lit, [" please", " this into that", " does it"])), (F.col("item_id") % 3 + 1).cast("int"))
+    t = table(spark, sf, "benchmark").select("item_id", T.plan_tokens(F.concat(F.lit("How do we "), "text", end)).alias("w"))
     return t.select("item_id", F.size("w").alias("n"), T.intent_slug(F.col("w")).alias("intent"))
 
 
@@ -67,10 +68,23 @@ def score_transforms(spark, sf):
 
 @register("path_functions", "F10 F26 F29 F30 F42 F46 R3", f"""WITH {FILES}, e AS (SELECT id, path, regexp_extract(path, '(\\.[a-z]+)$', 1) AS x FROM files)
 SELECT id, CAST(CASE WHEN x IN ('.py', '.ts') THEN 1.0 WHEN x = '.md' THEN 0.3 ELSE 0.7 END AS DOUBLE) AS weight, CAST(CASE WHEN x IN ('.py', '.ts') THEN 3 WHEN x = '.md' THEN 7 ELSE 5 END AS INTEGER) AS priority, CASE x WHEN '.py' THEN 'python' WHEN '.ts' THEN 'typescript' WHEN '.md' THEN 'markdown' ELSE 'json' END AS language,
-CASE WHEN x = '.md' THEN 'docs' ELSE 'code' END AS kind, x IN ('.py', '.ts') AS is_code, CAST(CASE WHEN x IN ('.py', '.ts') THEN 0.15 WHEN x = '.md' THEN -0.12 ELSE 0.0 END AS DOUBLE) AS boost FROM e""")
+CASE WHEN x = '.md' THEN 'docs' ELSE 'code' END AS kind, x IN ('.py', '.ts', '.json') AS is_code, CAST(CASE WHEN x IN ('.py', '.ts') THEN 0.15 WHEN x = '.md' THEN -0.12 ELSE 0.0 END AS DOUBLE) AS boost FROM e""")
 def path_functions(spark, sf):
     p = F.col("path")
-    return files(spark, sf).select("id", C.extension_weight(p).alias("weight"), P.priority(p).alias("priority"), P.language(p).alias("language"), P.provenance(p).alias("kind"), P.extension(p).isin(*P.CODE).alias("is_code"), C.extension_score(p, F.lit("neutral")).alias("boost"))
+    return files(spark, sf).select("id", C.extension_weight(p).alias("weight"), P.priority(p).alias("priority"), P.language(p).alias("language"), P.provenance(p).alias("kind"), P.is_code(p).alias("is_code"), C.extension_score(p, F.lit("neutral")).alias("boost"))
+
+
+KINDS_OF_FILE = ["mjs", "cjs", "cc", "hpp", "hh", "bash", "markdown", "toml", "rb", "html", "css", "txt", "JS", "Scala", "ps1", "hrl", "yml", "h", "rst", "vue", "tar.gz", "exs", "clj", "cmd"]
+
+
+@register("extension_tables", "F29 F46", """WITH p AS (SELECT doc_id, lower('.' || ['mjs', 'cjs', 'cc', 'hpp', 'hh', 'bash', 'markdown', 'toml', 'rb', 'html', 'css', 'txt', 'JS', 'Scala', 'ps1', 'hrl', 'yml', 'h', 'rst', 'vue', 'gz', 'exs', 'clj', 'cmd'][doc_id % 24 + 1]) AS x FROM documents)
+SELECT doc_id, CASE WHEN x IN ('.js', '.mjs', '.cjs', '.jsx') THEN 'javascript' WHEN x = '.ts' THEN 'typescript' WHEN x = '.tsx' THEN 'tsx' WHEN x = '.py' THEN 'python' WHEN x IN ('.c', '.h') THEN 'c'
+  WHEN x IN ('.cc', '.cpp', '.hpp', '.hh') THEN 'cpp' WHEN x IN ('.sh', '.bash') THEN 'bash' WHEN x IN ('.yaml', '.yml') THEN 'yaml' WHEN x IN ('.md', '.markdown') THEN 'markdown' END AS language,
+ x IN ('.py', '.ts', '.js', '.rs', '.go', '.c', '.cpp', '.h', '.hpp', '.java', '.scala', '.kt', '.swift', '.rb', '.php', '.sh', '.bash', '.yaml', '.yml', '.json', '.toml', '.xml', '.html', '.css', '.scss', '.sql', '.lua', '.pl', '.pm',
+  '.r', '.m', '.fs', '.fsi', '.hs', '.ex', '.exs', '.erl', '.hrl', '.clj', '.cljs', '.lisp', '.scm', '.el', '.vim', '.zsh', '.fish', '.bat', '.cmd', '.ps1') AS is_code FROM p""")
+def extension_tables(spark, sf):
+    p = F.concat(F.lit("src/a."), F.element_at(F.array(*map(F.lit, KINDS_OF_FILE)), (F.col("doc_id") % len(KINDS_OF_FILE) + 1).cast("int")))
+    return table(spark, sf, "documents").select("doc_id", P.language(p).alias("language"), P.is_code(p).alias("is_code"))
 
 
 @register("filename_match", "R2", f"WITH {FILES} SELECT id, CAST(CASE WHEN 'doc' || (id % 3) || '.py' = b THEN 0.35 WHEN 'doc' || (id % 3) = regexp_replace(b, '\\.[^.]*$', '') THEN 0.30 WHEN contains(b, 'doc' || (id % 3)) THEN 0.08 ELSE 0.0 END AS DOUBLE) AS score FROM (SELECT id, split_part(path, '/', 3) AS b FROM files)")
@@ -109,7 +123,7 @@ def vector_functions(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(norm(e), 6).alias("norm"), F.round(unit(e)[0], 6).alias("unit_first"), F.round(F.aggregate(e, F.lit(0.0), lambda a, x: a + F.abs(x.cast("double"))), 5).alias("l1"))
 
 
-@register("symbol_keys", "F27 F28 U14", f"WITH {SPANS} SELECT id, string_split(symbol, '.')[-1] AS leaf, CASE WHEN string_split(symbol, '.')[-1] = '' THEN symbol ELSE symbol || ',' || string_split(symbol, '.')[-1] END AS keys, CAST(length(symbol) - length(replace(symbol, '.', '')) AS INTEGER) AS depth FROM spans")
+@register("symbol_keys", "F27 F28", f"WITH {SPANS} SELECT id, string_split(symbol, '.')[-1] AS leaf, CASE WHEN string_split(symbol, '.')[-1] = '' THEN symbol ELSE symbol || ',' || string_split(symbol, '.')[-1] END AS keys, CAST(length(symbol) - length(replace(symbol, '.', '')) AS INTEGER) AS depth FROM spans")
 def symbol_keys(spark, sf):
     s = F.col("symbol")
     return spans(spark, sf).select("id", S.leaf(s).alias("leaf"), F.array_join(S.candidate_keys(s), ",").alias("keys"), (F.size(F.split(s, r"\.")) - 1).alias("depth"))
@@ -151,7 +165,7 @@ def tier_router(spark, sf):
     return asked(spark, sf).select("item_id", C.tier(F.col("q"), i % 10 / 10.0, i % 5, i % 13, (i % 7) * 6000).alias("tier"), C.tool_tier(F.col("q")).alias("tool_tier"))
 
 
-@register("slice_type", "C1 C13 C12", f"""WITH {FILES} SELECT id, CASE WHEN path LIKE '%.json' AND regexp_matches(substr(text, 1, 2000), '(?i)["'']?(sku|upc|asin|model_number|product_id|catalog_ref)["'']?\\s*[:=]') THEN 'erp_product' WHEN path LIKE '%.py' OR path LIKE '%.ts' THEN 'code' WHEN path LIKE '%.json' THEN 'config' ELSE 'docs' END AS type,
+@register("slice_type", "C1 C13", f"""WITH {FILES} SELECT id, CASE WHEN path LIKE '%.json' AND regexp_matches(substr(text, 1, 2000), '(?i)["'']?(sku|upc|asin|model_number|product_id|catalog_ref)["'']?\\s*[:=]') THEN 'erp_product' WHEN path LIKE '%.py' OR path LIKE '%.ts' THEN 'code' WHEN path LIKE '%.json' THEN 'config' ELSE 'docs' END AS type,
 CASE lang WHEN 'en' THEN 'code' WHEN 'de' THEN 'docs' WHEN 'fr' THEN 'erp_product' ELSE 'other' END AS alias FROM files""")
 def slice_type(spark, sf):
     raw = F.when(F.col("lang") == "en", " Python").when(F.col("lang") == "de", "MD").when(F.col("lang") == "fr", "erp").otherwise("Other")
