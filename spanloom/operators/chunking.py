@@ -247,12 +247,12 @@ def python_graph(t: str, module: str) -> list[tuple[str, str, str, str]]:
     return out
 
 
-def schema_graph(rows: DataFrame, key: str = "module", text: str = "text") -> DataFrame:
-    """(key, what, a, edge, b) of Python sources, distinct."""
+def schema_graph(rows: DataFrame, key: str = "module", text: str = "text", extract=python_graph) -> DataFrame:
+    """(key, what, a, edge, b) of sources, distinct; ``extract`` is python_graph or script_graph."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(k, *r) for k, t in zip(b[key], b[text], strict=True) if t for r in python_graph(t, k)]
+            out = [(k, *r) for k, t in zip(b[key], b[text], strict=True) if t for r in extract(t, k)]
             yield pd.DataFrame(out, columns=[key, "what", "a", "edge", "b"])
 
     return rows.select(key, text).mapInPandas(run, f"{key} string, what string, a string, edge string, b string").distinct()
@@ -275,3 +275,104 @@ def skeleton(t: str) -> str:
 
     tree.body = [n for n in tree.body if isinstance(n, ast.Import | ast.ImportFrom | ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef | ast.Assign | ast.AnnAssign)]
     return ast.unparse(ast.fix_missing_locations(Cut().visit(tree)))
+
+
+def context_hits(rows: DataFrame, pattern: str, key: str = "id", text: str = "text", most: int = 20) -> DataFrame:
+    """(key, nth, line, hit): the first ``most`` matches of a Java pattern in each text, JVM-side; a match's line is counted in what lies before it.
+
+    Texts are cut at their matches: what precedes the n-th match is the n first pieces and the matches between them.
+    """
+    from pyspark.sql import functions as F
+
+    t = rows.filter(F.col(text).isNotNull()).select(F.col(key).alias(key), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("_m"), F.split(F.col(text), pattern).alias("_p"))
+    t = t.filter(F.size("_m") > 0)
+    breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    h = t.select(key, "_p", F.posexplode(F.slice("_m", 1, most)).alias("nth", "hit"), "_m")
+    before = F.concat(F.array_join(F.slice("_p", F.lit(1), F.col("nth") + 1), ""), F.array_join(F.slice("_m", F.lit(1), F.col("nth")), ""))
+    return h.select(key, "nth", (breaks(before) + 1).alias("line"), F.substring("hit", 1, 200).alias("hit"))
+
+
+def listing(symbols: DataFrame, scope: str = "", symbol: str = "symbol") -> DataFrame:
+    """The rows whose symbol is directly in a scope; without one, those of the top level."""
+    from pyspark.sql import functions as F
+
+    dots = F.size(F.split(F.col(symbol), r"\.")) - 1
+    return symbols.filter(F.col(symbol).startswith(f"{scope}.") & (dots == scope.count(".") + 1) if scope else dots == 0)
+
+
+_IMPORT = re.compile(r"""^\s*(?:import|export)\b[^'"\n;]*?\bfrom\s*['"]([^'"]+)['"]|^\s*import\s*['"]([^'"]+)['"]|\brequire\(\s*['"]([^'"]+)['"]\s*\)""", re.M)
+_BASES = re.compile(r"\b(?:class|interface)\s+(\w+)(?:<[^{]*?>)?\s+extends\s+([\w.$]+(?:\s*,\s*[\w.$]+)*)")
+_CALL = re.compile(r"(\w+)\s*(?:<[\w\s,]*>)?\(")
+_NOT_CALLED = {"if", "for", "while", "switch", "catch", "function", "return", "typeof", "super", "constructor", "import", "require"}
+
+
+def script_graph(t: str, module: str) -> list[tuple[str, str, str, str]]:
+    """The same as ``python_graph`` for TypeScript and JavaScript, from lines and braces: imports, classes, interfaces, type aliases, functions and methods; bases; calls
+    by name (of a member call, the property's)."""
+    out = [("relation", f"mod:{module}", "IMPORTS", f"mod:{x}") for x in sorted({a or b or c for a, b, c in _IMPORT.findall(t)})]
+    found = brace_spans(t, "typescript")
+    for name, kind, a, b, _ in found:
+        out.append(("entity", f"{'sym' if kind in ('function', 'method') else 'type'}:{module}.{name}", kind, f"{a}-{b}"))
+    for name, bases in _BASES.findall(t):
+        out += [("relation", f"type:{module}.{name}", "EXTENDS", f"type:{x.strip()}") for x in bases.split(",")]
+    for n, line in enumerate(t.split("\n"), 1):
+        code = re.sub(r"//.*$|\"(?:\\.|[^\"])*\"|'(?:\\.|[^'])*'", "", line)
+        inside = [s for s in found if s[1] in ("function", "method") and s[2] <= n <= s[3]]
+        if inside:
+            scope = max(inside, key=lambda s: s[2])
+            head = scope[2] == n and scope[0].split(".")[-1]
+            out += [("relation", f"sym:{module}.{scope[0]}", "CALLS", f"sym:{c}") for c in _CALL.findall(code) if c not in _NOT_CALLED and c != head]
+    return out
+
+
+def source_chunks(t: str, most: int = 1000, header: int = 240, overlap: int = 100) -> list[tuple[str, str, int, int, int]]:
+    """(role, symbol, depth, start, end) of Python source, in characters: definitions of up to ``most`` characters whole; of larger ones a header, what they define, and the
+    stretches between in windows. Source that does not parse is cut in windows."""
+    try:
+        tree = ast.parse(t)
+    except (SyntaxError, ValueError, RecursionError):
+        return [("fallback", "", 0, a, b) for a, b in windows(t, most, overlap)]
+    lines = [0]
+    for x in t.split("\n"):
+        lines.append(lines[-1] + len(x) + 1)
+    out: list[tuple[str, str, int, int, int]] = []
+
+    def stretch(role: str, symbol: str, depth: int, a: int, b: int) -> None:
+        out.extend((role, symbol, depth, a + x, a + y) for x, y in windows(t[a:b], most, overlap))
+
+    todo: list[tuple] = [("node", tree, "", 0, 0, len(t))]
+    while todo:
+        what, node, symbol, depth, a, b = todo.pop()
+        if what != "node":
+            stretch(what, symbol, depth, a, b)
+            continue
+        if b - a <= most:
+            if t[a:b].strip():
+                out.append(("whole", symbol, depth, a, b))
+            continue
+        at, next_ = a, []
+        if node is not tree:
+            out.append(("header", symbol, depth, a, min(b, a + header)))
+            at = min(b, a + header)
+        for c in node.body:
+            if isinstance(c, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
+                x, y = lines[min([c.lineno, *(d.lineno for d in c.decorator_list)]) - 1], min(len(t), lines[c.end_lineno])
+                if x > at:
+                    next_.append(("gap", c, symbol, depth, at, x))
+                next_.append(("node", c, f"{symbol}.{c.name}".strip("."), depth + 1, x, y))
+                at = max(at, y)
+        if b > at:
+            next_.append(("remainder", node, symbol, depth, at, b))
+        todo += reversed(next_)
+    return out
+
+
+def ast_chunks(rows: DataFrame, key: str = "id", text: str = "text", most: int = 1000) -> DataFrame:
+    """(key, ordinal, role, symbol, depth, start, end, content): see ``source_chunks``; null and empty texts give none."""
+    each = lambda t: [(i, r, s, d, a, b, t[a:b]) for i, (r, s, d, a, b) in enumerate(source_chunks(t, most))]
+    return _table(rows, key, text, each, "ordinal int, role string, symbol string, depth int, start int, end int, content string")
+
+
+def skeletons(rows: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """(key, skeleton) of Python sources."""
+    return _table(rows, key, text, lambda t: [(skeleton(t),)], "skeleton string")

@@ -6,11 +6,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions import phi
+from spanloom.runtime import spread
 
 # Relations as (type, base confidence, verbs, what follows the object).
 RELATIONS = [
@@ -23,7 +25,7 @@ _NAME = r"(\w+(?: \w+)*)"
 
 
 def _rows(rows: DataFrame, text: str, each, schema: str) -> DataFrame:
-    """Arrow batches through ``each(key, text)``, which yields rows."""
+    """Batches through ``each(text)``, which yields rows; null and empty texts give none."""
     key = [c for c in rows.columns if c != text][0]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -32,7 +34,7 @@ def _rows(rows: DataFrame, text: str, each, schema: str) -> DataFrame:
             out = [(k, *r) for k, t in zip(b[key], b[text], strict=True) if t for r in each(t)]
             yield pd.DataFrame(out, columns=[key, *names])
 
-    return rows.select(key, text).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {schema}")
+    return spread(rows.select(key, text)).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {schema}")
 
 
 def findings(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -41,9 +43,16 @@ def findings(rows: DataFrame, text: str = "text") -> DataFrame:
 
 
 def redacted(rows: DataFrame, text: str = "text", patient: str | None = None, redact: tuple[str, ...] = (), shift: bool = True, surrogates: bool = True) -> DataFrame:
-    """(key, redacted)"""
+    """(key, redacted) of every row; a null text stays null, an empty one empty."""
     some = frozenset(redact)
-    return _rows(rows, text, lambda t: [(phi.redact(t, patient, some, shift, surrogates),)], "redacted string")
+    key = [c for c in rows.columns if c != text][0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = [t and phi.redact(t, patient, some, shift, surrogates) for t in b.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(new, pa.string())], names=[key, "redacted"])
+
+    return spread(rows.select(key, text)).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, redacted string")
 
 
 def relations(rows: DataFrame, text: str = "text", least: float = 0.7) -> DataFrame:

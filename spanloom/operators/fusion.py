@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.runtime import write_once
+
 
 def min_max(rows: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
     """Adds ``normalized`` in [0, 1]; if all scores of a group are equal, 1 above zero and 0 else."""
@@ -46,10 +48,17 @@ def fuse_z(rows: DataFrame, weights: DataFrame, query: list[str], least: int = 5
     return enough.unionByName(rrf(r.filter(F.col("_n") < least), query).drop("best_rank")) if fallback else enough
 
 
+def ranked(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Adds ``_rank``, a row's place from 1 within its key, for keys of any size: rows are dealt by ranges of the order and written, counted by key and range, and
+    numbered within each range; a range starts where the ones before it end."""
+    r = write_once(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    n = r.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    n = n.select(*keys, "_part", F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row per range
+    return r.withColumn("_i", F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order))).join(n, [*keys, "_part"]).withColumn("_rank", F.col("_before") + F.col("_i")).drop("_part", "_i", "_before")
+
+
 def interleave(rows: DataFrame, high: str, order: list[str], n_high: int = 5, n_low: int = 1) -> DataFrame:
     """Adds ``slot``: n_high rows of the high class, then n_low of the others, and so on; what is left over follows."""
-    w = W.partitionBy(high).orderBy(*order)
-    i = F.row_number().over(w) - 1
-    total = n_high + n_low
+    i, total = F.col("_rank") - 1, n_high + n_low
     slot = F.when(F.col(high), F.floor(i / n_high) * total + i % n_high).otherwise(F.floor(i / n_low) * total + n_high + i % n_low)
-    return rows.withColumn("slot", slot)
+    return ranked(rows, [high], order).withColumn("slot", slot).drop("_rank")

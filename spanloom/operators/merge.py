@@ -66,3 +66,10 @@ def patch_graph(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_ed
     ids = out.select("id")
     e = edges.unionByName(new_edges).distinct().join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
     return out, e, conflicts
+
+
+def increment(meta: DataFrame, owners: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Meta rows (keys, key, value) with the counter ``name`` of every owner one higher; a missing one becomes 1."""
+    old = meta.filter(F.col("key") == name).select(*keys, F.col("value").alias("_old"))
+    new = owners.select(*keys).distinct().join(old, keys, "left").select(*keys, F.lit(name).alias("key"), (F.coalesce(F.col("_old").cast("long"), F.lit(0)) + 1).cast("string").alias("value"))
+    return new.unionByName(meta.join(new.select(*keys, "key"), [*keys, "key"], "left_anti").select(*keys, "key", "value"))

@@ -40,3 +40,22 @@ def average_precision(rows: DataFrame, truth: DataFrame) -> DataFrame:
     q = r.groupBy("query_id").agg(F.sum(F.when(F.col("rel"), F.col("_h") / F.col("rank")).otherwise(0.0)).alias("s"), F.count_if("rel").alias("n")).join(truth, "query_id", "left")
     t = F.coalesce("truth", F.lit(0))
     return q.select("query_id", F.when(t > 0, F.col("s") / t).otherwise(0.0).alias("ap"), F.when(t > 0, F.col("n") / t).otherwise(1.0).alias("recall"))
+
+
+def by_query(rows: DataFrame, k: int, code, globs, relevant) -> DataFrame:
+    """(query_id, code_at_k, mrr_code, by_globs, by_tokens) of (query_id, rank, path): the share of code files among the first k, the first one's
+    reciprocal rank, and precision at k by gold globs and by relevant tokens."""
+    few = F.col("rank") <= k
+    first = F.min(F.when(code, F.col("rank")))
+    return rows.groupBy("query_id").agg(
+        F.round(F.count_if(code & few) / F.count_if(few), 6).alias(f"code_at_{k}"), F.round(F.coalesce(1.0 / first, F.lit(0.0)), 6).alias("mrr_code"),
+        F.round(F.count_if(globs & few) / k, 6).alias("by_globs"), F.round(F.count_if(relevant & few) / k, 6).alias("by_tokens"),
+    )
+
+
+def by_arm(rows: DataFrame, k: int, routed) -> DataFrame:
+    """(arm, queries, precision, hit_rate, mrr, routed) of (arm, query_id, rank, rel): means over each arm's queries."""
+    q = rows.groupBy("arm", "query_id").agg((F.count_if(F.col("rel") & (F.col("rank") <= k)) / k).alias("p"), F.min(F.when(F.col("rel"), F.col("rank"))).alias("f"))
+    mean = lambda x: F.round(F.avg(x), 6)
+    one = lambda c: F.when(c, 1.0).otherwise(0.0)
+    return q.groupBy("arm").agg(F.count("*").alias("queries"), mean(F.col("p")).alias("precision"), mean(one(F.col("f") <= k)).alias("hit_rate"), mean(F.coalesce(1.0 / F.col("f"), F.lit(0.0))).alias("mrr"), mean(one(routed)).alias("routed"))

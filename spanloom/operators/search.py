@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.classify import extension_weight
 from spanloom.functions.text import bigrams, jaccard, plan_tokens, presence, tokens
+from spanloom.runtime import spread, write_once
 
 #: Rerank weights; weights of a plan's fields.
 RERANK = {"bm25": 0.55, "uni": 0.18, "bi": 0.12, "path": 0.07, "lit": 0.02, "ext": 0.06}
@@ -23,10 +26,21 @@ def normalize_weights(weights: dict[str, float] | None) -> dict[str, float]:
 
 def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(term, id, tf, len)"""
-    t = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
+    t = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))).select("id", tokens(F.col("t")).alias("t"))
     return t.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
+def index_for(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "text") -> tuple[DataFrame, dict]:
+    """((term, id, tf, len) of the queries' terms only, written; n_docs and avg_len of the collection), from one pass over the texts."""
+    terms = queries.select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
+    t = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))).select("id", tokens(F.col("t")).alias("t"))
+    rows = t.select("id", F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))  # a row without a term counts a text
+    rows = rows.join(terms.unionByName(terms.sparkSession.createDataFrame([("",)], "term string")), "term", "left_semi")
+    index = write_once(rows.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len")), "postings")
+    r = index.filter("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("a")).first()
+    return index.filter("term <> ''"), {"n_docs": r["n"] or 0, "avg_len": r["a"] or 1.0}
+
+
 def bm25(index: DataFrame, queries: DataFrame, n_docs: int, avg_len: float, k1: float = 1.2, b: float = 0.75, every: bool = True) -> DataFrame:
     """(query_id, id, score_pos, bm25): documents with all terms (or, without ``every``, with one). bm25 is negated: lower is better.
 
@@ -66,25 +80,61 @@ def top(rows: DataFrame, keys: list[str], k: int, *order) -> DataFrame:
     return rows.withColumn("rank", n).filter(F.col("rank") <= k)
 
 
-def plan_scores(candidates: DataFrame, queries: DataFrame, fields: list[str], least: float = 0.4) -> DataFrame:
-    """(query_id, id, score) of candidates (id and text fields) for queries (query_id, text), a stated set.
+def contained(values: DataFrame, needles: DataFrame, value: str, needle: str, size: int = 3) -> DataFrame:
+    """(value, needle) of the distinct values that contain a needle: an equality on a needle's first characters and a value's runs of as many, then a test."""
+    keyed = needles.select(F.col(needle).alias("needle")).filter("needle <> ''").distinct().withColumn("_k", F.substring("needle", 1, size))
+    v = values.select(F.col(value).alias("value")).filter("value <> ''").distinct()
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("value") - n + 1, F.lit(1))), lambda i: F.substring("value", i, F.lit(n)))
+    lengths = [r["n"] for r in keyed.select(F.length("_k").alias("n")).distinct().collect()]  # 1 to size
+    if not lengths:
+        return v.select("value", F.col("value").alias("needle")).limit(0)
+    grams = v.select("value", F.explode(F.array_distinct(F.flatten(F.array(*[runs(n) for n in lengths])))).alias("_k"))
+    return grams.join(keyed, "_k").filter(F.contains("value", "needle")).select("value", "needle").distinct()
+
+
+def plan_scores(candidates: DataFrame, queries: DataFrame, fields: list[str], k: int = 5, least: float = 0.4) -> DataFrame:
+    """(query_id, id, score) of candidates (id and text fields) for queries (query_id, text): all that match a token, and what else the k best may hold.
 
-    Distinct tokens are compared with the distinct values of each field; what matches, which is sparse, is joined back to candidates and queries.
+    Distinct tokens meet the distinct values of each field; matches are joined back to candidates and queries. A summary alone scores .5, less than any match, so
+    of the candidates with nothing but that, the k with the smallest ids stand for all.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(plan_tokens(F.col("text")))).alias("token"))
-    tokens_ = F.broadcast(q.select("token").distinct())  # the tokens of the given queries
     parts = None
     for f in fields:
-        value = F.lower(F.coalesce(F.col(f), F.lit("")))
-        c = candidates.select("id", value.alias("value")).filter("value <> ''")
-        hits = c.select("value").distinct().join(tokens_, F.contains("value", "token"))
-        x = c.join(hits, "value").select("id", "token", F.lit(PLAN[f]).alias("weight"))
+        c = candidates.select("id", F.lower(F.coalesce(F.col(f), F.lit(""))).alias("value")).filter("value <> ''")
+        x = c.join(contained(c, q, "value", "token"), "value").select("id", F.col("needle").alias("token"), F.lit(PLAN[f]).alias("weight"))
         parts = x if parts is None else parts.unionByName(x)
-    scored = parts.groupBy("id", "token").agg(F.sum("weight").alias("weight")).join(q, "token").select("query_id", "id", "weight")
+    scored = parts.groupBy("id", "token").agg(F.sum("weight").alias("weight")).join(q, "token").groupBy("query_id", "id").agg(F.sum("weight").alias("score"))
     if "summary" in fields:
-        some = candidates.filter("summary IS NOT NULL AND summary <> ''").select("id")
-        scored = scored.unionByName(some.crossJoin(F.broadcast(queries.select("query_id"))).select("query_id", "id", F.lit(0.5).alias("weight")))
-    return scored.groupBy("query_id", "id").agg(F.round(F.sum("weight"), 3).alias("score")).filter(F.col("score") >= least)
+        some = candidates.filter("summary IS NOT NULL AND summary <> ''").select("id", F.lit(0.5).alias("more"))
+        fill = some.orderBy("id").limit(k).select("id").crossJoin(queries.select("query_id")).withColumn("score", F.lit(0.0))  # k rows
+        scored = scored.unionByName(fill.select("query_id", "id", "score")).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
+        scored = scored.join(some, "id", "left").select("query_id", "id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    return scored.select("query_id", "id", F.round("score", 3).alias("score")).filter(F.col("score") >= least)
+
+
+def cosines(rows: DataFrame, queries: DataFrame, id_col: str, vec_col: str, query_block: int = 1024, row_block: int = 1 << 15) -> DataFrame:
+    """(query_id, id, score): the cosine of every query with every row, a block of each at a time; vectors of norm 0 take no part."""
+    pick = lambda d: d.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
+    q, x = pick(queries), pick(rows)
+    nq, nx = (max(1, -(-d.count() // n)) for d, n in ((q, query_block), (x, row_block)))
+    at = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.select("id", "v", at(nq).alias("a"), every(nx).alias("b"))
+    x = x.select("id", "v", every(nq).alias("a"), at(nx).alias("b"))
+    out = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return out.empty_table()
+        qi, xi = left.column("id").to_numpy(), right.column("id").to_numpy()
+        qv, xv = (np.stack(t.column("v").to_numpy()) for t in (left, right))
+        qn, xn = np.sqrt((qv * qv).sum(axis=1)), np.sqrt((xv * xv).sum(axis=1))
+        i, j = np.nonzero(np.outer(qn > 0, xn > 0))
+        score = (qv @ xv.T)[i, j] / (xn[j] * qn[i])
+        return pa.table([pa.array(qi[i], pa.int64()), pa.array(xi[j], pa.int64()), pa.array(score)], schema=out)
+
+    return q.groupBy("a", "b").cogroup(x.groupBy("a", "b")).applyInArrow(run, "query_id long, id long, score double")
 
 
 def expand(hits: DataFrame, index: DataFrame, top_n: int = 5, per: int = 3, hub: int = 50, decay: float = 0.4) -> DataFrame:

@@ -31,7 +31,7 @@ def top_pending_files(spark, sf):
     return s.join(files(spark, sf).select(F.col("id").alias("file_id"), "path"), "file_id").groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").limit(5)
 
 
-@register("health_rollup", "A4 A33 A35", f"""WITH {ENR}, c AS (SELECT (SELECT count(*) FROM files) AS n_files, (SELECT count(*) FROM spans) AS n_spans, (SELECT count(*) FROM enrichments) AS n_enr)
+@register("health_rollup", "A4", f"""WITH {ENR}, c AS (SELECT (SELECT count(*) FROM files) AS n_files, (SELECT count(*) FROM spans) AS n_spans, (SELECT count(*) FROM enrichments) AS n_enr)
 SELECT n_files, n_spans, n_enr, CASE WHEN n_files = 0 THEN 'EMPTY' WHEN n_enr < n_spans THEN 'WARN' ELSE 'OK' END AS status, round(100.0 * n_enr / n_spans, 1) AS coverage FROM c""")
 def health_rollup(spark, sf):
     c = files(spark, sf).agg(F.count("*").alias("n_files")).crossJoin(spans(spark, sf).agg(F.count("*").alias("n_spans"))).crossJoin(enrichments(spark, sf).agg(F.count("*").alias("n_enr")))
@@ -108,7 +108,7 @@ def coarse_quality(spark, sf):
     return table(spark, sf, "documents").agg(one(F.length(F.trim("text")) == 0).alias("empty"), one(x.ilike("%placeholder%") | x.ilike("%todo%")).alias("placeholder"), one(F.length("text") < 20).alias("short"))
 
 
-@register("lang_distribution", "A24 A41", "SELECT lang, count(*) AS n, count(DISTINCT source) AS sources FROM documents GROUP BY lang")
+@register("lang_distribution", "A24", "SELECT lang, count(*) AS n, count(DISTINCT source) AS sources FROM documents GROUP BY lang")
 def lang_distribution(spark, sf):
     return table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"))
 
@@ -172,7 +172,7 @@ def directory_summary(spark, sf):
     return top.agg(F.array_join(F.transform(x, lambda y: y["s"]), ", ").alias("summary"))
 
 
-@register("daily_budget", "A38 A39 F35", f"""WITH {TELE}, c AS (SELECT id, ts, k * 3.0 / 1000000.0 + size * 15.0 / 1000000.0 AS cost FROM tele), r AS (SELECT id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, cost, sum(cost) OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, id) AS spent FROM c)
+@register("daily_budget", "A38 F35", f"""WITH {TELE}, c AS (SELECT id, ts, k * 3.0 / 1000000.0 + size * 15.0 / 1000000.0 AS cost FROM tele), r AS (SELECT id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, cost, sum(cost) OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, id) AS spent FROM c)
 SELECT day, count(*) AS calls, round(CAST(sum(cost) AS DOUBLE), 6) AS cost, count(*) FILTER (WHERE CAST(spent AS DOUBLE) > 0.03) AS over FROM r GROUP BY day""")
 def daily_budget(spark, sf):
     t = telemetry(spark, sf).select("id", "ts", (F.col("k") * 3.0 / 1e6 + F.col("size") * 15.0 / 1e6).alias("cost"))
@@ -187,7 +187,7 @@ def pass_rate(spark, sf):
     return telemetry(spark, sf).groupBy("mode").agg(F.count("*").alias("total"), good.alias("passed"), F.count_if(~F.col("ok")).alias("failed"), F.round(good / F.count("*"), 6).alias("rate"), F.round(F.sum("latency_ms"), 4).alias("duration"))
 
 
-@register("recent_activity", "A44 W14", f"WITH {TELE}, d AS (SELECT agent, max(ts) AS ts FROM tele GROUP BY agent) SELECT agent, ts FROM d ORDER BY ts DESC, agent LIMIT 10")
+@register("recent_activity", "W14", f"WITH {TELE}, d AS (SELECT agent, max(ts) AS ts FROM tele GROUP BY agent) SELECT agent, ts FROM d ORDER BY ts DESC, agent LIMIT 10")
 def recent_activity(spark, sf):
     d = telemetry(spark, sf).groupBy("agent").agg(F.max("ts").alias("ts"))
     return d.orderBy(F.desc("ts"), "agent").limit(10).select("agent", F.col("ts").cast("timestamp_ntz").alias("ts"))

@@ -9,13 +9,6 @@ from spanloom.operators.search import top
 from spanloom.plans.base import EDGES, NODES, edges, nodes
 from spanloom.plans.catalog import register
 
-SMALL = "se AS (SELECT * FROM edges WHERE type <> 'CALLS')"
-
-
-def small(spark, sf):
-    return edges(spark, sf).filter("type <> 'CALLS'")
-
-
 INDEX = "ix AS (SELECT DISTINCT k AS key, u.path FROM edges e JOIN nodes d ON d.id = e.dst JOIN nodes u ON u.id = e.src, LATERAL (SELECT unnest(list_distinct([d.id, string_split(d.id, ':')[2], d.name])) AS k) WHERE e.type IN ('IMPORTS', 'EXTENDS'))"
 
 
@@ -37,15 +30,15 @@ def lineage_files(spark, sf):
     return nodes(spark, sf).select(F.col("id").alias("symbol")).join(i, F.col("symbol") == F.col("key")).select("symbol", "path").distinct()
 
 
-@register("lineage_depth5", "G6", f"WITH RECURSIVE {EDGES}, {SMALL}, w(start, id, d) AS (SELECT src, dst, 1 FROM se UNION SELECT w.start, se.dst, w.d + 1 FROM w JOIN se ON se.src = w.id WHERE w.d < 5) SELECT start, id, CAST(min(d) AS INTEGER) AS distance FROM w GROUP BY start, id")
+@register("lineage_depth5", "G6", f"WITH RECURSIVE {EDGES}, w(start, id, d) AS (SELECT src, dst, 1 FROM edges UNION SELECT w.start, edges.dst, w.d + 1 FROM w JOIN edges ON edges.src = w.id WHERE w.d < 5) SELECT start, id, CAST(min(d) AS INTEGER) AS distance FROM w GROUP BY start, id")
 def lineage_depth5(spark, sf):
-    e = small(spark, sf)
+    e = edges(spark, sf)
     return G.reach(e, e.select(F.col("src").alias("id")).distinct(), 5)
 
 
-@register("khop_both", "G5 R18 J18", f"WITH RECURSIVE {EDGES}, {SMALL}, b AS (SELECT src, dst FROM se UNION SELECT dst, src FROM se), s AS (SELECT 'r:' || r_regionkey AS id FROM region), w(start, id, d) AS (SELECT s.id, b.dst, 1 FROM s JOIN b ON b.src = s.id UNION SELECT w.start, b.dst, w.d + 1 FROM w JOIN b ON b.src = w.id WHERE w.d < 3) SELECT start, id, CAST(min(d) AS INTEGER) AS distance FROM w GROUP BY start, id")
+@register("khop_both", "G5 R18 J18", f"WITH RECURSIVE {EDGES}, b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), s AS (SELECT 'r:' || r_regionkey AS id FROM region), w(start, id, d) AS (SELECT s.id, b.dst, 1 FROM s JOIN b ON b.src = s.id UNION SELECT w.start, b.dst, w.d + 1 FROM w JOIN b ON b.src = w.id WHERE w.d < 3) SELECT start, id, CAST(min(d) AS INTEGER) AS distance FROM w GROUP BY start, id")
 def khop_both(spark, sf):
-    return G.reach(small(spark, sf), nodes(spark, sf).filter("kind = 'module'").select("id"), 3, both=True)
+    return G.reach(edges(spark, sf), nodes(spark, sf).filter("kind = 'module'").select("id"), 3, both=True)
 
 
 @register("two_hop_neighbors", "J16 J17", f"WITH {NODES}, {EDGES}, x AS (SELECT DISTINCT e.src, m.id AS mid, f.dst FROM edges e JOIN nodes m ON m.id = e.dst JOIN edges f ON f.src = m.id WHERE e.type = 'IMPORTS') SELECT src, count(*) AS n, min(dst) AS first FROM x GROUP BY src")
@@ -56,10 +49,10 @@ def two_hop_neighbors(spark, sf):
     return x.groupBy("src").agg(F.count("*").alias("n"), F.min("end").alias("first"))
 
 
-@register("file_neighbours", "J18 G16 R18", f"WITH {NODES}, {EDGES}, {SMALL}, p AS (SELECT DISTINCT a.path AS a, b.path AS b FROM se JOIN nodes a ON a.id = se.src JOIN nodes b ON b.id = se.dst WHERE a.path <> b.path) SELECT a AS file, b AS neighbour FROM p UNION SELECT b, a FROM p")
+@register("file_neighbours", "J18 G16 R18", f"WITH {NODES}, {EDGES}, p AS (SELECT DISTINCT a.path AS a, b.path AS b FROM edges JOIN nodes a ON a.id = edges.src JOIN nodes b ON b.id = edges.dst WHERE a.path <> b.path) SELECT a AS file, b AS neighbour FROM p UNION SELECT b, a FROM p")
 def file_neighbours(spark, sf):
     n = nodes(spark, sf).select("id", "path")
-    p = small(spark, sf).join(n.toDF("src", "a"), "src").join(n.toDF("dst", "b"), "dst").filter("a <> b").select("a", "b")
+    p = edges(spark, sf).join(n.toDF("src", "a"), "src").join(n.toDF("dst", "b"), "dst").filter("a <> b").select("a", "b")
     return p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().toDF("file", "neighbour")
 
 
@@ -76,9 +69,9 @@ def pagerank(spark, sf):
     return G.pagerank(edges(spark, sf), nodes(spark, sf)).select("id", F.round("score", 8).alias("score"))
 
 
-@register("shortest_path", "G9", f"WITH RECURSIVE {EDGES}, w(src, dst, d) AS (SELECT src, dst, 1 FROM edges WHERE type <> 'CALLS' UNION SELECT w.src, e.dst, w.d + 1 FROM w JOIN edges e ON e.src = w.dst WHERE w.d < 4 AND e.type <> 'CALLS') SELECT src, dst, CAST(min(d) AS INTEGER) AS hops FROM w WHERE starts_with(src, 'c:') AND starts_with(dst, 'r:') GROUP BY src, dst")
+@register("shortest_path", "G9", f"WITH RECURSIVE {EDGES}, w(src, dst, d) AS (SELECT src, dst, 1 FROM edges WHERE starts_with(src, 'c:') UNION SELECT w.src, e.dst, w.d + 1 FROM w JOIN edges e ON e.src = w.dst WHERE w.d < 4) SELECT src, dst, CAST(min(d) AS INTEGER) AS hops FROM w WHERE starts_with(src, 'c:') AND starts_with(dst, 'r:') GROUP BY src, dst")
 def shortest_path(spark, sf):
-    e = small(spark, sf)
+    e = edges(spark, sf)
     c = e.filter("type = 'USES'").select("src").distinct()
     r = e.filter("type = 'EXTENDS'").select("dst").distinct()
     return G.shortest_paths(e, c.crossJoin(F.broadcast(r)), 4)  # five regions
@@ -93,15 +86,22 @@ def cycles_bounded(spark, sf):
     return G.cycles(e, 3).select(F.array_join("path", ">").alias("cycle"))
 
 
-@register("file_context", "G13 G14 J21", f"WITH {NODES}, {EDGES}, {SMALL}, o AS (SELECT src AS id, string_agg(DISTINCT dst, ',' ORDER BY dst) AS callees, max(CASE WHEN type = 'EXTENDS' THEN dst END) AS extends FROM se GROUP BY src), i AS (SELECT dst AS id, count(DISTINCT src) AS callers, min(src) AS first_caller FROM se GROUP BY dst) SELECT n.id, o.callees, o.extends, coalesce(i.callers, 0) AS callers, i.first_caller FROM nodes n LEFT JOIN o USING (id) LEFT JOIN i USING (id) WHERE kind <> 'variable'")
+@register("file_context", "G13 G14 J21", f"""WITH {NODES}, {EDGES}, d AS (SELECT src AS id, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS n FROM (SELECT DISTINCT src, dst FROM edges)),
+o AS (SELECT id, count(*) AS n_callees, string_agg(CASE WHEN n <= 5 THEN dst END, ',' ORDER BY dst) AS callees FROM d GROUP BY id),
+x AS (SELECT src AS id, max(CASE WHEN type = 'EXTENDS' THEN dst END) AS extends FROM edges GROUP BY src), i AS (SELECT dst AS id, count(DISTINCT src) AS callers, min(src) AS first_caller FROM edges GROUP BY dst)
+SELECT n.id, coalesce(o.n_callees, 0) AS n_callees, o.callees, x.extends, coalesce(i.callers, 0) AS callers, i.first_caller FROM nodes n LEFT JOIN o USING (id) LEFT JOIN x USING (id) LEFT JOIN i USING (id)""")
 def file_context(spark, sf):
-    e = small(spark, sf)
-    o = e.groupBy(F.col("src").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("dst")), ",").alias("callees"), F.max(F.when(F.col("type") == "EXTENDS", F.col("dst"))).alias("extends"))
+    """Of every node: how many it calls and the first five, what it extends, and who calls it."""
+    e = edges(spark, sf)
+    d = e.select(F.col("src").alias("id"), "dst").distinct()
+    few = top(d, ["id"], 5, F.col("dst")).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("dst")), ",").alias("callees"))
+    x = e.groupBy(F.col("src").alias("id")).agg(F.max(F.when(F.col("type") == "EXTENDS", F.col("dst"))).alias("extends"), F.count_distinct("dst").alias("n_callees"))
     i = e.groupBy(F.col("dst").alias("id")).agg(F.count_distinct("src").alias("callers"), F.min("src").alias("first_caller"))
-    return nodes(spark, sf).filter("kind <> 'variable'").select("id").join(o, "id", "left").join(i, "id", "left").select("id", "callees", "extends", F.coalesce("callers", F.lit(0)).alias("callers"), "first_caller")
+    r = nodes(spark, sf).select("id").join(x, "id", "left").join(few, "id", "left").join(i, "id", "left")
+    return r.select("id", F.coalesce("n_callees", F.lit(0)).alias("n_callees"), "callees", "extends", F.coalesce("callers", F.lit(0)).alias("callers"), "first_caller")
 
 
-@register("inspect_entity", "G15 O11 J20 H11", f"WITH {NODES}, {EDGES}, p AS (SELECT dst AS id, src, row_number() OVER (PARTITION BY dst ORDER BY src) AS n FROM edges WHERE type IN ('USES', 'IMPORTS')) SELECT nodes.id, nodes.kind, string_agg(p.src, ',' ORDER BY n) AS users FROM nodes LEFT JOIN p ON p.id = nodes.id AND n <= 3 WHERE kind IN ('class', 'module') GROUP BY ALL")
+@register("inspect_entity", "G15 O11", f"WITH {NODES}, {EDGES}, p AS (SELECT dst AS id, src, row_number() OVER (PARTITION BY dst ORDER BY src) AS n FROM edges WHERE type IN ('USES', 'IMPORTS')) SELECT nodes.id, nodes.kind, string_agg(p.src, ',' ORDER BY n) AS users FROM nodes LEFT JOIN p ON p.id = nodes.id AND n <= 3 WHERE kind IN ('class', 'module') GROUP BY ALL")
 def inspect_entity(spark, sf):
     p = top(edges(spark, sf).filter("type IN ('USES', 'IMPORTS')").select(F.col("dst").alias("id"), "src"), ["id"], 3, F.col("src"))
     u = p.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("src")), ",").alias("users"))

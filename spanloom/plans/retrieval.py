@@ -6,22 +6,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.functions.vectors import cosine, norm
 from spanloom.operators import fusion, ranges, search
 from spanloom.plans.base import EDGES, ENR, FILES, NODES, edges, enrichments, files, nodes, spans
 from spanloom.plans.catalog import register
 from spanloom.runtime import table
 
-COS = """q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id < {n}), v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+COS = """q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 20 = 0 AND vec_id < {n}), v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 c AS (SELECT query_id, id, label, round(list_inner_product(v, qv) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(qv, qv))), 6) AS score FROM q, v WHERE sqrt(list_inner_product(v, v)) > 0)"""
 
 
-def cosines(spark, sf, n):
-    """(query_id, id, label, score) of the first n vectors, a given query set, against all."""
+ALL = 1 << 62
+
+
+def cosines(spark, sf, n=ALL):
+    """(query_id, id, label, score) of the vectors whose id is divisible by 20 (and below n, where one example is asked for), a given query set, against all."""
     e = table(spark, sf, "embeddings")
-    q = e.filter(f"vec_id < {n}").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    s = e.crossJoin(F.broadcast(q)).filter(norm(F.col("embedding")) > 0)  # at most n queries
-    return s.select("query_id", F.col("vec_id").alias("id"), "label", F.round(cosine(F.col("embedding"), F.col("qv")), 6).alias("score"))
+    s = search.cosines(e, e.filter(f"vec_id % 20 = 0 AND vec_id < {n}"), "vec_id", "embedding")
+    return s.join(e.select(F.col("vec_id").alias("id"), "label"), "id").select("query_id", "id", "label", F.round("score", 6).alias("score"))
 
 
 KNN_SQL = f"WITH {COS.format(n=1)} SELECT id AS vec_id, label, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS \"rank\" FROM c ORDER BY \"rank\" LIMIT 10"
@@ -34,9 +35,9 @@ def knn_cosine_topk(spark, sf):
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "vec_id")))  # ten rows
 
 
-@register("knn_boosted", "R1 R33 B22", f"WITH {COS.format(n=10)}, b AS (SELECT query_id, id, round(least(100.0, greatest(0.0, (score + CASE WHEN label % 2 = 0 THEN 0.15 ELSE -0.12 END) * 100)), 4) AS score FROM c WHERE label <> 3) SELECT query_id, id, score, CAST(n AS INTEGER) AS \"rank\" FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM b) WHERE n <= 10")
+@register("knn_boosted", "R1 R33 B22", f"WITH {COS.format(n=ALL)}, b AS (SELECT query_id, id, round(least(100.0, greatest(0.0, (score + CASE WHEN label % 2 = 0 THEN 0.15 ELSE -0.12 END) * 100)), 4) AS score FROM c WHERE label <> 3) SELECT query_id, id, score, CAST(n AS INTEGER) AS \"rank\" FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM b) WHERE n <= 10")
 def knn_boosted(spark, sf):
-    s = cosines(spark, sf, 10).filter("label <> 3")
+    s = cosines(spark, sf).filter("label <> 3")
     s = s.withColumn("score", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), (F.col("score") + F.when(F.col("label") % 2 == 0, 0.15).otherwise(-0.12)) * 100)), 4))
     return search.top(s, ["query_id"], 10, F.desc("score"), F.col("id")).select("query_id", "id", "score", "rank")
 
@@ -54,9 +55,9 @@ def short_queries(spark, sf):
 
 
 def bm25_hits(spark, sf, every=True):
-    index = search.postings(table(spark, sf, "documents"), "doc_id")
-    st = table(spark, sf, "documents").select(F.size(T.tokens(F.col("text"))).alias("n")).agg(F.count("*").alias("c"), F.avg("n").alias("a")).first()
-    return search.bm25(index, short_queries(spark, sf), st["c"], st["a"] or 1.0, every=every)
+    """The postings of the queries' terms, each text read once; what the collection's figures need comes along as a row per text with no term."""
+    index, figures = search.index_for(table(spark, sf, "documents"), short_queries(spark, sf), "doc_id")
+    return search.bm25(index, short_queries(spark, sf), figures["n_docs"], figures["avg_len"], every=every)
 
 
 @register("bm25_search", "R5 R6 M8 S14", f"WITH {QS}, {BM25} SELECT query_id, id, round(score, 5) AS score, CAST(r AS INTEGER) AS \"rank\" FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, id) AS r FROM bm WHERE n = nt) WHERE r <= 20")
@@ -65,41 +66,47 @@ def bm25_search(spark, sf):
     return search.top(h, ["query_id"], 20, F.desc("score"), F.col("id"))
 
 
-@register("rerank_lexical", "R7 R9 F9", f"""WITH {FILES}, {QS}, {BM25}, h AS (SELECT query_id, bm.id, f.path, substr(f.text, 1, 1500) AS txt, qs.text AS q FROM bm JOIN files f ON f.id = bm.id JOIN qs USING (query_id) WHERE n = nt),
+RERANK = """h AS (SELECT query_id, bm.id, f.path, substr(f.text, 1, 1500) AS txt, qs.text AS q FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, id) AS r FROM bm WHERE n = nt) bm JOIN files f ON f.id = bm.id JOIN qs USING (query_id) WHERE r <= 100),
 g AS (SELECT *, list_filter(regexp_extract_all(lower(q), '([a-z0-9_]+)', 1), lambda t: length(t) > 1) AS qt, list_filter(regexp_extract_all(lower(txt), '([a-z0-9_]+)', 1), lambda t: length(t) > 1) AS ht, list_filter(regexp_extract_all(lower(path), '([a-z0-9_]+)', 1), lambda t: length(t) > 1) AS pt FROM h),
 b AS (SELECT *, list_transform(list_zip(qt[1:-2], qt[2:]), lambda x: x[1] || ' ' || x[2]) AS qb, list_transform(list_zip(ht[1:-2], ht[2:]), lambda x: x[1] || ' ' || x[2]) AS hb FROM g),
-s AS (SELECT query_id, id, round(0.55 + 0.18 * coalesce(len(list_intersect(list_distinct(qt), list_distinct(ht))) / nullif(len(list_distinct(list_concat(qt, ht))), 0), 0) + 0.12 * coalesce(len(list_intersect(list_distinct(qb), list_distinct(hb))) / nullif(len(list_distinct(list_concat(qb, hb))), 0), 0)
+s AS (SELECT query_id, id, path, round(0.55 + 0.18 * coalesce(len(list_intersect(list_distinct(qt), list_distinct(ht))) / nullif(len(list_distinct(list_concat(qt, ht))), 0), 0) + 0.12 * coalesce(len(list_intersect(list_distinct(qb), list_distinct(hb))) / nullif(len(list_distinct(list_concat(qb, hb))), 0), 0)
  + 0.07 * coalesce(len(list_intersect(list_distinct(qt), list_distinct(pt))) / nullif(len(list_distinct(list_concat(qt, pt))), 0), 0) + 0.02 * CASE WHEN len(qt) > 0 AND contains(lower(txt), array_to_string(qt, ' ')) THEN 1 ELSE 0 END
- + 0.06 * CASE WHEN path LIKE '%.py' OR path LIKE '%.ts' THEN 1.0 WHEN path LIKE '%.md' THEN 0.3 ELSE 0.7 END, 6) AS score FROM b)
+ + 0.06 * CASE WHEN path LIKE '%.py' OR path LIKE '%.ts' THEN 1.0 WHEN path LIKE '%.md' THEN 0.3 ELSE 0.7 END, 6) AS score FROM b)"""
+
+
+@register("rerank_lexical", "R7 R9 F9", f"""WITH {FILES}, {QS}, {BM25}, {RERANK}
 SELECT query_id, id, score, CAST(r AS INTEGER) AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s) WHERE r <= 10""")
 def rerank_lexical(spark, sf):
-    h = bm25_hits(spark, sf).join(files(spark, sf).select("id", "path", "text"), "id").join(short_queries(spark, sf).withColumnRenamed("text", "query"), "query_id")
+    """The hundred best full-text hits of a query, reranked."""
+    h = search.top(bm25_hits(spark, sf), ["query_id"], 100, F.desc(F.round("score_pos", 5)), F.col("id")).drop("rank")
+    f = files(spark, sf).select("id", "path", F.substring("text", 1, 1500).alias("text"))
+    h = h.join(f, "id").join(short_queries(spark, sf).withColumnRenamed("text", "query"), "query_id")
     r = search.rerank(h).select("query_id", "id", F.round("rerank", 6).alias("score"))
     return search.top(r, ["query_id"], 10, F.desc("score"), F.col("id"))
 
 
 @register("planner_plan", "R13 F7", f"""WITH {ENR}, s AS (SELECT s.id, s.symbol, f.path, coalesce(e.summary, '') AS summary FROM spans s JOIN files f ON f.id = s.file_id LEFT JOIN enrichments e USING (span_hash)),
-q AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_extract_all(lower(substr(text, 1, 40)), '([a-z0-9_]+)', 1), lambda t: NOT list_contains([{", ".join(f"'{w}'" for w in T.STOP)}], t))) AS t FROM benchmark),
+q AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1), lambda t: NOT list_contains(['the', 'a', 'an', 'and', 'or', 'to', 'of', 'in', 'for', 'with', 'is', 'are', 'do', 'does', 'how', 'what', 'where', 'when', 'why', 'who', 'we', 'please'], t))) AS t FROM benchmark),
 c AS (SELECT query_id, id, round(CAST(CASE WHEN len(t) = 0 THEN 0 ELSE 3.0 * len(list_filter(t, lambda x: contains(lower(symbol), x))) + 2.5 * len(list_filter(t, lambda x: contains(lower(path), x))) + 1.8 * len(list_filter(t, lambda x: contains(lower(summary), x))) END + CASE WHEN summary <> '' THEN 0.5 ELSE 0 END AS DOUBLE), 3) AS score FROM s, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM c WHERE score >= 0.4)
 SELECT query_id, id, score, CAST(n AS INTEGER) AS "rank", round(least(0.99, max(score) OVER (PARTITION BY query_id) / (max(score) OVER (PARTITION BY query_id) + 4)), 3) AS confidence FROM r WHERE n <= 5""")
 def planner_plan(spark, sf):
     s = spans(spark, sf).join(files(spark, sf).select(F.col("id").alias("file_id"), "path"), "file_id").join(enrichments(spark, sf).select("span_hash", "summary"), "span_hash", "left")
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 40).alias("text"))
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     p = search.plan_scores(s.select("id", "symbol", "path", "summary"), q, ["symbol", "path", "summary"])
     t = search.top(p, ["query_id"], 5, F.desc("score"), F.col("id"))
     best = F.max("score").over(W.partitionBy("query_id"))
     return t.select("query_id", "id", "score", "rank", F.round(T.score_confidence(best), 3).alias("confidence"))
 
 
-ROUTES = COS.format(n=8) + """, r AS (SELECT query_id, 'vec' AS route, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM c) WHERE n <= 30
- UNION ALL SELECT query_id, 'size', id, round(((id * 37 + query_id * 11) % 101) / 100.0, 6) FROM c WHERE (id + query_id) % 17 = 0), w(route, weight) AS (VALUES ('vec', 1.0), ('size', 0.5))"""
+ROUTES = COS.format(n=ALL) + """, r AS (SELECT query_id, 'vec' AS route, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM c) WHERE n <= 30
+ UNION ALL SELECT query_id, 'size', id, round(((id * 37 + query_id * 11) % 101) / 100.0, 6) FROM c WHERE label = query_id % 5), w(route, weight) AS (VALUES ('vec', 1.0), ('size', 0.5))"""
 
 
 def two_routes(spark, sf):
-    c = cosines(spark, sf, 8)
+    c = cosines(spark, sf)
     a = search.top(c, ["query_id"], 30, F.desc("score"), F.col("id")).select("query_id", F.lit("vec").alias("route"), "id", "score")
-    b = c.filter("(id + query_id) % 17 = 0").select("query_id", F.lit("size").alias("route"), "id", F.round(((F.col("id") * 37 + F.col("query_id") * 11) % 101) / 100.0, 6).alias("score"))
+    b = c.filter("label = query_id % 5").select("query_id", F.lit("size").alias("route"), "id", F.round(((F.col("id") * 37 + F.col("query_id") * 11) % 101) / 100.0, 6).alias("score"))
     return a.unionByName(b), spark.createDataFrame([("vec", 1.0), ("size", 0.5)], "route string, weight double")
 
 
@@ -133,7 +140,7 @@ def interleave_5_1(spark, sf):
     return fusion.interleave(f, "high", ["id"]).select("id", "slot")
 
 
-@register("budget_prefix", "W7 R34 F32 B4", "WITH t AS (SELECT conv_id, turn, length(text) // 4 AS tok, sum(length(text) // 4) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM conversations) SELECT conv_id, turn, tok, CAST(used AS BIGINT) AS used FROM t WHERE used <= 200")
+@register("budget_prefix", "W7 F32", "WITH t AS (SELECT conv_id, turn, length(text) // 4 AS tok, sum(length(text) // 4) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM conversations) SELECT conv_id, turn, tok, CAST(used AS BIGINT) AS used FROM t WHERE used <= 200")
 def budget_prefix(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", T.tokens_by_chars(F.col("text")).alias("tok"))
     return ranges.prefix_within(c, ["conv_id"], [F.col("turn")], F.col("tok"), 200)
@@ -158,16 +165,16 @@ def diverse_topk(spark, sf):
     return search.top(f, ["dir"], 1, F.desc("size"), F.col("id")).select("id", "dir", "size").orderBy(F.desc("size"), "id").limit(10)
 
 
-@register("priority_order", "O2 T-6", "SELECT event_id AS id, CAST(n AS INTEGER) AS n FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY user_id % 3, ts, event_id) AS n FROM events) WHERE n <= 20")
+@register("priority_order", "O2", "SELECT event_id AS id, CAST(n AS INTEGER) AS n FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY user_id % 3, ts, event_id) AS n FROM events) WHERE n <= 20")
 def priority_order(spark, sf):
     e = table(spark, sf, "events").select("event_id", "event_type", (F.col("user_id") % 3).alias("p"), "ts")
     return search.top(e, ["event_type"], 20, F.col("p"), F.col("ts"), F.col("event_id")).select(F.col("event_id").alias("id"), F.col("rank").alias("n"))
 
 
-@register("hash_sample", "O6 O7", None)
+@register("hash_sample", "O6 O7", "SELECT doc_id FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 100")
 def hash_sample(spark, sf):
     """A stable random order by hash, instead of rand(): the 100 first."""
-    return table(spark, sf, "documents").select("doc_id").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(100)
+    return table(spark, sf, "documents").select("doc_id").orderBy(F.md5(F.concat(F.lit("7:"), "doc_id")), "doc_id").limit(100)
 
 
 @register("graph_expand", "R17 E5", f"""WITH {NODES}, {EDGES}, u AS (SELECT DISTINCT d.id AS key, s.path FROM edges e JOIN nodes s ON s.id = e.src JOIN nodes d ON d.id = e.dst WHERE e.type = 'IMPORTS'), h AS (SELECT CAST(n_nationkey % 4 AS BIGINT) AS query_id, CAST(n_nationkey // 4 + 1 AS BIGINT) AS "rank", 'n:' || n_nationkey AS symbol, 'nation/f' || n_nationkey || '.py' AS path, 100.0 - n_nationkey AS score FROM nation),
@@ -182,31 +189,31 @@ def graph_expand(spark, sf):
     return search.expand(h, u)
 
 
-@register("results_by_file", "R32", f"WITH {COS.format(n=8)}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM c) SELECT query_id, id % 7 AS file, CAST(min(n) AS INTEGER) AS first, count(*) AS hits, string_agg(CAST(id AS VARCHAR), ',' ORDER BY n) AS ids FROM r WHERE n <= 20 GROUP BY ALL")
+@register("results_by_file", "R32", f"WITH {COS.format(n=ALL)}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM c) SELECT query_id, id % 7 AS file, CAST(min(n) AS INTEGER) AS first, count(*) AS hits, string_agg(CAST(id AS VARCHAR), ',' ORDER BY n) AS ids FROM r WHERE n <= 20 GROUP BY ALL")
 def results_by_file(spark, sf):
-    r = search.top(cosines(spark, sf, 8), ["query_id"], 20, F.desc("score"), F.col("id")).withColumn("file", F.col("id") % 7)
+    r = search.top(cosines(spark, sf), ["query_id"], 20, F.desc("score"), F.col("id")).withColumn("file", F.col("id") % 7)
     ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("id").cast("string").alias("id")))), lambda x: x["id"]), ",")
     return r.groupBy("query_id", "file").agg(F.min("rank").alias("first"), F.count("*").alias("hits"), ids.alias("ids"))
 
 
-@register("setwise_rerank", "R8 X4", f"WITH {COS.format(n=8)}, r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM c), s AS (SELECT *, CASE n WHEN 3 THEN 0 WHEN query_id + 5 THEN 1 ELSE n + 1000000 END AS o FROM r WHERE n <= 15) SELECT query_id, id, CAST(k AS INTEGER) AS \"rank\" FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY o) AS k FROM s) WHERE k <= 10")
+@register("setwise_rerank", "R8 X4", f"WITH {COS.format(n=ALL)}, r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM c), s AS (SELECT *, CASE n WHEN 3 THEN 0 WHEN query_id % 8 + 5 THEN 1 ELSE n + 1000000 END AS o FROM r WHERE n <= 15) SELECT query_id, id, CAST(k AS INTEGER) AS \"rank\" FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY o) AS k FROM s) WHERE k <= 10")
 def setwise_rerank(spark, sf):
-    r = search.top(cosines(spark, sf, 8), ["query_id"], 15, F.desc("score"), F.col("id"))
-    answers = r.select("query_id").distinct().select("query_id", F.concat(F.lit('["3", "'), F.col("query_id") + 5, F.lit('", "x"]')).alias("response"))
+    r = search.top(cosines(spark, sf), ["query_id"], 15, F.desc("score"), F.col("id"))
+    answers = r.select("query_id").distinct().select("query_id", F.concat(F.lit('["3", "'), F.col("query_id") % 8 + 5, F.lit('", "x"]')).alias("response"))
     return search.setwise(r.select("query_id", "id", "rank"), answers, 10)
 
 
 @register("mmr_diversity", "R14 R15", None)
 def mmr_diversity(spark, sf):
-    h = search.top(bm25_hits(spark, sf), ["query_id"], 15, F.desc("score_pos"), F.col("id"))
+    h = search.top(bm25_hits(spark, sf), ["query_id"], 15, F.desc(F.round("score_pos", 5)), F.col("id"))
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return search.mmr(h.join(d, "id").select("query_id", "id", F.col("score_pos").alias("relevance"), "text"))
 
 
-@register("semantic_search", "R4 R16 R19 R20 R21 R22", f"WITH {FILES}, {COS.format(n=8)}, w AS (SELECT query_id, id, round(greatest(0.0, least(100.0, score * 100)), 4) AS s FROM c), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS n FROM w), f AS (SELECT query_id, id, s * 0.5 AS s FROM t WHERE n <= 20 AND id % 2 = 0 UNION ALL SELECT query_id, id, s FROM t WHERE n <= 20), m AS (SELECT query_id, id, max(s) AS s FROM f GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS n FROM m) SELECT k.query_id, k.id, round(k.s, 4) AS score, CAST(n AS INTEGER) AS \"rank\", files.path FROM k LEFT JOIN files ON files.id = k.id WHERE n <= 10")
+@register("semantic_search", "R4", f"WITH {FILES}, {COS.format(n=ALL)}, w AS (SELECT query_id, id, round(greatest(0.0, least(100.0, score * 100)), 4) AS s FROM c), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS n FROM w), f AS (SELECT query_id, id, s * 0.5 AS s FROM t WHERE n <= 20 AND id % 2 = 0 UNION ALL SELECT query_id, id, s FROM t WHERE n <= 20), m AS (SELECT query_id, id, max(s) AS s FROM f GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS n FROM m) SELECT k.query_id, k.id, round(k.s, 4) AS score, CAST(n AS INTEGER) AS \"rank\", files.path FROM k LEFT JOIN files ON files.id = k.id WHERE n <= 10")
 def semantic_search(spark, sf):
     """Fan-out over two routes, weighted fusion, cut, and the file of each hit."""
-    s = cosines(spark, sf, 8).select("query_id", "id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("score") * 100)), 4).alias("score"))
+    s = cosines(spark, sf).select("query_id", "id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("score") * 100)), 4).alias("score"))
     t = search.top(s, ["query_id"], 20, F.desc("score"), F.col("id"))
     r = t.filter("id % 2 = 0").withColumn("route", F.lit("docs")).unionByName(t.withColumn("route", F.lit("code")))
     fused = fusion.fuse_max(r.drop("rank"), spark.createDataFrame([("docs", 0.5), ("code", 1.0)], "route string, weight double"), ["query_id"])
@@ -214,18 +221,18 @@ def semantic_search(spark, sf):
     return k.join(files(spark, sf).select("id", "path"), "id", "left").select("query_id", "id", F.round("score", 4).alias("score"), "rank", "path")
 
 
-METRIC = COS.format(n=20) + """, l AS (SELECT vec_id AS query_id, label AS ql FROM embeddings), r AS (SELECT query_id, id, label = ql AS rel, CASE WHEN label = ql THEN 1 + id % 2 ELSE 0 END AS grade, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM c JOIN l USING (query_id) WHERE id <> query_id), t AS (SELECT * FROM r WHERE n <= 10)"""
+METRIC = COS.format(n=ALL) + """, l AS (SELECT vec_id AS query_id, label AS ql FROM embeddings), r AS (SELECT query_id, id, label = ql AS rel, CASE WHEN label = ql THEN 1 + id % 2 ELSE 0 END AS grade, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM c JOIN l USING (query_id) WHERE id <> query_id), t AS (SELECT * FROM r WHERE n <= 10)"""
 
 
 def judged(spark, sf):
-    """(query_id, id, rank, rel, grade): ten nearest of 20 queries; those with the query's label are relevant."""
+    """(query_id, id, rank, rel, grade): ten nearest of each query; those with the query's label are relevant."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
-    c = cosines(spark, sf, 20).join(e, "query_id").filter("id <> query_id").withColumn("rel", F.col("label") == F.col("ql"))
+    c = cosines(spark, sf).join(e, "query_id").filter("id <> query_id").withColumn("rel", F.col("label") == F.col("ql"))
     r = search.top(c, ["query_id"], 10, F.desc("score"), F.col("id"))
     return r.select("query_id", "id", "rank", "rel", F.when(F.col("rel"), 1 + F.col("id") % 2).otherwise(0).alias("grade"))
 
 
-@register("rank_metrics", "Q1 Q2 Q5 Q6 Q8 Q9", f"WITH {METRIC}, qq AS (SELECT query_id, min(CASE WHEN rel THEN n END) AS f, count(*) FILTER (WHERE rel AND n <= 5) AS k FROM t GROUP BY 1) SELECT round(avg(coalesce(1.0 / f, 0)), 6) AS mrr, round(avg(CASE WHEN f <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(k / 5.0), 6) AS precision, count(*) AS queries FROM qq")
+@register("rank_metrics", "Q1 Q2 Q5 Q6", f"WITH {METRIC}, qq AS (SELECT query_id, min(CASE WHEN rel THEN n END) AS f, count(*) FILTER (WHERE rel AND n <= 5) AS k FROM t GROUP BY 1) SELECT round(avg(coalesce(1.0 / f, 0)), 6) AS mrr, round(avg(CASE WHEN f <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(k / 5.0), 6) AS precision, count(*) AS queries FROM qq")
 def rank_metrics(spark, sf):
     from spanloom.operators import metrics as M
 
@@ -240,25 +247,25 @@ def ndcg_at_10(spark, sf):
     return M.ndcg(judged(spark, sf), 10).select("query_id", F.round("ndcg", 6).alias("ndcg"))
 
 
-@register("map_metric", "Q4 Q7", f"WITH {METRIC}, a AS (SELECT query_id, rel, n, sum(CASE WHEN rel THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY n) AS h FROM t), g AS (SELECT l.query_id, count(*) AS truth FROM l JOIN embeddings e ON e.label = l.ql AND e.vec_id <> l.query_id WHERE l.query_id < 20 GROUP BY 1) SELECT a.query_id, round(coalesce(sum(CASE WHEN rel THEN h * 1.0 / n END) / max(truth), 0), 6) AS ap, round(count(*) FILTER (WHERE rel) * 1.0 / max(truth), 6) AS recall FROM a JOIN g USING (query_id) GROUP BY 1")
+@register("map_metric", "Q4 Q7", f"WITH {METRIC}, a AS (SELECT query_id, rel, n, sum(CASE WHEN rel THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY n) AS h FROM t), g AS (SELECT l.query_id, count(*) AS truth FROM l JOIN embeddings e ON e.label = l.ql AND e.vec_id <> l.query_id WHERE l.query_id % 20 = 0 GROUP BY 1) SELECT a.query_id, round(coalesce(sum(CASE WHEN rel THEN h * 1.0 / n END) / max(truth), 0), 6) AS ap, round(count(*) FILTER (WHERE rel) * 1.0 / max(truth), 6) AS recall FROM a JOIN g USING (query_id) GROUP BY 1")
 def map_metric(spark, sf):
     from spanloom.operators import metrics as M
 
     e = table(spark, sf, "embeddings")
-    q = e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
     truth = q.join(e, F.col("label") == F.col("ql")).filter("vec_id <> query_id").groupBy("query_id").agg(F.count("*").alias("truth"))
     return M.average_precision(judged(spark, sf), truth).select("query_id", F.round("ap", 6).alias("ap"), F.round("recall", 6).alias("recall"))
 
 
-@register("metric_by_arm", "Q10 Q11 Q12", f"WITH {METRIC} SELECT CASE WHEN query_id % 2 = 0 THEN 'rag' ELSE 'fallback' END AS arm, round(avg(CASE WHEN rel THEN 1.0 ELSE 0.0 END), 6) AS precision, count(DISTINCT query_id) AS queries FROM t GROUP BY 1")
+@register("metric_by_arm", "Q10", f"WITH {METRIC} SELECT CASE WHEN query_id % 40 = 0 THEN 'rag' ELSE 'fallback' END AS arm, round(avg(CASE WHEN rel THEN 1.0 ELSE 0.0 END), 6) AS precision, count(DISTINCT query_id) AS queries FROM t GROUP BY 1")
 def metric_by_arm(spark, sf):
     r = judged(spark, sf)
-    return r.groupBy(F.when(F.col("query_id") % 2 == 0, "rag").otherwise("fallback").alias("arm")).agg(F.round(F.avg(F.col("rel").cast("double")), 6).alias("precision"), F.count_distinct("query_id").alias("queries"))
+    return r.groupBy(F.when(F.col("query_id") % 40 == 0, "rag").otherwise("fallback").alias("arm")).agg(F.round(F.avg(F.col("rel").cast("double")), 6).alias("precision"), F.count_distinct("query_id").alias("queries"))
 
 
-@register("embedding_margin", "A37 Q13", f"WITH {COS.format(n=20)}, l AS (SELECT vec_id AS query_id, label AS ql FROM embeddings), m AS (SELECT query_id, max(CASE WHEN label = ql THEN score END) AS p, max(CASE WHEN label <> ql THEN score END) AS n FROM c JOIN l USING (query_id) WHERE id <> query_id GROUP BY 1) SELECT round(avg(CASE WHEN p > n THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(p - n), 5) AS margin, round(avg(p), 5) AS pos, round(avg(n), 5) AS neg FROM m")
+@register("embedding_margin", "A37 Q13", f"WITH {COS.format(n=ALL)}, l AS (SELECT vec_id AS query_id, label AS ql FROM embeddings), m AS (SELECT query_id, max(CASE WHEN label = ql THEN score END) AS p, max(CASE WHEN label <> ql THEN score END) AS n FROM c JOIN l USING (query_id) WHERE id <> query_id GROUP BY 1) SELECT round(avg(CASE WHEN p > n THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(p - n), 5) AS margin, round(avg(p), 5) AS pos, round(avg(n), 5) AS neg FROM m")
 def embedding_margin(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
-    c = cosines(spark, sf, 20).join(e, "query_id").filter("id <> query_id")
+    c = cosines(spark, sf).join(e, "query_id").filter("id <> query_id")
     m = c.groupBy("query_id").agg(F.max(F.when(F.col("label") == F.col("ql"), F.col("score"))).alias("p"), F.max(F.when(F.col("label") != F.col("ql"), F.col("score"))).alias("n"))
     return m.agg(F.round(F.avg((F.col("p") > F.col("n")).cast("double")), 6).alias("top1"), F.round(F.avg(F.col("p") - F.col("n")), 5).alias("margin"), F.round(F.avg("p"), 5).alias("pos"), F.round(F.avg("n"), 5).alias("neg"))

@@ -28,7 +28,7 @@ def changed_paths_semi(spark, sf):
     return files(spark, sf).select("id", "path").join(table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id")), "id", "left_semi")
 
 
-@register("rescan_changes", "S5 E4 M16", f"""WITH {FILES}, a AS (SELECT path, file_hash AS h, size AS s, mtime AS m FROM files WHERE id % 10 <> 3),
+@register("rescan_changes", "S5 E4", f"""WITH {FILES}, a AS (SELECT path, file_hash AS h, size AS s, mtime AS m FROM files WHERE id % 10 <> 3),
 b AS (SELECT path, CASE WHEN id % 7 = 0 THEN 'new' || file_hash ELSE file_hash END AS h, size AS s, mtime + CASE WHEN id % 14 = 0 THEN 5 ELSE 0 END AS m FROM files WHERE id % 10 <> 4),
 j AS (SELECT coalesce(a.path, b.path) AS path, a.h AS h0, CASE WHEN abs(a.m - b.m) < 0.001 AND a.s = b.s THEN a.h ELSE b.h END AS h1, b.m AS m1 FROM a FULL JOIN b ON a.path = b.path)
 SELECT path, CASE WHEN h0 IS NULL THEN 'added' WHEN m1 IS NULL THEN 'deleted' ELSE 'changed' END AS status, coalesce(h1, h0) AS hash FROM j WHERE h0 IS NULL OR m1 IS NULL OR h1 <> h0""")
@@ -52,7 +52,7 @@ def spans_with_enrichment(spark, sf):
     return j.select("id", "path", "symbol", F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("model", F.lit("other")).alias("model"))
 
 
-@register("pending_antijoin", "J3 T-11 T-16", f"WITH {ENR} SELECT id, span_hash, start_line FROM spans WHERE span_hash NOT IN (SELECT span_hash FROM enrichments)")
+@register("pending_antijoin", "J3", f"WITH {ENR} SELECT id, span_hash, start_line FROM spans WHERE span_hash NOT IN (SELECT span_hash FROM enrichments)")
 def pending_antijoin(spark, sf):
     return spans(spark, sf).select("id", "span_hash", "start_line").join(enrichments(spark, sf).select("span_hash"), "span_hash", "left_anti")
 
@@ -104,7 +104,7 @@ def fallback_lookup(spark, sf):
     return cascade(s, [("hash", e.withColumnRenamed("span_hash", "hash_key"), ["hash_key"]), ("line", by_line, ["file_id", "start_line"]), ("path", by_path, ["file_id"])], "summary").select("id", "strategy", "summary")
 
 
-@register("interval_overlap", "J11 T-9", f"""WITH {SPANS}, r AS (SELECT file_id, pos * 5 AS a, pos * 5 + 4 AS b, id AS rid FROM spans WHERE pos % 3 = 0)
+@register("interval_overlap", "J11", f"""WITH {SPANS}, r AS (SELECT file_id, pos * 5 AS a, pos * 5 + 4 AS b, id AS rid FROM spans WHERE pos % 3 = 0)
 SELECT rid, min(s.id) AS entity FROM r JOIN spans s ON r.file_id = s.file_id AND NOT (s.end_line < r.a OR s.start_line > r.b) GROUP BY rid""")
 def interval_overlap(spark, sf):
     from spanloom.operators.ranges import overlap_join
@@ -131,7 +131,7 @@ def location_join(spark, sf):
     return s.join(e, ["path", "start_line"]).select("id", "summary")
 
 
-@register("staleness", "J14 C15 M10 M17", f"""WITH {FILES}, a AS (SELECT count(*) AS n, max(mtime) AS m FROM files), b AS (SELECT count(*) AS n, max(CAST(doc_id % 100000 AS DOUBLE)) AS m FROM labels)
+@register("staleness", "C15", f"""WITH {FILES}, a AS (SELECT count(*) AS n, max(mtime) AS m FROM files), b AS (SELECT count(*) AS n, max(CAST(doc_id % 100000 AS DOUBLE)) AS m FROM labels)
 SELECT CASE WHEN a.m > b.m THEN 'mtime' WHEN a.n <> b.n THEN 'count' ELSE 'fresh' END AS reason, CASE WHEN a.m > b.m OR a.n <> b.n THEN 'STALE' ELSE 'FRESH' END AS state FROM a, b""")
 def staleness(spark, sf):
     a = files(spark, sf).agg(F.count("*").alias("n"), F.max("mtime").alias("m"))
@@ -158,7 +158,7 @@ def degree_counts(spark, sf):
     return nodes(spark, sf).select("id").join(i, "id", "left").join(o, "id", "left").select("id", F.coalesce("i", F.lit(0)).alias("n_in"), F.coalesce("o", F.lit(0)).alias("n_out"))
 
 
-@register("model_pairs", "J23 A16", """WITH a AS (SELECT doc_id % 1000 AS k, min(text) AS x, max(length(text)) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY 1), b AS (SELECT doc_id % 1000 AS k, min(text) AS x, max(length(text)) AS n FROM documents WHERE doc_id % 2 = 1 OR doc_id % 3 = 0 GROUP BY 1)
+@register("model_pairs", "J23", """WITH a AS (SELECT doc_id % 1000 AS k, min(text) AS x, max(length(text)) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY 1), b AS (SELECT doc_id % 1000 AS k, min(text) AS x, max(length(text)) AS n FROM documents WHERE doc_id % 2 = 1 OR doc_id % 3 = 0 GROUP BY 1)
 SELECT a.k, a.n AS n_a, b.n AS n_b, a.n - b.n AS diff FROM a JOIN b ON a.k = b.k""")
 def model_pairs(spark, sf):
     d = table(spark, sf, "documents").withColumn("k", F.col("doc_id") % 1000)
@@ -285,7 +285,7 @@ def graph_patch(spark, sf):
     return out.select("id", F.col("meta")["name"].alias("name"), F.col("meta")["region"].alias("region"))
 
 
-@register("export_chunks", "S28 B3 S31", f"WITH {SPANS} SELECT span_hash, path, symbol, CAST(row_number() OVER (PARTITION BY path ORDER BY start_line, s.id) AS INTEGER) AS n FROM spans s JOIN files f ON f.id = s.file_id")
+@register("export_chunks", "B3", f"WITH {SPANS} SELECT span_hash, path, symbol, CAST(row_number() OVER (PARTITION BY path ORDER BY start_line, s.id) AS INTEGER) AS n FROM spans s JOIN files f ON f.id = s.file_id")
 def export_chunks(spark, sf):
     s = spans(spark, sf).join(files(spark, sf).select(F.col("id").alias("file_id"), "path"), "file_id")
     return s.select("span_hash", "path", "symbol", F.row_number().over(W.partitionBy("path").orderBy("start_line", "id")).alias("n"))

@@ -104,12 +104,12 @@ def line_pages(spark, sf):
     return chunking.line_pages(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "page", F.length("content").alias("n"))
 
 
-@register("char_windows", "U9 U10", None)
+@register("char_windows", "U10", None)
 def char_windows(spark, sf):
     return chunking.char_windows(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "start", "end")
 
 
-@register("fixed_windows", "U10 U13", "SELECT doc_id, CAST(s AS INTEGER) AS start, substr(text, CAST(s AS INTEGER) + 1, 500) AS content FROM documents, LATERAL (SELECT unnest(range(0, greatest(length(text), 1), 450)) AS s)")
+@register("fixed_windows", "U10", "SELECT doc_id, CAST(s AS INTEGER) AS start, substr(text, CAST(s AS INTEGER) + 1, 500) AS content FROM documents, LATERAL (SELECT unnest(range(0, greatest(length(text), 1), 450)) AS s)")
 def fixed_windows(spark, sf):
     """Windows of 500 characters every 450, JVM-side."""
     d = table(spark, sf, "documents")
@@ -139,7 +139,7 @@ def code_spans(spark, sf):
     return chunking.spans(t, "doc_id")
 
 
-@register("python_graph", "U16 U17 U18 G17 S6 U15", None)
+@register("python_graph", "U16 G17", None)
 def python_graph(spark, sf):
     d = table(spark, sf, "documents").select(F.concat(F.lit("m"), "doc_id").alias("module"), F.concat(F.lit("import os\nclass B(os.PathLike):\n    def f(self):\n        return os.getcwd()\ndef g():\n    return B()\n# "), F.col("doc_id")).alias("text"))
     return chunking.schema_graph(d)
@@ -178,7 +178,7 @@ def _stream(spark, sf):
     return parquet_stream(spark, sf, "events.parquet", table(spark, sf, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@register("stream_tumbling", "T-1 T-13", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@register("stream_tumbling", "T-1", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_tumbling(spark, sf):
     w = state.windowed(_stream(spark, sf), "ts", ["event_type"], "value", "1 hour")
     return state.run_once(w).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
@@ -190,7 +190,7 @@ def stream_sliding(spark, sf):
     return state.run_once(w).select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@register("stream_escalation", "T-8 T-7", "SELECT user_id, count(*) AS failures, CAST(least(count(*) // 3, 1) AS INTEGER) AS tier, CAST(CASE WHEN count(*) >= 6 THEN 3 ELSE count(*) % 3 END AS INTEGER) AS attempts, count(*) >= 6 AS permanent FROM events WHERE event_type = 'error' GROUP BY user_id")
+@register("stream_escalation", "T-8", "SELECT user_id, count(*) AS failures, CAST(least(count(*) // 3, 1) AS INTEGER) AS tier, CAST(CASE WHEN count(*) >= 6 THEN 3 ELSE count(*) % 3 END AS INTEGER) AS attempts, count(*) >= 6 AS permanent FROM events WHERE event_type = 'error' GROUP BY user_id")
 def stream_escalation(spark, sf):
     s = state.escalation_stream(_stream(spark, sf).filter("event_type = 'error'"), "user_id")
     r = state.run_once(s, "update")
@@ -231,7 +231,12 @@ def scheduler(spark, sf):
     return state.eligible(r, AS_OF, "5 minutes", 3).select("repo", "eligible")
 
 
-@register("enrichments_listed", "P5", "SELECT doc_id % 50 AS span, count(*) AS n, string_agg(lang || ':' || source, ',' ORDER BY doc_id) AS items FROM documents GROUP BY 1")
+@register("enrichments_listed", "P5", "WITH d AS (SELECT doc_id % 50 AS span, doc_id, lang || ':' || source AS v, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS i FROM documents) SELECT span, count(*) AS n, string_agg(CASE WHEN i <= 100 THEN v END, ',' ORDER BY doc_id) AS items FROM d GROUP BY span")
 def enrichments_listed(spark, sf):
-    x = F.array_sort(F.collect_list(F.struct("doc_id", F.concat("lang", F.lit(":"), "source").alias("v"))))
-    return table(spark, sf, "documents").groupBy((F.col("doc_id") % 50).alias("span")).agg(F.count("*").alias("n"), F.array_join(F.transform(x, lambda r: r["v"]), ",").alias("items"))
+    """How many enrichments a span has, and the first hundred as a list."""
+    from spanloom.operators.search import top
+
+    d = table(spark, sf, "documents").select((F.col("doc_id") % 50).alias("span"), "doc_id", F.concat("lang", F.lit(":"), "source").alias("v"))
+    x = F.array_sort(F.collect_list(F.struct("doc_id", "v")))
+    few = top(d, ["span"], 100, F.col("doc_id")).groupBy("span").agg(F.array_join(F.transform(x, lambda r: r["v"]), ",").alias("items"))
+    return d.groupBy("span").agg(F.count("*").alias("n")).join(few, "span").select("span", "n", "items")

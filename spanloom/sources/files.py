@@ -38,9 +38,9 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, key string, value string")
 
 
-def graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def graph_json(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, name, kind, path) and edges (src, dst, type) of a graph file: nodes, vertices or entities; edges, links or relations; wrapped or not."""
-    g = spark.read.schema(GRAPH).option("multiLine", True).json(path)
+    g = spark.read.schema(GRAPH).option("multiLine", multi_line).json(path)
     inner = F.from_json("schema_graph", GRAPH)
     names = [c.strip().split(" ")[0] for c in GRAPH.replace("map<string,string>", "m").split(",")]
     g = g.select(*[F.coalesce(inner[n], F.col(n)).alias(n) if n != "schema_graph" else F.lit(None).alias(n) for n in names])

@@ -67,10 +67,16 @@ def orphans(beats: DataFrame, keys: list[str], ts: str, now: str, timeout: str =
 
 
 def sliding_rate(events: DataFrame, keys: list[str], ts: str, tokens: str, seconds: int = 60) -> DataFrame:
-    """Adds requests and tokens of each key's last ``seconds``."""
-    w = W.partitionBy(*keys).orderBy(F.col("_s")).rangeBetween(-seconds, 0)
-    e = events.withColumn("_s", F.unix_seconds(F.col(ts).cast("timestamp")))
-    return e.withColumn("requests", F.count("*").over(w)).withColumn("used", F.sum(tokens).over(w)).drop("_s")
+    """Adds requests and tokens of each key's last ``seconds``.
+
+    Rows are dealt by stretches of twice that time, so that a window holds two stretches at most, not a key; a row also goes to the next stretch if it counts there.
+    """
+    e = events.withColumn("_s", F.unix_seconds(F.col(ts).cast("timestamp"))).withColumn("_b", F.floor(F.col("_s") / (2 * seconds)))
+    late = F.pmod("_s", F.lit(2 * seconds)) >= seconds
+    e = e.withColumn("_at", F.explode(F.when(late, F.array("_b", F.col("_b") + 1)).otherwise(F.array("_b"))))
+    w = W.partitionBy(*keys, "_at").orderBy(F.col("_s")).rangeBetween(-seconds, 0)
+    r = e.withColumn("requests", F.count("*").over(w)).withColumn("used", F.sum(tokens).over(w))
+    return r.filter("_at = _b").drop("_s", "_b", "_at")
 
 
 def failure_runs(events: DataFrame, key: str, order: list[str], ok: str, threshold: int) -> DataFrame:

@@ -82,7 +82,7 @@ class Engine:
 
     def rag_plan(self, query: str, limit: int = 5) -> DataFrame:
         s = self.spans.join(self.enrichments.select("span_hash", "summary"), "span_hash", "left")
-        p = search.plan_scores(s.select("id", "symbol", "path", "summary"), self._query(query), ["symbol", "path", "summary"])
+        p = search.plan_scores(s.select("id", "symbol", "path", "summary"), self._query(query), ["symbol", "path", "summary"], limit)
         return search.top(p, ["query_id"], limit, F.desc("score"), F.col("id")).drop("query_id")
 
     def route(self, query: str) -> DataFrame:
