@@ -5,21 +5,23 @@ repetition, foreign separators and odd casing all become rare 4-grams. Words are
 nothing. A text is judged with the probability of an unknown symbol for each repeat that follows a repeat: a run gains nothing from runs in trusted texts.
 
 1. Texts are packed once: a row per slice of about 16 MB holds ids, the normalised texts (compressed) and the distinct 4-grams.
-2. The slices' trusted texts give 4-gram counts, which are summed by 4-gram. Discounts, context totals and the continuation counts of
-   lower orders are aggregations of that table; probabilities of each order are joins with the order below. All are sharded by n-gram or context.
-3. The 4-grams that occur in any text are joined with these tables, once per distinct 4-gram, backing off where one was not seen.
+2. The slices' trusted texts give 4-gram counts, which are summed by 4-gram. Continuation counts of lower orders are aggregations of that table; all
+   orders are one table of n-grams, whose counts of counts (a row per order) give the discounts.
+3. A table of facts, sharded by n-gram and context, holds what each n-gram has of its own and what each context leaves to the order below.
+   The 4-grams that occur in any text look up their tails and contexts there, once per distinct 4-gram, in one join.
 4. (slice, 4-gram) pairs are joined with the log probabilities and meet their slice again, which gives each text's perplexity.
-5. Texts fall into folds by hash, and the tables hold, beside the model of all trusted texts, one for each fold that leaves its texts out. A trusted
+5. Texts fall into two folds by hash, and the tables hold, beside the model of all trusted texts, one for each fold that leaves its texts out. A trusted
    text is judged by the model that leaves its fold out, any other text by the model of all: no text by one that was trained on it.
-6. A language's threshold is a quantile of these perplexities of its trusted texts (from counts by steps of half a percent); languages with few
-   trusted texts use the quantile of all. Texts above it are rejected.
+6. A language's threshold is a quantile of these perplexities of its trusted texts (from counts by steps of half a percent), averaged with
+   that of all trusted texts, which weighs as much as ``PRIOR`` texts. Texts above it are rejected.
 
-All counts cover all trusted texts, thresholds all of their perplexities, and every text is scored whole.
+All counts cover all trusted text, thresholds all of their perplexities, and every text is scored whole.
 
 Defined results: null and empty texts have no symbols, perplexity null and are kept (there is nothing to judge); a null language is a
 language of its own; several trusted rows of an id count once; rows with equal ids share trust, and each gets its own
-result; without trusted text every perplexity is 1 and
-nothing is rejected, nor if all trusted texts are in one fold, which leaves none to judge them by; an empty table gives an empty result; other columns are kept by ``keep``.
+result; without trusted text every perplexity is 1 and nothing is rejected, nor if all trusted texts are in one fold, which leaves none to judge them by; a
+text longer than a slice is a slice of its own, scored in steps of its texts; of code points beyond the first plane the last eleven bits
+tell symbols apart; an empty table gives an empty result; other columns are kept by ``keep``, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,12 +41,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import text_slices
-from spanloom.runtime import discard, write_once
+from spanloom.runtime import discard, spread, write_once
 
 SLICE, STEP = 1 << 24, 1 << 21
-QUANTILE, LEAST_TRUSTED = 0.995, 30
+ORDER = 4
+QUANTILE = 0.995
+#: Texts of all languages that a language's own threshold is weighed against.
+PRIOR = 30
 #: Parts of the trusted texts, each scored by a model of the others.
-FOLDS = 5
+FOLDS = 2
 MODELS = range(FOLDS + 1)
 #: Steps of log perplexity, per unit, in which thresholds are found.
 FINE = 200
@@ -66,7 +71,7 @@ def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct 4-grams packed into 64 bits, index of each position's 4-gram, number of positions of each text)."""
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     c = np.frombuffer((START + START.join(texts)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    c = np.minimum(c, 0xFFFF).astype(np.int64)  # code points beyond the first plane are one class
+    c = np.where(c > 0xFFFF, 0xD800 | (c & 0x7FF), c).astype(np.int64)
     end = np.cumsum(size + 3)
     inside = np.ones(len(c), bool)
     for k in range(3):
@@ -140,7 +145,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFram
         if ids:
             yield row()
 
-    return rows.mapInArrow(run, f"slice long, ids array<{kind}>, langs array<string>, texts array<binary>, grams array<long>")
+    return spread(rows).mapInArrow(run, f"slice long, ids array<{kind}>, langs array<string>, texts array<binary>, grams array<long>")
 
 
 def _texts(parts: list[bytes]) -> Iterator[list[str]]:
@@ -185,72 +190,80 @@ def _head(g: Column) -> Column:
     return F.shiftrightunsigned(g, 16)
 
 
-def _discounts(counts: DataFrame) -> DataFrame:
-    """One row: the three discounts of modified Kneser-Ney (d1, d2, d3) of each model, from counts of counts."""
-    c = counts.agg(*[F.count_if(F.col(f"n_{j}") == k).cast("double").alias(f"n{k}_{j}") for j in MODELS for k in (1, 2, 3, 4)])
-    y = lambda j: F.when(F.col(f"n1_{j}") + F.col(f"n2_{j}") > 0, F.col(f"n1_{j}") / (F.col(f"n1_{j}") + 2 * F.col(f"n2_{j}"))).otherwise(0.5)
-    c = c.select("*", *[y(j).alias(f"y_{j}") for j in MODELS])
-    one = lambda k, j: F.when(F.col(f"n{k}_{j}") > 0, F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), k - (k + 1) * F.col(f"y_{j}") * F.col(f"n{k + 1}_{j}") / F.col(f"n{k}_{j}")))).otherwise(0.5 * k)
-    return c.select(*[one(k, j).alias(f"d{k}_{j}") for j in MODELS for k in (1, 2, 3)])
-
+def ngrams(counts: DataFrame) -> DataFrame:
+    """(k, g, n_0, n_1, ...): the distinct n-grams of every order k with their counts by model; those of lower orders are the numbers of distinct
+    symbols before them. Model j < FOLDS leaves fold j out, the last one has all."""
+    every = sum((F.col(f"f{j}") for j in range(1, FOLDS)), F.col("f0"))
+    at = counts.select(F.lit(ORDER).alias("k"), "g", *[(every - F.col(f"f{j}") if j < FOLDS else every).alias(f"n_{j}") for j in MODELS])
+    out = at
+    for k in range(ORDER - 1, 0, -1):
+        at = at.groupBy(_tail(F.col("g"), k).alias("g")).agg(*[F.count_if(F.col(f"n_{j}") > 0).alias(f"n_{j}") for j in MODELS])
+        at = at.select(F.lit(k).alias("k"), "g", *[f"n_{j}" for j in MODELS])
+        out = out.unionByName(at)
+    return out
 
-def model(counts: DataFrame, order: int = 4) -> tuple[dict[int, DataFrame], dict[int, DataFrame], DataFrame]:
-    """Tables of the models: by order (g, p_j) and (ctx, gamma_j), and one row with the probabilities p0_j of an unknown symbol.
 
-    Model j < FOLDS leaves fold j out, the last one has all; a model without texts has null. What a model has not seen but others have gets
-    its backed-off probability.
+def discounts(nodes: DataFrame) -> tuple[list[list[list[float]]], list[float | None], list[float]]:
+    """What is one number per order and model: the three discounts [model][order - 1][i], and by model the probability of an unknown symbol
+    (None without texts) and the total of single symbols. They come from counts of counts, a row per order."""
+    n = lambda j: F.col(f"n_{j}")
+    rows = nodes.groupBy("k").agg(*[x for j in MODELS for x in (F.sum(n(j)).alias(f"t_{j}"), F.count_if(n(j) > 0).alias(f"a_{j}"), *[F.count_if(n(j) == i).alias(f"c{i}_{j}") for i in (1, 2, 3, 4)])])
+    by = {r["k"]: r for r in rows.collect()}
+    less, unknown, totals = [], [], []
+    for j in MODELS:
+        less.append([])
+        for k in range(1, ORDER + 1):
+            c = [0, *(by[k][f"c{i}_{j}"] for i in (1, 2, 3, 4))] if k in by else [0] * 5
+            y = c[1] / (c[1] + 2 * c[2]) if c[1] + c[2] else 0.5
+            less[-1].append([max(0.05, min(i - 0.05, i - (i + 1) * y * c[i + 1] / c[i])) if c[i] else 0.5 * i for i in (1, 2, 3)])
+        total, kinds = (by[1][f"t_{j}"], by[1][f"a_{j}"]) if 1 in by else (0, 0)
+        one, two = (by[1][f"c1_{j}"], by[1][f"c2_{j}"]) if 1 in by else (0, 0)
+        d = less[-1][0]
+        unknown.append((d[0] * one + d[1] * two + d[2] * (kinds - one - two)) / total / (kinds + 1) if total else None)
+        totals.append(float(total))
+    return less, unknown, totals
+
+
+def facts(nodes: DataFrame, less: list[list[list[float]]], totals: list[float]) -> DataFrame:
+    """(slot, key, v_0, v_1, ...): in slot k - 1 what an n-gram of order k has of its own, in slot ORDER + k - 2 what a context of order k leaves to the
+    order below. A model that has not seen the context has null."""
+    by_order = lambda j, i: F.element_at(F.array(*[F.lit(float(d[i])) for d in less[j]]), F.col("k"))
+    n = lambda j: F.col(f"n_{j}")
+    sums = lambda j: [F.sum(n(j)).cast("double").alias(f"total_{j}"), F.count_if(n(j) == 1).alias(f"one_{j}"), F.count_if(n(j) == 2).alias(f"two_{j}"), F.count_if(n(j) > 2).alias(f"more_{j}")]
+    ctx = nodes.filter("k > 1").groupBy("k", _head(F.col("g")).alias("ctx")).agg(*[x for j in MODELS for x in sums(j)])
+    left = lambda j: (by_order(j, 0) * F.col(f"one_{j}") + by_order(j, 1) * F.col(f"two_{j}") + by_order(j, 2) * F.col(f"more_{j}")) / F.col(f"total_{j}")
+    gamma = ctx.select((F.col("k") + ORDER - 2).alias("slot"), F.col("ctx").alias("key"), *[F.when(F.col(f"total_{j}") > 0, left(j)).alias(f"v_{j}") for j in MODELS])
+    own = lambda j, total: F.when(total > 0, F.greatest(n(j) - F.when(n(j) == 1, by_order(j, 0)).when(n(j) == 2, by_order(j, 1)).otherwise(by_order(j, 2)), F.lit(0.0)) / total).alias(f"v_{j}")
+    high = nodes.filter("k > 1").withColumn("ctx", _head(F.col("g"))).join(ctx.select("k", "ctx", *[f"total_{j}" for j in MODELS]), ["k", "ctx"])
+    high = high.select((F.col("k") - 1).alias("slot"), F.col("g").alias("key"), *[own(j, F.col(f"total_{j}")) for j in MODELS])
+    low = nodes.filter("k = 1").select((F.col("k") - 1).alias("slot"), F.col("g").alias("key"), *[own(j, F.lit(totals[j])) for j in MODELS])
+    return gamma.unionByName(high).unionByName(low)
+
+
+def log_probabilities(grams: DataFrame, table: DataFrame, unknown: list[float | None]) -> DataFrame:
+    """(g, lp, h0, h1, ...) for distinct 4-grams, seen or not: of the model of all, and of those that leave a fold out (NaN without texts).
+
+    A 4-gram looks up its own tails and their contexts, all in one join; what is not found adds nothing and leaves all to the order below.
     """
-    every = sum((F.col(f"f{j}") for j in range(1, FOLDS)), F.col("f0"))
-    tables = {order: counts.select("g", *[(every - F.col(f"f{j}") if j < FOLDS else every).alias(f"n_{j}") for j in MODELS])}
-    for k in range(order - 1, 0, -1):  # continuation counts: distinct symbols seen before
-        tables[k] = tables[k + 1].groupBy(_tail(F.col("g"), k).alias("g")).agg(*[F.count_if(F.col(f"n_{j}") > 0).alias(f"n_{j}") for j in MODELS])
-    prob: dict[int, DataFrame] = {}
-    gamma: dict[int, DataFrame] = {}
-    unknown = None
-    for k in range(1, order + 1):
-        c = tables[k] if k == order else write_once(tables[k], f"kn{k}")
-        d = F.broadcast(_discounts(c))  # one row
-        sums = lambda j: [F.sum(n := F.col(f"n_{j}")).cast("double").alias(f"total_{j}"), F.count_if(n == 1).alias(f"n1_{j}"), F.count_if(n == 2).alias(f"n2_{j}"), F.count_if(n > 2).alias(f"n3_{j}"), F.count_if(n > 0).alias(f"kinds_{j}")]
-        ctx = c.groupBy(_head(F.col("g")).alias("ctx")).agg(*[x for j in MODELS for x in sums(j)])
-        share = lambda j: F.when(F.col(f"total_{j}") > 0, sum((F.col(f"d{i}_{j}") * F.col(f"n{i}_{j}") for i in (2, 3)), F.col(f"d1_{j}") * F.col(f"n1_{j}")) / F.col(f"total_{j}"))
-        ctx = ctx.join(d).select("ctx", *[x for j in MODELS for x in (f"total_{j}", share(j).alias(f"gamma_{j}"), f"kinds_{j}")])
-        less = lambda j: F.when(F.col(f"n_{j}") == 1, F.col(f"d1_{j}")).when(F.col(f"n_{j}") == 2, F.col(f"d2_{j}")).otherwise(F.col(f"d3_{j}"))
-        own = c.withColumn("ctx", _head(F.col("g"))).join(ctx, "ctx").join(d)
-        own = own.select("g", *[x for j in MODELS for x in (f"gamma_{j}", f"kinds_{j}", F.when(F.col(f"total_{j}") > 0, F.greatest(F.col(f"n_{j}") - less(j), F.lit(0.0)) / F.col(f"total_{j}")).alias(f"own_{j}"))])
-        if k == 1:
-            uniform = lambda j: F.col(f"gamma_{j}") / (F.col(f"kinds_{j}") + 1)
-            unknown = write_once(ctx.agg(*[F.max(uniform(j)).alias(f"p0_{j}") for j in MODELS]), "kn0")  # one row
-            prob[1] = write_once(own.select("g", *[(F.col(f"own_{j}") + uniform(j)).alias(f"p_{j}") for j in MODELS]), "knp1")
-        else:
-            lower = prob[k - 1].select(F.col("g").alias("low"), *[F.col(f"p_{j}").alias(f"below_{j}") for j in MODELS])
-            own = own.withColumn("low", _tail(F.col("g"), k - 1)).join(lower, "low")
-            prob[k] = write_once(own.select("g", *[F.coalesce(F.col(f"own_{j}") + F.col(f"gamma_{j}") * F.col(f"below_{j}"), F.col(f"below_{j}")).alias(f"p_{j}") for j in MODELS]), f"knp{k}")
-            gamma[k] = write_once(ctx.select("ctx", *[f"gamma_{j}" for j in MODELS]), f"kng{k}")
-        if k < order:
-            discard(c)
-    return prob, gamma, unknown
-
-
-def log_probabilities(grams: DataFrame, tables: tuple[dict[int, DataFrame], dict[int, DataFrame], DataFrame], order: int = 4) -> DataFrame:
-    """(g, lp, h0, h1, ...) for distinct 4-grams, seen or not: of the model of all, and of those that leave a fold out (NaN without texts)."""
-    prob, gamma, unknown = tables
-    r = grams.join(F.broadcast(unknown))
-    for k in range(1, order + 1):
-        r = r.withColumn("t", _tail(F.col("g"), k)).join(prob[k].withColumnRenamed("g", "t"), "t", "left")
-        if k == 1:
-            p = lambda j: F.coalesce(f"p_{j}", f"p0_{j}", *[F.lit(1.0)] * (j == FOLDS))
-        else:
-            r = r.withColumn("c", _head(F.col("t"))).join(gamma[k].withColumnRenamed("ctx", "c"), "c", "left")
-            p = lambda j: F.coalesce(F.col(f"p_{j}"), F.coalesce(F.col(f"gamma_{j}"), F.lit(1.0)) * F.col(f"q_{j}"))
-        r = r.select("g", *[f"p0_{j}" for j in MODELS], *[p(j).alias(f"q_{j}") for j in MODELS])
-    held = [F.coalesce(F.log(f"q_{j}"), F.lit(float("nan"))).cast("float").alias(f"h{j}") for j in range(FOLDS)]
-    return r.select("g", F.log(f"q_{FOLDS}").alias("lp"), *held)
-
-
-def _score(packed: DataFrame, scored: DataFrame, unknown: DataFrame) -> DataFrame:
+    g = F.col("g")
+    slots = [(k - 1, _tail(g, k)) for k in range(1, ORDER + 1)] + [(ORDER + k - 2, _head(_tail(g, k))) for k in range(2, ORDER + 1)]
+    asked = grams.select("g", F.explode(F.array(*[F.struct(F.lit(i).alias("slot"), key.alias("key")) for i, key in slots])).alias("x")).select("g", "x.slot", "x.key")
+    found = asked.join(table, ["slot", "key"], "left").groupBy("g").agg(*[F.max(F.when(F.col("slot") == i, F.col(f"v_{j}"))).alias(f"v{i}_{j}") for j in MODELS for i, _ in slots])
+
+    def p(j: int) -> Column:
+        x = F.coalesce(f"v0_{j}", F.lit(0.0)) + F.lit(unknown[j] if unknown[j] is not None else 1.0)
+        for k in range(2, ORDER + 1):
+            x = F.coalesce(f"v{k - 1}_{j}", F.lit(0.0)) + F.coalesce(f"v{ORDER + k - 2}_{j}", F.lit(1.0)) * x
+        return x
+
+    held = [F.log(p(j)).cast("float").alias(f"h{j}") if unknown[j] is not None else F.lit(float("nan")).cast("float").alias(f"h{j}") for j in range(FOLDS)]
+    return found.select("g", F.log(p(FOLDS)).alias("lp"), *held)
+
+
+def _score(packed: DataFrame, scored: DataFrame, unknown: list[float | None]) -> DataFrame:
     """(id, lang, n_symbols, log_prob, judged, held) of every row: the log probability by the model of all, the same with repeats after repeats as
     unknown symbols, and that by the model that leaves the text's fold out."""
-    floor = [math.log(p) if p else 0.0 for p in unknown.first()]  # one row
+    floor = [math.log(p) if p else 0.0 for p in unknown]
     kind = packed.schema["ids"].dataType.elementType.simpleString()
     names = [f"h{j}" for j in range(FOLDS)]
     pairs = packed.select("slice", F.explode("grams").alias("g")).join(scored, "g").select("slice", "g", "lp", *names)
@@ -287,38 +300,49 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     """(id, lang, n_symbols, log_prob, judged, held, perplexity, judged_perplexity, held_perplexity), materialised. ``trusted``: ids of trusted texts, in the first column."""
     packed = write_once(pack(docs, id_col, text_col, lang_col), "lmslices")
     counts = write_once(count_grams(packed, trusted), "lmcounts")
+    nodes = write_once(ngrams(counts), "lmngrams")
+    less, unknown, totals = discounts(nodes)
+    table = write_once(facts(nodes, less, totals), "lmfacts")
     grams = packed.select(F.explode("grams").alias("g")).distinct()
-    tables = model(counts)
-    scored = write_once(log_probabilities(grams, tables), "lmlogp")
-    for t in (counts, *tables[0].values(), *tables[1].values()):
+    scored = write_once(log_probabilities(grams, table, unknown), "lmlogp")
+    for t in (counts, nodes, table):
         discard(t)
-    s = _score(packed, scored, tables[2])
+    s = _score(packed, scored, unknown)
     each = lambda c: F.when(F.col("n_symbols") > 0, F.exp(-F.col(c) / F.col("n_symbols")))
     out = write_once(s.select("*", each("log_prob").alias("perplexity"), each("judged").alias("judged_perplexity"), each("held").alias("held_perplexity")), "lmscores")
     discard(packed)
+    discard(scored)
     return out
 
 
-def _quantile(steps: DataFrame, keys: list[str], quantile: float) -> DataFrame:
-    """(keys, all, value): the upper end of the step in which a quantile of counted values lies."""
-    w = W.partitionBy(*keys)
-    s = steps.withColumn("all", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy("step")))
-    at = s.filter(F.col("upto") >= F.ceil(F.col("all") * quantile)).groupBy(*keys, "all").agg(F.min("step").alias("step"))
-    return at.select(*keys, "all", F.exp((F.col("step") + 1) / FINE).alias("value"))
+def thresholds(own: DataFrame, quantile: float, prior: float) -> tuple[DataFrame, float | None]:
+    """((q_lang, threshold) of each language of the (lang, perplexity) rows, that of a language without rows).
 
+    Perplexities are counted by steps of half a percent. A language's quantile is the upper end of the step that holds it; its logarithm is averaged with that
+    of all rows, which weighs ``prior`` rows against the language's own.
+    """
+    step = own.groupBy(F.col("lang").alias("q_lang"), F.floor(F.log("perplexity") * FINE).alias("step")).agg(F.count("*").alias("n"))
+    step = write_once(step, "lmsteps")  # a language has some thousand steps at most
+
+    def at(rows: DataFrame, keys: list[str]) -> DataFrame:
+        w = W.partitionBy(*keys)
+        s = rows.withColumn("all", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy("step")))
+        return s.filter(F.col("upto") >= F.ceil(F.col("all") * quantile)).groupBy(*keys, "all").agg(((F.min("step") + 1) / FINE).alias("log"))
 
-def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, least_trusted: int = LEAST_TRUSTED, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    every = at(step.groupBy("step").agg(F.sum("n").alias("n")), []).first()
+    if every is None:
+        return step.select("q_lang", F.lit(None).cast("double").alias("threshold")).limit(0), None
+    by = at(step, ["q_lang"])
+    return by.select("q_lang", F.exp((F.col("all") * F.col("log") + prior * every["log"]) / (F.col("all") + prior)).alias("threshold")), math.exp(every["log"])
+
+
+def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, prior: float = PRIOR, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, lang, n_symbols, perplexity, threshold, keep) of every row; a trusted text's perplexity is that of the model without its fold."""
     s = perplexities(docs, trusted, id_col, text_col, lang_col)
     s = s.join(trusted.select(F.col(trusted.columns[0]).alias("id"), F.lit(True).alias("trusted")).distinct(), "id", "left")
     s = s.withColumn("perplexity", F.when(F.col("trusted"), F.coalesce("held_perplexity", "judged_perplexity")).otherwise(F.col("judged_perplexity")))
-    own = s.filter("n_symbols > 0 AND trusted AND held IS NOT NULL")
-    step = own.groupBy(F.col("lang").alias("q_lang"), F.floor(F.log("perplexity") * FINE).alias("step")).agg(F.count("*").alias("n"))
-    step = write_once(step, "lmsteps")  # a language has some thousand steps at most
-    by = _quantile(step, ["q_lang"], quantile).filter(F.col("all") >= least_trusted).select("q_lang", F.col("value").alias("own"))
-    every = _quantile(step.groupBy("step").agg(F.sum("n").alias("n")), [], quantile).agg(F.max("value").alias("every"))  # one row
-    r = s.join(by, F.col("lang").eqNullSafe(F.col("q_lang")), "left").join(F.broadcast(every))
-    r = r.withColumn("threshold", F.coalesce("own", "every"))
+    by, every = thresholds(s.filter("n_symbols > 0 AND trusted AND held IS NOT NULL"), quantile, prior)
+    r = s.join(by, F.col("lang").eqNullSafe(F.col("q_lang")), "left").withColumn("threshold", F.coalesce("threshold", F.lit(every).cast("double")))
     keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return r.select(F.col("id").alias(id_col), "lang", "n_symbols", "perplexity", "threshold", keep.alias("keep"))
 

@@ -52,7 +52,7 @@ class Plain:
 def test_against_plain_model(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     t = quality.trusted_ids(spark.read.parquet(f"{SF}/labels.parquet"))
-    extra = spark.createDataFrame([(-1, "日本語 not seen 🙂 " * 3, "en"), (-2, None, "en"), (-3, "", None), (-4, "a a a a a a", None), (-4, "the of and", None)], "doc_id long, text string, lang string")
+    extra = spark.createDataFrame([(-5, "a very long text of many words 🙂 " * 100_000, "en"), (-1, "日本語 not seen 🙂 " * 3, "en"), (-2, None, "en"), (-3, "", None), (-4, "a a a a a a", None), (-4, "the of and", None)], "doc_id long, text string, lang string")
     docs = d.select("doc_id", "text", "lang").unionByName(extra)
     texts, ids = docs.collect(), {r.doc_id for r in t.collect()}
     assert len(ids) > 100
@@ -73,11 +73,11 @@ def test_probabilities_sum_to_one():
 
 
 def test_codes_agree_with_sorting():
-    texts = ["", "abc", "", "x" * 50, "日本 é", "".join(map(chr, range(300, 9000))), ""]
+    texts = ["", "abc", "", "x" * 50, "日本 é", "".join(map(chr, range(300, 9000))), "🙂🙃🙂 𠀀", ""]
     key, index, size = quality.codes(texts)
     want = []
     for t in texts:
-        s = [2, 2, 2, *map(ord, t)]
+        s = [2, 2, 2, *(ord(x) if ord(x) < 65536 else 0xD800 + ord(x) % 2048 for x in t)]
         want += [sum(c << (16 * (3 - j)) for j, c in enumerate(s[i - 3 : i + 1])) for i in range(3, len(s))]
     assert key[index].astype(np.uint64).tolist() == want and size.tolist() == [len(t) for t in texts]
     key, index, size = quality.codes([""])
@@ -104,17 +104,18 @@ def test_no_trusted_and_empty(spark):
 def test_thresholds_are_quantiles(spark):
     d, lab = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
     t = quality.trusted_ids(lab)
-    r = quality.classify(d, t, quantile=0.9, least_trusted=60).collect()
+    r = quality.classify(d, t, quantile=0.9, prior=60).collect()
     ids = {x.doc_id for x in t.collect()}
     own = defaultdict(list)
     for x in r:
         if x.doc_id in ids:
             own[x.lang].append(x.perplexity)
-    every = sorted(sum(own.values(), []))
+    at = lambda v: (math.floor(math.log(sorted(v)[math.ceil(0.9 * len(v)) - 1]) * 200) + 1) / 200
+    every = at(sum(own.values(), []))
     for x in r:
-        v = sorted(own[x.lang]) if len(own[x.lang]) >= 60 else every
-        want = v[math.ceil(0.9 * len(v)) - 1]
-        assert want < x.threshold <= want * 1.0051 and x.keep == (x.perplexity <= x.threshold)
+        n = len(own[x.lang])
+        want = math.exp((n * at(own[x.lang]) + 60 * every) / (n + 60))
+        assert x.threshold == pytest.approx(want, rel=1e-9) and x.keep == (x.perplexity <= x.threshold)
     assert len({x.threshold for x in r}) > 1
 
 
