@@ -81,20 +81,52 @@ def test_signatures_estimate_weighted_similarity():
         for i in r.sample(range(400), change):
             other[i] = str(r.random())
         texts = [" ".join(base), " ".join(other), " ".join(base * 2)]
-        doc, cell = neardup.regions(texts)
-        sig = neardup.darts(doc, cell, 3, k=4000)
+        sig = neardup.darts(neardup.regions(*neardup.shingles(texts)), 3, k=4000)
         s = [shingles(t) for t in texts]
         for a, b in ((0, 1), (0, 2)):
             assert (sig[a] == sig[b]).mean() == pytest.approx(similarity(s[a], s[b]), abs=0.04)
 
 
+def test_real_weights():
+    g = np.random.default_rng(4)
+    element = neardup.mix(np.arange(60, dtype=np.uint64))
+    a, b = g.uniform(0.1, 40, 60), g.uniform(0.1, 40, 60)
+    b[:40] = a[:40] * g.uniform(0.9, 1.1, 40)
+    areas = neardup.regions(np.repeat([0, 1], 60), np.tile(element, 2), np.concatenate([a, b]))
+    sig = neardup.darts(areas, 2, k=4000)
+    assert (sig[0] == sig[1]).mean() == pytest.approx(np.minimum(a, b).sum() / np.maximum(a, b).sum(), abs=0.04)
+    one = neardup.regions(np.zeros(1, np.int64), element[:1], np.array([1e6]))
+    assert len(one[0]) == 21 and (one[2] + one[3])[-1] >= 1e6 > one[2][-1]
+
+
+def test_stars_are_components():
+    chain = np.arange(5000)
+    u, v = neardup.stars(np.random.default_rng(0).permutation(4999) + 1, np.zeros(4999, np.int64))
+    assert sorted(u) == list(range(1, 5000)) and set(v) == {0}
+    u, v = neardup.stars(chain[1:], chain[:-1])
+    assert sorted(u) == list(range(1, 5000)) and set(v) == {0}
+
+
+def test_near_copies_that_are_similar_are_found(spark):
+    """Of pairs of 0.8 to 0.82, one in 200 may share no band: nearly all are found."""
+    r, texts, pairs = random.Random(9), [], 0
+    for i in range(300):
+        base = [f"w{i}x{r.randrange(10**9)}" for _ in range(200)]
+        other = list(base)
+        for at in r.sample(range(5, 195), 4) + [199]:
+            other[at] = f"o{i}x{r.randrange(10**9)}"
+        if similarity(shingles(" ".join(base)), shingles(" ".join(other))) >= 0.8:
+            texts += [" ".join(base), " ".join(other)]
+            pairs += 1
+    got = neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert pairs > 30 and got.filter("class_size = 2").count() >= 2 * pairs - 4
+
+
 def test_signature_does_not_depend_on_neighbours():
     texts = corpus()[4:40]
-    doc, cell = neardup.regions(texts)
-    all_ = neardup.darts(doc, cell, len(texts))
+    all_ = neardup.darts(neardup.regions(*neardup.shingles(texts)), len(texts))
     for i in (0, 3, 20):
-        d, c = neardup.regions([texts[i]])
-        assert (neardup.darts(d, c, 1)[0] == all_[i]).all()
+        assert (neardup.darts(neardup.regions(*neardup.shingles([texts[i]])), 1)[0] == all_[i]).all()
     assert len(np.unique(neardup.bands(all_)[0])) == neardup.BANDS
 
 
@@ -110,6 +142,8 @@ def test_components(spark):
     got = {x.node: x.root for x in neardup.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
     assert neardup.components(spark.createDataFrame([], "a long, b long")).collect() == []
+    spread = neardup.components(spark.createDataFrame(pairs, "a long, b long").repartition(40)).collect()
+    assert {x.node: x.root for x in spread} == got
 
 
 def test_ids_and_empty(spark):
