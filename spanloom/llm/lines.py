@@ -2,96 +2,94 @@
 
 Each line's hash gets a HyperLogLog sketch of the sites it occurs on; sketches merge by (partial) aggregation, so a
 line that is everywhere costs a sketch per map task. Lines whose estimate is clearly above the threshold are
-boilerplate; lines near it get an exact distinct count, over their occurrences only; lines below are kept. A document
-then loses its boilerplate lines. A document of which more than ``most_removed`` would go is a copy of other documents rather
-than one with boilerplate: it stays whole, for the near-duplicate operator to judge.
+boilerplate; lines near it get an exact distinct count, over their occurrences only; lines below are kept. All documents then
+lose their boilerplate lines, but for one: each such line stays where it occurs first (in the document with the smallest id), so that
+no content leaves the corpus, not that of a document which many sites copy either.
 
-Hashes of a document's boilerplate lines come back by its id. They are a property of lines, not of documents, so that repeated
-ids are harmless.
+What comes back to a document is the positions of its boilerplate lines, by the hash of its text: copies of a text share them, and
+repeated or null ids are harmless. Lines are then picked by position, in time linear in the text.
 
 Defined results: null text stays null and has no lines; lines are compared without spaces at their ends; lines shorter
-than ``least_chars`` are never boilerplate; a null site is no site; an empty table gives an empty result; other
-columns are kept, whatever their names.
+than ``least_chars`` (empty ones, by default) are never boilerplate; a null site is no site, but a document without one may keep a line; of equal ids the
+smallest text hash comes first, null ids come last; rows that repeat id and text keep or lose a line together; a text of which nothing stays is
+empty; an empty table gives an empty result; other columns are kept, whatever their names. A line is known by its 64-bit hash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.runtime import write_once
+from spanloom.runtime import discard, write_once
 
-SITES, LEAST_CHARS, MOST_REMOVED = 10, 20, 0.5
-
-
-def _key(line: Column) -> Column:
-    return F.xxhash64(F.trim(line))
+SITES, LEAST_CHARS = 10, 1
 
 
 def _lines(docs: DataFrame, least_chars: int, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    d = docs.select(F.col(id_col).alias("id"), F.col(site_col).alias("site"), F.explode(F.split(F.col(text_col), "\n")).alias("line"))
-    return d.filter(F.length(F.trim("line")) >= least_chars).select("id", "site", _key(F.col("line")).alias("h"))
+    d = docs.select(F.col(id_col).alias("id"), F.col(site_col).alias("site"), F.xxhash64(text_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "line"))
+    return d.filter(F.length(F.trim("line")) >= least_chars).select("id", "site", "doc", "at", F.xxhash64(F.trim("line")).alias("h"))
 
 
 def boilerplate(docs: DataFrame, sites: int = SITES, least_chars: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", log2k: int = 12) -> DataFrame:
-    """(h): hashes of the lines that occur on at least ``sites`` distinct sites."""
+    """(h, first): hashes of the lines that occur on at least ``sites`` distinct sites, and (no: without id, id, doc: hash of the text) of their first document."""
     lines = _lines(docs, least_chars, id_col, text_col, site_col)
     error = 4 * 1.04 / (2 ** (log2k / 2))  # four standard errors of the sketch
     low, high = sites * (1 - error) - 1, sites * (1 + error) + 1
-    s = lines.filter("site IS NOT NULL").groupBy("h").agg(F.hll_sketch_agg("site", F.lit(log2k)).alias("s"))
-    s = write_once(s.select("h", F.hll_sketch_estimate("s").alias("n")).filter(F.col("n") >= low), "linehll")
+    s = lines.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(log2k)).alias("s"), F.min(F.struct(F.col("id").isNull().alias("no"), "id", "doc")).alias("first"))
+    s = write_once(s.select("h", F.hll_sketch_estimate("s").alias("n"), "first").filter(F.col("n") >= low), "linehll")
     near = s.filter(F.col("n") <= high).select("h")
-    exact = lines.join(near, "h").groupBy("h").agg(F.count_distinct("site").alias("n")).filter(F.col("n") >= sites)
-    return write_once(s.filter(F.col("n") > high).select("h").unionByName(exact.select("h")), "lineset")
-
-
-def _hits(docs: DataFrame, flagged: DataFrame, least_chars: int, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    hits = _lines(docs, least_chars, id_col, text_col, site_col).select("id", "h").join(flagged, "h")
-    return hits.groupBy(F.col("id").alias("l_id")).agg(F.collect_set("h").alias("l_hits"))
+    exact = lines.filter("site IS NOT NULL").select("h", "site").join(near, "h").groupBy("h").agg(F.count_distinct("site").alias("n")).filter(F.col("n") >= sites)
+    flagged = write_once(s.filter(F.col("n") > high).select("h", "first").unionByName(s.join(exact.select("h"), "h").select("h", "first")), "lineset")
+    discard(s)
+    return flagged
 
 
-def _marked(docs: DataFrame, sites: int, least_chars: int, most_removed: float, id_col: str, text_col: str, site_col: str) -> DataFrame:
+def _marked(docs: DataFrame, sites: int, least_chars: int, id_col: str, text_col: str, site_col: str) -> DataFrame:
+    """(l_row: all columns but the text, l_lines, l_hits: positions of boilerplate lines, l_gone: of those that go, l_new: the text that stays)."""
     flagged = boilerplate(docs, sites, least_chars, id_col, text_col, site_col)
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("l_row"), F.col(id_col).alias("l_key"), F.col(text_col).alias("l_text"))
-    d = row.join(_hits(docs, flagged, least_chars, id_col, text_col, site_col), F.col("l_key").eqNullSafe(F.col("l_id")), "left")
-    lines = F.split("l_text", "\n")
-    gone = F.filter(lines, lambda x: F.array_contains("l_hits", _key(x)) & (F.length(F.trim(x)) >= least_chars))
-    d = d.withColumn("l_gone", F.when(F.col("l_hits").isNotNull(), gone))
-    chars = F.aggregate("l_gone", F.lit(0), lambda a, x: a + F.length(x))
-    d = d.withColumn("l_cut", F.coalesce((F.size("l_gone") > 0) & (chars <= most_removed * F.length("l_text")), F.lit(False)))
-    kept = F.array_join(F.filter(lines, lambda x: ~(F.array_contains("l_hits", _key(x)) & (F.length(F.trim(x)) >= least_chars))), "\n")
-    return d.withColumn("l_new", F.when(F.col("l_cut"), kept).otherwise(F.col("l_text"))).withColumn("l_lines", F.coalesce(F.size(lines), F.lit(0)))
-
-
-def strip(docs: DataFrame, sites: int = SITES, least_chars: int = LEAST_CHARS, most_removed: float = MOST_REMOVED, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+    found = _lines(docs, least_chars, id_col, text_col, site_col).join(flagged, "h")
+    mine = F.when((F.col("doc") == F.col("first.doc")) & F.col("id").eqNullSafe(F.col("first.id")), F.struct("id", "at"))
+    hits = found.groupBy(F.col("doc").alias("h_doc")).agg(F.collect_set("at").alias("h_all"), F.collect_set(mine).alias("h_first"))  # bounded by a text's lines
+    hits = write_once(hits, "linehits")
+    discard(flagged)
+    others = F.struct(F.lit(None).cast("string").alias("l_none"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    row = docs.select(others.alias("l_row"), F.col(id_col).alias("l_key"), F.xxhash64(text_col).alias("l_doc"), F.split(F.col(text_col), "\n").alias("l_lines"))
+    d = row.join(hits, (F.col("l_doc") == F.col("h_doc")) & F.col("l_lines").isNotNull(), "left")
+    first = F.transform(F.filter("h_first", lambda x: x["id"].eqNullSafe(F.col("l_key"))), lambda x: x["at"])
+    d = d.select("l_row", "l_key", "l_lines", F.coalesce("h_all", F.array().cast("array<int>")).alias("l_hits"), F.array_except(F.coalesce("h_all", F.array().cast("array<int>")), F.coalesce(first, F.array().cast("array<int>"))).alias("l_gone"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("l_lines") - 1), "l_gone")
+    new = F.when(F.size("l_gone") > 0, F.array_join(F.transform(stay, lambda i: F.col("l_lines")[i]), "\n")).otherwise(F.array_join("l_lines", "\n"))
+    return d.withColumn("l_new", new)
+
+
+def strip(docs: DataFrame, sites: int = SITES, least_chars: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """The documents without boilerplate lines; columns as in ``docs``, with n_chars, if there is one, of the new text."""
-    d = _marked(docs, sites, least_chars, most_removed, id_col, text_col, site_col)
+    d = _marked(docs, sites, least_chars, id_col, text_col, site_col)
     cols = []
     for c, kind in docs.dtypes:
-        x = F.col("l_row")[c]
         if c == text_col:
             x = F.col("l_new")
         elif c == "n_chars":
-            x = F.when(F.col("l_cut"), F.length("l_new").cast(kind)).otherwise(x)
+            x = F.when(F.size("l_gone") > 0, F.length("l_new").cast(kind)).otherwise(F.col("l_row")[c])
+        else:
+            x = F.col("l_row")[c]
         cols.append(x.alias(c))
     return d.select(*cols)
 
 
-def report(docs: DataFrame, sites: int = SITES, least_chars: int = LEAST_CHARS, most_removed: float = MOST_REMOVED) -> DataFrame:
-    """op8: a row per document: its lines, those that are boilerplate, whether it lost them, and what is left."""
-    d = _marked(docs, sites, least_chars, most_removed, "doc_id", "text", "source")
-    n = F.when(F.col("l_gone").isNotNull(), F.size("l_gone")).otherwise(0)
-    return d.select(F.col("l_key").alias("doc_id"), F.col("l_lines").alias("n_lines"), n.alias("n_boilerplate"), F.col("l_cut").alias("stripped"), F.coalesce(F.length("l_new"), F.lit(0)).alias("n_left"), F.md5("l_new").alias("left_md5"))
+def report(docs: DataFrame, sites: int = SITES, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """op8: a row per document: its lines, those that are boilerplate, whether it lost any, and what is left."""
+    d = _marked(docs, sites, least_chars, "doc_id", "text", "source")
+    return d.select(F.col("l_key").alias("doc_id"), F.coalesce(F.size("l_lines"), F.lit(0)).alias("n_lines"), F.size("l_hits").alias("n_boilerplate"), (F.size("l_gone") > 0).alias("stripped"), F.coalesce(F.length("l_new"), F.lit(0)).alias("n_left"), F.md5("l_new").alias("left_md5"))
 
 
-REPORT_SQL = f"""
-WITH l AS (SELECT source, trim(unnest(string_split(text, chr(10)))) AS t FROM documents),
-f AS (SELECT t FROM l WHERE length(t) >= {LEAST_CHARS} GROUP BY t HAVING count(DISTINCT source) >= {SITES}),
-s AS (SELECT coalesce(list(t), []) AS hits FROM f),
-d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines, list_filter(string_split(text, chr(10)), lambda x: list_contains(hits, trim(x))) AS gone,
-  list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(hits, trim(x))) AS kept FROM documents, s),
-e AS (SELECT *, len(gone) > 0 AND list_sum(list_transform(gone, lambda x: length(x))) <= {MOST_REMOVED} * length(text) AS cut FROM d)
-SELECT doc_id, CAST(coalesce(len(lines), 0) AS INTEGER) AS n_lines, CAST(coalesce(len(gone), 0) AS INTEGER) AS n_boilerplate, coalesce(cut, false) AS stripped,
-  CAST(coalesce(length(CASE WHEN cut THEN array_to_string(kept, chr(10)) ELSE text END), 0) AS INTEGER) AS n_left,
-  md5(CASE WHEN cut THEN array_to_string(kept, chr(10)) ELSE text END) AS left_md5 FROM e
+REPORT_SQL = """
+WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, source, unnest(range(1, len(lines) + 1)) AS pos, unnest(lines) AS line FROM d),
+f AS (SELECT trim(line) AS t, min(doc_id) AS holder FROM l WHERE length(trim(line)) >= 1 GROUP BY 1 HAVING count(DISTINCT source) >= 10),
+m AS (SELECT l.*, f.t IS NOT NULL AS common, coalesce(f.holder <> l.doc_id, false) AS gone FROM l LEFT JOIN f ON trim(l.line) = f.t),
+g AS (SELECT doc_id, count_if(common) AS n, bool_or(gone) AS cut, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(lines), 0) AS INTEGER) AS n_lines, CAST(coalesce(g.n, 0) AS INTEGER) AS n_boilerplate, coalesce(g.cut, false) AS stripped,
+  CAST(coalesce(length(CASE WHEN d.text IS NOT NULL THEN g.kept END), 0) AS INTEGER) AS n_left, md5(CASE WHEN d.text IS NOT NULL THEN g.kept END) AS left_md5
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 """
