@@ -7,14 +7,16 @@ from spanloom.llm import topk
 
 
 def brute(rows, k=20):
-    rows = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v)]
+    rows = [(i, [max(-(1 << 63), min((1 << 63) - 1, math.floor(64 * x))) for x in v]) for i, v in rows if i is not None and v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v)]
     queries = {}
     for i, v in rows:
         if i % 20 == 0:
             queries[i] = min(queries.get(i, v), v)
+    top = (1 << 63) - 1
+    held = lambda x: max(-top - 1, min(top, x))
     out = []
     for q, v in queries.items():
-        s = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q and len(w) == len(v))[:k]
+        s = sorted((-held(sum(a * b for a, b in zip(v, w, strict=True))), i) for i, w in rows if i != q and len(w) == len(v))[:k]
         out += [(q, n + 1, i, -x) for n, (x, i) in enumerate(s)]
     return sorted(out)
 
@@ -37,3 +39,20 @@ def test_large_components_and_empty(spark):
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(tuple(r) for r in topk.nearest(d).collect()) == brute(rows)
     assert topk.nearest(d.limit(0)).collect() == [] and topk.nearest(d.filter("vec_id = 0")).collect() == []
+
+
+def test_beyond_the_range_of_a_long(spark):
+    far = -(2.0**57)  # 64 times as much is the least long
+    rows = [(0, [far, far]), (1, [far, far]), (2, [-far, 1.0]), (3, [1.0, -1.0]), (4, [far, 0.0]), (5, [2.0, far]), (6, [-far, -far]), (20, [1e12, -3e11]), (7, [2e12, 5e11]), (8, [1e12, 1.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.nearest(d).collect()) == brute(rows)
+    g = np.random.default_rng(1)
+    rows = [(int(i), [float(x) for x in g.normal(size=20) * 10.0 ** g.uniform(0, 9)]) for i in range(300)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.top_k(d.filter("vec_id % 20 = 0"), d, query_block=4, row_block=30, group=3).collect()) == brute(rows)
+
+
+def test_narrow_integers():
+    for v, size in (([-128, 127], 1), ([0, 128], 2), ([-(1 << 31)], 4), ([-(1 << 63)], 8), ([], 1)):
+        x = topk.narrow(np.array(v, np.int64))
+        assert x.dtype.itemsize == size and x.tolist() == v
