@@ -1,11 +1,12 @@
 """URL filters: host and path rules, and a list of canonical URLs behind a blocked Bloom filter.
 
-The filter is a table of blocks of 8 words of 64 bits; a URL sets one bit in each word of its block. Its size is bounded
-by ``blocks`` (72 bytes each), whatever the length of the list, so it is broadcast. URLs that pass it go to an exact hash
-join with the list, which removes the false positives; a longer list only lets more of them pass.
+The filter is a table of blocks of 8 words of 64 bits; a URL sets one bit in each word of its block. It grows with the list up to
+``MOST_BLOCKS`` (72 bytes each), so it may be broadcast. URLs that pass it go to an exact hash
+join with the list, which removes the false positives; a list beyond some ten million only lets more of them pass.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and is not listed; rows are
-judged one by one, so repeated rows and null ids give a row each; an empty list lists nothing.
+judged one by one, so repeated rows and null ids give a row each; a very long url is judged whole; an empty list lists nothing; an empty table gives an
+empty result. ``listed`` keeps all columns, whatever their names (one named ``listed`` would be there twice).
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCKS = 1 << 16
+#: Blocks of 72 bytes: of the least and of the largest filter (72 MB), which is broadcast.
+BLOCKS, MOST_BLOCKS = 1 << 16, 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,24 +60,27 @@ def bloom(keys: DataFrame, key: str, blocks: int = BLOCKS) -> DataFrame:
     return b.groupBy("block").agg(*[F.bit_or(F.expr(f"shiftleft(one, b{i})")).alias(f"w{i}") for i in range(8)])
 
 
-def listed(rows: DataFrame, key: str, names: DataFrame, name: str, blocks: int = BLOCKS) -> DataFrame:
-    """``rows`` with a boolean ``listed``: whether ``key`` is among the ``name`` of ``names``."""
+def listed(rows: DataFrame, key: str, names: DataFrame, name: str, blocks: int | None = None) -> DataFrame:
+    """``rows`` with a boolean ``listed``: whether ``key`` is among the ``name`` of ``names``. Without ``blocks``, the filter has a block for every 16
+    names, BLOCKS at least and MOST_BLOCKS at most."""
     names = names.select(F.col(name).alias("l_name")).filter("l_name IS NOT NULL").distinct()
-    f = F.broadcast(bloom(names, "l_name", blocks))  # at most `blocks` rows
-    r = rows.withColumn("l_block", _block(F.col(key), blocks)).join(f, F.col("l_block") == F.col("block"), "left")
+    if blocks is None:
+        blocks = min(MOST_BLOCKS, max(BLOCKS, names.agg(F.approx_count_distinct("l_name")).first()[0] // 16))
+    f = bloom(names, "l_name", blocks).select(F.col("block").alias("l_at"), *[F.col(f"w{i}").alias(f"l_w{i}") for i in range(8)])
+    row = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("l_row"), F.col(key).alias("l_key"))
+    r = row.withColumn("l_block", _block(F.col("l_key"), blocks)).join(F.broadcast(f), F.col("l_block") == F.col("l_at"), "left")  # at most `blocks` rows
     hit = F.lit(True)
-    for i, b in enumerate(_bits(F.col(key))):
+    for i, b in enumerate(_bits(F.col("l_key"))):
         r = r.withColumn(f"l_b{i}", b)
-        hit = hit & (F.expr(f"shiftright(w{i}, l_b{i}) & 1L") == 1)
-    r = r.withColumn("l_maybe", F.coalesce(hit & F.col(key).isNotNull(), F.lit(False)))
-    r = r.select(*[F.col(f"`{c}`") for c in rows.columns], "l_maybe")
-    sure = r.filter("NOT l_maybe").drop("l_maybe").withColumn("listed", F.lit(False))
+        hit = hit & (F.expr(f"shiftright(l_w{i}, l_b{i}) & 1L") == 1)
+    r = r.withColumn("l_maybe", F.coalesce(hit & F.col("l_key").isNotNull(), F.lit(False))).select("l_row", "l_key", "l_maybe")
+    out = lambda x, y: x.select(*[F.col("l_row")[c].alias(c) for c in rows.columns], y.alias("listed"))
     names = names.withColumn("l_in", F.lit(True))
-    exact = r.filter("l_maybe").drop("l_maybe").join(names, F.col(key) == F.col("l_name"), "left")
-    return sure.unionByName(exact.withColumn("listed", F.coalesce("l_in", F.lit(False))).drop("l_in", "l_name"))
+    exact = r.filter("l_maybe").join(names, F.col("l_key") == F.col("l_name"), "left")
+    return out(r.filter("NOT l_maybe"), F.lit(False)).unionByName(out(exact, F.coalesce("l_in", F.lit(False))))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], names: DataFrame, name: str, id_col: str = "page_id", url_col: str = "url", blocks: int = BLOCKS) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], names: DataFrame, name: str, id_col: str = "page_id", url_col: str = "url", blocks: int | None = None) -> DataFrame:
     """(id, host, path, rule, verdict, listed): the longest fitting rule's verdict, else block if listed, else allow."""
     u = F.col(url_col)
     rows = pages.select(F.col(id_col).alias(id_col), host(u).alias("host"), path(u).alias("path"), canonical(u).alias("u_key"))

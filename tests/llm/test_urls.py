@@ -20,7 +20,7 @@ def verdict(h, p, rules):
 
 URLS = [
     None, "", "no scheme", "http://", "https://A.Example.ORG/es/1?x#y", "http://example.org/en/12", "http://example.org/en/2", "http://badexample.org/es/",
-    "http://x.com/fr/", "http://com/de/a", "HTTP://WWW.É.com/de", "http://x.org?q=/a", "http://x.org#f/", "a://b://c/d", "http://h.net/p/", "http://www.h.net/p//?u", "http://h.net/p/q\nr?s",
+    "http://x.com/fr/", "http://com/de/a", "HTTP://WWW.É.com/de", "http://x.org?q=/a", "http://x.org#f/", "a://b://c/d", "http://h.net/p/", "http://www.h.net/p//?u", "http://h.net/p/q\nr?s", "http://h.net/" + "long/" * 200_000 + "?x",
 ]
 
 
@@ -41,8 +41,9 @@ def test_rules_and_list(spark):
 
 def test_filter_has_no_false_negatives(spark):
     names = spark.range(3000).select(F.concat(F.lit("h"), F.col("id")).alias("name"))
-    probe = spark.range(6000).select(F.concat(F.lit("h"), F.col("id")).alias("k"), F.lit(1).alias("w0"), F.lit(2).alias("block"))
-    got = urls.listed(probe.drop("block", "w0"), "k", names, "name", blocks=64)
+    probe = spark.range(6000).select(F.concat(F.lit("h"), F.col("id")).alias("k"), F.lit(1).alias("w0"), F.lit(2).alias("block"), F.lit(3).alias("l_block"), F.lit(4).alias("l_key"))
+    got = urls.listed(probe, "k", names, "name", blocks=64)
+    assert got.columns == [*probe.columns, "listed"] and got.filter("w0 = 1 AND block = 2 AND l_key = 4").count() == 6000
     assert got.filter("listed").count() == 3000 and got.count() == 6000
     assert urls.bloom(names, "name", 64).count() == 64
 
