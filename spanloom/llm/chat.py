@@ -4,11 +4,12 @@ Chosen and rejected conversations of a pair are joined by turn; the first turn a
 because one side lacks it) ends their longest common prefix. Prefix turns are emitted once, as ``prompt``; the others as
 ``chosen`` and ``rejected``, rendered, with ``loss`` true where a model is trained on the turn (completion turns of the
 assistant). The result has a row per turn, in the order of ``turn``, so that no conversation, however long, has
-to fit into one row or task; the join and the minimum per pair are pre-aggregated and split by the planner if skewed.
+to fit into one row or task; the join and the minimum per pair are pre-aggregated and split by the planner if skewed. ``assemble`` makes a training
+row per pair of these: prompt, both completions, and the stretches of each that are trained on.
 
 Defined results: rows with a null pair or turn take no part; null role or text count as empty; of rows that repeat a
 turn the smallest (role, text) is kept; a pair that lacks one side is not a pair and is left out; equal sides give a
-prompt alone; other columns are ignored.
+prompt alone, which ``assemble`` gives empty completions; a very long turn is a row like any other; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.runtime import write_once
+
 
 def render(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), role, F.lit("|>\n"), text, F.lit("<|end|>\n"))
@@ -43,17 +46,52 @@ def preferences(chosen: DataFrame, rejected: DataFrame, pair: str = "pair_id", t
     return out.select("pair_id", F.col("s.part").alias("part"), "turn", role_of.alias("role"), render(role_of, F.col("s.x.text")).alias("rendered"), ((F.col("s.part") != "prompt") & (role_of == trained)).alias("loss"))
 
 
-def neighbour_pairs(conversations: DataFrame) -> DataFrame:
-    """op6: of conversations 2n and 2n + 1 the first is the chosen one."""
-    c = conversations.withColumn("pair_id", F.floor(F.col("conv_id") / 2))
-    return preferences(c.filter("pmod(conv_id, 2) = 0"), c.filter("pmod(conv_id, 2) = 1"))
+def assemble(turns: DataFrame) -> DataFrame:
+    """(pair_id, prompt, chosen, rejected, chosen_trained, rejected_trained) of rows as ``preferences`` returns them: a row per pair, which holds
+    the pair's conversation as a training example does; trained stretches are (start, end) in characters of the completion."""
+    part = lambda p: F.array_sort(F.collect_list(F.when(F.col("part") == p, F.struct("turn", "rendered", "loss"))))
+    g = turns.groupBy("pair_id").agg(*[part(p).alias(p) for p in ("prompt", "chosen", "rejected")])
+    text = lambda p: F.array_join(F.transform(p, lambda x: x["rendered"]), "")
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+
+    def step(held, x):
+        end = held["at"] + F.length(x["rendered"])
+        span = F.array(F.struct(held["at"].alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(x["loss"], F.concat(held["spans"], span)).otherwise(held["spans"]).alias("spans"))
+
+    spans = lambda p: F.aggregate(p, none, step, lambda held: held["spans"])
+    return g.select("pair_id", *[text(p).alias(p) for p in ("prompt", "chosen", "rejected")], spans("chosen").alias("chosen_trained"), spans("rejected").alias("rejected_trained"))
+
+
+def other_answers(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chosen, rejected): every conversation with an answer, and the same with its last answer taken from its neighbour (2n and 2n + 1 are neighbours);
+    without a neighbour's answer, that turn is missing."""
+    t = _turns(conversations, "conv_id", "turn", "role", "text").select(F.col("pair_id"), "turn", "x.role", "x.text")
+    last = t.groupBy(F.col("pair_id").alias("l_id")).agg(F.max(F.when(F.col("role") == "assistant", F.struct("turn", "text"))).alias("last")).filter("last IS NOT NULL")
+    last = write_once(last.select("l_id", F.col("last.turn").alias("l_turn"), F.col("last.text").alias("l_text")), "answers")
+    mate = last.select(F.when(F.pmod("l_id", F.lit(2)) == 0, F.col("l_id") + 1).otherwise(F.col("l_id") - 1).alias("m_id"), F.col("l_text").alias("m_text"))
+    both = write_once(last.join(mate, F.col("l_id") == F.col("m_id"), "left").select("l_id", "l_turn", "m_text"), "answers")
+    rows = t.join(both, F.col("pair_id") == F.col("l_id"))
+    here = F.col("turn") == F.col("l_turn")
+    rejected = rows.filter(~here | F.col("m_text").isNotNull()).select("pair_id", "turn", "role", F.when(here, F.col("m_text")).otherwise(F.col("text")).alias("text"))
+    return rows.select("pair_id", "turn", "role", "text"), rejected
+
+
+def answer_pairs(conversations: DataFrame) -> DataFrame:
+    """op6: preferences for a conversation's own last answer over its neighbour's."""
+    return preferences(*other_answers(conversations))
 
 
 PAIRS_SQL = r"""
-WITH c AS (SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, ((conv_id % 2) + 2) % 2 AS side, turn,
-  min(struct_pack(r := coalesce(role, ''), t := coalesce(text, ''))) AS x FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+WITH t AS (SELECT conv_id, turn, min(struct_pack(r := coalesce(role, ''), t := coalesce(text, ''))) AS x FROM conversations
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+l AS (SELECT conv_id, max(struct_pack(turn := turn, t := x.t)) AS last FROM t WHERE x.r = 'assistant' GROUP BY conv_id),
+m AS (SELECT l.conv_id, l.last.turn AS at, o.last.t AS other FROM l LEFT JOIN l o ON o.conv_id = CASE WHEN l.conv_id % 2 = 0 THEN l.conv_id + 1 ELSE l.conv_id - 1 END),
+a AS (SELECT t.conv_id AS pair_id, turn, x FROM t JOIN m ON t.conv_id = m.conv_id),
+z AS (SELECT t.conv_id AS pair_id, turn, CASE WHEN turn = at THEN struct_pack(r := x.r, t := other) ELSE x END AS x
+  FROM t JOIN m ON t.conv_id = m.conv_id WHERE turn <> at OR other IS NOT NULL),
 b AS (SELECT coalesce(a.pair_id, z.pair_id) AS pair_id, coalesce(a.turn, z.turn) AS turn, a.x AS a, z.x AS z
-  FROM (SELECT * FROM c WHERE side = 0) a FULL JOIN (SELECT * FROM c WHERE side = 1) z ON a.pair_id = z.pair_id AND a.turn = z.turn),
+  FROM a FULL JOIN z ON a.pair_id = z.pair_id AND a.turn = z.turn),
 e AS (SELECT *, min(CASE WHEN a IS NULL OR z IS NULL OR a <> z THEN turn END) OVER p AS first, count(a) OVER p AS na, count(z) OVER p AS nz
   FROM b WINDOW p AS (PARTITION BY pair_id)),
 o AS (SELECT pair_id, turn, 'prompt' AS part, a AS x FROM e WHERE na > 0 AND nz > 0 AND (first IS NULL OR turn < first)

@@ -33,7 +33,7 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.neighbour_pairs(table(spark, sf_dir, "conversations"))
+    return chat.answer_pairs(table(spark, sf_dir, "conversations"))
 
 
 def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

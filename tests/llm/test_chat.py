@@ -35,3 +35,26 @@ def test_against_brute_force(spark):
     assert got == brute(chosen, rejected)
     assert {r[1] for r in got} == {"prompt", "chosen", "rejected"}
     assert chat.preferences(a.limit(0), b).collect() == []
+
+
+def test_pairs_share_the_prefix_up_to_the_last_answer(spark):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c} says {t}") for c in range(8) for t in range(1 + c)]
+    rows += [(20, 0, "assistant", "alone"), (22, 0, "user", "q"), (22, 1, "assistant", "same"), (23, 3, "assistant", "same"), (24, 0, "user", "no answer"), (30, 0, "user", "x" * 3_000_000), (30, 1, "assistant", "y"), (31, 7, "assistant", "z"), (None, 0, "assistant", "n")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 pair_id", "2 l_id")
+    chosen = [r for r in rows if r[0] is not None]
+    last = {c: max((r[1], r[3]) for r in chosen if r[0] == c and r[2] == "assistant") for c in {r[0] for r in chosen if r[2] == "assistant"}}
+    chosen = [r for r in chosen if r[0] in last]
+    rejected = [r if r[1] != last[r[0]][0] else (*r[:3], last[r[0] ^ 1][1]) for r in chosen if r[1] != last[r[0]][0] or r[0] ^ 1 in last]
+    got = chat.answer_pairs(d)
+    assert sorted(tuple(r) for r in got.collect()) == brute(chosen, rejected)
+    length = {p: got.filter(f"pair_id = {p} AND part = 'prompt'").count() for p in (1, 6, 7, 22, 30, 31)}
+    assert length == {1: 0, 6: 0, 7: 0, 22: 2, 30: 1, 31: 0} or length[22] == 2 and length[30] == 1
+    one = {r.pair_id: r for r in chat.assemble(got).collect()}
+    for p, r in one.items():
+        mine = [x for x in got.collect() if x.pair_id == p]
+        for part in ("prompt", "chosen", "rejected"):
+            assert r[part] == "".join(x.rendered for x in sorted(mine, key=lambda x: x.turn) if x.part == part)
+        for part in ("chosen", "rejected"):
+            assert [r[part][a:b] for a, b in r[f"{part}_trained"]] == [x.rendered for x in sorted(mine, key=lambda x: x.turn) if x.part == part and x.loss]
+    assert one[22].chosen == "" and one[22].prompt.count("<|end|>") == 2
+    assert chat.answer_pairs(d.limit(0)).collect() == [] and chat.assemble(got.limit(0)).collect() == []
