@@ -4,12 +4,14 @@ A text's payload is stored as an 8-bit mono WAV file. The payload is cut where t
 last 64 bytes) are zero. Media are described by an ordered list of chunk digests; the chunks are deduplicated by digest, within map tasks first and
 then by a join; lists are deduplicated by the medium's digest, so copies of a text are one list. Joining lists with the
 chunk store, by digest, and gathering chunks in order, by medium, gives the media back; each is verified against its
-digest before features are computed from the samples that it holds.
+digest before anything is computed from the samples that it holds. A digest that many media hold is stored in as many copies as there are
+parts of ``PART`` references, so that no part of a join is larger.
 
-Chunks travel compressed (by block sorting, which suits short texts). A task holds a slice of texts, or the chunks of one medium.
+Chunks travel compressed (by block sorting, which suits short texts). A task holds a slice of texts, or the chunks of one medium. Texts are cut twice, for the
+lists and for the store: that costs less than a written store, which would pass the payload through the disk once more.
 
 Defined results: null text counts as empty; an empty payload is one block of spaces; repeated rows and ids give a row each;
-an empty table gives an empty result; other columns are ignored.
+a very long text is one medium, put together in one task; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import bz2
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import text_slices
-from spanloom.runtime import write_once
+from spanloom.runtime import spread, write_once
 
 BLOCK, RATE = 192, 8000
 LEAST, MOST, BITS = 2048, 65536, 13
+PART = 4096
 
 
 def _gear() -> np.ndarray:
@@ -107,11 +110,11 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 parts.append([digest(c) for c in chunks(p)])
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(media, pa.binary()), pa.array(parts, pa.list_(pa.binary()))], names=["id", "n_bytes", "media", "parts"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, media binary, parts array<binary>")
+    return spread(rows).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, media binary, parts array<binary>")
 
 
-def chunk_store(docs: DataFrame, text_col: str = "text", remember: int = 1 << 18) -> DataFrame:
-    """(digest, data): each distinct chunk once, compressed."""
+def chunk_store(docs: DataFrame, shared: DataFrame, text_col: str = "text", remember: int = 1 << 18) -> DataFrame:
+    """(digest, copy, data): each distinct chunk, compressed, once, or in all copies that ``shared`` (digest, copies) asks for."""
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,13 +132,34 @@ def chunk_store(docs: DataFrame, text_col: str = "text", remember: int = 1 << 18
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], names=["digest", "data"])
 
-    return rows.mapInArrow(run, "digest binary, data binary").repartition("digest").dropDuplicates(["digest"])
+    c = spread(rows).mapInArrow(run, "digest binary, data binary").join(shared, "digest", "left")
+    c = c.select("digest", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"), "data")
+    return c.repartition("digest", "copy").dropDuplicates(["digest", "copy"])
 
 
-def restore(lists: DataFrame, store: DataFrame) -> DataFrame:
-    """Media of (media, parts) rows, put together from the store and verified, with what is computed from them."""
-    parts = lists.dropDuplicates(["media"]).select("media", F.posexplode("parts").alias("at", "digest"))
-    rows = parts.join(store, "digest").select("media", "at", "data").repartition("media").sortWithinPartitions("media", "at")
+def _facts(media: bytes) -> tuple:
+    p = samples(media)
+    return len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(media), feature(media)
+
+
+FACTS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string"
+
+
+def shared_chunks(lists: DataFrame, part: int = PART) -> DataFrame:
+    """(digest, copies) of the digests that more than ``part`` media hold."""
+    n = lists.select(F.explode("parts").alias("digest")).groupBy("digest").agg(F.ceil(F.count("*") / part).cast("int").alias("copies"))
+    return write_once(n.filter("copies > 1"), "mediashared")
+
+
+def restore(lists: DataFrame, store: DataFrame, shared: DataFrame, each: Callable[[bytes], tuple] | None = None, columns: str = "file binary") -> DataFrame:
+    """(media, file) of (media, parts) rows: the media, put together from the store and verified. With ``each``, instead of the file, the ``columns``
+    that it computes from it, in the same task."""
+    parts = lists.dropDuplicates(["media"]).select("media", F.posexplode("parts").alias("at", "digest")).join(shared, "digest", "left")
+    parts = parts.withColumn("copy", F.pmod(F.xxhash64("media"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    rows = parts.join(store, ["digest", "copy"]).select("media", "at", "data").repartition("media").sortWithinPartitions("media", "at")
+    names = [c.strip().split(" ")[0] for c in columns.split(",")]
+    kinds = {"binary": pa.binary(), "long": pa.int64(), "string": pa.string()}
+    types = [kinds[c.strip().split(" ")[1]] for c in columns.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(key: bytes, held: list[bytes]) -> tuple:
@@ -143,36 +167,36 @@ def restore(lists: DataFrame, store: DataFrame) -> DataFrame:
             media = header(len(p)) + p
             if hashlib.sha256(media).digest() != key:
                 raise ValueError(f"medium {key.hex()} was not put together as it was stored")
-            p = samples(media)
-            return key, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(media), feature(media)
+            return (key, *(each(media) if each else (media,)))
 
         def batch(out: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-            names = ["media", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature"]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), [pa.binary(), *types], strict=True)], names=["media", *names])
 
-        key, held, out = None, [], []
+        key, held, out, size = None, [], [], 0
         for b in text_slices(batches, "data"):
             for k, d in zip(b.column("media").to_pylist(), b.column("data").to_pylist(), strict=True):
                 if k != key:
                     if key is not None:
+                        size += sum(map(len, held))
                         out.append(done(key, held))
                     key, held = k, []
+                    if len(out) >= 1000 or size > 1 << 24 and not each:
+                        yield batch(out)
+                        out, size = [], 0
                 held.append(bz2.decompress(d))
-            if len(out) >= 1000:
-                yield batch(out)
-                out = []
         if key is not None:
             out.append(done(key, held))
         if out:
             yield batch(out)
 
-    return rows.mapInArrow(run, "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string")
+    return rows.mapInArrow(run, f"media binary, {columns}")
 
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """op7: store, read back, verify and describe the media of all rows."""
     d = write_once(describe(docs, id_col, text_col), "medialist")
-    m = restore(d.select("media", "parts"), chunk_store(docs, text_col))
+    lists = d.select("media", "parts")
+    shared = shared_chunks(lists)
+    m = restore(lists, chunk_store(docs, shared, text_col), shared, _facts, FACTS)
     out = d.select(F.col("id").alias(id_col), "n_bytes", "media").join(m, "media")
     return out.select(id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media")).alias("media_sha256"), "feature")

@@ -52,4 +52,21 @@ def test_broken_store_is_noticed(spark):
     docs = spark.createDataFrame([(1, "text")], "doc_id long, text string")
     lists = media.describe(docs).selectExpr("unhex(repeat('00', 32)) media", "parts")
     with pytest.raises(Exception, match="not put together"):
-        media.restore(lists, media.chunk_store(docs)).collect()
+        shared = media.shared_chunks(lists)
+        media.restore(lists, media.chunk_store(docs, shared), shared).collect()
+
+
+@pytest.mark.parametrize("part", [1, 3, 4096])
+def test_files_come_back(spark, part):
+    base = TEXTS[6]
+    texts = [f"{i} {base}" for i in range(9)] + TEXTS
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    d = media.describe(docs)
+    lists = d.select("media", "parts")
+    shared = media.shared_chunks(lists, part)
+    assert (shared.count() > 0) == (part < 9)
+    files = {bytes(r.media): bytes(r.file) for r in media.restore(lists, media.chunk_store(docs, shared), shared).collect()}
+    for r in d.collect():
+        p = media.payload_of(texts[r.id] or "")
+        assert files[bytes(r.media)] == media.header(len(p)) + p
+    assert len(files) == len({media.payload_of(t or "") for t in texts})
