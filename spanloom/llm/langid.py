@@ -5,14 +5,15 @@ script; each candidate gets the word's log likelihood under smoothed counts of i
 itself. Viterbi decoding over a text's words, with a penalty for switching, labels spans. A text's language is
 the one with most letters; its score is that language's share of the letters.
 
-The model is learned from a bounded sample: about ``PER_LANG`` texts of each of the ``MAX_LANGS`` most frequent languages (chosen
-by hash, read whole), of which the ``MAX_GRAMS`` most frequent features are kept. Its size is bounded by these
-parameters, so it is broadcast. Prediction reads texts alone, all of them, whole.
+The model is learned from a bounded sample: about ``PER_LANG`` distinct texts of every language (chosen by hash, read whole), however often they repeat; of
+each language's features the ``PER_LANG_GRAMS`` most frequent are kept. Its size is bounded by these parameters and the number of languages, so it is
+broadcast. Prediction reads texts alone, all of them, whole.
 
 Decoding runs over all texts of a slice at once, word by word, so that its cost per word is a few vector operations.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and no spans; without training rows every text
-is ``und``; repeated rows and ids give a row each; an empty table gives an empty result; other columns are ignored.
+is ``und``; repeated rows and ids give a row each; a very long text is decoded alone, with a byte or two a word and language; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import text_slices
+from spanloom.runtime import discard, spread, write_once
 
-PER_LANG, MAX_LANGS, MAX_GRAMS = 1500, 128, 60_000
+PER_LANG, PER_LANG_GRAMS = 1500, 20_000
 PENALTY, FAR = 12.0, -40.0
 CACHE = 200_000
 
@@ -61,16 +64,16 @@ def grams(word: str) -> list[str]:
     return [w[i : i + 3] for i in range(len(w) - 2)] + [f"={w}"]
 
 
-def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, max_langs: int = MAX_LANGS, max_grams: int = MAX_GRAMS) -> dict:
-    """A model from rows with a non-null language; what reaches the driver is bounded by the parameters."""
-    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, per_lang_grams: int = PER_LANG_GRAMS) -> dict:
+    """A model from rows with a non-null language; what reaches the driver is bounded by the parameters and the number of languages."""
+    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
+    mark = F.xxhash64(F.lit(11), "text")
+    langs = rows.groupBy("lang").agg(F.approx_count_distinct(mark, 0.02).alias("n")).orderBy("lang").collect()
     if not langs:
         return {"langs": []}
-    share = F.lit(0.0)
-    for r in langs:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, per_lang / r["count"])).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.lit(11), "text"), F.lit(1 << 20)) / float(1 << 20)
+    share = F.element_at(F.create_map(*[F.lit(x) for r in langs for x in (r["lang"], min(1.0, per_lang / r["n"]))]), F.col("lang"))
+    draw = F.pmod(mark, F.lit(1 << 20)) / float(1 << 20)
+    sample = rows.filter(draw < share).groupBy("lang", mark.alias("m")).agg(F.first("text").alias("text"))
     kind = "lang string, kind string, gram string, n long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,24 +93,27 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["lang", "kind", "gram", "n"])
 
-    counts = rows.filter(draw < share).mapInArrow(count, kind).groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
-    per = counts.groupBy("kind", "gram").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    kept = per.filter("kind = 'gram'").orderBy(F.desc("all"), "gram").limit(max_grams).collect()
+    counts = sample.select("text", "lang").mapInArrow(count, kind).groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
+    counts = write_once(counts, "langcounts")
+    place = F.row_number().over(W.partitionBy("kind", "lang").orderBy(F.desc("n"), "gram"))
+    some = counts.withColumn("place", place).filter(F.col("place") <= per_lang_grams).select("kind", "gram").distinct()
+    kept = counts.join(some, ["kind", "gram"]).groupBy("kind", "gram").agg(F.collect_list(F.struct("lang", "n")).alias("by")).orderBy("kind", "gram").collect()
+    discard(counts)
     names = [r["lang"] for r in langs]
     at = {x: i for i, x in enumerate(names)}
-    table = np.zeros((len(kept), len(names)))
-    for i, r in enumerate(kept):
+    features = [r for r in kept if r["kind"] == "gram"]
+    table = np.zeros((len(features), len(names)))
+    for i, r in enumerate(features):
         for lang, n in r["by"]:
             table[i, at[lang]] = n
-    total, v = table.sum(axis=0), max(1, len(kept))
-    scripts = {r["gram"]: [at[lang] for lang, n in r["by"]] for r in per.filter("kind = 'script'").collect()}
-    per_script = {r["gram"]: {lang: n for lang, n in r["by"]} for r in per.filter("kind = 'script'").collect()}
+    total, v = table.sum(axis=0), max(1, len(features))
+    per_script = {r["gram"]: dict(r["by"]) for r in kept if r["kind"] == "script"}
     words = Counter()
     for x in per_script.values():
         words.update(x)
-    allowed = {s: np.array([per_script[s].get(x, 0) >= 0.005 * words[x] and x in per_script[s] for x in names]) for s in scripts}
+    allowed = {s: np.array([per_script[s].get(x, 0) >= 0.005 * words[x] and x in per_script[s] for x in names]) for s in per_script}
     return {
-        "langs": names, "row": {r["gram"]: i for i, r in enumerate(kept)}, "scripts": {s: a for s, a in allowed.items() if a.any()},
+        "langs": names, "row": {r["gram"]: i for i, r in enumerate(features)}, "scripts": {s: a for s, a in allowed.items() if a.any()},
         "table": np.vstack([np.log((table + 0.5) / (total + 0.5 * v)), np.log(0.5 / (total + 0.5 * v))[None]]).astype(np.float32),
     }
 
@@ -116,7 +122,8 @@ class Labeller:
     def __init__(self, model: dict, penalty: float = PENALTY, cache: int = CACHE):
         self.m, self.penalty, self.cache, self.find = model, penalty, cache, _find()
         self.known: dict[str, int] = {}
-        self.scores = np.empty((0, len(model["langs"])), np.float32)
+        self.scores = np.empty((1 << 12, len(model["langs"])), np.float32)  # grows by doubling
+        self.kind = np.min_scalar_type(max(1, len(model["langs"]) - 1))
 
     def _score(self, words: list[str]) -> np.ndarray:
         row, unknown = self.m["row"], len(self.m["table"]) - 1
@@ -133,11 +140,16 @@ class Labeller:
     def _index(self, texts: list[list[str]]) -> np.ndarray:
         new = list(set().union(*texts).difference(self.known))
         if len(self.known) + len(new) > self.cache:
-            self.known, self.scores = {}, self.scores[:0]
+            self.known = {}
             new = list(set().union(*texts))
         if new:
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.scores = np.concatenate([self.scores, self._score(new)])
+            at, to = len(self.known), len(self.known) + len(new)
+            if to > len(self.scores):
+                held = self.scores
+                self.scores = np.empty((max(to, 2 * len(held)), held.shape[1]), np.float32)
+                self.scores[:at] = held[:at]
+            self.known.update(zip(new, range(at, to), strict=True))
+            self.scores[at:to] = self._score(new)
         get = self.known.__getitem__
         return np.fromiter((get(w) for t in texts for w in t), np.int64)
 
@@ -153,7 +165,7 @@ class Labeller:
         begin, length = start[order], size[order]
         steps = int(length[0])
         active = np.searchsorted(-length, -np.arange(steps), side="left")  # texts longer than t
-        back = np.zeros((len(words), nl), np.uint8)
+        back = np.zeros((len(words), nl), self.kind)
         value = np.zeros((len(texts), nl), np.float32)
         for t in range(steps):
             a = active[t]
@@ -164,7 +176,7 @@ class Labeller:
                 back[at] = np.where(v < jump, lead[:, None], np.arange(nl)[None])
                 np.maximum(v, jump, out=v)
             v += self.scores[words[at]]
-        out, now = np.zeros(len(words), np.uint8), value.argmax(axis=1)
+        out, now = np.zeros(len(words), self.kind), value.argmax(axis=1)
         for t in range(steps - 1, -1, -1):
             at = begin[: active[t]] + t
             cur = now[: active[t]]
@@ -206,7 +218,7 @@ def label(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             lang, score, spans = zip(*labeller(b.column("text").to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, span)], names=[id_col, "lang_pred", "score", "spans"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
+    return spread(rows).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
 
 
 def fold(doc_id: Column) -> Column:

@@ -59,3 +59,42 @@ def test_no_training_rows(spark):
     d = spark.createDataFrame([(1, "text", None, "x")], "doc_id long, text string, lang string, score string")
     r = langid.predict(d).collect()
     assert [(x.lang_pred, x.score) for x in r] == [("und", 0.0)] and langid.predict(d.limit(0)).collect() == []
+
+
+def test_counts_label_and_score_by_hand(spark):
+    learned = [("ana banana ana", "aa"), ("zug zog zug", "zz"), ("ana zug", "zz"), (None, "aa"), ("lost", None)]
+    m = langid.fit(spark.createDataFrame(learned, "text string, lang string"))
+    c = {x: {} for x in m["langs"]}
+    for t, lang in learned:
+        for w in (t or "").split() if lang else ():
+            for g in langid.grams(w):
+                c[lang][g] = c[lang].get(g, 0) + 1
+    features = set(c["aa"]) | set(c["zz"])
+    assert set(m["row"]) == features
+    total = {x: sum(c[x].values()) for x in c}
+    p = lambda g, x: np.log((c[x].get(g, 0) + 0.5) / (total[x] + 0.5 * len(features)))
+    for g, i in m["row"].items():
+        assert m["table"][i].tolist() == pytest.approx([p(g, x) for x in m["langs"]], rel=1e-5)
+    words = ["ana", "banana", "zug", "ana", "zog", "zog", "zug", "zug"]
+    score = lambda w, x: sum(p(g, x) for g in langid.grams(w))
+    cost = lambda path: sum(score(w, x) for w, x in zip(words, path, strict=True)) - 2.0 * sum(a != b for a, b in zip(path, path[1:], strict=False))
+    path = max(itertools.product(m["langs"], repeat=len(words)), key=cost)
+    letters = {x: sum(len(w) for w, y in zip(words, path, strict=True) if y == x) for x in m["langs"]}
+    lang, share, spans = langid.Labeller(m, penalty=2.0)([" ".join(words)])[0]
+    assert lang == max(letters, key=letters.get) and share == pytest.approx(max(letters.values()) / sum(letters.values()))
+    assert [s["lang"] for s in spans] == [k for k, _ in itertools.groupby(path)]
+
+
+def test_no_language_is_dropped_and_copies_do_not_crowd_out(spark):
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3)) * 3
+    rows = [(f"{word(i)} {word(i)}", f"l{i:03}") for i in range(300)] + [("copied copied", "l000")] * 3000 + [(f"other{word(i)}", "l000") for i in range(20)]
+    m = langid.fit(spark.createDataFrame(rows, "text string, lang string"), per_lang=10)
+    assert len(m["langs"]) == 300
+    got = langid.Labeller(m)([f"{word(i)} {word(i)} {word(i)}" for i in range(1, 300)])
+    assert [g[0] for g in got] == m["langs"][1:]
+    assert m["table"].shape[1] == 300 and sum(g.startswith("=_other") for g in m["row"]) > 2
+
+
+def test_very_long_text(spark, model):
+    d = spark.createDataFrame([(1, "der die und das ist nicht " * 60_000)], "doc_id long, text string")
+    assert langid.label(d, model).first().lang_pred == "de"
