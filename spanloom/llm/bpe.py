@@ -24,13 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import text_slices
+from spanloom.runtime import spread
 
 INF = np.int64(1) << 62
-#: Pieces that a worker remembers. Only speed depends on it.
-CACHE = 300_000
+#: Bytes of pieces and ids that a worker remembers. Only speed depends on it.
+CACHE = 1 << 25
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
+
+
 class Vocabulary:
     """Token bytes by rank, and an open-addressing table (left id, right id) -> merged id."""
 
@@ -62,8 +68,7 @@ class Vocabulary:
     @classmethod
     def load(cls, path: str) -> Vocabulary:
         """A file with a base64 token and its rank per line."""
-        with open(path, "rb") as f:
-            return cls({base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())})
+        return cls(read_ranks(path))
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * _MUL) >> self.shift).astype(np.int64)
@@ -167,14 +172,17 @@ class Encoder:
         import regex
 
         self.v, self.find, self.most, self.known = v, regex.compile(pattern).findall, cache, {}
+        self.held = 0
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         pieces = [self.find(t) for t in texts]
         new = list(set().union(*pieces).difference(self.known))
-        if len(self.known) + len(new) > self.most:
+        if self.held > self.most:
             self.known.clear()
-            new = list(set().union(*pieces))
-        self.known.update(zip(new, encode_pieces(self.v, [x.encode() for x in new]), strict=True))
+            self.held, new = 0, list(set().union(*pieces))
+        ids = encode_pieces(self.v, [x.encode() for x in new])
+        self.known.update(zip(new, ids, strict=True))
+        self.held += sum(map(len, new)) + sum(map(len, ids)) + 100 * len(new)
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
 
@@ -195,7 +203,7 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "d
     which is made from the ids alone."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(vocabulary_path).ranks)  # bounded by the file
+    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary_path))  # bounded by the file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(shared)
@@ -209,14 +217,14 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "d
                 names.append("decoded")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids binary" + ", decoded binary" * decode)
+    return spread(rows).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids binary" + ", decoded binary" * decode)
 
 
 def decode(encoded: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, text) of packed ids; ids that end within a character give U+FFFD there."""
     rows = encoded.select(F.col(id_col).alias("id"), F.coalesce(F.col(ids_col), F.lit(b"")).alias("ids"))
     kind = rows.schema["id"].dataType.simpleString()
-    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(vocabulary_path).ranks)
+    shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(shared)
