@@ -2,6 +2,11 @@
 
 Each stage is a function of (spark, docs, sf_dir) and works on all rows that its predecessor kept; ``run`` writes each stage's
 rows as Parquet in the shared folder and reads them again. All but the last return the columns of documents.
+
+Defined results: null and empty texts pass the quality stage (there is nothing to judge), are one class of copies, and count no words, so that the mix takes none
+of them; null ids, languages and sources are values like any other; rows that repeat an id are judged by their texts, and stay together in the
+quality stage if one of them stays; a line that many sites hold stays where it occurs first; very long texts go through whole; an empty table gives an empty result; extra
+columns of documents are carried along to the last stage, whatever their names.
 """
 
 from __future__ import annotations
