@@ -86,10 +86,10 @@ PAIRS_SQL = r"""
 WITH t AS (SELECT conv_id, turn, min(struct_pack(r := coalesce(role, ''), t := coalesce(text, ''))) AS x FROM conversations
   WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
 l AS (SELECT conv_id, max(struct_pack(turn := turn, t := x.t)) AS last FROM t WHERE x.r = 'assistant' GROUP BY conv_id),
-m AS (SELECT l.conv_id, l.last.turn AS at, o.last.t AS other FROM l LEFT JOIN l o ON o.conv_id = CASE WHEN l.conv_id % 2 = 0 THEN l.conv_id + 1 ELSE l.conv_id - 1 END),
+m AS (SELECT l.conv_id, l.last.turn AS pos, o.last.t AS other FROM l LEFT JOIN l o ON o.conv_id = CASE WHEN l.conv_id % 2 = 0 THEN l.conv_id + 1 ELSE l.conv_id - 1 END),
 a AS (SELECT t.conv_id AS pair_id, turn, x FROM t JOIN m ON t.conv_id = m.conv_id),
-z AS (SELECT t.conv_id AS pair_id, turn, CASE WHEN turn = at THEN struct_pack(r := x.r, t := other) ELSE x END AS x
-  FROM t JOIN m ON t.conv_id = m.conv_id WHERE turn <> at OR other IS NOT NULL),
+z AS (SELECT t.conv_id AS pair_id, turn, CASE WHEN turn = pos THEN struct_pack(r := x.r, t := other) ELSE x END AS x
+  FROM t JOIN m ON t.conv_id = m.conv_id WHERE turn <> pos OR other IS NOT NULL),
 b AS (SELECT coalesce(a.pair_id, z.pair_id) AS pair_id, coalesce(a.turn, z.turn) AS turn, a.x AS a, z.x AS z
   FROM a FULL JOIN z ON a.pair_id = z.pair_id AND a.turn = z.turn),
 e AS (SELECT *, min(CASE WHEN a IS NULL OR z IS NULL OR a <> z THEN turn END) OVER p AS first, count(a) OVER p AS na, count(z) OVER p AS nz
