@@ -84,7 +84,7 @@ def contained(values: DataFrame, needles: DataFrame, value: str, needle: str, si
     """(value, needle) of the distinct values that contain a needle: an equality on a needle's first characters and a value's runs of as many, then a test."""
     keyed = needles.select(F.col(needle).alias("needle")).filter("needle <> ''").distinct().withColumn("_k", F.substring("needle", 1, size))
     v = values.select(F.col(value).alias("value")).filter("value <> ''").distinct()
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("value") - n + 1, F.lit(1))), lambda i: F.substring("value", i, F.lit(n)))
+    runs = lambda n: F.regexp_extract_all("value", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
     lengths = [r["n"] for r in keyed.select(F.length("_k").alias("n")).distinct().collect()]  # 1 to size
     if not lengths:
         return v.select("value", F.col("value").alias("needle")).limit(0)

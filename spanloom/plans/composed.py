@@ -26,9 +26,9 @@ NAV = """qs AS (SELECT item_id AS query_id, CASE WHEN item_id % 4 = 0 THEN subst
 @register("nav_search", "R19 R18 C15", f"""WITH {FILES}, {NAV}, {BM25}, {RERANK},
 best AS (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS k FROM s QUALIFY k <= 10),
 nb AS (SELECT a.path, z.path AS other FROM files a JOIN files z ON z.id = xor(a.id, 1)),
-st AS (SELECT query_id, path, 0 AS stage, k AS a, 'hit' AS origin FROM best
+sti AS (SELECT query_id, path, 0 AS stage, k AS a, 'hit' AS origin FROM best
   UNION ALL SELECT query_id, other, 1, min(k), 'neighbour' FROM best JOIN nb USING (path) WHERE (query_id, other) NOT IN (SELECT (query_id, path) FROM best) GROUP BY query_id, other),
-fts AS (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY stage, a, path) AS n, origin FROM st QUALIFY n <= 10),
+fts AS (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY stage, a, path) AS n, origin FROM sti QUALIFY n <= 10),
 gr AS (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY path) AS n FROM qs JOIN files f ON qs.text <> '' AND contains(lower(f.text), lower(qs.text))
   WHERE query_id NOT IN (SELECT query_id FROM best) QUALIFY n <= 10)
 SELECT query_id, path, CAST(n AS INTEGER) AS "rank", origin FROM fts UNION ALL SELECT query_id, path, CAST(n AS INTEGER), 'grep' FROM gr""")
@@ -40,12 +40,12 @@ def nav_search(spark, sf):
     return composed.nav_search(f, q, n)
 
 
-@register("hybrid_retrieve", "R20", f"""WITH {COS.format(n=ALL)}, {EDGES}, v AS (SELECT query_id, 'v:' || id AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, c.id) AS at FROM c QUALIFY at <= 10),
-q AS (SELECT DISTINCT query_id, 'n:' || (query_id // 20 % 25) AS entity FROM c WHERE query_id % 60 <> 0),
-b AS (SELECT DISTINCT src AS entity, dst AS id FROM edges UNION SELECT dst, src FROM edges), g AS (SELECT query_id, b.id, row_number() OVER (PARTITION BY query_id ORDER BY b.id) AS n FROM q JOIN b USING (entity) QUALIFY n <= 15),
-m AS (SELECT query_id, id, 0 AS stage, at FROM v UNION ALL SELECT query_id, id, 1, 1 FROM g),
+@register("hybrid_retrieve", "R20", f"""WITH {COS.format(n=ALL)}, {EDGES}, vh AS (SELECT query_id, 'v:' || id AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, c.id) AS pl FROM c QUALIFY pl <= 10),
+qe AS (SELECT DISTINCT query_id, 'n:' || (query_id // 20 % 25) AS entity FROM c WHERE query_id % 60 <> 0),
+b AS (SELECT DISTINCT src AS entity, dst AS id FROM edges UNION SELECT dst, src FROM edges), g AS (SELECT query_id, b.id, row_number() OVER (PARTITION BY query_id ORDER BY b.id) AS n FROM qe JOIN b USING (entity) QUALIFY n <= 15),
+m AS (SELECT query_id, id, 0 AS stage, pl FROM vh UNION ALL SELECT query_id, id, 1, 1 FROM g),
 d AS (SELECT query_id, (SELECT count(*) FROM g WHERE g.query_id = m.query_id) * 1.0 / count(*) AS density FROM m GROUP BY query_id)
-SELECT m.query_id, m.id, CASE stage WHEN 0 THEN 'vector' ELSE 'graph' END AS origin, CAST(row_number() OVER (PARTITION BY m.query_id ORDER BY stage, at, m.id) AS INTEGER) AS "rank", CAST(density AS DOUBLE) AS density FROM m JOIN d USING (query_id)""")
+SELECT m.query_id, m.id, CASE stage WHEN 0 THEN 'vector' ELSE 'graph' END AS origin, CAST(row_number() OVER (PARTITION BY m.query_id ORDER BY stage, pl, m.id) AS INTEGER) AS "rank", CAST(density AS DOUBLE) AS density FROM m JOIN d USING (query_id)""")
 def hybrid_retrieve(spark, sf):
     """Of queries that are relational (all but every third), the entity's neighbours join the ten nearest vectors."""
     c = cosines(spark, sf)
@@ -224,10 +224,10 @@ def script_graph(spark, sf):
     return chunking.schema_graph(table(spark, sf, "documents").select(F.concat(F.lit("m"), "doc_id").alias("module"), code.alias("text")), extract=chunking.script_graph)
 
 
-@register("skeletons", "U15", "SELECT doc_id, 'import os' || chr(10) || chr(10) || 'class B:' || chr(10) || '    ''first line''' || chr(10) || chr(10) || '    def f_' || regexp_extract(lower(text), '([a-z]+)', 1) || '(self, a=1):' || chr(10) || '        ...' AS skeleton FROM documents")
+@register("skeletons", "U15", "SELECT doc_id, 'import os' || chr(10) || chr(10) || 'class B:' || chr(10) || '    ' || repeat(chr(34), 3) || 'first line' || repeat(chr(34), 3) || chr(10) || chr(10) || '    def f_' || regexp_extract(lower(text), '([a-z]+)', 1) || '(self, a=1):' || chr(10) || '        ...' AS skeleton FROM documents")
 def skeletons(spark, sf):
     code = F.concat(F.lit("import os\nclass B:\n    '''first line'''\n    def f_"), word(), F.lit("(self, a=1):\n        b = a\n        return b\n"))
-    return chunking.skeletons(table(spark, sf, "documents").select("doc_id", code.alias("text")), "doc_id").withColumn("skeleton", F.regexp_replace("skeleton", r"\n\n    '", "\n    '"))
+    return chunking.skeletons(table(spark, sf, "documents").select("doc_id", code.alias("text")), "doc_id")
 
 
 CLINICAL = """r AS (SELECT DISTINCT 'Condition' || (doc_id % 40) AS s, 'drug ' || (doc_id % 9) AS t, CASE doc_id % 3 WHEN 0 THEN 'TREATED_BY' WHEN 1 THEN 'MONITORED_BY' ELSE 'ADVERSE_EVENT' END AS k, CAST(round((doc_id % 5) / 10.0 + 0.5, 1) AS DOUBLE) AS c FROM documents)"""
@@ -252,8 +252,8 @@ def edge_filters(spark, sf):
     return composed.edges_like(e, 0.7, ["TREATED_BY", "ADVERSE_EVENT"], "llm").drop("origin")
 
 
-@register("monthly_spend", "A38 A39", f"""WITH {TELE}, c AS (SELECT cmd AS model, CAST(date_trunc('month', ts) AS DATE) AS month, CAST(ts AS DATE) AS day, count(*) AS calls, CAST(sum(k) AS BIGINT) AS tokens,
- sum(k) * CASE cmd WHEN 'purchase' THEN 15.0 WHEN 'view' THEN 0.15 ELSE 1.0 END / 1000000.0 AS cost FROM tele GROUP BY ALL)
+@register("monthly_spend", "A38 A39", f"""WITH {TELE}, t AS (SELECT cmd AS model, CAST(date_trunc('month', ts) AS DATE) AS month, CAST(ts AS DATE) AS day, count(*) AS calls, CAST(sum(k) AS BIGINT) AS tokens FROM tele GROUP BY ALL),
+c AS (SELECT *, tokens * CASE model WHEN 'purchase' THEN 15.0 WHEN 'view' THEN 0.15 ELSE 1.0 END / 1000000.0 AS cost FROM t)
 SELECT model, month, day, calls, tokens, round(cost, 9) AS cost, round(sum(cost) OVER (PARTITION BY model, month ORDER BY day), 9) AS spent, sum(cost) OVER (PARTITION BY model, month ORDER BY day) <= 0.01 AS allowed FROM c""")
 def monthly_spend(spark, sf):
     """Cost by model and day, and what a model has spent of its month's budget."""
@@ -272,7 +272,7 @@ def collection_stats(spark, sf):
     return g.withColumn("total", F.sum("chunks").over(W.partitionBy()))  # a row per extension
 
 
-@register("changed_sources", "A44", f"WITH {FILES}, c AS (SELECT f.path, max(e.ts) AS at FROM events e JOIN files f ON f.id = e.user_id WHERE f.path LIKE '%.py' GROUP BY f.path) SELECT path, CAST(row_number() OVER (ORDER BY at DESC, path) AS INTEGER) AS n FROM c QUALIFY n <= 10")
+@register("changed_sources", "A44", f"WITH {FILES}, c AS (SELECT f.path, max(e.ts) AS seen FROM events e JOIN files f ON f.id = e.user_id WHERE f.path LIKE '%.py' GROUP BY f.path) SELECT path, CAST(row_number() OVER (ORDER BY seen DESC, path) AS INTEGER) AS n FROM c QUALIFY n <= 10")
 def changed_sources(spark, sf):
     """The ten Python files that changed last; an event's user stands for the file it changed."""
     e = table(spark, sf, "events").select(F.col("user_id").alias("id"), "ts")
@@ -336,8 +336,8 @@ def code_metrics(spark, sf):
     return M.by_query(r, 5, is_code(F.col("path")), any_glob(F.col("path"), ["src/*1*.py"]), F.col("path").contains("2") | F.col("path").contains(".py"))
 
 
-@register("compared_arms", "Q10 Q11 Q12", f"""WITH {METRIC}, q AS (SELECT query_id, CASE WHEN query_id % 40 = 0 THEN 'rag' ELSE 'fallback' END AS arm, count(*) FILTER (WHERE rel AND n <= 5) / 5.0 AS p, min(CASE WHEN rel THEN n END) AS f FROM t GROUP BY ALL)
-SELECT arm, count(*) AS queries, round(avg(p), 6) AS precision, round(avg(CASE WHEN f <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(coalesce(1.0 / f, 0)), 6) AS mrr, round(avg(CASE WHEN (query_id // 20) % 3 = 0 THEN 1.0 ELSE 0.0 END), 6) AS routed FROM q GROUP BY arm""")
+@register("compared_arms", "Q10 Q11 Q12", f"""WITH {METRIC}, qa AS (SELECT query_id, CASE WHEN query_id % 40 = 0 THEN 'rag' ELSE 'fallback' END AS arm, count(*) FILTER (WHERE rel AND n <= 5) / 5.0 AS p, min(CASE WHEN rel THEN n END) AS f FROM t GROUP BY ALL)
+SELECT arm, count(*) AS queries, round(avg(p), 6) AS precision, round(avg(CASE WHEN f <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(coalesce(1.0 / f, 0)), 6) AS mrr, round(avg(CASE WHEN (query_id // 20) % 3 = 0 THEN 1.0 ELSE 0.0 END), 6) AS routed FROM qa GROUP BY arm""")
 def compared_arms(spark, sf):
     """Precision, hit rate, mean reciprocal rank and routing accuracy of two arms."""
     from spanloom.operators import metrics as M
