@@ -93,7 +93,7 @@ def discard(df: DataFrame) -> None:
 
 
 #: Bytes a core, below which a table may be dealt anew.
-SMALL = 8 << 20
+SMALL = 4 << 20
 
 
 def spread(rows: DataFrame) -> DataFrame:
