@@ -87,7 +87,9 @@ def two_stage_search(spark, sf):
     return clinical.two_stage(d, p).select("query_id", "doc", "part", F.round("score", 6).alias("score"))
 
 
-@register("clinical_relations", "U23 H10", None)
+@register("clinical_relations", "U23 H10", """WITH d AS (SELECT doc_id AS id, 'drug' || (doc_id % 9) AS a, 'Drug' || (doc_id % 9) AS b FROM documents)
+SELECT id, 'Hypertension' AS source, a AS target, 'TREATED_BY' AS type, CAST(0.9 AS DOUBLE) AS confidence, 'Hypertension is treated with ' || a AS context FROM d
+UNION ALL SELECT id, b, 'cough', 'ADVERSE_EVENT', CAST(0.9 AS DOUBLE), b || ' may cause cough' FROM d""")
 def clinical_relations(spark, sf):
     n = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("Hypertension is treated with drug"), F.col("doc_id") % 9, F.lit(". Drug"), F.col("doc_id") % 9, F.lit(" may cause cough.")).alias("text"))
     return clinical.relations(n)
@@ -99,12 +101,19 @@ def ontology_lookup(spark, sf):
     return files(spark, sf).join(F.broadcast(o), F.col("lang") == F.col("code")).select("id", "ontology", "term")  # literal rows
 
 
-@register("line_pages", "U11", None)
+@register("line_pages", "U11", """WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text <> ''), l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, length(unnest(x)) AS n FROM d),
+w AS (SELECT doc_id, i, n, 0 AS page, n + 1 AS used FROM l WHERE i = 1
+  UNION ALL SELECT l.doc_id, l.i, l.n, w.page + CAST(w.used + l.n + 1 > 1000 AS INTEGER), CASE WHEN w.used + l.n + 1 > 1000 THEN l.n + 1 ELSE w.used + l.n + 1 END FROM w JOIN l ON l.doc_id = w.doc_id AND l.i = w.i + 1)
+SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(sum(n) + count(*) - 1 AS INTEGER) AS n FROM w GROUP BY doc_id, page""")
 def line_pages(spark, sf):
     return chunking.line_pages(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "page", F.length("content").alias("n"))
 
 
-@register("char_windows", "U10", None)
+@register("char_windows", "U10", """WITH RECURSIVE s AS (SELECT doc_id, text, 0 AS a, substr(text, 1, 1000) AS p FROM documents WHERE text <> ''),
+w AS (SELECT doc_id, text, a, CASE WHEN a + 1000 < length(text) AND strpos(reverse(p), chr(10)) > 0 AND length(p) - strpos(reverse(p), chr(10)) > 600 THEN a + length(p) - strpos(reverse(p), chr(10)) ELSE least(length(text), a + 1000) END AS b FROM s
+  UNION ALL SELECT doc_id, text, c, CASE WHEN c + 1000 < length(text) AND strpos(reverse(p), chr(10)) > 0 AND length(p) - strpos(reverse(p), chr(10)) > 600 THEN c + length(p) - strpos(reverse(p), chr(10)) ELSE least(length(text), c + 1000) END
+  FROM (SELECT doc_id, text, greatest(a + 1, b - 100) AS c, substr(text, CAST(greatest(a + 1, b - 100) + 1 AS BIGINT), 1000) AS p FROM w WHERE b < length(text)))
+SELECT doc_id, CAST(a AS INTEGER) AS start, CAST(b AS INTEGER) AS "end" FROM w WHERE regexp_matches(substr(text, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT)), '\\S')""")
 def char_windows(spark, sf):
     return chunking.char_windows(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "start", "end")
 
@@ -124,12 +133,16 @@ def markdown_chunks(spark, sf):
     return chunking.markdown_sections(d.select("doc_id", md.alias("text")), "doc_id").select("doc_id", "path", "slug", "start_line", "end_line")
 
 
-@register("regex_hits", "U12", None)
+@register("regex_hits", "U12", """WITH t AS (SELECT doc_id, regexp_extract_all(text, '[Ll]icen[sc]e') AS m, regexp_split_to_array(text, '[Ll]icen[sc]e') AS p FROM documents),
+h AS (SELECT doc_id, m, p, unnest(range(0, least(20, len(m)))) AS n FROM t), b AS (SELECT doc_id, m[n + 1] AS hit, array_to_string(p[1:n + 1], '') || array_to_string(m[1:n], '') AS x FROM h)
+SELECT doc_id, CAST(length(x) AS INTEGER) AS start, CAST(length(x) + length(hit) AS INTEGER) AS "end", CAST(length(x) - length(replace(x, chr(10), '')) + 1 AS INTEGER) AS start_line, CAST(length(x) - length(replace(x, chr(10), '')) + 1 AS INTEGER) AS end_line, hit FROM b""")
 def regex_hits(spark, sf):
     return chunking.regex_hits(table(spark, sf, "documents").select("doc_id", "text"), r"[Ll]icen[sc]e", "doc_id")
 
 
-@register("code_spans", "U1 U2 U3 U4 U5 U26 T-4", None)
+@register("code_spans", "U1 U2 U3 U4 U5 U26 T-4", """WITH w AS (SELECT doc_id, 'A_' || regexp_extract(lower(text), '([a-z]+)', 1) AS a, doc_id % 3 AS k FROM documents)
+SELECT doc_id, a AS symbol, CASE WHEN k = 2 THEN 'type' ELSE 'class' END AS kind, 1 AS start_line, CAST([4, 5, 2][k + 1] AS INTEGER) AS end_line, CASE WHEN k = 0 THEN 'doc' ELSE '' END AS doc FROM w
+UNION ALL SELECT doc_id, CASE WHEN k = 2 THEN 'A.Run' ELSE a || '.run' END, 'method', CAST([3, 2, 3][k + 1] AS INTEGER), 4, '' FROM w""")
 def code_spans(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.regexp_extract(F.lower("text"), "([a-z]+)", 1).alias("w"), (F.col("doc_id") % 3).alias("k"))
     py = F.concat(F.lit("class A_"), "w", F.lit(":\n    '''doc'''\n    def run(self):\n        return 1\n"))
@@ -139,7 +152,11 @@ def code_spans(spark, sf):
     return chunking.spans(t, "doc_id")
 
 
-@register("python_graph", "U16 G17", None)
+@register("python_graph", "U16 G17", """WITH m AS (SELECT 'm' || doc_id AS module FROM documents)
+SELECT module, 'relation' AS what, 'mod:' || module AS a, 'IMPORTS' AS edge, 'mod:os' AS b FROM m UNION ALL SELECT module, 'entity', 'type:' || module || '.B', 'class', '2-4' FROM m
+UNION ALL SELECT module, 'relation', 'type:' || module || '.B', 'EXTENDS', 'type:os.PathLike' FROM m UNION ALL SELECT module, 'entity', 'sym:' || module || '.B.f', 'method', '3-4' FROM m
+UNION ALL SELECT module, 'relation', 'sym:' || module || '.B.f', 'CALLS', 'sym:os.getcwd' FROM m UNION ALL SELECT module, 'entity', 'sym:' || module || '.g', 'function', '5-6' FROM m
+UNION ALL SELECT module, 'relation', 'sym:' || module || '.g', 'CALLS', 'sym:' || module || '.B' FROM m""")
 def python_graph(spark, sf):
     d = table(spark, sf, "documents").select(F.concat(F.lit("m"), "doc_id").alias("module"), F.concat(F.lit("import os\nclass B(os.PathLike):\n    def f(self):\n        return os.getcwd()\ndef g():\n    return B()\n# "), F.col("doc_id")).alias("text"))
     return chunking.schema_graph(d)
