@@ -54,7 +54,7 @@ def _marked(docs: DataFrame, sites: int, least_chars: int, id_col: str, text_col
     discard(flagged)
     others = F.struct(F.lit(None).cast("string").alias("l_none"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col])
     row = docs.select(others.alias("l_row"), F.col(id_col).alias("l_key"), F.xxhash64(text_col).alias("l_doc"), F.split(F.col(text_col), "\n").alias("l_lines"))
-    d = row.join(hits, (F.col("l_doc") == F.col("h_doc")) & F.col("l_lines").isNotNull(), "left")
+    d = row.join(hits.hint("merge"), (F.col("l_doc") == F.col("h_doc")) & F.col("l_lines").isNotNull(), "left")  # hits grow with the documents: no broadcast at any size
     first = F.transform(F.filter("h_first", lambda x: x["id"].eqNullSafe(F.col("l_key"))), lambda x: x["at"])
     d = d.select("l_row", "l_key", "l_lines", F.coalesce("h_all", F.array().cast("array<int>")).alias("l_hits"), F.array_except(F.coalesce("h_all", F.array().cast("array<int>")), F.coalesce(first, F.array().cast("array<int>"))).alias("l_gone"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("l_lines") - 1), "l_gone")
