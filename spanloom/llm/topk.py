@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from spanloom.runtime import write_once
 
 STEP = 16
+#: Most tasks of the step that compares blocks; a task takes several pairs of blocks beyond that.
+TASKS = 10_000
 #: The least score: what is below is held there.
 LOWEST = np.float32(-(2.0**63))
 
@@ -198,6 +200,8 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 20, id_col: str = "vec_i
     qs = qb.join(write_once(seeds, "topseed"), F.col("q") == F.col("b"), "left")
     qs = qs.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("g", "q", "dim", "ids", "width", "cols", "least")
     xs = xb.withColumn("g", (F.col("n") % groups).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(max(nq - 1, 0))))).select("g", "q", "dim", "ids", "width", "cols")
+    tasks = max(1, min(groups * nq, TASKS))  # named, as the work of a pair of blocks is far more than its bytes say
+    qs, xs = qs.repartition(tasks, "g", "q"), xs.repartition(tasks, "g", "q")
     part = qs.groupBy("g", "q").cogroup(xs.groupBy("g", "q")).applyInPandas(lambda a, b: _step(a, b, k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return part.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
