@@ -168,13 +168,13 @@ def freshness_gate(spark, sf):
     return r.select("id", F.coalesce(same, F.lit(False)).alias("skip"), reason.alias("reason"), state_.alias("indexed"))
 
 
-@register("chain_choice", "C12 C5", """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'athena' WHEN doc_id % 11 = 0 THEN 'missing' END AS o, CASE lang WHEN 'en' THEN 'code' WHEN 'de' THEN 'docs' ELSE 'other' END AS t FROM documents),
-w AS (SELECT doc_id, coalesce(o, CASE t WHEN 'code' THEN 'coder' WHEN 'docs' THEN 'empty' END, 'base') AS w FROM d), c AS (SELECT doc_id, CASE WHEN w IN ('base', 'coder', 'athena') THEN w ELSE 'base' END AS chain FROM w)
-SELECT doc_id, chain, CASE chain WHEN 'base' THEN 'tiny,small' WHEN 'coder' THEN 'local7' ELSE 'big' END AS backends, CASE WHEN chain <> 'athena' THEN 'mid' END AS tier FROM c""")
+@register("chain_choice", "C12 C5", """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'special' WHEN doc_id % 11 = 0 THEN 'missing' END AS o, CASE lang WHEN 'en' THEN 'code' WHEN 'de' THEN 'docs' ELSE 'other' END AS t FROM documents),
+w AS (SELECT doc_id, coalesce(o, CASE t WHEN 'code' THEN 'coder' WHEN 'docs' THEN 'empty' END, 'base') AS w FROM d), c AS (SELECT doc_id, CASE WHEN w IN ('base', 'coder', 'special') THEN w ELSE 'base' END AS chain FROM w)
+SELECT doc_id, chain, CASE chain WHEN 'base' THEN 'tiny,small' WHEN 'coder' THEN 'local7' ELSE 'big' END AS backends, CASE WHEN chain <> 'special' THEN 'mid' END AS tier FROM c""")
 def chain_choice(spark, sf):
     i = F.col("doc_id")
-    d = table(spark, sf, "documents").select(i, F.when(i % 7 == 0, "athena").when(i % 11 == 0, "missing").alias("o"), F.when(F.col("lang") == "en", "code").when(F.col("lang") == "de", "docs").otherwise("other").alias("t"))
-    chains = {"base": [("tiny", "local"), ("small", "mid"), ("large", "premium")], "coder": [("local7", "local"), ("remote", "premium")], "athena": [("big", "premium")], "empty": []}
+    d = table(spark, sf, "documents").select(i, F.when(i % 7 == 0, "special").when(i % 11 == 0, "missing").alias("o"), F.when(F.col("lang") == "en", "code").when(F.col("lang") == "de", "docs").otherwise("other").alias("t"))
+    chains = {"base": [("tiny", "local"), ("small", "mid"), ("large", "premium")], "coder": [("local7", "local"), ("remote", "premium")], "special": [("big", "premium")], "empty": []}
     return d.select("doc_id", composed.choose_chain(F.col("o"), F.col("t"), {"code": "coder", "docs": "empty"}, chains, "base", "mid").alias("x")).select("doc_id", "x.*")
 
 
