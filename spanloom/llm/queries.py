@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import bpe, chat, langid, lines, media, mixing, neardup, quality, topk, urls
+from spanloom.llm import bpe, chat, langid, lines, media, mixing, neardup, quality, structure, topk, urls
 from spanloom.runtime import table
 
 
@@ -52,8 +52,12 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = [op1_quality_classifier, op2_byte_bpe, op3_language_id, op4_mix_sources, op5_url_filters, op6_preference_format, op7_media_chunks, op8_line_dedup, op9_minhash_neardup, op10_exact_topk]
-ORACLES: dict[str, str] = {"op5_url_filters": urls.PAGES_SQL, "op6_preference_format": chat.PAIRS_SQL, "op8_line_dedup": lines.REPORT_SQL, "op10_exact_topk": topk.NEAREST_SQL}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.damaged_report(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = [op1_quality_classifier, op2_byte_bpe, op3_language_id, op4_mix_sources, op5_url_filters, op6_preference_format, op7_media_chunks, op8_line_dedup, op9_minhash_neardup, op10_exact_topk, op11_conversation_repair]
+ORACLES: dict[str, str] = {"op5_url_filters": urls.PAGES_SQL, "op6_preference_format": chat.PAIRS_SQL, "op8_line_dedup": lines.REPORT_SQL, "op10_exact_topk": topk.NEAREST_SQL, "op11_conversation_repair": structure.REPAIR_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
