@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import bpe, chat, langid, lines, media, mixing, neardup, phrases, quality, structure, topk, urls
+from spanloom.llm import bpe, chat, langid, lines, media, mixing, neardup, phrases, private, quality, structure, topk, urls
 from spanloom.runtime import table
 
 
@@ -60,7 +60,11 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_quality_classifier, op2_byte_bpe, op3_language_id, op4_mix_sources, op5_url_filters, op6_preference_format, op7_media_chunks, op8_line_dedup, op9_minhash_neardup, op10_exact_topk, op11_conversation_repair, op12_phrase_collocations]
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = [op1_quality_classifier, op2_byte_bpe, op3_language_id, op4_mix_sources, op5_url_filters, op6_preference_format, op7_media_chunks, op8_line_dedup, op9_minhash_neardup, op10_exact_topk, op11_conversation_repair, op12_phrase_collocations, op13_personal_data]
 ORACLES: dict[str, str] = {"op5_url_filters": urls.PAGES_SQL, "op6_preference_format": chat.PAIRS_SQL, "op8_line_dedup": lines.REPORT_SQL, "op10_exact_topk": topk.NEAREST_SQL, "op11_conversation_repair": structure.REPAIR_SQL, "op12_phrase_collocations": phrases.COLLOCATIONS_SQL}
 
 
