@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -113,28 +113,74 @@ def plan_scores(candidates: DataFrame, queries: DataFrame, fields: list[str], k:
     return scored.select("query_id", "id", F.round("score", 3).alias("score")).filter(F.col("score") >= least)
 
 
-def cosines(rows: DataFrame, queries: DataFrame, id_col: str, vec_col: str, query_block: int = 1024, row_block: int = 1 << 15) -> DataFrame:
-    """(query_id, id, score): the cosine of every query with every row, a block of each at a time; vectors of norm 0 take no part."""
-    pick = lambda d: d.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
-    q, x = pick(queries), pick(rows)
-    nq, nx = (max(1, -(-d.count() // n)) for d, n in ((q, query_block), (x, row_block)))
-    at = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = q.select("id", "v", at(nq).alias("a"), every(nx).alias("b"))
-    x = x.select("id", "v", every(nq).alias("a"), at(nx).alias("b"))
-    out = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return out.empty_table()
-        qi, xi = left.column("id").to_numpy(), right.column("id").to_numpy()
-        qv, xv = (np.stack(t.column("v").to_numpy()) for t in (left, right))
-        qn, xn = np.sqrt((qv * qv).sum(axis=1)), np.sqrt((xv * xv).sum(axis=1))
-        i, j = np.nonzero(np.outer(qn > 0, xn > 0))
-        score = (qv @ xv.T)[i, j] / (xn[j] * qn[i])
-        return pa.table([pa.array(qi[i], pa.int64()), pa.array(xi[j], pa.int64()), pa.array(score)], schema=out)
-
-    return q.groupBy("a", "b").cogroup(x.groupBy("a", "b")).applyInArrow(run, "query_id long, id long, score double")
+QUERY_BLOCK, ROW_BLOCK = 256, 1 << 13
+
+
+def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest scores, of equal ones those with the smallest ids; ``ids`` ascend."""
+    if len(score) <= k:
+        return np.arange(len(score))
+    least = np.partition(score, -k)[-k]
+    over = np.flatnonzero(score > least)
+    return np.concatenate([over, np.flatnonzero(score == least)[: k - len(over)]])
+
+
+def _block_best(q: pa.Table, x: pa.Table, k: int, low: float, high: float, other: bool, grouped: bool) -> pa.Table:
+    """(query_id, id, grp, bonus, score) of the k best rows of a block for each query (and group); nothing else of the block's products leaves it."""
+    x = x.sort_by("id")
+    qi, xi = q.column("id").to_numpy(), x.column("id").to_numpy()
+    qv, xv = (np.stack(t.column("v").to_numpy()) for t in (q, x))
+    qn, xn = np.sqrt((qv * qv).sum(axis=1)), np.sqrt((xv * xv).sum(axis=1))
+    bonus, grp = x.column("bonus").to_numpy(), x.column("grp").to_numpy(zero_copy_only=False)
+    kinds = [grp == g for g in np.unique(grp)] if grouped else [np.ones(len(xi), bool)]
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    for i in np.flatnonzero(qn > 0):
+        live = (xn > 0) & (xi != qi[i]) if other else xn > 0
+        cosine = np.divide(xv @ qv[i], xn * qn[i], out=np.zeros(len(xi)), where=xn > 0)
+        rank = np.clip(np.floor(cosine * 1e6 + 0.5) / 1e6 + bonus, low, high)
+        for kind in kinds:
+            at = np.flatnonzero(live & kind)
+            at = at[_best(rank[at], xi[at], k)]
+            for column, value in zip(out, (np.full(len(at), qi[i]), xi[at], grp[at], bonus[at], cosine[at]), strict=True):
+                column.append(value)
+    flat = [np.concatenate(c) if c else np.empty(0, t) for c, t in zip(out, (np.int64, np.int64, np.int64, np.float64, np.float64), strict=True)]
+    return pa.table(dict(zip(("query_id", "id", "grp", "bonus", "score"), map(pa.array, flat), strict=True)))
+
+
+def nearest(rows: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int, bonus: Column | None = None, low: float = -np.inf, high: float = np.inf, other: bool = False, group: Column | None = None) -> DataFrame:
+    """(query_id, id, score) of each query's k best rows by cosine, exact: its score to six places plus the row's ``bonus``, within ``low`` and ``high``; equal ones by id.
+
+    ``other`` leaves out the query's own row; with ``group`` (a long), k of each group, and a column grp. Vectors that are null or of norm 0 take no part. A block of rows meets a block of
+    queries and gives k rows a query, so that what is shuffled grows with the queries, not with the pairs. Up to QUERY_BLOCK queries (this is checked) travel to all
+    tasks, and rows are not moved at all; more queries are dealt with the rows in blocks.
+    """
+    pick = lambda d: d.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), (F.lit(0.0) if bonus is None else bonus.cast("double")).alias("bonus"), (F.lit(0) if group is None else group).cast("long").alias("grp")).filter("id IS NOT NULL AND v IS NOT NULL")
+    x, q = pick(rows), queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
+    args = (k, low, high, other, group is not None)
+    schema = "query_id long, id long, grp long, bonus double, score double"
+    few = q.limit(QUERY_BLOCK + 1).toArrow()
+    if few.num_rows <= QUERY_BLOCK:
+
+        def scan(batches):
+            if not few.num_rows:
+                return
+            for b in batches:
+                for at in range(0, b.num_rows, ROW_BLOCK):
+                    yield from _block_best(few, pa.Table.from_batches([b.slice(at, ROW_BLOCK)]), *args).to_batches()
+
+        found = x.mapInArrow(scan, schema)
+    else:
+        nq, nx = (max(1, -(-d.count() // n)) for d, n in ((q, QUERY_BLOCK), (x, ROW_BLOCK)))
+        at = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        q = q.select("*", at(nq).alias("a"), every(nx).alias("b"))
+        x = x.select("*", every(nq).alias("a"), at(nx).alias("b"))
+        empty = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("grp", pa.int64()), ("bonus", pa.float64()), ("score", pa.float64())]).empty_table()
+        found = q.groupBy("a", "b").cogroup(x.groupBy("a", "b")).applyInArrow(lambda l, r: _block_best(l, r, *args) if l.num_rows and r.num_rows else empty, schema)  # noqa: E741
+    rank = F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), F.round("score", 6) + F.col("bonus")))
+    keys = ["query_id", "grp"] if group is not None else ["query_id"]
+    best = top(found.withColumn("_rank", rank), keys, k, F.desc("_rank"), F.col("id"))
+    return best.select(*keys, "id", "score")
 
 
 def expand(hits: DataFrame, index: DataFrame, top_n: int = 5, per: int = 3, hub: int = 50, decay: float = 0.4) -> DataFrame:

@@ -9,7 +9,7 @@ from spanloom.operators import chunking, composed, search
 from spanloom.plans.base import EDGES, ENR, FILES, QUEUE, SPANS, TELE, edges, enrichments, files, queue, spans, telemetry
 from spanloom.plans.catalog import register
 from spanloom.plans.extras import _folder
-from spanloom.plans.retrieval import ALL, BM25, COS, METRIC, RERANK, bm25_hits, cosines, judged, semantic_search
+from spanloom.plans.retrieval import ALL, BM25, COS, METRIC, RERANK, bm25_hits, judged, nearest, semantic_search
 from spanloom.runtime import table
 from spanloom.sources import convert
 from spanloom.sources import files as io
@@ -48,7 +48,7 @@ d AS (SELECT query_id, (SELECT count(*) FROM g WHERE g.query_id = m.query_id) *
 SELECT m.query_id, m.id, CASE stage WHEN 0 THEN 'vector' ELSE 'graph' END AS origin, CAST(row_number() OVER (PARTITION BY m.query_id ORDER BY stage, pl, m.id) AS INTEGER) AS "rank", CAST(density AS DOUBLE) AS density FROM m JOIN d USING (query_id)""")
 def hybrid_retrieve(spark, sf):
     """Of queries that are relational (all but every third), the entity's neighbours join the ten nearest vectors."""
-    c = cosines(spark, sf)
+    c = nearest(spark, sf, 10)
     v = search.top(c, ["query_id"], 10, F.desc("score"), F.col("id")).select("query_id", F.concat(F.lit("v:"), "id").alias("id"), "rank")
     q = v.select("query_id").distinct().filter("query_id % 60 <> 0").select("query_id", F.concat(F.lit("n:"), F.floor(F.col("query_id") / 20) % 25).alias("entity"))
     e = edges(spark, sf)

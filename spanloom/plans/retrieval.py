@@ -18,11 +18,11 @@ c AS (SELECT query_id, id, label, round(list_inner_product(v, qv) / (sqrt(list_i
 ALL = 1 << 62
 
 
-def cosines(spark, sf, n=ALL):
-    """(query_id, id, label, score) of the vectors whose id is divisible by 20 (and below n, where one example is asked for), a given query set, against all."""
+def nearest(spark, sf, k, n=ALL, where="true", **how):
+    """(query_id, id, label, score): the k best of all vectors (that satisfy ``where``) for those whose id is divisible by 20 (and below n, where one example is asked for)."""
     e = table(spark, sf, "embeddings")
-    s = search.cosines(e, e.filter(f"vec_id % 20 = 0 AND vec_id < {n}"), "vec_id", "embedding")
-    return s.join(e.select(F.col("vec_id").alias("id"), "label"), "id").select("query_id", "id", "label", F.round("score", 6).alias("score"))
+    s = search.nearest(e.filter(where), e.filter(f"vec_id % 20 = 0 AND vec_id < {n}"), "vec_id", "embedding", k, **how)
+    return s.join(e.select(F.col("vec_id").alias("id"), "label"), "id").withColumn("score", F.round("score", 6))
 
 
 KNN_SQL = f"WITH {COS.format(n=1)} SELECT id AS vec_id, label, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS \"rank\" FROM c ORDER BY \"rank\" LIMIT 10"
@@ -30,15 +30,16 @@ KNN_SQL = f"WITH {COS.format(n=1)} SELECT id AS vec_id, label, score, CAST(row_n
 
 @register("knn_cosine_topk", "R1 O1 F16 B11", KNN_SQL)
 def knn_cosine_topk(spark, sf):
-    s = cosines(spark, sf, 1).select(F.col("id").alias("vec_id"), "label", "score")
+    s = nearest(spark, sf, 10, 1).select(F.col("id").alias("vec_id"), "label", "score")
     top = s.orderBy(F.desc("score"), "vec_id").limit(10)
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "vec_id")))  # ten rows
 
 
 @register("knn_boosted", "R1 R33 B22", f"WITH {COS.format(n=ALL)}, b AS (SELECT query_id, id, round(least(100.0, greatest(0.0, (score + CASE WHEN label % 2 = 0 THEN 0.15 ELSE -0.12 END) * 100)), 4) AS score FROM c WHERE label <> 3) SELECT query_id, id, score, CAST(n AS INTEGER) AS \"rank\" FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM b) WHERE n <= 10")
 def knn_boosted(spark, sf):
-    s = cosines(spark, sf).filter("label <> 3")
-    s = s.withColumn("score", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), (F.col("score") + F.when(F.col("label") % 2 == 0, 0.15).otherwise(-0.12)) * 100)), 4))
+    bonus = F.when(F.col("label") % 2 == 0, 0.15).otherwise(-0.12)
+    s = nearest(spark, sf, 10, where="label <> 3", bonus=bonus, low=0.0, high=1.0)
+    s = s.withColumn("score", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), (F.col("score") + bonus) * 100)), 4))
     return search.top(s, ["query_id"], 10, F.desc("score"), F.col("id")).select("query_id", "id", "score", "rank")
 
 
@@ -99,13 +100,15 @@ def planner_plan(spark, sf):
     return t.select("query_id", "id", "score", "rank", F.round(T.score_confidence(best), 3).alias("confidence"))
 
 
-ROUTES = COS.format(n=ALL) + """, r AS (SELECT query_id, 'vec' AS route, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM c) WHERE n <= 30
- UNION ALL SELECT query_id, 'size', id, round(((id * 37 + query_id * 11) % 101) / 100.0, 6) FROM c WHERE label = query_id % 5), w(route, weight) AS (VALUES ('vec', 1.0), ('size', 0.5))"""
+ROUTES = COS.format(n=ALL) + """, c60 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM c),
+r AS (SELECT query_id, 'vec' AS route, id, score FROM c60 WHERE n <= 30
+ UNION ALL SELECT query_id, 'size', id, round(((id * 37 + query_id * 11) % 101) / 100.0, 6) FROM c60 WHERE n <= 60 AND label = query_id % 5), w(route, weight) AS (VALUES ('vec', 1.0), ('size', 0.5))"""
 
 
 def two_routes(spark, sf):
-    c = cosines(spark, sf)
-    a = search.top(c, ["query_id"], 30, F.desc("score"), F.col("id")).select("query_id", F.lit("vec").alias("route"), "id", "score")
+    """The thirty nearest of each query; of its sixty nearest those of one label, by a score of their own."""
+    c = search.top(nearest(spark, sf, 60), ["query_id"], 60, F.desc("score"), F.col("id"))
+    a = c.filter("rank <= 30").select("query_id", F.lit("vec").alias("route"), "id", "score")
     b = c.filter("label = query_id % 5").select("query_id", F.lit("size").alias("route"), "id", F.round(((F.col("id") * 37 + F.col("query_id") * 11) % 101) / 100.0, 6).alias("score"))
     return a.unionByName(b), spark.createDataFrame([("vec", 1.0), ("size", 0.5)], "route string, weight double")
 
@@ -191,14 +194,14 @@ def graph_expand(spark, sf):
 
 @register("results_by_file", "R32", f"WITH {COS.format(n=ALL)}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM c) SELECT query_id, id % 7 AS file, CAST(min(n) AS INTEGER) AS first, count(*) AS hits, string_agg(CAST(id AS VARCHAR), ',' ORDER BY n) AS ids FROM r WHERE n <= 20 GROUP BY ALL")
 def results_by_file(spark, sf):
-    r = search.top(cosines(spark, sf), ["query_id"], 20, F.desc("score"), F.col("id")).withColumn("file", F.col("id") % 7)
+    r = search.top(nearest(spark, sf, 20), ["query_id"], 20, F.desc("score"), F.col("id")).withColumn("file", F.col("id") % 7)
     ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("id").cast("string").alias("id")))), lambda x: x["id"]), ",")
     return r.groupBy("query_id", "file").agg(F.min("rank").alias("first"), F.count("*").alias("hits"), ids.alias("ids"))
 
 
 @register("setwise_rerank", "R8 X4", f"WITH {COS.format(n=ALL)}, r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM c), s AS (SELECT *, CASE n WHEN 3 THEN 0 WHEN query_id % 8 + 5 THEN 1 ELSE n + 1000000 END AS o FROM r WHERE n <= 15) SELECT query_id, id, CAST(k AS INTEGER) AS \"rank\" FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY o) AS k FROM s) WHERE k <= 10")
 def setwise_rerank(spark, sf):
-    r = search.top(cosines(spark, sf), ["query_id"], 15, F.desc("score"), F.col("id"))
+    r = search.top(nearest(spark, sf, 15), ["query_id"], 15, F.desc("score"), F.col("id"))
     answers = r.select("query_id").distinct().select("query_id", F.concat(F.lit('["3", "'), F.col("query_id") % 8 + 5, F.lit('", "x"]')).alias("response"))
     return search.setwise(r.select("query_id", "id", "rank"), answers, 10)
 
@@ -213,7 +216,7 @@ def mmr_diversity(spark, sf):
 @register("semantic_search", "R4", f"WITH {FILES}, {COS.format(n=ALL)}, w AS (SELECT query_id, id, round(greatest(0.0, least(100.0, score * 100)), 4) AS s FROM c), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS n FROM w), f AS (SELECT query_id, id, s * 0.5 AS s FROM t WHERE n <= 20 AND id % 2 = 0 UNION ALL SELECT query_id, id, s FROM t WHERE n <= 20), m AS (SELECT query_id, id, max(s) AS s FROM f GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS n FROM m) SELECT k.query_id, k.id, round(k.s, 4) AS score, CAST(n AS INTEGER) AS \"rank\", files.path FROM k LEFT JOIN files ON files.id = k.id WHERE n <= 10")
 def semantic_search(spark, sf):
     """Fan-out over two routes, weighted fusion, cut, and the file of each hit."""
-    s = cosines(spark, sf).select("query_id", "id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("score") * 100)), 4).alias("score"))
+    s = nearest(spark, sf, 20, low=0.0, high=1.0).select("query_id", "id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("score") * 100)), 4).alias("score"))
     t = search.top(s, ["query_id"], 20, F.desc("score"), F.col("id"))
     r = t.filter("id % 2 = 0").withColumn("route", F.lit("docs")).unionByName(t.withColumn("route", F.lit("code")))
     fused = fusion.fuse_max(r.drop("rank"), spark.createDataFrame([("docs", 0.5), ("code", 1.0)], "route string, weight double"), ["query_id"])
@@ -227,7 +230,7 @@ METRIC = COS.format(n=ALL) + """, l AS (SELECT vec_id AS query_id, label AS ql F
 def judged(spark, sf):
     """(query_id, id, rank, rel, grade): ten nearest of each query; those with the query's label are relevant."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
-    c = cosines(spark, sf).join(e, "query_id").filter("id <> query_id").withColumn("rel", F.col("label") == F.col("ql"))
+    c = nearest(spark, sf, 10, other=True).join(e, "query_id").withColumn("rel", F.col("label") == F.col("ql"))
     r = search.top(c, ["query_id"], 10, F.desc("score"), F.col("id"))
     return r.select("query_id", "id", "rank", "rel", F.when(F.col("rel"), 1 + F.col("id") % 2).otherwise(0).alias("grade"))
 
@@ -266,6 +269,6 @@ def metric_by_arm(spark, sf):
 @register("embedding_margin", "A37 Q13", f"WITH {COS.format(n=ALL)}, l AS (SELECT vec_id AS query_id, label AS ql FROM embeddings), m AS (SELECT query_id, max(CASE WHEN label = ql THEN score END) AS p, max(CASE WHEN label <> ql THEN score END) AS n FROM c JOIN l USING (query_id) WHERE id <> query_id GROUP BY 1) SELECT round(avg(CASE WHEN p > n THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(p - n), 5) AS margin, round(avg(p), 5) AS pos, round(avg(n), 5) AS neg FROM m")
 def embedding_margin(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
-    c = cosines(spark, sf).join(e, "query_id").filter("id <> query_id")
+    c = nearest(spark, sf, 1, other=True, group=F.col("label")).join(e, "query_id")  # the best of each label
     m = c.groupBy("query_id").agg(F.max(F.when(F.col("label") == F.col("ql"), F.col("score"))).alias("p"), F.max(F.when(F.col("label") != F.col("ql"), F.col("score"))).alias("n"))
     return m.agg(F.round(F.avg((F.col("p") > F.col("n")).cast("double")), 6).alias("top1"), F.round(F.avg(F.col("p") - F.col("n")), 5).alias("margin"), F.round(F.avg("p"), 5).alias("pos"), F.round(F.avg("n"), 5).alias("neg"))

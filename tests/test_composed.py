@@ -43,14 +43,30 @@ def test_plan_scores_hold_the_best(spark):
     assert sorted((x.query_id, x["rank"], x.id, x.score) for x in got.collect()) == want
 
 
-@pytest.mark.parametrize("blocks", [(1024, 1 << 15), (3, 7)])
-def test_cosines_in_blocks(spark, blocks):
-    rows = [(i, [float((i * 7 + k) % 5 - 2) for k in range(4)]) for i in range(40)] + [(100, [0.0] * 4), (101, None)]
-    d = spark.createDataFrame(rows, "id long, v array<float>")
-    got = {(r.query_id, r.id): r.score for r in search.cosines(d, d.filter("id % 10 = 0"), "id", "v", *blocks).collect()}
+@pytest.mark.parametrize("blocks", [(256, 1 << 13), (3, 7), (256, 5)])
+@pytest.mark.parametrize("how", ["plain", "bonus", "grouped"])
+def test_nearest_in_blocks(spark, monkeypatch, blocks, how):
+    monkeypatch.setattr(search, "QUERY_BLOCK", blocks[0])
+    monkeypatch.setattr(search, "ROW_BLOCK", blocks[1])
+    rows = [(i, [float((i * 7 + k) % 5 - 2) for k in range(4)], i % 3) for i in range(60)] + [(100, [0.0] * 4, 0), (101, None, 1), (10, [1.0, 2.0, -1.0, 0.0], 1)]
+    d = spark.createDataFrame(rows, "id long, v array<float>, label int")
+    add = {"plain": 0.0, "bonus": 0.25, "grouped": 0.0}[how]
+    options = {"plain": {}, "bonus": {"bonus": F.when(F.col("label") == 1, add).otherwise(0.0), "low": 0.0, "high": 1.0}, "grouped": {"group": F.col("label"), "other": True}}[how]
+    got = sorted((r.query_id, r.grp if how == "grouped" else 0, r.id, round(r.score, 6)) for r in search.nearest(d, d.filter("id % 10 = 0"), "id", "v", 4, **options).collect())
     norm = lambda v: sum(x * x for x in v) ** 0.5
-    want = {(q, i): sum(a * b for a, b in zip(u, v, strict=True)) / norm(u) / norm(v) for q, u in rows if q % 10 == 0 and u and norm(u) for i, v in rows if v and norm(v)}
-    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    want = []
+    for q, u, _ in rows:
+        if q % 10 or not norm(u):
+            continue
+        found = {}
+        for i, v, label in rows:
+            if not v or not norm(v) or how == "grouped" and i == q:
+                continue
+            s = round(sum(a * b for a, b in zip(u, v, strict=True)) / norm(u) / norm(v), 6)
+            rank = min(1.0, max(0.0, s + (add if label == 1 else 0))) if how == "bonus" else s
+            found.setdefault(label if how == "grouped" else 0, []).append((-rank, i, s))
+        want += [(q, g, i, s) for g, x in found.items() for _, i, s in sorted(x)[:4]]
+    assert [g for g in got if g[0] != 10] == sorted(w for w in want if w[0] != 10)  # rows that repeat a query's id ask together
 
 
 def test_trimmed_search(spark):
