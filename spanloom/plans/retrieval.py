@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import fusion, ranges, search
+from spanloom.operators import fusion, ranges, search, textindex
 from spanloom.plans.base import EDGES, ENR, FILES, NODES, edges, enrichments, files, nodes, spans
 from spanloom.plans.catalog import register
-from spanloom.runtime import table
+from spanloom.runtime import scratch_dir, table
 
 COS = """q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 20 = 0 AND vec_id < {n}), v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 c AS (SELECT query_id, id, label, round(list_inner_product(v, qv) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(qv, qv))), 6) AS score FROM q, v WHERE sqrt(list_inner_product(v, v)) > 0)"""
@@ -55,15 +58,20 @@ def short_queries(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 2, 2), " ").alias("text"))
 
 
-def bm25_hits(spark, sf, every=True):
-    """The postings of the queries' terms, each text read once; what the collection's figures need comes along as a row per text with no term."""
-    index, figures = search.index_for(table(spark, sf, "documents"), short_queries(spark, sf), "doc_id")
-    return search.bm25(index, short_queries(spark, sf), figures["n_docs"], figures["avg_len"], every=every)
+def text_index(spark, sf):
+    """The maintained index of the documents' texts; written by the first query that needs it, read by all others."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return textindex.index_of(docs, f"{scratch_dir(spark)}/textindex-{hashlib.md5(sf.encode()).hexdigest()}", ["text"])
+
+
+def bm25_hits(spark, sf, every=True, k=None):
+    """Hits of all queries from the index; with ``k``, blocks that can't reach a query's k-th score stay closed."""
+    return text_index(spark, sf).hits(short_queries(spark, sf), {"text": 1.0}, k, every)
 
 
-@register("bm25_search", "R5 R6 M8 S14", f"WITH {QS}, {BM25} SELECT query_id, id, round(score, 5) AS score, CAST(r AS INTEGER) AS \"rank\" FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, id) AS r FROM bm WHERE n = nt) WHERE r <= 20")
+@register("bm25_search", "R5 M8 S14", f"WITH {QS}, {BM25} SELECT query_id, id, round(score, 5) AS score, CAST(r AS INTEGER) AS \"rank\" FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, id) AS r FROM bm WHERE n = nt) WHERE r <= 20")
 def bm25_search(spark, sf):
-    h = bm25_hits(spark, sf).select("query_id", "id", F.round("score_pos", 5).alias("score"))
+    h = bm25_hits(spark, sf, k=20).select("query_id", "id", F.round("score_pos", 5).alias("score"))
     return search.top(h, ["query_id"], 20, F.desc("score"), F.col("id"))
 
 
@@ -75,11 +83,57 @@ s AS (SELECT query_id, id, path, round(0.55 + 0.18 * coalesce(len(list_intersect
  + 0.06 * CASE WHEN path LIKE '%.py' OR path LIKE '%.ts' THEN 1.0 WHEN path LIKE '%.md' THEN 0.3 ELSE 0.7 END, 6) AS score FROM b)"""
 
 
+def _changed(spark, sf):
+    """(documents of which every tenth is new in its text, what goes): the next state of a part of the corpus."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    new = d.filter("id % 10 = 0").select("id", F.concat(F.lit("updated words "), "text").alias("text"))
+    return new, d.filter("id % 10 = 1").select("id")
+
+
+@register("index_update", "M8 R5 S14", f"""WITH {QS}, {BM25.replace("FROM documents)", "FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'updated words ' || text ELSE text END AS text FROM documents WHERE doc_id % 10 <> 1))", 1)},
+r AS (SELECT query_id, id, round(score, 5) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, id) AS INTEGER) AS "rank" FROM bm WHERE n = nt)
+SELECT state, query_id, id, score, "rank" FROM r, (VALUES ('updated'), ('merged')) AS s(state) WHERE "rank" <= 20""")
+def index_update(spark, sf):
+    """Full-text search over an index that has been updated from changed documents, and again after its segments are merged."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    index = textindex.index_of(docs, f"{scratch_dir(spark)}/textindex-{uuid.uuid4().hex[:12]}", ["text"])
+    new, gone = _changed(spark, sf)
+    index.update(new, ["text"], gone)
+    out = None
+    for state in ("updated", "merged"):
+        h = index.hits(short_queries(spark, sf), {"text": 1.0}, 20).select("query_id", "id", F.round("score_pos", 5).alias("score"))
+        h = search.top(h, ["query_id"], 20, F.desc("score"), F.col("id")).select(F.lit(state).alias("state"), "query_id", "id", "score", "rank")
+        out = h if out is None else out.unionByName(h)
+        if state == "updated":
+            index.merge()
+    return out
+
+
+def _field_sql(column, field, weight):
+    return f"""{field}_t AS (SELECT id, {TOK.replace("text", column)} AS t FROM enriched), {field}_s AS (SELECT count(*) AS nd, avg(len(t)) AS al FROM {field}_t),
+{field}_p AS (SELECT term, id, count(*) AS tf, any_value(l) AS l FROM (SELECT id, len(t) AS l, unnest(t) AS term FROM {field}_t) GROUP BY ALL), {field}_d AS (SELECT term, count(*) AS df FROM {field}_p GROUP BY term),
+{field}_h AS (SELECT query_id, id, term, nt, {weight} * ln(1 + (nd - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / al)) AS part FROM {field}_p JOIN qt USING (term) JOIN {field}_d USING (term), {field}_s)"""
+
+
+@register("fielded_search", "R6 M8 S14", f"""WITH {ENR}, {QS}, enriched AS (SELECT s.id, s.symbol, e.summary FROM spans s JOIN enrichments e USING (span_hash)),
+qt AS (SELECT query_id, len(t) AS nt, unnest(t) AS term FROM (SELECT query_id, list_distinct({TOK}) AS t FROM qs)), {_field_sql("symbol", "sym", "2.0")}, {_field_sql("summary", "sum", "1.0")},
+x AS (SELECT query_id, id, sum(part) AS score, count(DISTINCT term) AS n, any_value(nt) AS nt FROM (SELECT * FROM sym_h UNION ALL SELECT * FROM sum_h) GROUP BY ALL),
+r AS (SELECT query_id, id, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, id) AS n FROM x WHERE n = nt)
+SELECT query_id, r.id, symbol, summary, score, CAST(n AS INTEGER) AS "rank" FROM r JOIN enriched USING (id) WHERE n <= 10""")
+def fielded_search(spark, sf):
+    """Enriched spans by symbol (twice the weight) and summary."""
+    e = spans(spark, sf).join(enrichments(spark, sf).select("span_hash", "summary"), "span_hash").select("id", "symbol", "summary")
+    index = textindex.index_of(e, f"{scratch_dir(spark)}/fieldindex-{hashlib.md5(sf.encode()).hexdigest()}", ["symbol", "summary"])
+    h = index.hits(short_queries(spark, sf), {"symbol": 2.0, "summary": 1.0}, 10).select("query_id", "id", F.round("score_pos", 5).alias("score"))
+    h = search.top(h, ["query_id"], 10, F.desc("score"), F.col("id"))
+    return h.join(e, "id").select("query_id", "id", "symbol", "summary", "score", "rank")
+
+
 @register("rerank_lexical", "R7 R9 F9", f"""WITH {FILES}, {QS}, {BM25}, {RERANK}
 SELECT query_id, id, score, CAST(r AS INTEGER) AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s) WHERE r <= 10""")
 def rerank_lexical(spark, sf):
     """The hundred best full-text hits of a query, reranked."""
-    h = search.top(bm25_hits(spark, sf), ["query_id"], 100, F.desc(F.round("score_pos", 5)), F.col("id")).drop("rank")
+    h = search.top(bm25_hits(spark, sf, k=100), ["query_id"], 100, F.desc(F.round("score_pos", 5)), F.col("id")).drop("rank")
     f = files(spark, sf).select("id", "path", F.substring("text", 1, 1500).alias("text"))
     h = h.join(f, "id").join(short_queries(spark, sf).withColumnRenamed("text", "query"), "query_id")
     r = search.rerank(h).select("query_id", "id", F.round("rerank", 6).alias("score"))
@@ -208,7 +262,7 @@ def setwise_rerank(spark, sf):
 
 @register("mmr_diversity", "R14 R15", None)
 def mmr_diversity(spark, sf):
-    h = search.top(bm25_hits(spark, sf), ["query_id"], 15, F.desc(F.round("score_pos", 5)), F.col("id"))
+    h = search.top(bm25_hits(spark, sf, k=15), ["query_id"], 15, F.desc(F.round("score_pos", 5)), F.col("id"))
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return search.mmr(h.join(d, "id").select("query_id", "id", F.col("score_pos").alias("relevance"), "text"))
 
