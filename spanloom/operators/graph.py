@@ -83,19 +83,150 @@ def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = 0.85, tolerance:
     return r.select("id", "score")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 8) -> DataFrame:
-    """(src, dst, hops) of given pairs (src, dst) within ``most`` hops, unweighted and directed."""
-    r = reach(edges, pairs.select(F.col("src").alias("id")).distinct(), most)
-    return pairs.join(r.select(F.col("start").alias("src"), F.col("id").alias("dst"), F.col("distance").alias("hops")), ["src", "dst"])
+def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 8, both: bool = False) -> DataFrame:
+    """(src, dst, hops, path) of given pairs (src, dst): the least, in the order of its nodes, of the shortest paths of at most ``most`` edges.
 
-
-def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
-    """(path) of the simple cycles of up to ``longest`` nodes, each once, from its smallest node."""
+    Each pair is searched from both ends; in a round the smaller of all fronts on either side takes a step, and pairs whose fronts have met take part no more, so that
+    the work is that of the fronts, about the square root of what a search from one end visits. Layers are kept as predecessor tables, and nodes of a
+    shortest path are those that lead to a meeting point in them; the path is then read off, the least successor at each step.
+    """
     e = edges.select("src", "dst").distinct()
-    paths = e.filter("src < dst").select(F.array("src", "dst").alias("path"))
-    found = e.filter("src = dst").select(F.array("src").alias("path"))
+    if both:
+        e = e.union(edges.select("dst", "src")).distinct()
+    e = write_once(e, "edges")
+    p = write_once(pairs.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct().withColumn("pair", F.monotonically_increasing_id()), "pairs")
+    step = {"f": e.select(F.col("src").alias("at"), F.col("dst").alias("to")), "b": e.select(F.col("dst").alias("at"), F.col("src").alias("to"))}
+    layers = {"f": [p.select("pair", F.col("src").alias("id"))], "b": [p.select("pair", F.col("dst").alias("id"))]}
+    size = {"f": 0, "b": 0}
+    met = []  # (pair, id, forward layers, backward layers) by round
+    open_ = p.select("pair")
+    for done in range(most + 1):
+        m = layers["f"][-1].join(layers["b"][-1], ["pair", "id"])
+        m = write_once(m.select("pair", "id", F.lit(len(layers["f"]) - 1).alias("a"), F.lit(len(layers["b"]) - 1).alias("b")), "met")
+        met.append(m)
+        open_ = write_once(open_.join(m.select("pair").distinct(), "pair", "left_anti"), "open")
+        if done == most or not open_.limit(1).count():
+            break
+        side = "f" if size["f"] <= size["b"] else "b"
+        front = layers[side][-1].join(open_, "pair", "left_semi")
+        new = front.join(step[side], F.col("id") == F.col("at")).select("pair", F.col("to").alias("id")).distinct()
+        for old in layers[side]:
+            new = new.join(old, ["pair", "id"], "left_anti")
+        new = write_once(new, "layer")
+        layers[side].append(new)
+        size[side] = new.count()
+    met = _union(met)
+    on = [met.select("pair", "id", F.col("a").alias("layer"))]  # nodes of shortest paths, by their distance from src
+    for side, mine in (("f", "a"), ("b", "b")):
+        now = met.select("pair", "id", F.col(mine).alias("left"), F.col("a").alias("layer"))
+        for k in range(len(layers[side]) - 1, 0, -1):
+            back = step["b" if side == "f" else "f"]
+            prev = now.filter(F.col("left") == k).join(back, F.col("id") == F.col("at")).select("pair", F.col("to").alias("id"), (F.col("left") - 1).alias("left"), (F.col("layer") + (-1 if side == "f" else 1)).alias("layer"))
+            prev = write_once(prev.join(layers[side][k - 1], ["pair", "id"], "left_semi").distinct(), "onpath")
+            on.append(prev.select("pair", "id", "layer"))
+            now = now.filter(F.col("left") < k).unionByName(prev)
+    on = write_once(_union(on).distinct(), "onpath")
+    ends = met.groupBy("pair").agg(F.max(F.col("a") + F.col("b")).alias("hops"))
+    w = write_once(p.join(ends, "pair").select("pair", "src", "dst", "hops", F.array("src").alias("path")), "walk")
+    for k in range(1, most + 1):
+        go = w.filter(F.col("hops") >= k).select("pair", F.element_at("path", -1).alias("here")).join(step["f"], F.col("here") == F.col("at"))
+        go = go.join(on.filter(F.col("layer") == k).select("pair", F.col("id").alias("to")), ["pair", "to"], "left_semi").groupBy("pair").agg(F.min("to").alias("next"))
+        w = write_once(w.join(go, "pair", "left").select("pair", "src", "dst", "hops", F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("path", F.array("next"))).alias("path")), "walk")
+    return w.select("src", "dst", F.col("hops").cast("int").alias("hops"), "path")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def components(edges: DataFrame, most: int = 1000) -> DataFrame:
+    """(id, scc) of the nodes that lie on a cycle: strongly connected components by forward and backward colours.
+
+    Nodes without a way in or out are cut off first, round by round. Then the greatest id that reaches a node is its colour, and the nodes of a colour that its
+    root reaches backwards are a component; they leave, and what remains is coloured again.
+    """
+    e = write_once(edges.select("src", "dst").filter("src <> dst").distinct(), "scc")
+    found = [edges.filter("src = dst").select(F.col("src").alias("id"), F.col("src").alias("scc")).distinct().limit(0)]
+    for _ in range(most):
+        n = e.count()
+        while n:  # trim
+            kept = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+            kept = write_once(kept, "scc")
+            left = kept.count()
+            discard(e)
+            e, same = kept, left == n
+            n = left
+            if same:
+                break
+        if not n:
+            return _union(found)
+        colour = write_once(e.select(F.col("src").alias("id")).distinct().withColumn("colour", F.col("id")), "colour")
+        while True:
+            into = e.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("colour").alias("best"))
+            new = write_once(colour.join(into, "id", "left").select("id", F.greatest("colour", F.coalesce("best", "colour")).alias("colour"), (F.col("best") > F.col("colour")).alias("moved")), "colour")
+            moved = new.filter("moved").limit(1).count()
+            discard(colour)
+            colour = new.select("id", "colour")
+            if not moved:
+                break
+        inner = e.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("c")), "src").join(colour.select(F.col("id").alias("dst"), "colour"), "dst").filter(F.col("c") == F.col("colour")).select("src", "dst", "colour")
+        front = write_once(colour.filter(F.col("id") == F.col("colour")), "scc")
+        mine = [front]
+        while front.limit(1).count():
+            back = inner.join(front.select(F.col("id").alias("dst"), F.col("colour").alias("c")), "dst").filter(F.col("c") == F.col("colour")).select(F.col("src").alias("id"), "colour").distinct()
+            for m in mine:
+                back = back.join(m, ["id", "colour"], "left_anti")
+            front = write_once(back, "scc")
+            mine.append(front)
+        scc = write_once(_union(mine).select("id", F.col("colour").alias("scc")), "scc")
+        found.append(scc)
+        e = write_once(e.join(scc.select(F.col("id").alias("src")), "src", "left_anti").join(scc.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "scc")
+    raise RuntimeError("components: no end after the given rounds")
+
+
+def cycles(edges: DataFrame, longest: int = 8, first: int | None = 10) -> DataFrame:
+    """(path) of the ``first`` shortest simple cycles (all, if None) of up to ``longest`` nodes, each once, from its smallest node; of equal lengths the least.
+
+    Only edges within a strongly connected component are looked at. Paths grow by a node a round, through nodes greater than their first; the search ends with the round in which enough are found.
+    """
+    e = edges.select("src", "dst").distinct()
+    loops = e.filter("src = dst").select(F.array("src").alias("path"))
+    scc = components(e)
+    inner = e.filter("src <> dst").join(scc.select(F.col("id").alias("src"), F.col("scc").alias("c1")), "src").join(scc.select(F.col("id").alias("dst"), F.col("scc").alias("c2")), "dst")
+    inner = write_once(inner.filter("c1 = c2").select("src", "dst"), "inner")
+    found, paths = write_once(loops, "cycles"), inner.filter("src < dst").select(F.array("src", "dst").alias("path"))
     for _ in range(longest - 1):
-        ends = paths.withColumn("last", F.element_at("path", -1)).join(e, F.col("last") == F.col("src"))
+        if first is not None and found.limit(first).count() >= first:
+            break
+        ends = paths.withColumn("last", F.element_at("path", -1)).join(inner, F.col("last") == F.col("src"))
+        ends = write_once(ends.select("path", "dst"), "paths")
         found = found.unionByName(ends.filter(F.col("dst") == F.col("path")[0]).select("path"))
         paths = ends.filter((F.col("dst") > F.col("path")[0]) & ~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
-    return found
+    return found if first is None else found.orderBy(F.size("path"), "path").limit(first)
+
+
+def text_scan(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes (id, name, path, line), edges (type, src, dst)) of (path, text) by plain text: lines that begin with ``def`` or ``class`` define names, and
+    ``name(`` anywhere in a file is a call, from the file to the name and back.
+
+    A name made of word characters is called where a run of word characters before a parenthesis ends in it: distinct runs are joined with the
+    names by their ends. Other names are joined by their last run, and looked for in the texts of the files that have it.
+    """
+    f = files.filter("path IS NOT NULL").select("path", F.coalesce("text", F.lit("")).alias("text"))
+    line = f.select("path", F.posexplode(F.split("text", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")).alias("at", "line"))
+    bare = F.ltrim("line")
+    named = line.filter(bare.startswith("def ") | bare.startswith("class ")).select("path", (F.col("at") + 1).alias("line"), F.trim(F.regexp_extract(bare, "(?s)^[a-z]+ ([^(:]*)", 1)).alias("name")).filter("name <> ''")
+    named = write_once(named, "defined")
+    names = named.select("name", F.regexp_extract("name", r"([\p{L}\p{N}_]*)$", 1).alias("tail")).distinct()
+    runs = write_once(f.filter(F.contains("text", F.lit("("))).select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"((?:(?<![\p{L}\p{N}_])[\p{L}\p{N}_]++)?)\("), F.lit(1)))).alias("run")), "runs")
+    whole = names.filter("name = tail")
+    ends = runs.select("run").distinct().select("run", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("run"), F.lit(1))), lambda i: F.substr("run", i))).alias("name"))
+    called = ends.join(whole.select("name"), "name").select("run", "name").join(runs, "run").select("path", "name")
+    odd = names.filter("name <> tail").join(runs, F.col("tail") == F.col("run")).select("path", "name").join(f, "path").filter(F.contains("text", F.concat("name", F.lit("(")))).select("path", "name")
+    calls = write_once(called.unionByName(odd).distinct(), "calls")
+    edges = calls.select(F.lit("CALLS").alias("type"), F.col("path").alias("src"), F.col("name").alias("dst")).unionByName(calls.select(F.lit("CALLS").alias("type"), F.col("name").alias("src"), F.col("path").alias("dst")))
+    nodes = f.select(F.col("path").alias("id"), F.col("path").alias("name"), "path", F.lit(None).cast("int").alias("line")).unionByName(named.select(F.col("name").alias("id"), "name", "path", "line"))
+    return nodes, edges

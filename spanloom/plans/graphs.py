@@ -8,6 +8,7 @@ from spanloom.operators import graph as G
 from spanloom.operators.search import top
 from spanloom.plans.base import EDGES, NODES, edges, nodes
 from spanloom.plans.catalog import register
+from spanloom.runtime import table
 
 INDEX = "ix AS (SELECT DISTINCT k AS key, u.path FROM edges e JOIN nodes d ON d.id = e.dst JOIN nodes u ON u.id = e.src, LATERAL (SELECT unnest(list_distinct([d.id, string_split(d.id, ':')[2], d.name])) AS k) WHERE e.type IN ('IMPORTS', 'EXTENDS'))"
 
@@ -74,16 +75,39 @@ def shortest_path(spark, sf):
     e = edges(spark, sf)
     c = e.filter("type = 'USES'").select("src").distinct()
     r = e.filter("type = 'EXTENDS'").select("dst").distinct()
-    return G.shortest_paths(e, c.crossJoin(F.broadcast(r)), 4)  # five regions
+    return G.shortest_paths(e, c.crossJoin(F.broadcast(r)), 4).select("src", "dst", "hops")  # five regions
 
 
-@register("cycles_bounded", "G10", "WITH e AS (SELECT DISTINCT n_nationkey % 7 AS a, (n_nationkey * 3 + n_regionkey) % 7 AS b FROM nation), p2 AS (SELECT [a, b] AS p FROM e WHERE a < b), p3 AS (SELECT p || [b] AS p FROM p2 JOIN e ON e.a = p[2] WHERE b > p[1] AND NOT list_contains(p, b)), c AS (SELECT [a] AS p FROM e WHERE a = b UNION ALL SELECT p FROM p2 JOIN e ON e.a = p[2] AND e.b = p[1] UNION ALL SELECT p FROM p3 JOIN e ON e.a = p[3] AND e.b = p[1]) SELECT array_to_string(p, '>') AS cycle FROM c")
+def part_of(spark, sf):
+    """The graph, and a way back from every tenth supplier to the part that has its number."""
+    t = table(spark, sf, "supplier").filter("s_suppkey % 10 = 0").join(table(spark, sf, "part"), F.col("s_suppkey") == F.col("p_partkey"))
+    back = t.select(F.concat(F.lit("s:"), F.col("s_suppkey").cast("long")).alias("src"), F.concat(F.lit("p:"), F.col("p_partkey").cast("long")).alias("dst"))
+    return edges(spark, sf).select("src", "dst").unionByName(back)
+
+
+@register("cycles_bounded", "G10", f"""WITH RECURSIVE {EDGES}, k AS (SELECT s_suppkey AS k FROM supplier JOIN part ON p_partkey = s_suppkey WHERE s_suppkey % 10 = 0),
+g AS (SELECT src, dst FROM edges UNION SELECT 's:' || k, 'p:' || k FROM k), v AS (SELECT 's:' || k AS id FROM k UNION ALL SELECT 'p:' || k FROM k),
+e AS (SELECT src, dst FROM g WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)),
+w(path, closed) AS (SELECT [src], false FROM e GROUP BY src UNION ALL SELECT CASE WHEN e.dst = w.path[1] THEN w.path ELSE w.path || [e.dst] END, e.dst = w.path[1]
+  FROM w JOIN e ON e.src = w.path[-1] WHERE NOT w.closed AND len(w.path) <= 8 AND (e.dst = w.path[1] OR e.dst > w.path[1] AND NOT list_contains(w.path, e.dst) AND len(w.path) < 8))
+SELECT array_to_string(path, '>') AS cycle, CAST(len(path) AS INTEGER) AS nodes FROM w WHERE closed ORDER BY len(path), path LIMIT 10""")
 def cycles_bounded(spark, sf):
-    from spanloom.runtime import table
+    """The ten shortest cycles of up to eight nodes."""
+    return G.cycles(part_of(spark, sf), 8, 10).select(F.array_join("path", ">").alias("cycle"), F.size("path").alias("nodes"))
+
 
-    k = F.col("n_nationkey").cast("long")
-    e = table(spark, sf, "nation").select((k % 7).alias("src"), ((k * 3 + F.col("n_regionkey")) % 7).alias("dst"))
-    return G.cycles(e, 3).select(F.array_join("path", ">").alias("cycle"))
+@register("path_nodes", "G9", f"""WITH RECURSIVE {EDGES}, u AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+pr AS (SELECT 'c:' || c_custkey AS a, 'p:' || p_partkey AS b FROM customer JOIN part ON p_partkey = c_custkey % 97 + 1 WHERE c_custkey % 50 = 0),
+f(a, id, d) AS (SELECT DISTINCT a, a, 0 FROM pr UNION SELECT f.a, u.dst, f.d + 1 FROM f JOIN u ON u.src = f.id WHERE f.d < 6),
+h AS (SELECT a, id, min(d) AS d FROM f GROUP BY ALL),
+r(a, b, id, d) AS (SELECT pr.a, pr.b, pr.b, h.d FROM pr JOIN h ON h.a = pr.a AND h.id = pr.b UNION SELECT r.a, r.b, h.id, h.d FROM r JOIN u ON u.dst = r.id JOIN h ON h.a = r.a AND h.id = u.src AND h.d = r.d - 1),
+w(a, b, path, d) AS (SELECT DISTINCT a, b, [a], 0 FROM r UNION ALL SELECT w.a, w.b, w.path || [min(r.id)], w.d + 1 FROM w JOIN r ON r.a = w.a AND r.b = w.b AND r.d = w.d + 1 JOIN u ON u.src = w.path[-1] AND u.dst = r.id GROUP BY w.a, w.b, w.path, w.d)
+SELECT a AS src, b AS dst, CAST(max(d) AS INTEGER) AS hops, array_to_string(max_by(path, d), '>') AS path FROM w GROUP BY ALL""")
+def path_nodes(spark, sf):
+    """The chain of nodes between a part and every fiftieth customer, edges taken both ways."""
+    c, p = table(spark, sf, "customer").filter("c_custkey % 50 = 0"), table(spark, sf, "part")
+    pairs = c.join(p, F.col("p_partkey") == F.col("c_custkey") % 97 + 1).select(F.concat(F.lit("c:"), F.col("c_custkey").cast("long")).alias("src"), F.concat(F.lit("p:"), F.col("p_partkey").cast("long")).alias("dst"))
+    return G.shortest_paths(edges(spark, sf), pairs, 6, both=True).select("src", "dst", "hops", F.array_join("path", ">").alias("path"))
 
 
 @register("file_context", "G13 G14 J21", f"""WITH {NODES}, {EDGES}, d AS (SELECT src AS id, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS n FROM (SELECT DISTINCT src, dst FROM edges)),
@@ -114,12 +138,16 @@ def entity_search(spark, sf):
     return n.filter(F.lower("name").contains("an") & F.col("kind").isin("class", "module", "variable") & (F.col("name").ilike("%an%") | F.col("path").ilike("%an%"))).select("id", "name", "kind")
 
 
-@register("text_scan_graph", "U19", "WITH s AS (SELECT DISTINCT item_id, regexp_extract(lower(text), '([a-z]{5,})', 1) AS sym FROM benchmark) SELECT sym, count(DISTINCT doc_id) AS files FROM s JOIN documents ON contains(lower(text), sym) WHERE sym <> '' GROUP BY sym")
-def text_scan_graph(spark, sf):
-    """Symbols found in texts by their words: an equality on exploded words and their suffix-free parts is not enough for a substring, so
-    the given symbols, a small stated set, are compared with all texts."""
-    from spanloom.runtime import table
+CODE_SQL = """code AS (SELECT 'doc' || doc_id || '.py' AS path, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 4 = 1
+  THEN '  def ' || split_part(x, ' ', 1) || '(self):' ELSE regexp_replace(x, '^([^ ]+) ([^ ]+)', '\\1 \\2(') END), chr(10)) AS text FROM documents)"""
+
 
-    s = table(spark, sf, "benchmark").select(F.regexp_extract(F.lower("text"), "([a-z]{5,})", 1).alias("sym")).filter("sym <> ''").distinct()
-    d = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("low"))
-    return d.join(s, F.contains("low", "sym")).groupBy("sym").agg(F.count_distinct("doc_id").alias("files"))
+@register("text_scan_graph", "U19", f"""WITH {CODE_SQL}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS line FROM code),
+n AS (SELECT DISTINCT trim(regexp_extract(ltrim(line), '^(?:def|class) ([^(:]*)', 1)) AS name FROM l WHERE starts_with(ltrim(line), 'def ') OR starts_with(ltrim(line), 'class ')),
+c AS (SELECT path, name FROM code JOIN n ON contains(text, name || '(') WHERE name <> '')
+SELECT 'CALLS' AS type, path AS src, name AS dst FROM c UNION ALL SELECT 'CALLS', name, path FROM c""")
+def text_scan_graph(spark, sf):
+    """Files made of the documents' lines: every fourth line defines its first word, the others call their second."""
+    line = lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("  def "), F.split(x, " ", 2)[0], F.lit("(self):"))).otherwise(F.regexp_replace(x, "^([^ ]+) ([^ ]+)", "$1 $2("))
+    code = table(spark, sf, "documents").select(F.concat(F.lit("doc"), "doc_id", F.lit(".py")).alias("path"), F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+    return G.text_scan(code)[1]

@@ -135,7 +135,7 @@ def test_graph(spark):
     assert {r.id for r in graph.with_stubs(n, e).filter("kind = 'stub'").collect()} == {"x"}
     assert sorted(r.path for r in graph.cycles(e, 3).collect()) == [["a", "b", "c"], ["x"]]
     p = spark.createDataFrame([("a", "d"), ("d", "a")], "src string, dst string")
-    assert [tuple(r) for r in graph.shortest_paths(e, p).collect()] == [("a", "d", 3)]
+    assert [tuple(r) for r in graph.shortest_paths(e, p).collect()] == [("a", "d", 3, ["a", "b", "c", "d"])]
     used = graph.where_used(graph.user_files(n, e, ["CALLS"]), spark.createDataFrame([("c",), ("a",)], "symbol string"), 5)
     assert sorted(map(tuple, used.collect())) == [("a", 1, "c.py"), ("c", 1, "b.py")]
 
