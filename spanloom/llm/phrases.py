@@ -5,8 +5,8 @@ it within its piece (as many as a phrase may have). A task takes one prefix at a
 pointers that it holds by the next word, counts each run, and goes on with the runs that are frequent. Phrases that can't be frequent are never looked at further.
 
 Before the shuffle, pointers of a slice of texts that have the same words after them become one with a count. A prefix's database is split by a hash of
-the next word into parts of some PART occurrences at most, so that no prefix, however frequent, is one task's; a phrase of two words is then still whole in its
-part. Only pairs that hold more than a 32nd of all occurrences are split by the third word too, and their partial counts are added up afterwards: a pair like that holds more
+the next word into parts of some PART occurrences, so that no prefix, however frequent, is one task's; a phrase of two words is then still whole in its
+part. Words that are split are listed for all tasks: they hold more than 1/FREQUENT of all occurrences, so there are FREQUENT at most. Only pairs that hold more than a 32nd of all occurrences are split by the third word too, and their partial counts are added up afterwards: a pair like that holds more
 than a 64th of some slices, slices report such pairs, and by their sums at most 64 can be held for hot, whatever the size of the corpus.
 
 A candidate's score is that of its weakest cut; the parts of a cut are at least as frequent as the phrase, so their counts are at hand. Products are exact decimals
@@ -33,7 +33,9 @@ from spanloom.runtime import spread, write_once
 
 STOPS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 LEAST, SHARE, BEST = 10, 50, 2000
-SLICE_BYTES, PART = 4 << 20, 1 << 24
+SLICE_BYTES, PART, FREQUENT = 8 << 20, 1 << 22, 1 << 16
+#: Pointers of a prefix below which plain counting is faster than arrays.
+FEW = 2000
 #: A pair is hot if it holds more than 1/HOT of all occurrences; salts that it is then dealt by.
 HOT, SALTS = 32, 64
 _KIND = np.zeros(256, np.uint8)
@@ -106,7 +108,18 @@ def _hash(words: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh32_intdigest(w) for w in words.to_pylist()), np.int64, len(words))
 
 
-def _projector(longest: int, parts: int, hot: set[tuple[str, str, str]]) -> Callable:
+def _distinct(codes: np.ndarray, after: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct pointer, times that it occurs), in order."""
+    key, top = codes, size
+    for a in after:
+        if top > (1 << 62) // (size + 1):
+            key = np.unique(key, return_inverse=True)[1]
+            top = len(codes)
+        key, top = key * (size + 1) + a, top * (size + 1)
+    return np.unique(key, return_index=True, return_counts=True)[1:]
+
+
+def _projector(longest: int, parts: dict[tuple[str, str], int], hot: set[tuple[str, str, str]]) -> Callable:
     """Makes (lang, word, part, split, n, body): a prefix's pointers in a slice, distinct by the words that follow, a line each."""
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,27 +127,28 @@ def _projector(longest: int, parts: int, hot: set[tuple[str, str, str]]) -> Call
             size, n = len(words), len(codes)
             piece = np.cumsum(begins)
             after = np.zeros((longest - 1, n), np.int64)  # 0: the piece ends before
-            for k in range(1, longest):
-                after[k - 1, : n - k] = np.where(piece[k:] == piece[: n - k], codes[k:] + 1, 0) if k < n else 0
-            digests = np.concatenate([[0], _hash(words)])
-            part = digests[after[0]] % parts
-            split = np.zeros(n, bool)
-            mine = {(a, b) for x, a, b in hot if x == lang}
-            if mine and longest > 2:
-                at = {w: i for i, w in enumerate(words.to_pylist())}
-                wanted = [at[a] * (size + 1) + at[b] + 1 for a, b in mine if a in at and b in at]
-                split = np.isin(codes * (size + 1) + after[0], wanted)
-                part = np.where(split, digests[after[1]] % SALTS, part)
-            order = np.lexsort((*after[::-1], split, part, codes))
-            table = np.vstack([codes, part, split, after])[:, order]
-            new = np.concatenate([[True], (table[:, 1:] != table[:, :-1]).any(axis=0)])
-            rows = np.flatnonzero(new)
-            times = np.diff(np.append(rows, n))
-            table = table[:, rows]
+            for k in range(1, min(longest, n)):
+                after[k - 1, : n - k] = np.where(piece[k:] == piece[: n - k], codes[k:] + 1, 0)
+            rows, times = _distinct(codes, after, size)
+            codes, after = codes[rows], after[:, rows]
+            part, split = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
+            if any(x == lang for x, _ in parts) or any(x == lang for x, _, _ in hot):
+                names = words.to_pylist()
+                of = np.array([parts.get((lang, w), 1) for w in names])
+                digests = np.concatenate([[0], _hash(words)])
+                part = digests[after[0]] % of[codes]
+                at = {w: i for i, w in enumerate(names)} if longest > 2 else {}
+                wanted = [at[a] * (size + 1) + at[b] + 1 for x, a, b in hot if x == lang and a in at and b in at]
+                if wanted:
+                    split = np.isin(codes * (size + 1) + after[0], wanted)
+                    part = np.where(split, digests[after[1]] % SALTS, part)
+                order = np.lexsort((split, part, codes))
+                codes, part, split, after, times = codes[order], part[order], split[order], after[:, order], times[order]
+            table = np.vstack([codes, part, split, after])
             group = np.flatnonzero(np.concatenate([[True], (table[:3, 1:] != table[:3, :-1]).any(axis=0)]))
             texts = pa.concat_arrays([pa.array([""], pa.large_string()), words])
             data, offsets = _flat(_joined(*[texts.take(pa.array(x)) for x in table[3:]], pa.array(times)))
-            bodies = pa.Array.from_buffers(pa.large_binary(), len(group), [None, pa.py_buffer(offsets[np.append(group, len(rows))]), pa.py_buffer(data)])
+            bodies = pa.Array.from_buffers(pa.large_binary(), len(group), [None, pa.py_buffer(offsets[np.append(group, len(times))]), pa.py_buffer(data)])
             sums = np.add.reduceat(times, group)
             head = table[:3, group]
             cols = [pa.array([lang] * len(group), pa.string()), words.take(pa.array(head[0])).cast(pa.string()), pa.array(head[1].astype(np.int32)), pa.array(head[2].astype(bool)), pa.array(sums), bodies.cast(pa.binary())]
@@ -181,8 +195,26 @@ def _grower(longest: int, least: int) -> Callable:
         coded = [column(k).dictionary_encode() for k in range(width - 1)]
         return [d.indices.to_numpy() for d in coded], [d.dictionary for d in coded], column(width - 1).cast(pa.int64()).to_numpy()
 
+    def counted(phrase: str, pointers: list[tuple[list[str], int]], depth: int, out: list[tuple[str, int, int]], whole: bool) -> None:
+        """What _grow does, for few pointers."""
+        runs: dict[str, list[tuple[list[str], int]]] = {}
+        for p in pointers:
+            if p[0][depth]:
+                runs.setdefault(p[0][depth], []).append(p)
+        for word, run in runs.items():
+            n = sum(t for _, t in run)
+            if n >= least or not whole:
+                out.append((f"{phrase} {word}", depth + 2, n))
+                if depth + 2 < width:
+                    counted(f"{phrase} {word}", run, depth + 1, out, True)
+
     def grown(key: tuple, held: list[bytes]) -> list[tuple[str, str, int, int]]:
         lang, word, _, split = key
+        few = b"".join(held)
+        if few.count(b"\n") < FEW:
+            out = []
+            counted(word, [(f, int(f[-1])) for f in (x.split(" ") for x in few.decode().split("\n")[:-1])], 0, out, not split)
+            return [(lang, *x) for x in out]
         after, names, times = fields(held)
         out: list[tuple[str, int, int]] = []
         _grow(word, np.arange(len(times)), 0, after, names, times, least, out, not split)
@@ -237,7 +269,8 @@ def frequent(docs: DataFrame, longest: int = 3, least: int = LEAST, text_col: st
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     n = words.agg(F.sum("n")).first()[0] or 0
     hot = {tuple(r) for r in c.filter(F.col("second").isNotNull() & (F.col("n") * 2 * HOT > n)).select("lang", "first", "second").limit(2 * HOT).collect()}
-    parts = max(1, math.ceil(n / PART))
+    split = words.filter(F.col("n") > max(PART, n // FREQUENT)).select("lang", "first", "n").collect()  # at most FREQUENT
+    parts = {(r["lang"], r["first"]): math.ceil(r["n"] / PART) for r in split}
     schema = "lang string, word string, part int, split boolean, n long, body binary"
     p = d.mapInArrow(_projector(longest, parts, hot), schema)
     keys = ["lang", "word", "part", "split"]

@@ -30,7 +30,7 @@ def odd_rows(seed, n=300):
 @pytest.mark.parametrize("small", [False, True])
 def test_odd_texts_and_languages(spark, monkeypatch, small):
     if small:  # many slices, parts and hot pairs
-        for name, value in (("SLICE_BYTES", 300), ("PART", 50), ("HOT", 500), ("SALTS", 3)):
+        for name, value in (("SLICE_BYTES", 300), ("PART", 50), ("HOT", 500), ("SALTS", 3), ("FEW", 4), ("FREQUENT", 1000)):
             monkeypatch.setattr(phrases, name, value)
     rows = odd_rows(1)
     got = against_sql(spark, [*rows, *rows[:50], (None, "en"), ("", None), (" \t.\n", "en"), (None, None)])
