@@ -6,7 +6,7 @@ join with the list, which removes the false positives; a list beyond some ten mi
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and is not listed; rows are
 judged one by one, so repeated rows and null ids give a row each; a very long url is judged whole; an empty list lists nothing; an empty table gives an
-empty result. ``listed`` keeps all columns, whatever their names (one named ``listed`` would be there twice).
+empty result. ``listed`` keeps all columns, whatever their names, but one of the name that it adds, which it replaces.
 """
 
 from __future__ import annotations
@@ -60,8 +60,8 @@ def bloom(keys: DataFrame, key: str, blocks: int = BLOCKS) -> DataFrame:
     return b.groupBy("block").agg(*[F.bit_or(F.expr(f"shiftleft(one, b{i})")).alias(f"w{i}") for i in range(8)])
 
 
-def listed(rows: DataFrame, key: str, names: DataFrame, name: str, blocks: int | None = None) -> DataFrame:
-    """``rows`` with a boolean ``listed``: whether ``key`` is among the ``name`` of ``names``. Without ``blocks``, the filter has a block for every 16
+def listed(rows: DataFrame, key: str, names: DataFrame, name: str, blocks: int | None = None, flag: str = "listed") -> DataFrame:
+    """``rows`` with a boolean column ``flag``: whether ``key`` is among the ``name`` of ``names``. Without ``blocks``, the filter has a block for every 16
     names, BLOCKS at least and MOST_BLOCKS at most."""
     names = names.select(F.col(name).alias("l_name")).filter("l_name IS NOT NULL").distinct()
     if blocks is None:
@@ -74,7 +74,7 @@ def listed(rows: DataFrame, key: str, names: DataFrame, name: str, blocks: int |
         r = r.withColumn(f"l_b{i}", b)
         hit = hit & (F.expr(f"shiftright(l_w{i}, l_b{i}) & 1L") == 1)
     r = r.withColumn("l_maybe", F.coalesce(hit & F.col("l_key").isNotNull(), F.lit(False))).select("l_row", "l_key", "l_maybe")
-    out = lambda x, y: x.select(*[F.col("l_row")[c].alias(c) for c in rows.columns], y.alias("listed"))
+    out = lambda x, y: x.select(*[F.col("l_row")[c].alias(c) for c in rows.columns if c.lower() != flag.lower()], y.alias(flag))
     names = names.withColumn("l_in", F.lit(True))
     exact = r.filter("l_maybe").join(names, F.col("l_key") == F.col("l_name"), "left")
     return out(r.filter("NOT l_maybe"), F.lit(False)).unionByName(out(exact, F.coalesce("l_in", F.lit(False))))
@@ -96,10 +96,12 @@ LISTED = ["spam-farm", "adult-x", "free-bets"]
 
 
 def page_verdicts(pages: DataFrame) -> DataFrame:
-    """op5: the list holds the canonical URLs of the pages on hosts with a label of LISTED."""
-    labels = F.split(host(F.col("url")), r"\.")
-    names = pages.filter(F.arrays_overlap(labels, F.array(*map(F.lit, LISTED)))).select(canonical(F.col("url")).alias("name"))
-    return judge(pages, RULES, names, "name")
+    """op5: the list holds the canonical URLs of the pages on hosts with a label of LISTED, and those that more than one page has."""
+    u = F.col("url")
+    labels = F.split(host(u), r"\.")
+    names = pages.filter(F.arrays_overlap(labels, F.array(*map(F.lit, LISTED)))).select(canonical(u).alias("name"))
+    often = pages.groupBy(canonical(u).alias("name")).agg(F.count("*").alias("n")).filter("n > 1").select("name")
+    return judge(pages, RULES, names.unionByName(often), "name")
 
 
 PAGES_SQL = r"""
@@ -112,6 +114,6 @@ c AS (SELECT *, CASE WHEN regexp_replace(host, '^www\.', '') <> '' THEN regexp_r
 r(v, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 d AS (SELECT c.*, (SELECT max(struct_pack(n := length(r.h || r.p), m := length(r.h), rule := r.h || r.p, v := r.v)) FROM r
   WHERE (c.host = r.h OR ends_with(c.host, '.' || r.h)) AND starts_with(c.path, r.p)) AS x,
-  coalesce(k IN (SELECT k FROM c WHERE bad AND k IS NOT NULL), false) AS listed FROM c)
+  coalesce(k IN (SELECT k FROM c WHERE bad AND k IS NOT NULL UNION ALL SELECT k FROM c WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1), false) AS listed FROM c)
 SELECT page_id, host, path, x.rule AS rule, coalesce(x.v, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM d
 """

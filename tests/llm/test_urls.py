@@ -51,3 +51,18 @@ def test_filter_has_no_false_negatives(spark):
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert urls.page_verdicts(pages).collect() == []
+
+
+def test_input_has_the_columns_of_the_result(spark):
+    rows = spark.createDataFrame([(1, "a", True, "x", "y", 5), (2, "b", None, "x", "y", 6)], "id long, k string, listed boolean, l_row string, l_key string, l_at int")
+    got = urls.listed(rows, "k", spark.createDataFrame([("b",)], "name string"), "name", blocks=4)
+    assert sorted(got.columns) == sorted(rows.columns)
+    assert sorted((r.id, r.listed, r.l_row, r.l_key, r.l_at) for r in got.collect()) == [(1, False, "x", "y", 5), (2, True, "x", "y", 6)]
+    other = urls.listed(rows, "k", spark.createDataFrame([("a",)], "name string"), "name", blocks=4, flag="bad")
+    assert sorted((r.id, r.listed, r.bad) for r in other.collect()) == [(1, True, True), (2, None, False)]
+
+
+def test_urls_that_repeat_are_listed(spark):
+    urls_of = ["http://a.net/x", "http://www.a.net/x/", "http://b.net/x", "http://spam-farm.net/q"]
+    pages = spark.createDataFrame(list(enumerate(urls_of)), "page_id long, url string")
+    assert {r.page_id: (r.listed, r.verdict) for r in urls.page_verdicts(pages).collect()} == {0: (True, "block"), 1: (True, "block"), 2: (False, "allow"), 3: (True, "block")}
