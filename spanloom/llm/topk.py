@@ -12,8 +12,8 @@ shuffled grows with the table until the queries fill a block, and after that wit
 Each task returns its k best per query; these partial lists, a bounded number of rows per query and group, are merged by rank.
 
 Defined results: vectors that are null, or hold null or non-finite components, and rows with a null id take no part;
-a query only meets candidates of its own dimension; repeated rows of a query id count once as a query (the smallest
-vector), and as often as they occur as candidates of others; components and scores beyond the range
+a query only meets candidates of its own dimension; an empty vector takes no part; every row is a query of its own and meets all rows but itself, so rows
+that repeat an id are candidates of each other, and each has its ranks (``row_col`` tells rows apart; without it, rows of one id are taken for one row); components and scores beyond the range
 of a long are held at its ends; empty tables give an empty result; other columns are ignored.
 """
 
@@ -43,10 +43,10 @@ def to_integers(vector: Column, scale: int = 64) -> Column:
     return F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
 
 
-def _clean(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+def _clean(rows: DataFrame, id_col: str, vec_col: str, row_col: str) -> DataFrame:
     v = F.col(vec_col)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    return rows.filter(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & fine).select(F.col(id_col).cast("long").alias("id"), to_integers(v).alias("v"))
+    return rows.filter(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & fine).select(F.col(id_col).cast("long").alias("id"), F.col(row_col).cast("long").alias("row"), to_integers(v).alias("v"))
 
 
 def narrow(v: np.ndarray) -> np.ndarray:
@@ -56,21 +56,21 @@ def narrow(v: np.ndarray) -> np.ndarray:
 
 
 def _pack(rows: DataFrame, most: int) -> DataFrame:
-    """Blocks of up to ``most`` vectors of one dimension, made where the rows are: (name, dim, ids, cols), ids ascending."""
+    """Blocks of up to ``most`` vectors of one dimension, made where the rows are: (name, dim, ids, row_ids, cols), ids ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         name = itertools.count(TaskContext.get().partitionId() << 32)
 
         def block(dim: int) -> pa.RecordBatch:
             parts = held.pop(dim)
-            ids, vecs = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            ids, row_ids, vecs = (np.concatenate([p[k] for p in parts]) for k in range(3))
             order = np.argsort(ids, kind="stable")
             cols = narrow(np.ascontiguousarray(vecs[order].T))
-            return pa.RecordBatch.from_arrays([pa.array([next(name)], pa.int64()), pa.array([dim], pa.int32()), pa.array([ids[order].tobytes()], pa.binary()), pa.array([cols.dtype.itemsize], pa.int32()), pa.array([cols.tobytes()], pa.binary())], names=["name", "dim", "ids", "width", "cols"])
+            return pa.RecordBatch.from_arrays([pa.array([next(name)], pa.int64()), pa.array([dim], pa.int32()), pa.array([ids[order].tobytes()], pa.binary()), pa.array([row_ids[order].tobytes()], pa.binary()), pa.array([cols.dtype.itemsize], pa.int32()), pa.array([cols.tobytes()], pa.binary())], names=["name", "dim", "ids", "row_ids", "width", "cols"])
 
         for b in batches:
-            ids = np.asarray(b.column("id"), dtype=np.int64)
+            ids, row_ids = (np.asarray(b.column(c), dtype=np.int64) for c in ("id", "row"))
             v = b.column("v")
             size = np.asarray(v.value_lengths(), dtype=np.int64)
             flat, ends = np.asarray(v.flatten(), dtype=np.int64), np.cumsum(size)
@@ -78,25 +78,25 @@ def _pack(rows: DataFrame, most: int) -> DataFrame:
                 at = np.flatnonzero(size == dim)
                 vecs = flat[(ends[at] - dim)[:, None] + np.arange(dim)]
                 for k in range(0, len(at), most):
-                    held.setdefault(dim, []).append((ids[at[k : k + most]], vecs[k : k + most]))
+                    held.setdefault(dim, []).append((ids[at[k : k + most]], row_ids[at[k : k + most]], vecs[k : k + most]))
                     if sum(len(p[0]) for p in held[dim]) >= most:
                         yield block(dim)
         for dim in list(held):
             yield block(dim)
 
-    return rows.mapInArrow(run, "name long, dim int, ids binary, width int, cols binary")
+    return rows.mapInArrow(run, "name long, dim int, ids binary, row_ids binary, width int, cols binary")
 
 
 def _largest(v: np.ndarray) -> int:
     return max(1, -int(v.min(initial=0)), int(v.max(initial=0)))
 
 
-def best(queries: tuple[np.ndarray, np.ndarray], blocks: list[tuple[np.ndarray, np.ndarray]], k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate id, score) of each query's k best over blocks of (ascending ids, dim x n integers). ``least``: scores that each query's k-th
+def best(queries: tuple[np.ndarray, np.ndarray], blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, candidate id, score) of each query's k best over blocks of (ascending ids, row ids, dim x n integers), but for its own row. ``least``: scores that each query's k-th
     best is known to reach; what is below may be left out."""
-    qid, q = queries
+    q_row, q = queries
     dim, m = q.shape
-    bound = max([1, *(_largest(c) for _, c in blocks)]) * _largest(q) * dim
+    bound = max([1, *(_largest(c) for _, _, c in blocks)]) * _largest(q) * dim
     whole = bound >= 1 << 53  # beyond exact floats
     kind = np.float32 if bound < 1 << 24 else np.float64
     cuts = list(range(0, dim, STEP))
@@ -106,9 +106,9 @@ def best(queries: tuple[np.ndarray, np.ndarray], blocks: list[tuple[np.ndarray,
     norm = np.sqrt(q2[0])
     least = np.full(m, -np.inf) if least is None else least.copy()
     found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
-    for ids, cols in blocks:
+    for ids, row_ids, cols in blocks:
         i, c, total = _survivors(qk, cols.astype(kind), cols, cuts, rest_q, least, norm if whole else None)
-        other = ids[c] != qid[i]
+        other = row_ids[c] != q_row[i]
         i, c = i[other], c[other]
         score = exact(q, cols, i, c) if whole else np.rint(total[other]).astype(np.int64)
         i, c, score = np.concatenate([found[0], i]), np.concatenate([found[1], ids[c]]), np.concatenate([found[2], score])
@@ -157,28 +157,30 @@ def _survivors(qk, xk, cols, cuts, rest_q, least, norm):
     return i, alive[c], total[i, c]
 
 
-def _columns(row) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(row.ids, np.int64), np.frombuffer(row.cols, f"i{row.width}").reshape(row.dim, -1)
+def _columns(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(row.ids, np.int64), np.frombuffer(row.row_ids, np.int64), np.frombuffer(row.cols, f"i{row.width}").reshape(row.dim, -1)
 
 
 def _step(left: pd.DataFrame, right: pd.DataFrame, k: int, part: int = 512) -> pd.DataFrame:
     """The k best of each query of ``left`` among the candidate blocks of ``right``, a part of a query block at a time."""
-    out = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})]
+    out = [pd.DataFrame({"row": pd.Series(dtype="int64"), "query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})]
     for a in left.itertuples():
-        ids, q = _columns(a)
+        ids, row_ids, q = _columns(a)
         least = np.frombuffer(a.least, np.float64) if isinstance(getattr(a, "least", None), bytes) else None
         same = [_columns(b) for b in right.itertuples() if b.dim == a.dim]
         for z in range(0, len(ids), part) if same else ():
-            i, c, s = best((ids[z : z + part], q[:, z : z + part]), same, k, None if least is None else least[z : z + part])
-            out.append(pd.DataFrame({"query_id": ids[z : z + part][i], "vec_id": c, "score": s}))
+            i, c, s = best((row_ids[z : z + part], q[:, z : z + part]), same, k, None if least is None else least[z : z + part])
+            out.append(pd.DataFrame({"row": row_ids[z : z + part][i], "query_id": ids[z : z + part][i], "vec_id": c, "score": s}))
     return pd.concat(out)
 
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = 4096, row_block: int = 4096, group: int = 8) -> DataFrame:
-    """(query_id, rank, vec_id, score) of each query's ``k`` best rows other than its own."""
+def top_k(queries: DataFrame, rows: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", row_col: str | None = None, query_block: int = 4096, row_block: int = 4096, group: int = 8) -> DataFrame:
+    """(query_id, rank, vec_id, score) of each query's ``k`` best rows other than its own; ``row_col`` is a number that tells rows apart."""
     spark = rows.sparkSession
-    q = _clean(queries, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v"))
-    qb, xb = write_once(_pack(q, query_block), "topq"), write_once(_pack(_clean(rows, id_col, vec_col), row_block), "topx")
+    q = _clean(queries, id_col, vec_col, row_col or id_col)
+    if row_col is None:
+        q = q.groupBy("id", "row").agg(F.min("v").alias("v"))
+    qb, xb = write_once(_pack(q, query_block), "topq"), write_once(_pack(_clean(rows, id_col, vec_col, row_col or id_col), row_block), "topx")
     nq, nx = qb.count(), xb.count()  # numbers of blocks; the blocks themselves never reach the driver
     qb, xb = _numbered(qb).withColumnRenamed("n", "q"), _numbered(xb)
     groups = max(1, -(-nx // group), min(nx, -(-2 * spark.sparkContext.defaultParallelism // max(1, nq))))
@@ -188,22 +190,22 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 20, id_col: str = "vec_i
         if not len(left):
             return pd.DataFrame({"b": pd.Series(dtype="int32"), "least": pd.Series(dtype="object")})
         found = _step(left, right, k)
-        found["n"] = found.groupby("query_id").cumcount()  # best first
-        kth = found[found["n"] == k - 1].set_index("query_id")["score"].astype(float)
-        ids = np.frombuffer(left["ids"].iloc[0], np.int64)
-        return pd.DataFrame({"b": [left["q"].iloc[0]], "least": [np.nextafter(kth.reindex(ids).fillna(-np.inf).to_numpy(np.float64), -np.inf).tobytes()]})
+        found["n"] = found.groupby("row").cumcount()  # best first
+        kth = found[found["n"] == k - 1].set_index("row")["score"].astype(float)
+        row_ids = np.frombuffer(left["row_ids"].iloc[0], np.int64)
+        return pd.DataFrame({"b": [left["q"].iloc[0]], "least": [np.nextafter(kth.reindex(row_ids).fillna(-np.inf).to_numpy(np.float64), -np.inf).tobytes()]})
 
     one = xb.groupBy("dim").agg(F.max(F.struct(F.length("ids").alias("l"), "name"))["name"].alias("one"))  # the fullest block of each dimension
-    some = xb.join(one.select("one"), F.col("name") == F.col("one"), "left_semi").select("dim", "ids", "width", "cols")
-    asked = qb.select(F.col("q").alias("s_q"), F.col("dim").alias("s_dim")).join(some, F.col("s_dim") == F.col("dim")).select("s_q", "dim", "ids", "width", "cols")
+    some = xb.join(one.select("one"), F.col("name") == F.col("one"), "left_semi").select("dim", "ids", "row_ids", "width", "cols")
+    asked = qb.select(F.col("q").alias("s_q"), F.col("dim").alias("s_dim")).join(some, F.col("s_dim") == F.col("dim")).select("s_q", "dim", "ids", "row_ids", "width", "cols")
     seeds = qb.groupBy("q").cogroup(asked.groupBy("s_q")).applyInPandas(first, "b int, least binary")
     qs = qb.join(write_once(seeds, "topseed"), F.col("q") == F.col("b"), "left")
-    qs = qs.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("g", "q", "dim", "ids", "width", "cols", "least")
-    xs = xb.withColumn("g", (F.col("n") % groups).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(max(nq - 1, 0))))).select("g", "q", "dim", "ids", "width", "cols")
+    qs = qs.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("g", "q", "dim", "ids", "row_ids", "width", "cols", "least")
+    xs = xb.withColumn("g", (F.col("n") % groups).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(max(nq - 1, 0))))).select("g", "q", "dim", "ids", "row_ids", "width", "cols")
     tasks = max(1, min(groups * nq, TASKS))  # named, as the work of a pair of blocks is far more than its bytes say
     qs, xs = qs.repartition(tasks, "g", "q"), xs.repartition(tasks, "g", "q")
-    part = qs.groupBy("g", "q").cogroup(xs.groupBy("g", "q")).applyInPandas(lambda a, b: _step(a, b, k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    part = qs.groupBy("g", "q").cogroup(xs.groupBy("g", "q")).applyInPandas(lambda a, b: _step(a, b, k), "row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(W.partitionBy("row", "query_id").orderBy(F.desc("score"), "vec_id"))
     return part.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -214,15 +216,16 @@ def _numbered(blocks: DataFrame) -> DataFrame:
 
 
 def nearest(embeddings: DataFrame) -> DataFrame:
-    """op10: queries are the rows whose id is divisible by 20."""
-    return top_k(embeddings.filter(F.col("vec_id") % 20 == 0), embeddings)
+    """op10: queries are the rows whose id is divisible by 20. Rows are numbered once, and the numbers written, as both sides read them."""
+    e = write_once(embeddings.select("vec_id", "embedding", F.monotonically_increasing_id().alias("row")), "toprows")
+    return top_k(e.filter(F.col("vec_id") % 20 == 0), e, row_col="row")
 
 
 NEAREST_SQL = """
-WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
-  FROM e q JOIN e c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score
+WITH e AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id % 20 = 0 AND c.r <> q.r)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score
 FROM s QUALIFY "rank" <= 20
 """

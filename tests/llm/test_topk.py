@@ -1,5 +1,6 @@
 import math
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -21,6 +22,18 @@ def brute(rows, k=20):
     return sorted(out)
 
 
+def test_repeated_rows_equal_sql(spark):
+    """Rows of one id are queries and candidates each; the SQL says the same."""
+    g = np.random.default_rng(5)
+    rows = [(int(i), [float(x) for x in g.normal(size=6)]) for i in range(100)] + [(20, [3.0] * 6), (20, [5.0] * 6), (20, [3.0] * 6), (40, [1.0] * 6), (7, [2.0] * 6), (60, [])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    got = sorted(tuple(r) for r in topk.nearest(d).collect())
+    assert got == sorted(con.execute(topk.NEAREST_SQL).fetchall()) and len(got) == 20 * 9
+
+
 @pytest.mark.parametrize("dim", [3, 16, 40])
 def test_against_brute_force(spark, dim):
     g = np.random.default_rng(dim)
