@@ -69,9 +69,10 @@ def folds(texts: list[str]) -> np.ndarray:
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct 4-grams packed into 64 bits, index of each position's 4-gram, number of positions of each text)."""
+    c = np.frombuffer((START + START.join(texts)).encode("utf-16-le", "surrogatepass"), dtype=np.uint16).astype(np.int64)  # code points over U+FFFF are two symbols
     size = np.fromiter(map(len, texts), np.int64, len(texts))
-    c = np.frombuffer((START + START.join(texts)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    c = np.where(c > 0xFFFF, 0xD800 | (c & 0x7FF), c).astype(np.int64)
+    if len(c) > int(size.sum()) + 3 * max(1, len(texts)):
+        size = np.fromiter((len(t.encode("utf-16-le", "surrogatepass")) // 2 for t in texts), np.int64, len(texts))
     end = np.cumsum(size + 3)
     inside = np.ones(len(c), bool)
     for k in range(3):

@@ -49,6 +49,11 @@ class Plain:
         return sum(math.log(self.p(s[i - 3 : i + 1])) for i in range(3, len(s)))
 
 
+def units(text):
+    """The symbols of the model: code units of 16 bits."""
+    return "".join(map(chr, np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)))
+
+
 def test_against_plain_model(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     t = quality.trusted_ids(spark.read.parquet(f"{SF}/labels.parquet"))
@@ -56,11 +61,11 @@ def test_against_plain_model(spark):
     docs = d.select("doc_id", "text", "lang").unionByName(extra)
     texts, ids = docs.collect(), {r.doc_id for r in t.collect()}
     assert len(ids) > 100
-    plain = Plain([quality.normal(r.text or "") for r in texts if r.doc_id in ids])
+    plain = Plain([units(quality.normal(r.text or "")) for r in texts if r.doc_id in ids])
     got = {(r.id, r.n_symbols): r for r in quality.perplexities(docs, t).collect()}
     assert len(got) == len(texts)
     for r in texts[::9] + texts[-5:]:
-        n = quality.normal(r.text or "")
+        n = units(quality.normal(r.text or ""))
         x = got[r.doc_id, len(n)]
         assert x.log_prob == pytest.approx(plain.log_prob(n), rel=1e-6, abs=1e-6)
         assert (x.perplexity is None) == (not n)
@@ -77,11 +82,12 @@ def test_codes_agree_with_sorting():
     key, index, size = quality.codes(texts)
     want = []
     for t in texts:
-        s = [2, 2, 2, *(ord(x) if ord(x) < 65536 else 0xD800 + ord(x) % 2048 for x in t)]
+        s = [2, 2, 2, *map(ord, units(t))]
         want += [sum(c << (16 * (3 - j)) for j, c in enumerate(s[i - 3 : i + 1])) for i in range(3, len(s))]
-    assert key[index].astype(np.uint64).tolist() == want and size.tolist() == [len(t) for t in texts]
+    assert key[index].astype(np.uint64).tolist() == want and size.tolist() == [len(units(t)) for t in texts]
     key, index, size = quality.codes([""])
     assert len(key) == len(index) == 0
+    assert set(quality.codes(["\U0001f600" * 9])[0]) != set(quality.codes(["\U0001fe00" * 9])[0])  # no two texts are taken for one
 
 
 def test_keeps_clean_rejects_junk(spark):
