@@ -5,9 +5,9 @@ script; each candidate gets the word's log likelihood under smoothed counts of i
 itself. Viterbi decoding over a text's words, with a penalty for switching, labels spans. A text's language is
 the one with most letters; its score is that language's share of the letters.
 
-The model is learned from a bounded sample: about ``PER_LANG`` distinct texts of every language (chosen by hash, read whole), however often they repeat; of
-each language's features the ``PER_LANG_GRAMS`` most frequent are kept. Its size is bounded by these parameters and the number of languages, so it is
-broadcast. Prediction reads texts alone, all of them, whole.
+The model is learned from a bounded sample: about ``PER_LANG`` distinct texts of every language (chosen by hash, read whole), however often they repeat. All
+features of the sample are kept, sparsely: a feature holds the languages that it was seen in, all others get what a feature not seen is worth in them. The model is
+no larger than the sample's features, in proportion to the number of languages, so it is broadcast. Prediction reads texts alone, all of them, whole.
 
 Decoding runs over all texts of a slice at once, word by word, so that its cost per word is a few vector operations.
 
@@ -24,13 +24,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import text_slices
 from spanloom.runtime import discard, spread, write_once
 
-PER_LANG, PER_LANG_GRAMS = 1500, 20_000
+PER_LANG = 1500
 PENALTY, FAR = 12.0, -40.0
 CACHE = 200_000
 
@@ -64,8 +63,8 @@ def grams(word: str) -> list[str]:
     return [w[i : i + 3] for i in range(len(w) - 2)] + [f"={w}"]
 
 
-def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, per_lang_grams: int = PER_LANG_GRAMS) -> dict:
-    """A model from rows with a non-null language; what reaches the driver is bounded by the parameters and the number of languages."""
+def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> dict:
+    """A model from rows with a non-null language; what reaches the driver is the features of the bounded sample."""
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     mark = F.xxhash64(F.lit(11), "text")
     langs = rows.groupBy("lang").agg(F.approx_count_distinct(mark, 0.02).alias("n")).orderBy("lang").collect()
@@ -95,26 +94,26 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
 
     counts = sample.select("text", "lang").mapInArrow(count, kind).groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
     counts = write_once(counts, "langcounts")
-    place = F.row_number().over(W.partitionBy("kind", "lang").orderBy(F.desc("n"), "gram"))
-    some = counts.withColumn("place", place).filter(F.col("place") <= per_lang_grams).select("kind", "gram").distinct()
-    kept = counts.join(some, ["kind", "gram"]).groupBy("kind", "gram").agg(F.collect_list(F.struct("lang", "n")).alias("by")).orderBy("kind", "gram").collect()
+    grams_of = counts.filter("kind = 'gram'").select("gram", "lang", "n").orderBy("gram", "lang").toArrow()
+    scripts_of = counts.filter("kind = 'script'").select("gram", "lang", "n").collect()  # scripts times languages
     discard(counts)
     names = [r["lang"] for r in langs]
     at = {x: i for i, x in enumerate(names)}
-    features = [r for r in kept if r["kind"] == "gram"]
-    table = np.zeros((len(features), len(names)))
-    for i, r in enumerate(features):
-        for lang, n in r["by"]:
-            table[i, at[lang]] = n
-    total, v = table.sum(axis=0), max(1, len(features))
-    per_script = {r["gram"]: dict(r["by"]) for r in kept if r["kind"] == "script"}
-    words = Counter()
-    for x in per_script.values():
-        words.update(x)
-    allowed = {s: np.array([per_script[s].get(x, 0) >= 0.005 * words[x] and x in per_script[s] for x in names]) for s in per_script}
+    coded = grams_of.column("gram").combine_chunks().dictionary_encode()
+    row = {g: i for i, g in enumerate(coded.dictionary.to_pylist())}
+    feature, n = coded.indices.to_numpy(zero_copy_only=False), grams_of.column("n").to_numpy().astype(np.float64)
+    lang = np.fromiter((at[x] for x in grams_of.column("lang").to_pylist()), np.int64, len(n))
+    total, v = np.bincount(lang, n, len(names)), max(1, len(row))
+    unseen = np.log(0.5 / (total + 0.5 * v))
+    per_script: dict[str, dict] = defaultdict(dict)
+    words: Counter = Counter()
+    for r in scripts_of:
+        per_script[r["gram"]][r["lang"]] = r["n"]
+        words[r["lang"]] += r["n"]
+    allowed = {s: np.array([by.get(x, 0) >= 0.005 * words[x] and x in by for x in names]) for s, by in sorted(per_script.items())}
     return {
-        "langs": names, "row": {r["gram"]: i for i, r in enumerate(features)}, "scripts": {s: a for s, a in allowed.items() if a.any()},
-        "table": np.vstack([np.log((table + 0.5) / (total + 0.5 * v)), np.log(0.5 / (total + 0.5 * v))[None]]).astype(np.float32),
+        "langs": names, "row": row, "scripts": {s: a for s, a in allowed.items() if a.any()}, "unseen": unseen,
+        "starts": np.searchsorted(feature, np.arange(len(row) + 1)), "lang": lang, "more": np.log((n + 0.5) / (total + 0.5 * v)[lang]) - unseen[lang],
     }
 
 
@@ -126,12 +125,18 @@ class Labeller:
         self.kind = np.min_scalar_type(max(1, len(model["langs"]) - 1))
 
     def _score(self, words: list[str]) -> np.ndarray:
-        row, unknown = self.m["row"], len(self.m["table"]) - 1
-        flat, starts = [], []
+        row, nl, flat, size = self.m["row"], len(self.m["langs"]), [], []
         for w in words:
-            starts.append(len(flat))
-            flat += [row.get(g, unknown) for g in grams(w)]
-        out = np.add.reduceat(self.m["table"][flat], starts, axis=0)
+            g = grams(w)
+            size.append(len(g))
+            flat += [row.get(x, -1) for x in g]
+        size, flat = np.array(size), np.array(flat)
+        word = np.repeat(np.arange(len(words)), size)[flat >= 0]
+        first = self.m["starts"][flat[flat >= 0]]
+        many = self.m["starts"][flat[flat >= 0] + 1] - first
+        at = np.arange(many.sum()) + np.repeat(first - np.cumsum(many) + many, many)  # places of all languages of all features
+        seen = np.bincount(np.repeat(word, many) * nl + self.m["lang"][at], self.m["more"][at], len(words) * nl)
+        out = size[:, None] * self.m["unseen"] + seen.reshape(len(words), nl)
         any_script = np.ones(out.shape[1], bool)
         may = np.array([self.m["scripts"].get(script(w), any_script) for w in words])
         best = np.where(may, out, -np.inf).max(axis=1, keepdims=True)
