@@ -217,8 +217,9 @@ def text_scan(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     f = files.filter("path IS NOT NULL").select("path", F.coalesce("text", F.lit("")).alias("text"))
     line = f.select("path", F.posexplode(F.split("text", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")).alias("at", "line"))
-    bare = F.ltrim("line")
-    named = line.filter(bare.startswith("def ") | bare.startswith("class ")).select("path", (F.col("at") + 1).alias("line"), F.trim(F.regexp_extract(bare, "(?s)^[a-z]+ ([^(:]*)", 1)).alias("name")).filter("name <> ''")
+    blank = r"[\s\p{Z}\x1c-\x1f\x85]"
+    bare = F.regexp_replace("line", f"^{blank}+", "")
+    named = line.filter(bare.startswith("def ") | bare.startswith("class ")).select("path", (F.col("at") + 1).alias("line"), F.regexp_replace(F.regexp_extract(bare, "(?s)^[a-z]+ ([^(:]*)", 1), f"^{blank}+|{blank}+$", "").alias("name")).filter("name <> ''")
     named = write_once(named, "defined")
     names = named.select("name", F.regexp_extract("name", r"([\p{L}\p{N}_]*)$", 1).alias("tail")).distinct()
     runs = write_once(f.filter(F.contains("text", F.lit("("))).select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"((?:(?<![\p{L}\p{N}_])[\p{L}\p{N}_]++)?)\("), F.lit(1)))).alias("run")), "runs")

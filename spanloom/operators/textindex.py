@@ -93,7 +93,7 @@ class TextIndex(Versioned):
         for rows, sign in ((added, 1), (lost, -1)):
             for r in rows:
                 n, total = figures.get(r["field"], (0, 0))
-                figures[r["field"]] = (n + sign * r["n"], total + sign * (r["len"] or 0))
+                figures[r["field"]] = [n + sign * r["n"], total + sign * (r["len"] or 0)]
         self.commit({**self.manifest, "segments": [*self.manifest["segments"], [seq, name]], "figures": figures, "note": note or self.manifest["note"]})
 
     def merge(self) -> None:
