@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.operators import search
+from spanloom.runtime import write_once
 
 
 def stitch(results: DataFrame, neighbours: DataFrame, limit: int) -> DataFrame:
@@ -17,6 +18,34 @@ def stitch(results: DataFrame, neighbours: DataFrame, limit: int) -> DataFrame:
     return search.top(both, ["query_id"], limit, F.col("stage"), F.col("at"), F.col("path")).select("query_id", "path", "rank", "origin")
 
 
+def stitch_hops(seeds: DataFrame, neighbours: DataFrame, hops: int = 3) -> DataFrame:
+    """(query_id, path, hop, rank) of neighbours of the seeds (query_id, path, quota), nearest first, until a query's quota is filled; of a hop, by path.
+
+    All queries are searched at once, a hop a round. A query whose quota is filled leaves the search, so that its front is never expanded
+    further; within a round no more than what is left of a quota is kept (found within tasks first).
+    """
+    near = neighbours.toDF("path", "to").distinct()
+    seen = write_once(seeds.select("query_id", "path").distinct(), "stitched")
+    left = write_once(seeds.groupBy("query_id").agg(F.max("quota").alias("left")), "quota")
+    front, out, before = seen, None, [seen]
+    for hop in range(1, max(1, hops) + 1):
+        new = front.join(near, "path").select("query_id", F.col("to").alias("path")).distinct()
+        for s in before:
+            new = new.join(s, ["query_id", "path"], "left_anti")
+        place = F.row_number().over(W.partitionBy("query_id").orderBy("path"))
+        new = new.join(left, "query_id").filter("left > 0").withColumn("place", place).filter(F.col("place") <= F.col("left"))
+        new = write_once(new.select("query_id", "path", F.lit(hop).alias("hop"), "place", "left"), "stitched")
+        out = new if out is None else out.unionByName(new)
+        got = new.groupBy("query_id").agg(F.count("*").alias("got"))
+        left = write_once(left.join(got, "query_id", "left").select("query_id", (F.col("left") - F.coalesce("got", F.lit(0))).alias("left")), "quota")
+        front = new.join(left.filter("left > 0").select("query_id"), "query_id", "left_semi").select("query_id", "path")
+        before.append(new.select("query_id", "path"))
+        if not front.limit(1).count():
+            break
+    quota = seeds.groupBy("query_id").agg(F.max("quota").alias("quota"))
+    return out.join(quota, "query_id").select("query_id", "path", "hop", (F.col("quota") - F.col("left") + F.col("place")).cast("int").alias("rank"))
+
+
 def nav_search(docs: DataFrame, queries: DataFrame, neighbours: DataFrame, fresh: bool = True, limit: int = 10) -> DataFrame:
     """(query_id, path, rank, origin) of documents (id, path, text) for queries (query_id, text).
 
@@ -33,7 +62,7 @@ def nav_search(docs: DataFrame, queries: DataFrame, neighbours: DataFrame, fresh
     out = stitch(best, neighbours, limit)
     lost = queries.join(best.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.lower("text").alias("needle")).filter("needle <> ''")
     low = docs.select("path", F.lower("text").alias("low"))
-    found = low.join(search.contained(low, lost, "low", "needle"), F.col("low") == F.col("value")).join(lost, "needle").select("query_id", "path")
+    found = search.rows_with(low, lost, "path", "low", "needle").join(lost, "needle").select("query_id", "path")
     grep = search.top(found, ["query_id"], limit, F.col("path")).select("query_id", "path", "rank", F.lit("grep").alias("origin"))
     return out.unionByName(grep)
 

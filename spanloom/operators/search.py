@@ -92,6 +92,27 @@ def contained(values: DataFrame, needles: DataFrame, value: str, needle: str, si
     return grams.join(keyed, "_k").filter(F.contains("value", "needle")).select("value", "needle").distinct()
 
 
+def rows_with(rows: DataFrame, needles: DataFrame, key: str, text: str, needle: str, size: int = 3) -> DataFrame:
+    """(key, needle) of the rows whose text contains a needle. Only keys are shuffled, and texts once, to their own keys.
+
+    A needle of ``size`` characters or more is looked up by the rarest of its runs of that many characters, among the runs that any needle has; a shorter one by itself.
+    A run that many needles or texts share is thus used only by needles that have no other.
+    """
+    keyed = needles.select(F.col(needle).alias("needle")).filter("needle <> ''").distinct()
+    runs = lambda c, n: F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    own = F.when(F.length("needle") < size, F.array("needle")).otherwise(F.array_distinct(runs("needle", size)))
+    of = write_once(keyed.select("needle", F.explode(own).alias("run")), "needleruns")
+    lengths = [r["n"] for r in of.select(F.length("run").alias("n")).distinct().collect()]  # 1 to size
+    if not lengths:
+        return rows.select(F.col(key).alias(key), F.lit("").alias("needle")).limit(0)
+    r = rows.select(key, F.explode(F.array_distinct(F.flatten(F.array(*[runs(text, n) for n in lengths])))).alias("run"))
+    r = write_once(r.join(of.select("run").distinct(), "run", "left_semi"), "rowruns")
+    often = r.groupBy("run").agg(F.count("*").alias("rows"))
+    rarest = of.join(often, "run", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "run")).alias("x")).select("needle", F.col("x.run").alias("run"))
+    maybe = rarest.join(r, "run").select(key, "needle")
+    return rows.select(key, F.col(text).alias("_text")).join(maybe, key).filter(F.contains("_text", "needle")).select(key, "needle").distinct()
+
+
 def plan_scores(candidates: DataFrame, queries: DataFrame, fields: list[str], k: int = 5, least: float = 0.4) -> DataFrame:
     """(query_id, id, score) of candidates (id and text fields) for queries (query_id, text): all that match a token, and what else the k best may hold.
 

@@ -23,6 +23,21 @@ def word():
 NAV = """qs AS (SELECT item_id AS query_id, CASE WHEN item_id % 4 = 0 THEN substr(string_split(text, ' ')[2], 2) ELSE array_to_string(string_split(text, ' ')[2:3], ' ') END AS text FROM benchmark)"""
 
 
+@register("stitch_hops", "R18", f"""WITH RECURSIVE {EDGES}, u AS (SELECT src, dst FROM edges WHERE type IN ('USES', 'EXTENDS') UNION SELECT dst, src FROM edges WHERE type IN ('USES', 'EXTENDS')),
+q AS (SELECT c_custkey AS query_id, 'c:' || c_custkey AS path, [1, 3, 40, 4000][c_custkey // 10 % 4 + 1] AS quota FROM customer WHERE c_custkey % 10 = 0),
+w(query_id, id, d) AS (SELECT query_id, path, 0 FROM q UNION SELECT w.query_id, u.dst, d + 1 FROM w JOIN u ON u.src = w.id WHERE d < 3),
+m AS (SELECT query_id, id, min(d) AS d FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS n FROM m WHERE d > 0)
+SELECT query_id, id AS path, CAST(d AS INTEGER) AS hop, CAST(n AS INTEGER) AS "rank" FROM r JOIN q USING (query_id) WHERE n <= quota""")
+def stitch_hops(spark, sf):
+    """From every tenth customer along uses and extensions, either way, until 1, 3, 40 or 4,000 neighbours are found, three hops at most."""
+    e = edges(spark, sf).filter("type IN ('USES', 'EXTENDS')")
+    u = e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    k = F.col("c_custkey").cast("long")
+    quota = F.element_at(F.array(*map(F.lit, (1, 3, 40, 4000))), (F.floor(k / 10) % 4 + 1).cast("int"))
+    q = table(spark, sf, "customer").filter("c_custkey % 10 = 0").select(k.alias("query_id"), F.concat(F.lit("c:"), k).alias("path"), quota.alias("quota"))
+    return composed.stitch_hops(q, u, 3)
+
+
 @register("nav_search", "R19 R18 C15", f"""WITH {FILES}, {NAV}, {BM25}, {RERANK},
 best AS (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS k FROM s QUALIFY k <= 10),
 nb AS (SELECT a.path, z.path AS other FROM files a JOIN files z ON z.id = xor(a.id, 1)),

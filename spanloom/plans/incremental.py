@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from spanloom.plans.base import FILES, files
 from spanloom.plans.catalog import register
-from spanloom.runtime import scratch_dir, write_once
-from spanloom.streaming import sync
+from spanloom.runtime import scratch_dir, table, write_once
+from spanloom.streaming import leases, state, sync
+from spanloom.streaming.sources import parquet_stream
 
 
 def line_spans(texts):
@@ -36,3 +37,17 @@ def stream_sync(spark, sf):
     sync.follow(read(), store, f"{base}/checkpoint")
     store.apply(second.withColumn("text", F.lit("never seen")), store.manifest["batch"])  # a batch that was applied
     return write_once(store.spans(), "synced")
+
+
+@register("stream_leases", "T-9 T-10", """WITH b AS (SELECT CAST(user_id AS VARCHAR) AS item, 'w' || (event_id % 4) AS worker, ts,
+  lead(ts) OVER (PARTITION BY user_id ORDER BY ts, 'w' || (event_id % 4)) AS later FROM events), m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
+SELECT item, worker, ts + INTERVAL 2 DAY AS released_at FROM b, m WHERE later > ts + INTERVAL 2 DAY OR later IS NULL AND ts + INTERVAL 2 DAY < mark""")
+def stream_leases(spark, sf):
+    """Items are users, their events the heartbeats of four workers; a lease lasts two days."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", leases.PROVIDER)
+    beats = parquet_stream(spark, sf, "events.parquet", table(spark, sf, "events").schema).select("user_id", F.concat(F.lit("w"), F.col("event_id") % 4).alias("worker"), F.col("ts").cast("timestamp").alias("ts"))
+    try:
+        r = state.run_once(leases.releases(beats, "user_id", "worker", "ts", 2 * 86_400, "1 hour"), "append")
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return r.select("item", "worker", F.col("released_at").cast("timestamp_ntz").alias("released_at"))

@@ -9,9 +9,9 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import graph, textindex
+from spanloom.operators import composed, graph, search, textindex
 from spanloom.runtime import scratch_dir
-from spanloom.streaming import sync
+from spanloom.streaming import leases, sync
 
 
 def tokens(text):
@@ -240,3 +240,52 @@ def test_text_scan(spark):
     assert {(r.src, r.dst) for r in edges.collect()} == want | {(s, p) for p, s in want} and edges.count() == 2 * len(want)
     assert sorted((r.id, r.path, r.line) for r in nodes.filter("line IS NOT NULL").collect()) == sorted(places)
     assert nodes.filter("line IS NULL").count() == len(texts) and len(list(itertools.chain(want))) > 6
+
+
+def test_stitching_fills_quotas_over_hops(spark):
+    rnd = random.Random(6)
+    edges = {(f"n{rnd.randrange(30):02}", f"n{rnd.randrange(30):02}") for _ in range(45)}
+    seeds = [(q, f"n{rnd.randrange(30):02}", quota) for q, quota in enumerate([1, 2, 5, 100, 3, 100]) for _ in range(2)]
+    got = {}
+    for r in composed.stitch_hops(spark.createDataFrame(seeds, "query_id long, path string, quota int"), spark.createDataFrame(sorted(edges), "a string, b string"), 3).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.hop, r.path))
+    for q in {s[0] for s in seeds}:
+        quota = next(s[2] for s in seeds if s[0] == q)
+        seen = front = {s[1] for s in seeds if s[0] == q}
+        want = []
+        for hop in (1, 2, 3):
+            front = {b for a, b in edges if a in front} - seen
+            seen = seen | front
+            want += [(hop, p) for p in sorted(front)]
+        assert sorted(got.get(q, [])) == [(n, *x) for n, x in enumerate(want[:quota], 1)]
+
+
+def test_rows_with_needles(spark):
+    rnd = random.Random(8)
+    text = lambda n: "".join(rnd.choices("abc é\n", k=n))
+    rows = [(i, text(rnd.randrange(40))) for i in range(150)] + [(150, None), (151, "")]
+    needles = [text(rnd.randrange(1, 6)) for _ in range(60)] + ["", "zzzz"]
+    got = {(r.id, r.needle) for r in search.rows_with(spark.createDataFrame(rows, "id long, t string"), spark.createDataFrame([(n,) for n in needles], "n string"), "id", "t", "n").collect()}
+    assert got == {(i, n) for i, t in rows for n in needles if n and t and n in t}
+
+
+def test_leases_over_batches(spark):
+    base = f"{scratch_dir(spark)}/le-{uuid.uuid4().hex}"
+    beats = [  # a batch each: (item, worker, second)
+        [("a", "w1", 0), ("a", "w1", 50), ("b", "w1", 10), (None, "w1", 5)],
+        [("a", "w2", 140), ("c", "w1", 100), ("c", "w2", 160)],  # c falls silent in between
+        [("d", "w1", 400)],
+        [("a", "w1", 1000), ("d", "w1", 1010)],
+    ]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", leases.PROVIDER)
+    try:
+        for k, rows in enumerate(beats):
+            spark.createDataFrame(rows, "item string, worker string, s long").select("item", "worker", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(f"{base}/in/part={k}")
+            stream = spark.readStream.schema("item string, worker string, ts timestamp").parquet(f"{base}/in/part=*")
+            out = leases.releases(stream, "item", "worker", "ts", 55, "1 second")
+            q = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/c").trigger(availableNow=True).start()
+            q.awaitTermination()
+        got = sorted((r.item, r.worker, int(r.released_at.timestamp())) for r in spark.read.parquet(f"{base}/out").collect())
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert got == [("a", "w1", 105), ("a", "w2", 195), ("b", "w1", 65), ("c", "w1", 155), ("c", "w2", 215), ("d", "w1", 455)]
