@@ -115,7 +115,23 @@ def interval_overlap(spark, sf):
     return overlap_join(r, e, "file_id", ("a", "b"), ("start_line", "end_line")).groupBy("rid").agg(F.min("id").alias("entity"))
 
 
-@register("point_in_interval", "J12 U27", f"WITH {SPANS} SELECT f.id AS file, s.id AS span FROM files f JOIN spans s ON s.file_id = f.id AND (f.size % 30) + 1 BETWEEN s.start_line AND s.end_line")
+@register("innermost_scope", "U27 J12", f"""WITH {FILES}, n AS (SELECT id AS file, len(string_split(text, chr(10))) AS n FROM files),
+k AS (SELECT file, n, unnest(range(0, CAST(ceil(n / 8.0) AS BIGINT))) AS k FROM n),
+sc AS (SELECT file, 'doc' || file AS name, 1 AS a, n AS b FROM n UNION ALL SELECT file, 'Part' || k, k * 8 + 2, least(n, k * 8 + 8) FROM k UNION ALL SELECT file, 'run' || k, k * 8 + 4, least(n, k * 8 + 6) FROM k),
+l AS (SELECT file, unnest(range(1, n + 2)) AS line FROM n)
+SELECT l.file, l.line, string_agg(name, '.' ORDER BY a, b DESC, name) AS scope, CAST(count(name) AS INTEGER) AS depth FROM l LEFT JOIN sc ON sc.file = l.file AND line BETWEEN a AND b GROUP BY l.file, l.line""")
+def innermost_scope(spark, sf):
+    """The chain of scopes of every line (and of the one behind the last) of all documents: a document, parts of seven lines, and three lines within each."""
+    from spanloom.operators.ranges import scopes_at
+
+    n = files(spark, sf).select(F.col("id").alias("file"), F.size(F.split("text", "\n")).alias("n"))
+    k = n.select("file", "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / 8).cast("int") - 1)).alias("k"))
+    part = lambda name, a, b: k.select("file", F.concat(F.lit(name), "k").alias("name"), (F.col("k") * 8 + a).alias("start"), F.least("n", F.col("k") * 8 + b).alias("end"))
+    scopes = n.select("file", F.concat(F.lit("doc"), "file").alias("name"), F.lit(1).alias("start"), F.col("n").alias("end")).unionByName(part("Part", 2, 8)).unionByName(part("run", 4, 6))
+    return scopes_at(scopes, n.select("file", F.explode(F.sequence(F.lit(1), F.col("n") + 1)).alias("line")))
+
+
+@register("point_in_interval", "J12", f"WITH {SPANS} SELECT f.id AS file, s.id AS span FROM files f JOIN spans s ON s.file_id = f.id AND (f.size % 30) + 1 BETWEEN s.start_line AND s.end_line")
 def point_in_interval(spark, sf):
     from spanloom.operators.ranges import overlap_join
 

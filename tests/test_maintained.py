@@ -9,7 +9,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import composed, graph, search, textindex
+from spanloom.operators import composed, graph, ranges, search, textindex
 from spanloom.runtime import scratch_dir
 from spanloom.streaming import leases, sync
 
@@ -289,3 +289,17 @@ def test_leases_over_batches(spark):
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert got == [("a", "w1", 105), ("a", "w2", 195), ("b", "w1", 65), ("c", "w1", 155), ("c", "w2", 215), ("d", "w1", 455)]
+
+
+@pytest.mark.parametrize("width", [4, 4096])
+def test_scopes_at_lines(spark, width):
+    rnd = random.Random(width)
+    scopes = [(f"f{rnd.randrange(4)}", f"s{n}", a := rnd.randrange(1, 40), a + rnd.randrange(-2, 12)) for n in range(60)] + [(None, "x", 1, 9), ("f1", None, 3, 50), ("f1", "y", None, 5)]
+    lines = [(f"f{f}", n) for f in range(5) for n in range(-1, 55)] + [("f1", 7), (None, 3), ("f2", None)]
+    got = ranges.scopes_at(spark.createDataFrame(scopes, "file string, name string, start int, end int"), spark.createDataFrame(lines, "file string, line int"), width=width)
+    want = []
+    for f, n in lines:
+        if f is not None and n is not None:
+            on = sorted((a, -b, name or "") for g, name, a, b in scopes if g == f and a is not None and a <= n <= b)
+            want.append((f, n, ".".join(x[2] for x in on) if on else None, len(on)))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
