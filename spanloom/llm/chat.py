@@ -5,7 +5,7 @@ because one side lacks it) ends their longest common prefix. Prefix turns are em
 ``chosen`` and ``rejected``, rendered, with ``loss`` true where a model is trained on the turn (completion turns of the
 assistant). The result has a row per turn, in the order of ``turn``, so that no conversation, however long, has
 to fit into one row or task; the join and the minimum per pair are pre-aggregated and split by the planner if skewed. ``assemble`` makes a training
-row per pair of these: prompt, both completions, and the stretches of each that are trained on.
+row per pair of these (which a pair's conversation has to fit into): prompt, both completions, and the stretches of each that are trained on.
 
 Defined results: rows with a null pair or turn take no part; null role or text count as empty; of rows that repeat a
 turn the smallest (role, text) is kept; a pair that lacks one side is not a pair and is left out; equal sides give a
@@ -77,12 +77,19 @@ def other_answers(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("pair_id", "turn", "role", "text"), rejected
 
 
-def answer_pairs(conversations: DataFrame) -> DataFrame:
-    """op6: preferences for a conversation's own last answer over its neighbour's."""
+def answer_turns(conversations: DataFrame) -> DataFrame:
+    """Preferences for a conversation's own last answer over its neighbour's, a row per turn."""
     return preferences(*other_answers(conversations))
 
 
-PAIRS_SQL = r"""
+def answer_pairs(conversations: DataFrame) -> DataFrame:
+    """op6: the same as training rows, one per pair: the prompt, both completions, and the stretches of each that are trained on, as ``start:end`` joined by commas."""
+    a = assemble(answer_turns(conversations))
+    mask = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return a.select("pair_id", "prompt", "chosen", "rejected", mask("chosen_trained").alias("chosen_mask"), mask("rejected_trained").alias("rejected_mask"))
+
+
+TURNS_SQL = r"""
 WITH t AS (SELECT conv_id, turn, min(struct_pack(r := coalesce(role, ''), t := coalesce(text, ''))) AS x FROM conversations
   WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
 l AS (SELECT conv_id, max(struct_pack(turn := turn, t := x.t)) AS last FROM t WHERE x.r = 'assistant' GROUP BY conv_id),
@@ -99,3 +106,13 @@ o AS (SELECT pair_id, turn, 'prompt' AS part, a AS x FROM e WHERE na > 0 AND nz
   UNION ALL SELECT pair_id, turn, 'rejected', z FROM e WHERE na > 0 AND nz > 0 AND turn >= first AND z IS NOT NULL)
 SELECT pair_id, part, turn, x.r AS role, '<|' || x.r || '|>' || chr(10) || x.t || '<|end|>' || chr(10) AS rendered, part <> 'prompt' AND x.r = 'assistant' AS loss FROM o
 """
+
+PAIRS_SQL = f"""
+WITH r AS ({TURNS_SQL.strip()}),
+p AS (SELECT *, sum(length(rendered)) OVER (PARTITION BY pair_id, part ORDER BY turn) AS till FROM r)
+SELECT pair_id, coalesce(string_agg(rendered, '' ORDER BY turn) FILTER (part = 'prompt'), '') AS prompt, coalesce(string_agg(rendered, '' ORDER BY turn) FILTER (part = 'chosen'), '') AS chosen,
+  coalesce(string_agg(rendered, '' ORDER BY turn) FILTER (part = 'rejected'), '') AS rejected,
+  coalesce(string_agg((till - length(rendered)) || ':' || till, ',' ORDER BY turn) FILTER (part = 'chosen' AND loss), '') AS chosen_mask,
+  coalesce(string_agg((till - length(rendered)) || ':' || till, ',' ORDER BY turn) FILTER (part = 'rejected' AND loss), '') AS rejected_mask
+FROM p GROUP BY pair_id
+"""

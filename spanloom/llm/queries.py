@@ -36,6 +36,10 @@ def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.answer_pairs(table(spark, sf_dir, "conversations"))
 
 
+def op6_preference_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.answer_turns(table(spark, sf_dir, "conversations"))
+
+
 def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents"))
 
@@ -64,8 +68,8 @@ def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_quality_classifier, op2_byte_bpe, op3_language_id, op4_mix_sources, op5_url_filters, op6_preference_format, op7_media_chunks, op8_line_dedup, op9_minhash_neardup, op10_exact_topk, op11_conversation_repair, op12_phrase_collocations, op13_personal_data]
-ORACLES: dict[str, str] = {"op5_url_filters": urls.PAGES_SQL, "op6_preference_format": chat.PAIRS_SQL, "op8_line_dedup": lines.REPORT_SQL, "op10_exact_topk": topk.NEAREST_SQL, "op11_conversation_repair": structure.REPAIR_SQL, "op12_phrase_collocations": phrases.COLLOCATIONS_SQL}
+QUERIES = [op1_quality_classifier, op2_byte_bpe, op3_language_id, op4_mix_sources, op5_url_filters, op6_preference_format, op6_preference_turns, op7_media_chunks, op8_line_dedup, op9_minhash_neardup, op10_exact_topk, op11_conversation_repair, op12_phrase_collocations, op13_personal_data]
+ORACLES: dict[str, str] = {"op5_url_filters": urls.PAGES_SQL, "op6_preference_format": chat.PAIRS_SQL, "op6_preference_turns": chat.TURNS_SQL, "op8_line_dedup": lines.REPORT_SQL, "op10_exact_topk": topk.NEAREST_SQL, "op11_conversation_repair": structure.REPAIR_SQL, "op12_phrase_collocations": phrases.COLLOCATIONS_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,5 +1,7 @@
 from collections import defaultdict
 
+import duckdb
+
 from spanloom.llm import chat
 
 
@@ -45,10 +47,10 @@ def test_pairs_share_the_prefix_up_to_the_last_answer(spark):
     last = {c: max((r[1], r[3]) for r in chosen if r[0] == c and r[2] == "assistant") for c in {r[0] for r in chosen if r[2] == "assistant"}}
     chosen = [r for r in chosen if r[0] in last]
     rejected = [r if r[1] != last[r[0]][0] else (*r[:3], last[r[0] ^ 1][1]) for r in chosen if r[1] != last[r[0]][0] or r[0] ^ 1 in last]
-    got = chat.answer_pairs(d)
+    got = chat.answer_turns(d)
     assert sorted(tuple(r) for r in got.collect()) == brute(chosen, rejected)
-    length = {p: got.filter(f"pair_id = {p} AND part = 'prompt'").count() for p in (1, 6, 7, 22, 30, 31)}
-    assert length == {1: 0, 6: 0, 7: 0, 22: 2, 30: 1, 31: 0} or length[22] == 2 and length[30] == 1
+    prompts = [r.pair_id for r in got.filter("part = 'prompt'").collect()]
+    assert {p: prompts.count(p) for p in (1, 6, 7, 22, 30, 31)} == {1: 1, 6: 5, 7: 7, 22: 2, 30: 1, 31: 0}
     one = {r.pair_id: r for r in chat.assemble(got).collect()}
     for p, r in one.items():
         mine = [x for x in got.collect() if x.pair_id == p]
@@ -57,4 +59,13 @@ def test_pairs_share_the_prefix_up_to_the_last_answer(spark):
         for part in ("chosen", "rejected"):
             assert [r[part][a:b] for a, b in r[f"{part}_trained"]] == [x.rendered for x in sorted(mine, key=lambda x: x.turn) if x.part == part and x.loss]
     assert one[22].chosen == "" and one[22].prompt.count("<|end|>") == 2
+    pairs = {r.pair_id: r for r in chat.answer_pairs(d).collect()}
+    assert pairs.keys() == one.keys()
+    for p, r in pairs.items():
+        assert (r.prompt, r.chosen, r.rejected) == (one[p].prompt, one[p].chosen, one[p].rejected)
+        assert r.chosen_mask == ",".join(f"{a}:{b}" for a, b in one[p].chosen_trained) and r.rejected_mask == ",".join(f"{a}:{b}" for a, b in one[p].rejected_trained)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert sorted(map(tuple, pairs.values())) == sorted(con.execute(chat.PAIRS_SQL).fetchall())
     assert chat.answer_pairs(d.limit(0)).collect() == [] and chat.assemble(got.limit(0)).collect() == []
