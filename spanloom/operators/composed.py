@@ -55,9 +55,8 @@ def nav_search(docs: DataFrame, queries: DataFrame, neighbours: DataFrame, fresh
     index, figures = search.index_for(docs, queries)
     h = search.bm25(index, queries, figures["n_docs"], figures["avg_len"])
     h = h.filter(F.lit(fresh))
-    h = search.top(h, ["query_id"], max(100, 3 * limit), F.desc(F.round("score_pos", 5)), F.col("id")).drop("rank")
-    h = h.join(docs.select("id", "path", F.substring("text", 1, 1500).alias("text")), "id").join(queries.withColumnRenamed("text", "query"), "query_id")
-    r = search.rerank(h).select("query_id", "path", F.round("rerank", 6).alias("score"))
+    h = write_once(search.top(h, ["query_id"], max(100, 3 * limit), F.desc(F.round("score_pos", 5)), F.col("id")).drop("rank"), "hits")
+    r = search.rerank_hits(h, docs, queries).select("query_id", "path", F.round("rerank", 6).alias("score"))
     best = search.top(r, ["query_id"], limit, F.desc("score"), F.col("path")).select("query_id", "path", "rank")
     out = stitch(best, neighbours, limit)
     lost = queries.join(best.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.lower("text").alias("needle")).filter("needle <> ''")

@@ -63,16 +63,36 @@ def normalize_bm25(raw, corrected: bool = False):
     return F.when(bad, 0.0).otherwise(F.abs(raw) / (1 + F.abs(raw))) if corrected else 1.0 / (1.0 + r)
 
 
-def rerank(hits: DataFrame, weights: dict[str, float] | None = None, corrected: bool = False) -> DataFrame:
-    """Adds ``rerank`` to (query, path, text, bm25): six signals over the first 1500 characters."""
-    w = normalize_weights(weights)
-    q, t = tokens(F.col("query")), F.substring("text", 1, 1500)
-    h = hits.withColumn("_q", q).withColumn("_h", tokens(t)).withColumn("_t", t)
+def _signals(h: DataFrame, w: dict[str, float], corrected: bool) -> DataFrame:
+    """Adds ``rerank`` to rows with bm25, path and what ``_of_query`` and ``_of_text`` make."""
     score = (
-        w["bm25"] * normalize_bm25(F.col("bm25"), corrected) + w["uni"] * jaccard(F.col("_q"), F.col("_h")) + w["bi"] * jaccard(bigrams(F.col("_q")), bigrams(F.col("_h")))
-        + w["path"] * jaccard(F.col("_q"), tokens(F.col("path"))) + w["lit"] * presence(F.array_join("_q", " "), F.col("_t")) + w["ext"] * extension_weight(F.col("path"))
+        w["bm25"] * normalize_bm25(F.col("bm25"), corrected) + w["uni"] * jaccard(F.col("_q"), F.col("_h")) + w["bi"] * jaccard(F.col("_qb"), F.col("_hb"))
+        + w["path"] * jaccard(F.col("_q"), F.col("_p")) + w["lit"] * presence(F.array_join("_q", " "), F.col("_t")) + w["ext"] * extension_weight(F.col("path"))
     )
-    return h.withColumn("rerank", score).drop("_q", "_h", "_t")
+    return h.withColumn("rerank", score).drop("_q", "_qb", "_h", "_hb", "_p", "_t")
+
+
+def _of_query(rows: DataFrame, query: str) -> DataFrame:
+    return rows.withColumn("_q", tokens(F.col(query))).withColumn("_qb", bigrams(F.col("_q")))
+
+
+def _of_text(rows: DataFrame) -> DataFrame:
+    t = F.substring("text", 1, 1500)
+    return rows.withColumn("_t", t).withColumn("_h", tokens(t)).withColumn("_hb", bigrams(F.col("_h"))).withColumn("_p", tokens(F.col("path")))
+
+
+def rerank(hits: DataFrame, weights: dict[str, float] | None = None, corrected: bool = False) -> DataFrame:
+    """Adds ``rerank`` to (query, path, text, bm25): six signals over the first 1500 characters."""
+    return _signals(_of_text(_of_query(hits, "query")), normalize_weights(weights), corrected)
+
+
+def rerank_hits(hits: DataFrame, docs: DataFrame, queries: DataFrame, weights: dict[str, float] | None = None, corrected: bool = False) -> DataFrame:
+    """(query_id, id, path, rerank) of hits (query_id, id, bm25) of documents (id, path, text) for queries (query_id, text). Each query and each document that is hit
+    is tokenised once, however often it is hit, and written, so that no expression is evaluated again in a signal."""
+    d = docs.join(hits.select("id").distinct(), "id", "left_semi").select("id", "path", F.substring("text", 1, 1500).alias("text"))
+    d = write_once(_of_text(d).drop("text"), "hitdocs")
+    q = write_once(_of_query(queries, "text").drop("text"), "hitqueries")
+    return _signals(hits.join(d, "id").join(q, "query_id"), normalize_weights(weights), corrected).select("query_id", "id", "path", "rerank")
 
 
 def top(rows: DataFrame, keys: list[str], k: int, *order) -> DataFrame:

@@ -120,25 +120,23 @@ class TextIndex(Versioned):
         buckets = [r[0] for r in terms.select("bucket").distinct().collect()]  # at most as many as there are folders
         p = self._read("postings").filter(F.col("bucket").isin(buckets) & F.col("field").isin(list(known)))
         mine = p.join(terms.select("term").distinct(), "term", "left_semi")
-        if len(self.manifest["segments"]) > 1:  # the bounds hold for dead postings too; counts don't
+        part = _part(F.col("max_tf"), F.col("min_len"), F.col("avg"))
+        facts = mine.join(F.broadcast(fields), "field").groupBy("term", "field", "weight", "docs", "avg").agg(F.sum("n").alias("df"), F.max(part).alias("most"))  # a row a field
+        if len(self.manifest["segments"]) > 1:  # bounds hold for dead postings too; counts don't
             flat = self._live(mine.select("term", "field", "seq", F.explode("postings").alias("p")).select("term", "field", "seq", F.col("p.id").alias("id")))
-            df = flat.groupBy("term", "field").agg(F.count("*").alias("df"))
-        else:
-            df = mine.groupBy("term", "field").agg(F.sum("n").alias("df"))
+            facts = facts.drop("df").join(flat.groupBy("term", "field").agg(F.count("*").alias("df")), ["term", "field"])
         idf = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("weight")
-        facts = write_once(df.join(F.broadcast(fields), "field").select("term", "field", idf.alias("idf"), "avg"), "facts")  # a row a query term
-        blocks = mine.join(facts, ["term", "field"]).withColumn("bound", F.col("idf") * _part(F.col("max_tf"), F.col("min_len"), F.col("avg")))
-        q = terms.drop("bucket")
-        asked = blocks.select("term", "field", "idf", "avg", "seq", "bound", "postings").join(q, "term")
+        facts = write_once(facts.select("term", "field", idf.alias("idf"), "avg", (idf * F.col("most")).alias("most")), "facts")  # a row a query term and field
+        q = terms.drop("bucket").join(facts, "term")
+        q = q.withColumn("others", F.sum("most").over(W.partitionBy("query_id")) - F.col("most")).drop("most")  # a query's terms
+        asked = mine.select("term", "field", "seq", "max_tf", "min_len", "postings").join(q, ["term", "field"]).withColumn("bound", F.col("idf") * part)
         if k is not None:
-            most = q.join(blocks.groupBy("term", "field").agg(F.max("bound").alias("most")), "term")
-            most = write_once(most.withColumn("others", F.sum("most").over(W.partitionBy("query_id")) - F.col("most")).select("query_id", "term", "field", "others"), "bounds")  # a query's terms
             best = W.partitionBy("query_id", "term", "field").orderBy(F.desc("bound"))
             seed = asked.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= -(-k // BLOCK) + 1)
             least = self._scores(seed, every).withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score_pos")))).filter(F.col("place") == k)
-            least = write_once(least.select(F.col("query_id").alias("l_id"), F.col("score_pos").alias("least")), "bounds")
-            asked = asked.join(most, ["query_id", "term", "field"]).join(least, F.col("query_id") == F.col("l_id"), "left")
-            asked = asked.filter(F.col("least").isNull() | (F.col("bound") + F.col("others") >= F.col("least") - 1e-4)).drop("l_id", "least", "others")
+            least = least.select(F.col("query_id").alias("l_id"), F.col("score_pos").alias("least"))
+            asked = asked.join(least, F.col("query_id") == F.col("l_id"), "left")
+            asked = asked.filter(F.col("least").isNull() | (F.col("bound") + F.col("others") >= F.col("least") - 1e-4))
         return self._scores(asked, every).select("query_id", "id", "score_pos", (-F.col("score_pos")).alias("bm25"))
 
     def _scores(self, asked: DataFrame, every: bool) -> DataFrame:

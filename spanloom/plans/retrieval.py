@@ -12,7 +12,7 @@ from spanloom.functions import text as T
 from spanloom.operators import fusion, ranges, search, textindex
 from spanloom.plans.base import EDGES, ENR, FILES, NODES, edges, enrichments, files, nodes, spans
 from spanloom.plans.catalog import register
-from spanloom.runtime import scratch_dir, table
+from spanloom.runtime import scratch_dir, table, write_once
 
 COS = """q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 20 = 0 AND vec_id < {n}), v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 c AS (SELECT query_id, id, label, round(list_inner_product(v, qv) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(qv, qv))), 6) AS score FROM q, v WHERE sqrt(list_inner_product(v, v)) > 0)"""
@@ -133,10 +133,8 @@ def fielded_search(spark, sf):
 SELECT query_id, id, score, CAST(r AS INTEGER) AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s) WHERE r <= 10""")
 def rerank_lexical(spark, sf):
     """The hundred best full-text hits of a query, reranked."""
-    h = search.top(bm25_hits(spark, sf, k=100), ["query_id"], 100, F.desc(F.round("score_pos", 5)), F.col("id")).drop("rank")
-    f = files(spark, sf).select("id", "path", F.substring("text", 1, 1500).alias("text"))
-    h = h.join(f, "id").join(short_queries(spark, sf).withColumnRenamed("text", "query"), "query_id")
-    r = search.rerank(h).select("query_id", "id", F.round("rerank", 6).alias("score"))
+    h = write_once(search.top(bm25_hits(spark, sf, k=100), ["query_id"], 100, F.desc(F.round("score_pos", 5)), F.col("id")).drop("rank"), "hits")
+    r = search.rerank_hits(h, files(spark, sf), short_queries(spark, sf)).select("query_id", "id", F.round("rerank", 6).alias("score"))
     return search.top(r, ["query_id"], 10, F.desc("score"), F.col("id"))
 
 
