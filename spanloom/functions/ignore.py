@@ -10,6 +10,7 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -119,3 +120,13 @@ def ignored_by(path: Column, listed: Column) -> Column:
     fits = lambda level, r: F.rlike(level["path"], F.concat(F.lit("(?s)"), r["regex"])) & (level["directory"] | ~r["directory"])
     last = lambda level: F.aggregate(listed, F.lit(False), lambda seen, r: F.when(fits(level, r), ~r["keep"]).otherwise(seen))
     return F.when(path.isNotNull(), F.coalesce(F.exists(_levels(path), last), F.lit(False)))
+
+
+def parsed(text: str | Column) -> Column:
+    """The rules, as RULES, of a column of ignore files; a null file has none."""
+
+    @F.pandas_udf(RULES)
+    def parse(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"regex": r.regex, "keep": r.keep, "directory": r.directory} for r in rules((t or "").split("\n"))])
+
+    return parse(text)

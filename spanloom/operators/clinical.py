@@ -14,14 +14,21 @@ from pyspark.sql import functions as F
 from spanloom.functions import phi
 from spanloom.runtime import spread
 
-# Relations as (type, base confidence, verbs, what follows the object).
+# Relations as (expression, type, base confidence).
 RELATIONS = [
-    ("TREATED_BY", 0.9, "is treated with|can be treated with|treated by|managed with", ""), ("TREATED_BY", 0.8, "treatment includes|therapy includes", ""), ("TREATED_BY", 0.7, "responds to|improves with", ""),
-    ("MONITORED_BY", 0.9, "is monitored with|monitored by|followed with", ""), ("MONITORED_BY", 0.8, "requires monitoring with|monitoring includes", ""), ("MONITORED_BY", 0.7, "tracked with|assessed with", ""),
-    ("CONTRAINDICATES", 0.9, "is contraindicated in|contraindicated for|should not be used in", ""), ("CONTRAINDICATES", 0.8, "is not recommended for|avoid in", ""), ("CONTRAINDICATES", 0.7, "may worsen|can exacerbate", ""),
-    ("ADVERSE_EVENT", 0.9, "causes|may cause|can cause", ""), ("ADVERSE_EVENT", 0.8, "side effects include|adverse effects include", ""), ("ADVERSE_EVENT", 0.7, "is associated with|linked to", " (?:as side effect|as adverse event)"),
+    (r"(?i)(\w+(?: \w+)*) (?:is treated with|can be treated with|treated by|managed with) (\w+(?: \w+)*)", "TREATED_BY", 0.9),
+    (r"(?i)(\w+(?: \w+)*) (?:treatment includes|therapy includes) (\w+(?: \w+)*)", "TREATED_BY", 0.8),
+    (r"(?i)(\w+(?: \w+)*) (?:responds to|improves with) (\w+(?: \w+)*)", "TREATED_BY", 0.7),
+    (r"(?i)(\w+(?: \w+)*) (?:is monitored with|monitored by|followed with) (\w+(?: \w+)*)", "MONITORED_BY", 0.9),
+    (r"(?i)(\w+(?: \w+)*) (?:requires monitoring with|monitoring includes) (\w+(?: \w+)*)", "MONITORED_BY", 0.8),
+    (r"(?i)(\w+(?: \w+)*) (?:tracked with|assessed with) (\w+(?: \w+)*)", "MONITORED_BY", 0.7),
+    (r"(?i)(\w+(?: \w+)*) (?:is contraindicated in|contraindicated for|should not be used in) (\w+(?: \w+)*)", "CONTRAINDICATES", 0.9),
+    (r"(?i)(\w+(?: \w+)*) (?:is not recommended for|avoid in) (\w+(?: \w+)*)", "CONTRAINDICATES", 0.8),
+    (r"(?i)(\w+(?: \w+)*) (?:may worsen|can exacerbate) (\w+(?: \w+)*)", "CONTRAINDICATES", 0.7),
+    (r"(?i)(\w+(?: \w+)*) (?:causes|may cause|can cause) (\w+(?: \w+)*)", "ADVERSE_EVENT", 0.9),
+    (r"(?i)(\w+(?: \w+)*) (?:side effects include|adverse effects include) (\w+(?: \w+)*)", "ADVERSE_EVENT", 0.8),
+    (r"(?i)(\w+(?: \w+)*) (?:is associated with|linked to) (\w+(?: \w+)*) (?:as side effect|as adverse event)", "ADVERSE_EVENT", 0.7),
 ]
-_NAME = r"(\w+(?: \w+)*)"
 
 
 def _rows(rows: DataFrame, text: str, each, schema: str) -> DataFrame:
@@ -57,7 +64,7 @@ def redacted(rows: DataFrame, text: str = "text", patient: str | None = None, re
 
 def relations(rows: DataFrame, text: str = "text", least: float = 0.7) -> DataFrame:
     """(key, source, target, type, confidence, context): confidence is .1 higher for matches of over five words and lower under three."""
-    compiled = [(kind, base, re.compile(f"(?i){_NAME} (?:{verbs}) {_NAME}{end}")) for kind, base, verbs, end in RELATIONS]
+    compiled = [(kind, base, re.compile(p)) for p, kind, base in RELATIONS]
 
     def each(t: str):
         for kind, base, p in compiled:

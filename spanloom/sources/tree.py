@@ -12,8 +12,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from fnmatch import fnmatchcase
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
 
 from spanloom.functions.ignore import Rule, rules, verdict
 
@@ -127,6 +127,28 @@ class TreeReader(DataSourceReader):
                 yield row
 
 
+class TreeWriter(DataSourceWriter):
+    """Writes (path, text) rows as files; a task that runs again writes the same files again."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.root = options["path"].rstrip("/")
+
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(self.root)
+        made = set()
+        for path, text in rows:
+            at = f"{base}/{path}"
+            folder = at.rsplit("/", 1)[0]
+            if folder not in made:
+                store.create_dir(folder, recursive=True)
+                made.add(folder)
+            with store.open_output_stream(at) as f:
+                f.write((text or "").encode())
+        return WriterCommitMessage()
+
+
 class Tree(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -141,6 +163,9 @@ class Tree(DataSource):
     def reader(self, schema) -> TreeReader:
         return TreeReader({k.lower(): v for k, v in self.options.items()}, self._content())
 
+    def writer(self, schema, overwrite: bool) -> TreeWriter:
+        return TreeWriter({k.lower(): v for k, v in self.options.items()})
+
 
 def tree(spark: SparkSession, root: str, **options: str | int | list[str]):
     """Rows (path, name, extension, size, mtime[, text]) of the files under a root; lists become lines."""
@@ -150,3 +175,9 @@ def tree(spark: SparkSession, root: str, **options: str | int | list[str]):
     for k, v in options.items():
         r = r.option(k, "\n".join(v) if isinstance(v, list) else str(v))
     return r.load(root)
+
+
+def write_tree(files: DataFrame, root: str) -> None:
+    """A file for every row (path, text); a null text is an empty file, the last of equal paths stays."""
+    files.sparkSession.dataSource.register(Tree)
+    files.select("path", "text").write.format("tree").mode("append").save(root)
