@@ -93,14 +93,14 @@ def explained(hits: DataFrame, entities: DataFrame, edges: DataFrame, summaries:
 
 
 def trimmed(hits: DataFrame, budget: int, least: float = 0.3) -> tuple[DataFrame, DataFrame]:
-    """((query_id, id, pick), (query_id, given, relevant, kept, used)): hits (query_id, id, relevance, text) of enough relevance, made diverse, up to a token budget."""
+    """((query_id, id, pick, used), (query_id, given, relevant, kept, used)): hits (query_id, id, relevance, text) of enough relevance, made diverse, up to a token budget."""
     good = hits.filter(F.col("relevance") >= least)
-    m = search.mmr(good).join(good.select("query_id", "id", F.floor(F.length("text") / 4).alias("tok")), ["query_id", "id"])
+    m = search.mmr(good).join(good.select("query_id", "id", F.floor(F.length(F.coalesce("text", F.lit(""))) / 4).alias("tok")), ["query_id", "id"])
     run = F.sum("tok").over(W.partitionBy("query_id").orderBy("pick").rowsBetween(W.unboundedPreceding, 0))
     kept = m.withColumn("used", run).filter(F.col("used") <= budget)
     stats = hits.groupBy("query_id").agg(F.count("*").alias("given"), F.count_if(F.col("relevance") >= least).alias("relevant"))
     stats = stats.join(kept.groupBy("query_id").agg(F.count("*").alias("kept"), F.max("used").alias("used")), "query_id", "left")
-    return kept.select("query_id", "id", "pick"), stats.select("query_id", "given", "relevant", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("used", F.lit(0)).alias("used"))
+    return kept.select("query_id", "id", "pick", "used"), stats.select("query_id", "given", "relevant", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("used", F.lit(0)).alias("used"))
 
 
 def doctor(counts: DataFrame) -> DataFrame:

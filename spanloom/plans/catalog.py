@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("retrieval", "store", "aggregates", "scalars", "graphs", "texts", "extras", "composed", "incremental", "surface")
+MODULES = ("retrieval", "store", "aggregates", "scalars", "graphs", "texts", "extras", "composed", "incremental", "surface", "work")
 _REGISTRY: dict[str, tuple[Query, str | None, tuple[str, ...]]] = {}
 
 

@@ -10,7 +10,7 @@ from spanloom import sqltools
 from spanloom.functions import ignore
 from spanloom.operators import clinical, composed, context
 from spanloom.operators.search import top
-from spanloom.plans.base import EDGES, ENR, EXT, FILES, NODES, SPANS, edges, enrichments, files, nodes, spans
+from spanloom.plans.base import EDGES, ENR, EXT, FILES, NODES, edges, enrichments, files, nodes, spans
 from spanloom.plans.catalog import register
 from spanloom.plans.graphs import INDEX
 from spanloom.plans.retrieval import ALL, COS, nearest
