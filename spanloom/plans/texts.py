@@ -238,7 +238,7 @@ def rate_windows(spark, sf):
 
 @register("breaker_state", "W16", f"WITH {TELE}, g AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY agent ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS g FROM tele), s AS (SELECT id, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY agent, g ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT id, CAST(n AS BIGINT) AS streak, n >= 2 AS open FROM s")
 def breaker_state(spark, sf):
-    return state.failure_runs(telemetry(spark, sf), "agent", ["ts", "id"], "ok", 2).select("id", "streak", "open")
+    return state.failure_runs(telemetry(spark, sf), "agent", ["ts", "id"], "ok", 2, F.date_trunc("day", "ts")).select("id", "streak", "open")
 
 
 @register("scheduler", "T-12", f"WITH {QUEUE}, r AS (SELECT repo, max(created) AS last_at, count(*) FILTER (WHERE NOT ok) % 5 AS failures FROM queue GROUP BY repo) SELECT repo, failures < 3 AND last_at <= TIMESTAMP '{AS_OF}' - INTERVAL 5 MINUTE AS eligible FROM r")

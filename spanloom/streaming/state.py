@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -79,12 +79,24 @@ def sliding_rate(events: DataFrame, keys: list[str], ts: str, tokens: str, secon
     return r.filter("_at = _b").drop("_s", "_b", "_at")
 
 
-def failure_runs(events: DataFrame, key: str, order: list[str], ok: str, threshold: int) -> DataFrame:
-    """Adds ``streak`` (failures in a row up to here) and ``open`` (whether the breaker would be)."""
-    w = W.partitionBy(key).orderBy(*order)
-    e = events.withColumn("_g", F.sum(F.col(ok).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    run = F.sum((~F.col(ok)).cast("int")).over(W.partitionBy(key, "_g").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return e.withColumn("streak", run).withColumn("open", F.col("streak") >= threshold).drop("_g")
+def failure_runs(events: DataFrame, key: str, order: list[str], ok: str, threshold: int, stretch: Column | None = None) -> DataFrame:
+    """Adds ``streak`` (failures in a row up to here) and ``open`` (whether the breaker would be). A null outcome neither counts nor ends a run.
+
+    With a ``stretch``, a column that never falls as the first order column rises (an hour of a time, say), no key has to fit into a task: runs are counted within
+    a key's stretches, and what a stretch begins with is found from one row per stretch.
+    """
+    e = events.withColumn("_k", F.struct(F.col(key).alias("key"), (F.lit(None) if stretch is None else stretch).alias("at")))
+    up = lambda w: w.rowsBetween(W.unboundedPreceding, 0)
+    e = e.withColumn("_g", F.coalesce(F.sum(F.col(ok).cast("int")).over(up(W.partitionBy("_k").orderBy(*order))), F.lit(0)))
+    e = e.withColumn("_r", F.coalesce(F.sum((~F.col(ok)).cast("int")).over(up(W.partitionBy("_k", "_g").orderBy(*order))), F.lit(0)))
+    if stretch is None:
+        return e.withColumn("streak", F.col("_r")).withColumn("open", F.col("_r") >= threshold).drop("_k", "_g", "_r")
+    last = e.groupBy("_k").agg(F.max_by("_r", F.struct(*order)).alias("_end"), (F.max("_g") > 0).cast("int").alias("_ends"))
+    whole = W.partitionBy("_k.key").orderBy("_k.at")
+    last = last.withColumn("_n", F.sum("_ends").over(up(whole))).withColumn("_out", F.sum("_end").over(up(W.partitionBy("_k.key", "_n").orderBy("_k.at"))))
+    last = last.select("_k", F.coalesce(F.lag("_out").over(whole), F.lit(0)).alias("_in"))
+    r = e.join(last, "_k").withColumn("streak", F.col("_r") + F.when(F.col("_g") == 0, F.col("_in")).otherwise(0))
+    return r.withColumn("open", F.col("streak") >= threshold).select(*events.columns, "streak", "open")
 
 
 def eligible(repos: DataFrame, now: str, min_interval: str, max_failures: int) -> DataFrame:
