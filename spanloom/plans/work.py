@@ -6,12 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from spanloom.functions import classify as C
 from spanloom.functions import ignore
-from spanloom.operators import composed, work
+from spanloom.operators import analyze, composed, work
 from spanloom.operators.search import top
-from spanloom.plans.base import EDGES, ENR, edges, enrichments, files, spans
+from spanloom.plans.base import EDGES, ENR, NODES, edges, enrichments, files, nodes, spans
 from spanloom.plans.catalog import register
 from spanloom.plans.retrieval import ALL, COS, nearest
+from spanloom.plans.scalars import ASKED, asked, sql_any, sql_count
 from spanloom.runtime import scratch_dir, table
 from spanloom.sources import files as io
 
@@ -128,3 +130,17 @@ def trimmed_rows(spark, sf):
     h = top(nearest(spark, sf, 20), ["query_id"], 20, F.desc("score"), F.col("id"))
     h = h.join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id").select("query_id", "id", F.col("score").alias("relevance"), "text")
     return composed.trimmed(h, 2000)[0]
+
+
+@register("analyzed_queries", "C14 C18", f"""WITH {ASKED}, {NODES}, e AS (SELECT DISTINCT name || ':' || kind AS id, kind FROM nodes),
+t AS (SELECT DISTINCT item_id, lower(w) AS w FROM (SELECT item_id, unnest(list_concat(list_filter(regexp_extract_all(q, '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z][a-zA-Z0-9_]*[a-zA-Z0-9]')),
+ regexp_extract_all(q, '[''"`]([a-zA-Z_][a-zA-Z0-9_.]*)[''"`]', 1))) AS w FROM asked)),
+m AS (SELECT w, id, kind, row_number() OVER (PARTITION BY w ORDER BY id) AS n FROM (SELECT DISTINCT w FROM t) JOIN e ON contains(lower(id), w)),
+f AS (SELECT DISTINCT item_id, id, kind FROM t JOIN m USING (w) WHERE n <= 3), g AS (SELECT item_id, count(*) AS n, count(*) FILTER (WHERE kind <> 'module') AS held FROM f GROUP BY item_id)
+SELECT item_id AS query_id, {sql_any('lower(q)', C.RELATION)} AS relation_task, coalesce(n, 0) AS n_entities, CASE WHEN n > 0 THEN held / CAST(n AS DOUBLE) ELSE 0.0 END AS coverage,
+ CAST(least(least(coalesce(n, 0), 4) + least({sql_count('lower(q)', C.RELATION)}, 3) + CASE WHEN {sql_any('lower(q)', C.MULTI_HOP)} THEN 2 ELSE 0 END
+  + CASE WHEN len(list_filter(regexp_split_to_array(q, '\\s+'), lambda w: w <> '')) > 15 THEN 1 ELSE 0 END, 10) AS INTEGER) AS complexity FROM asked LEFT JOIN g USING (item_id)""")
+def analyzed_queries(spark, sf):
+    """Entities are named by name and kind; the graph lacks the modules."""
+    e = nodes(spark, sf).select(F.concat("name", F.lit(":"), "kind").alias("id"), "kind").distinct()
+    return analyze.analyzed(asked(spark, sf).select(F.col("item_id").alias("query_id"), F.col("q").alias("text")), e, e.filter("kind <> 'module'"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import ignore
-from spanloom.operators import work
+from spanloom.operators import analyze, work
 from spanloom.operators.composed import trimmed
 
 SPANS = "id long, path string, span_hash string, mtime double, lang string, kind string, start_line int, end_line int"
@@ -68,3 +68,13 @@ def test_kept_rows_agree_with_their_figures(spark):
     kept, stats = trimmed(h, 14)
     assert {r.id: (r.pick, r.used) for r in kept.collect()} == {1: (1, 7), 3: (2, 14), 5: (3, 14)}  # a null text is like no other and has no tokens
     assert stats.first().asDict() == {"query_id": 1, "given": 5, "relevant": 4, "kept": 3, "used": 14}
+
+
+def test_analyzer(spark):
+    q = spark.createDataFrame([(1, "Who calls getUser and 'Repo.save'?"), (2, "Nothing Here"), (3, None), (4, "trace user_id x übers all of it")], "query_id int, text string")
+    assert sorted(q.filter("query_id IN (1, 4)").select(analyze.identifiers(F.col("text")).alias("i")).collect()[0].i) == ["and", "calls", "getuser", "repo.save", "save"]
+    e = spark.createDataFrame([("a.GetUser",), ("b.getUser",), ("c.getuser",), ("d.getuser",), ("x.Repo.save",), ("m.user_id",), (None,)], "id string")
+    got = {r.query_id: tuple(r)[1:] for r in analyze.analyzed(q, e, e.filter("id LIKE 'a%' OR id LIKE 'x%'")).collect()}
+    # words count wherever they occur: call, calls and use are in the first query, and so is all; trace and use are in the last
+    assert got == {1: (True, 4, 0.5, 4 + 3 + 2), 2: (False, 0, 0.0, 0), 3: (False, 0, 0.0, 0), 4: (True, 1, 0.0, 1 + 2 + 2)}
+    assert analyze.analyzed(q.limit(0), e, e).count() == 0
