@@ -17,7 +17,8 @@ from spanloom.streaming import state
 
 
 def word():
-    return F.regexp_extract(F.lower("text"), "([a-z]+)", 1)
+    """The first word of a to z; a capital I with a dot is an i, without the combining dot that Java's lower case adds."""
+    return F.regexp_extract(F.lower(F.replace("text", F.lit("\u0130"), F.lit("i"))), "([a-z]+)", 1)
 
 
 NAV = """qs AS (SELECT item_id AS query_id, CASE WHEN item_id % 4 = 0 THEN substr(string_split(text, ' ')[2], 2) ELSE array_to_string(string_split(text, ' ')[2:3], ' ') END AS text FROM benchmark)"""

@@ -2,12 +2,16 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import phi
 from spanloom.operators import chunking, clinical, composed, fusion, merge, search, stats
+from spanloom.plans import catalog
+from spanloom.sources import convert
 from spanloom.streaming import state
+from tests.oracle import compare
 
 SF = "/root/testdata/sf0.001"
 
@@ -152,3 +156,13 @@ def test_nav_search_of_a_stale_index_looks_up_literally(spark):
 def test_doctor_states(spark):
     c = spark.createDataFrame([(0, 0, 0, 0), (5, 0, 0, 0), (5, 1, 0, 0), (5, 0, 2, 3), (0, 1, 0, 0)], "spans long, orphans long, pending_enrichments long, pending_embeddings long")
     assert [(r.status, len(r.issues)) for r in composed.doctor(c).collect()] == [("EMPTY", 1), ("OK", 0), ("WARN", 1), ("WARN", 2), ("WARN", 2)]
+
+
+def test_converted_texts_without_a_word(spark, tmp_path):
+    texts = [None, "", "123 456", "日本語", "\u0130stanbul", "Kelvin par", "par x", "ß", "\u0130\u0130 a"]
+    rows = [(3 * i + j, t) for i, t in enumerate(texts) for j in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert compare(spark, catalog.queries()["converted"], catalog.oracle_sql()["converted"], str(tmp_path), con) is None
+    assert convert.rtf(b"{\\rtf1\\ansi\r\none\\par\r\ntwo\\par\n}") == "one\ntwo\n"
