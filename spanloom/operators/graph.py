@@ -43,19 +43,26 @@ def where_used(index: DataFrame, symbols: DataFrame, limit: int) -> DataFrame:
 
 
 def reach(edges: DataFrame, starts: DataFrame, hops: int, both: bool = False) -> DataFrame:
-    """(start, id, distance) of the nodes within ``hops`` of each start (id); the start itself only through a cycle."""
-    e = edges.select("src", "dst").distinct()
-    if both:
-        e = e.union(edges.select("dst", "src")).distinct()
+    """(start, id, distance) of the nodes within ``hops`` of each start (id); the start itself only through a cycle.
+
+    Edges are written once. A round joins its front with the edges that leave it, which are few when many starts share a front's nodes; the search ends when none is left.
+    """
+    e = edges.select("src", "dst")
+    e = write_once(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) if both else e, "edges")
     front = starts.select(F.col("id").alias("start"), F.col("id").alias("at"))
     seen = None
     for d in range(1, hops + 1):
-        step = front.join(e, F.col("at") == F.col("src")).select("start", F.col("dst").alias("id")).distinct()
+        out = write_once(e.join(front.select(F.col("at").alias("src")).distinct(), "src", "left_semi").distinct(), "leaving")
+        if seen is not None and not out.limit(1).count():
+            break
+        step = front.join(out, F.col("at") == F.col("src")).select("start", F.col("dst").alias("id")).distinct()
         if seen is not None:
             step = step.join(seen.select("start", "id"), ["start", "id"], "left_anti")
         step = write_once(step.withColumn("distance", F.lit(d)), "reach")
+        discard(out)
         seen = step if seen is None else seen.unionByName(step)
         front = step.select("start", F.col("id").alias("at"))
+    discard(e)
     return seen
 
 
@@ -86,53 +93,49 @@ def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = 0.85, tolerance:
 def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 8, both: bool = False) -> DataFrame:
     """(src, dst, hops, path) of given pairs (src, dst): the least, in the order of its nodes, of the shortest paths of at most ``most`` edges.
 
-    Each pair is searched from both ends; in a round the smaller of all fronts on either side takes a step, and pairs whose fronts have met take part no more, so that
-    the work is that of the fronts, about the square root of what a search from one end visits. Layers are kept as predecessor tables, and nodes of a
-    shortest path are those that lead to a meeting point in them; the path is then read off, the least successor at each step.
+    A source with one way out is searched from its only neighbour, a target with one way in from its own, so that all that hang on a hub share its search. Searches are kept by
+    source and by target, not by pair: a layer has a row per origin and node, with the least path between them. In a round the smaller front takes a step; where fronts of a pair
+    meet first, the least of the joined paths is the pair's, and origins without an open pair take part no more.
     """
-    e = edges.select("src", "dst").distinct()
-    if both:
-        e = e.union(edges.select("dst", "src")).distinct()
-    e = write_once(e, "edges")
-    p = write_once(pairs.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct().withColumn("pair", F.monotonically_increasing_id()), "pairs")
+    e = edges.select("src", "dst").filter("src <> dst")  # no shortest path has a loop
+    e = write_once(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) if both else e, "edges")
+    only = lambda end, other, name: e.groupBy(end).agg(F.min(other).alias(name), F.max(other).alias("_max")).filter(F.col(name) == F.col("_max")).select(end, name)
+    p = pairs.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    lead, tail = (F.col("src") != F.col("dst")) & F.col("_to").isNotNull(), (F.col("a") != F.col("dst")) & F.col("_from").isNotNull()
+    p = p.join(only("src", "dst", "_to"), "src", "left").withColumn("a", F.when(lead, F.col("_to")).otherwise(F.col("src"))).withColumn("lead", lead)
+    p = p.join(only("dst", "src", "_from"), "dst", "left").withColumn("z", F.when(tail, F.col("_from")).otherwise(F.col("dst"))).withColumn("tail", tail)
+    p = write_once(p.select("src", "dst", "a", "z", "lead", "tail"), "pairs")
+    left = F.lit(most) - F.col("lead").cast("int") - F.col("tail").cast("int")
+    open_ = write_once(p.groupBy("a", "z").agg(F.max(left).alias("left")).filter("left >= 0"), "open")
     step = {"f": e.select(F.col("src").alias("at"), F.col("dst").alias("to")), "b": e.select(F.col("dst").alias("at"), F.col("src").alias("to"))}
-    layers = {"f": [p.select("pair", F.col("src").alias("id"))], "b": [p.select("pair", F.col("dst").alias("id"))]}
-    size = {"f": 0, "b": 0}
-    met = []  # (pair, id, forward layers, backward layers) by round
-    open_ = p.select("pair")
+    ends = {"f": "a", "b": "z"}
+    layers = {s: [write_once(open_.select(F.col(c)).distinct().select(c, F.col(c).alias("id"), F.array(c).alias("path")), "layer")] for s, c in ends.items()}
+    origins = {s: layers[s][0].count() for s in ends}
+    size, met = dict(origins), []
     for done in range(most + 1):
-        m = layers["f"][-1].join(layers["b"][-1], ["pair", "id"])
-        m = write_once(m.select("pair", "id", F.lit(len(layers["f"]) - 1).alias("a"), F.lit(len(layers["b"]) - 1).alias("b")), "met")
+        first, then = ("f", "b") if size["f"] * origins["b"] <= size["b"] * origins["f"] else ("b", "f")  # the smaller front of a pair is joined first
+        m = open_.select("a", "z").join(layers[first][-1].withColumnRenamed("path", first), ends[first]).join(layers[then][-1].withColumnRenamed("path", then), [ends[then], "id"])
+        m = m.groupBy("a", "z").agg(F.min(F.concat("f", F.slice("b", 2, most + 1))).alias("path"))
+        m = write_once(m.select("a", "z", F.lit(done).alias("hops"), "path"), "met")
         met.append(m)
-        open_ = write_once(open_.join(m.select("pair").distinct(), "pair", "left_anti"), "open")
+        open_ = write_once(open_.filter(F.col("left") > done).join(m, ["a", "z"], "left_anti"), "open")
         if done == most or not open_.limit(1).count():
             break
         side = "f" if size["f"] <= size["b"] else "b"
-        front = layers[side][-1].join(open_, "pair", "left_semi")
-        new = front.join(step[side], F.col("id") == F.col("at")).select("pair", F.col("to").alias("id")).distinct()
+        end = ends[side]
+        front = layers[side][-1].join(open_.select(end).distinct(), end, "left_semi")
+        longer = F.concat("path", F.array("to")) if side == "f" else F.concat(F.array("to"), "path")
+        new = front.join(step[side], F.col("id") == F.col("at")).groupBy(end, F.col("to").alias("id")).agg(F.min(longer).alias("path"))
         for old in layers[side]:
-            new = new.join(old, ["pair", "id"], "left_anti")
-        new = write_once(new, "layer")
-        layers[side].append(new)
-        size[side] = new.count()
-    met = _union(met)
-    on = [met.select("pair", "id", F.col("a").alias("layer"))]  # nodes of shortest paths, by their distance from src
-    for side, mine in (("f", "a"), ("b", "b")):
-        now = met.select("pair", "id", F.col(mine).alias("left"), F.col("a").alias("layer"))
-        for k in range(len(layers[side]) - 1, 0, -1):
-            back = step["b" if side == "f" else "f"]
-            prev = now.filter(F.col("left") == k).join(back, F.col("id") == F.col("at")).select("pair", F.col("to").alias("id"), (F.col("left") - 1).alias("left"), (F.col("layer") + (-1 if side == "f" else 1)).alias("layer"))
-            prev = write_once(prev.join(layers[side][k - 1], ["pair", "id"], "left_semi").distinct(), "onpath")
-            on.append(prev.select("pair", "id", "layer"))
-            now = now.filter(F.col("left") < k).unionByName(prev)
-    on = write_once(_union(on).distinct(), "onpath")
-    ends = met.groupBy("pair").agg(F.max(F.col("a") + F.col("b")).alias("hops"))
-    w = write_once(p.join(ends, "pair").select("pair", "src", "dst", "hops", F.array("src").alias("path")), "walk")
-    for k in range(1, most + 1):
-        go = w.filter(F.col("hops") >= k).select("pair", F.element_at("path", -1).alias("here")).join(step["f"], F.col("here") == F.col("at"))
-        go = go.join(on.filter(F.col("layer") == k).select("pair", F.col("id").alias("to")), ["pair", "to"], "left_semi").groupBy("pair").agg(F.min("to").alias("next"))
-        w = write_once(w.join(go, "pair", "left").select("pair", "src", "dst", "hops", F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("path", F.array("next"))).alias("path")), "walk")
-    return w.select("src", "dst", F.col("hops").cast("int").alias("hops"), "path")
+            new = new.join(old, [end, "id"], "left_anti")
+        layers[side].append(write_once(new, "layer"))
+        size[side] = layers[side][-1].count()
+        if not size[side]:
+            break
+    r = p.join(_union(met), ["a", "z"])
+    hops = F.col("hops") + F.col("lead").cast("int") + F.col("tail").cast("int")
+    path = F.concat(F.when(F.col("lead"), F.array("src")).otherwise(F.array().cast("array<string>")), "path", F.when(F.col("tail"), F.array("dst")).otherwise(F.array().cast("array<string>")))
+    return r.select("src", "dst", hops.cast("int").alias("hops"), path.alias("path")).filter(F.col("hops") <= most)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -303,3 +303,19 @@ def test_scopes_at_lines(spark, width):
             on = sorted((a, -b, name or "") for g, name, a, b in scopes if g == f and a is not None and a <= n <= b)
             want.append((f, n, ".".join(x[2] for x in on) if on else None, len(on)))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_paths_of_many_sources_share_a_search(spark, monkeypatch):
+    edges = [(f"c{i:03d}", f"n{i % 4}") for i in range(200)] + [(f"n{i}", f"m{j}") for i in range(4) for j in range(3)] + [(f"m{j}", "r") for j in range(3)] + [("r", "q")]
+    pairs = [(f"c{i:03d}", t) for i in range(200) for t in ("r", "q", "c000")]
+    rows = []
+
+    def counted(df, tag="t", write=graph.write_once):
+        out = write(df, tag)
+        rows.append(out.count() if tag in ("layer", "met", "open") else 0)
+        return out
+
+    monkeypatch.setattr(graph, "write_once", counted)
+    got = {(r.src, r.dst): r.path for r in graph.shortest_paths(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(pairs, "src string, dst string"), 5).collect()}
+    want = {(f"c{i:03d}", t): [f"c{i:03d}", f"n{i % 4}", "m0", "r"] + ["q"] * (t == "q") for i in range(200) for t in ("r", "q")} | {("c000", "c000"): ["c000"]}
+    assert got == want and max(rows) <= 250
