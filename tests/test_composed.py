@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import phi
 from spanloom.operators import chunking, clinical, composed, fusion, merge, search, stats
-from spanloom.plans import catalog
+from spanloom.plans import catalog, retrieval
 from spanloom.sources import convert
 from spanloom.streaming import state
 from tests.oracle import compare
@@ -166,3 +166,12 @@ def test_converted_texts_without_a_word(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert compare(spark, catalog.queries()["converted"], catalog.oracle_sql()["converted"], str(tmp_path), con) is None
     assert convert.rtf(b"{\\rtf1\\ansi\r\none\\par\r\ntwo\\par\n}") == "one\ntwo\n"
+
+
+def test_routes_hold_all_of_a_label(spark):
+    r, _ = retrieval.two_routes(spark, SF)
+    e = [(x.vec_id, x.label) for x in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "label").collect()]
+    got = sorted((x.query_id, x.id) for x in r.filter("route = 'size'").select("query_id", "id").collect())
+    assert got == sorted((q, i) for q, _ in e if q % 20 == 0 for i, label in e if label == q % 5)
+    few = spark.createDataFrame([(q, q % 2) for q in range(4)], "query_id long, label long"), spark.createDataFrame([(i, i % 2) for i in range(50)], "id long, label long")
+    assert sorted((x.query_id, x.id) for x in search.of_key(*few, "label", 7).collect()) == [(q, i) for q in range(4) for i in range(50) if i % 2 == q % 2]
