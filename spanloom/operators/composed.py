@@ -18,32 +18,51 @@ def stitch(results: DataFrame, neighbours: DataFrame, limit: int) -> DataFrame:
     return search.top(both, ["query_id"], limit, F.col("stage"), F.col("at"), F.col("path")).select("query_id", "path", "rank", "origin")
 
 
+def _level(n: Column | str) -> Column:
+    return F.floor(F.log2(n)).cast("int")
+
+
+def _numbered(neighbours: DataFrame) -> DataFrame:
+    """(path, to, n, level): distinct neighbours (path, to), numbered by name, and the power of two of the number."""
+    near = neighbours.toDF("path", "to").distinct().withColumn("n", F.row_number().over(W.partitionBy("path").orderBy("to")))
+    return near.withColumn("level", _level("n"))
+
+
+def _first(front: DataFrame, near: DataFrame) -> DataFrame:
+    """Rows of a front (path, most, …) with each of the ``most`` first neighbours of their node; no more than twice as many rows are joined."""
+    f = front.withColumn("level", F.explode(F.sequence(F.lit(0), _level("most"))))
+    return f.join(near, ["path", "level"]).filter(F.col("n") <= F.col("most"))
+
+
 def stitch_hops(seeds: DataFrame, neighbours: DataFrame, hops: int = 3) -> DataFrame:
     """(query_id, path, hop, rank) of neighbours of the seeds (query_id, path, quota), nearest first, until a query's quota is filled; of a hop, by path.
 
-    All queries are searched at once, a hop a round. A query whose quota is filled leaves the search, so that its front is never expanded
-    further; within a round no more than what is left of a quota is kept (found within tasks first).
+    All queries are searched at once, a hop a round. A query whose quota is filled leaves the search. Of a node's neighbours, in order, a query can only take as many as are
+    left of its quota beyond those that it has seen: neighbours are numbered and found by number, in steps of powers of two, so that a hub is never joined whole.
     """
-    near = neighbours.toDF("path", "to").distinct()
-    seen = write_once(seeds.select("query_id", "path").distinct(), "stitched")
-    left = write_once(seeds.groupBy("query_id").agg(F.max("quota").alias("left")), "quota")
-    front, out, before = seen, None, [seen]
+    near = write_once(_numbered(neighbours), "near")
+    before = write_once(seeds.select("query_id", "path").distinct(), "stitched")
+    state = write_once(seeds.groupBy("query_id").agg(F.max("quota").alias("left"), F.count_distinct("path").alias("seen")).withColumn("used", F.lit(0).cast("long")), "quota")
+    front, out, parts = before, None, [before]
     for hop in range(1, max(1, hops) + 1):
-        new = front.join(near, "path").select("query_id", F.col("to").alias("path")).distinct()
-        for s in before:
-            new = new.join(s, ["query_id", "path"], "left_anti")
+        f = front.join(state.filter("left > 0"), "query_id").withColumn("most", F.col("left") + F.col("seen"))
+        new = _first(f, near).select("query_id", F.col("to").alias("path"), "left", "used")
+        for s in parts:
+            new = new.unionByName(s.select("query_id", "path"), allowMissingColumns=True)
+        # one shuffle, by query, is enough for the rest of the round; what a query has seen has no quota
+        new = new.repartition("query_id").groupBy("query_id", "path").agg(F.max("left").alias("left"), F.max("used").alias("used"), F.bool_or(F.col("left").isNull()).alias("old")).filter("NOT old")
         place = F.row_number().over(W.partitionBy("query_id").orderBy("path"))
-        new = new.join(left, "query_id").filter("left > 0").withColumn("place", place).filter(F.col("place") <= F.col("left"))
-        new = write_once(new.select("query_id", "path", F.lit(hop).alias("hop"), "place", "left"), "stitched")
+        new = new.withColumn("place", place).filter(F.col("place") <= F.col("left"))
+        new = write_once(new.select("query_id", "path", F.lit(hop).alias("hop"), (F.col("used") + F.col("place")).cast("int").alias("rank")), "stitched")
         out = new if out is None else out.unionByName(new)
         got = new.groupBy("query_id").agg(F.count("*").alias("got"))
-        left = write_once(left.join(got, "query_id", "left").select("query_id", (F.col("left") - F.coalesce("got", F.lit(0))).alias("left")), "quota")
-        front = new.join(left.filter("left > 0").select("query_id"), "query_id", "left_semi").select("query_id", "path")
-        before.append(new.select("query_id", "path"))
-        if not front.limit(1).count():
+        got = state.join(got, "query_id", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+        state = write_once(got.select("query_id", (F.col("left") - F.col("got")).alias("left"), (F.col("seen") + F.col("got")).alias("seen"), (F.col("used") + F.col("got")).alias("used")), "quota")
+        front = new.join(state.filter("left > 0").select("query_id"), "query_id", "left_semi").select("query_id", "path")
+        parts.append(front)
+        if hop == hops or not front.limit(1).count():
             break
-    quota = seeds.groupBy("query_id").agg(F.max("quota").alias("quota"))
-    return out.join(quota, "query_id").select("query_id", "path", "hop", (F.col("quota") - F.col("left") + F.col("place")).cast("int").alias("rank"))
+    return out
 
 
 def nav_search(docs: DataFrame, queries: DataFrame, neighbours: DataFrame, fresh: bool = True, limit: int = 10) -> DataFrame:

@@ -319,3 +319,10 @@ def test_paths_of_many_sources_share_a_search(spark, monkeypatch):
     got = {(r.src, r.dst): r.path for r in graph.shortest_paths(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(pairs, "src string, dst string"), 5).collect()}
     want = {(f"c{i:03d}", t): [f"c{i:03d}", f"n{i % 4}", "m0", "r"] + ["q"] * (t == "q") for i in range(200) for t in ("r", "q")} | {("c000", "c000"): ["c000"]}
     assert got == want and max(rows) <= 250
+
+
+def test_stitching_takes_of_a_hub_what_a_query_may_need(spark):
+    near = composed._numbered(spark.createDataFrame([("hub", f"x{i:04d}") for i in range(3000)], "path string, to string"))
+    front = spark.createDataFrame([(q, "hub", q) for q in (1, 2, 3, 8, 40)], "query_id long, path string, most long")
+    got = sorted((r.query_id, r.to) for r in composed._first(front, near).collect())
+    assert got == sorted((q, f"x{i:04d}") for q in (1, 2, 3, 8, 40) for i in range(q))
