@@ -211,12 +211,17 @@ def cycles(edges: DataFrame, longest: int = 8, first: int | None = 10) -> DataFr
     return found if first is None else found.orderBy(F.size("path"), "path").limit(first)
 
 
+#: Characters by whose equality the ends of names and runs are joined; longer ends are then compared.
+END = 32
+
+
 def text_scan(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes (id, name, path, line), edges (type, src, dst)) of (path, text) by plain text: lines that begin with ``def`` or ``class`` define names, and
     ``name(`` anywhere in a file is a call, from the file to the name and back.
 
-    A name made of word characters is called where a run of word characters before a parenthesis ends in it: distinct runs are joined with the
-    names by their ends. Other names are joined by their last run, and looked for in the texts of the files that have it.
+    A name without a blank is called where a run of other characters than blanks and parentheses, before a parenthesis, ends in it: distinct runs are joined with the
+    names by their ends. Names with blanks are joined by what follows the last one, which is a whole run, and looked for in the texts of the
+    files that have it.
     """
     f = files.filter("path IS NOT NULL").select("path", F.coalesce("text", F.lit("")).alias("text"))
     line = f.select("path", F.posexplode(F.split("text", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")).alias("at", "line"))
@@ -224,11 +229,13 @@ def text_scan(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     bare = F.regexp_replace("line", f"^{blank}+", "")
     named = line.filter(bare.startswith("def ") | bare.startswith("class ")).select("path", (F.col("at") + 1).alias("line"), F.regexp_replace(F.regexp_extract(bare, "(?s)^[a-z]+ ([^(:]*)", 1), f"^{blank}+|{blank}+$", "").alias("name")).filter("name <> ''")
     named = write_once(named, "defined")
-    names = named.select("name", F.regexp_extract("name", r"([\p{L}\p{N}_]*)$", 1).alias("tail")).distinct()
-    runs = write_once(f.filter(F.contains("text", F.lit("("))).select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"((?:(?<![\p{L}\p{N}_])[\p{L}\p{N}_]++)?)\("), F.lit(1)))).alias("run")), "runs")
-    whole = names.filter("name = tail")
-    ends = runs.select("run").distinct().select("run", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("run"), F.lit(1))), lambda i: F.substr("run", i))).alias("name"))
-    called = ends.join(whole.select("name"), "name").select("run", "name").join(runs, "run").select("path", "name")
+    names = write_once(named.select("name", F.regexp_extract("name", r"([^\s\p{Z}\x1c-\x1f\x85]*)$", 1).alias("tail")).distinct(), "names")
+    piece = r"[^\s\p{Z}\x1c-\x1f\x85(]"
+    runs = f.filter(F.contains("text", F.lit("("))).select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"((?:(?<!{piece}){piece}++)?)\("), F.lit(1)))).alias("run"))
+    runs = write_once(runs.filter("run <> ''"), "runs")
+    whole = names.filter("name = tail").select("name", F.right("name", F.lit(END)).alias("end"))
+    ends = runs.select("run").distinct().select("run", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("run"), F.lit(END))), lambda i: F.right("run", i))).alias("end"))
+    called = ends.join(whole, "end").filter(F.endswith("run", F.col("name"))).select("run", "name").join(runs, "run").select("path", "name")
     odd = names.filter("name <> tail").join(runs, F.col("tail") == F.col("run")).select("path", "name").join(f, "path").filter(F.contains("text", F.concat("name", F.lit("(")))).select("path", "name")
     calls = write_once(called.unionByName(odd).distinct(), "calls")
     edges = calls.select(F.lit("CALLS").alias("type"), F.col("path").alias("src"), F.col("name").alias("dst")).unionByName(calls.select(F.lit("CALLS").alias("type"), F.col("name").alias("src"), F.col("path").alias("dst")))

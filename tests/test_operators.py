@@ -275,3 +275,12 @@ def test_state(spark):
     assert [r.streak for r in state.failure_runs(e, "k", ["i"], "ok", 2).orderBy("i").collect()] == [0, 1, 2, 0, 1]
     t = spark.createDataFrame([("a", f"2024-01-01 00:00:{s:02}") for s in (0, 1, 5, 6)], "k string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     assert sorted(r.n for r in state.debounce(t, "k", "ts", "2 seconds").collect()) == [2, 2]
+
+
+def test_text_scan_of_names_with_marks_and_long_ones(spark):
+    long = "x" * 40
+    texts = ["def foo-bar(a):\ndef b,(\nclass two words:\n", f"def {long}(\n  my{long}(1)", "a foo-bar(1) c,b,(2)", "see two words(3) bar(4) words(5)", f"y{'x' * 39}(6)", "no call foo-bar"]
+    got = {(r.src, r.dst) for r in graph.text_scan(spark.createDataFrame([(f"f{i}", t) for i, t in enumerate(texts)], "path string, text string"))[1].collect()}
+    names = ["foo-bar", "b,", "two words", long]
+    want = {(f"f{i}", n) for i, t in enumerate(texts) for n in names if n + "(" in t}
+    assert got == want | {(n, p) for p, n in want}
