@@ -69,14 +69,21 @@ def orphans(beats: DataFrame, keys: list[str], ts: str, now: str, timeout: str =
 def sliding_rate(events: DataFrame, keys: list[str], ts: str, tokens: str, seconds: int = 60) -> DataFrame:
     """Adds requests and tokens of each key's last ``seconds``.
 
-    Rows are dealt by stretches of twice that time, so that a window holds two stretches at most, not a key; a row also goes to the next stretch if it counts there.
+    Rows are first counted by second, so that a window's work does not grow with the rows of a second, and joined with their second's figures at the end. Seconds are dealt by
+    stretches of twice the time, so that a window holds two stretches at most, not a key; a second also goes to the next stretch if it counts there. Rows without a time are
+    each other's peers.
     """
-    e = events.withColumn("_s", F.unix_seconds(F.col(ts).cast("timestamp"))).withColumn("_b", F.floor(F.col("_s") / (2 * seconds)))
+    e = events.withColumn("_s", F.unix_seconds(F.col(ts).cast("timestamp")))
+    s = e.groupBy(*keys, "_s").agg(F.count("*").alias("_n"), F.sum(tokens).alias("_t")).withColumn("_b", F.floor(F.col("_s") / (2 * seconds)))
     late = F.pmod("_s", F.lit(2 * seconds)) >= seconds
-    e = e.withColumn("_at", F.explode(F.when(late, F.array("_b", F.col("_b") + 1)).otherwise(F.array("_b"))))
+    s = s.withColumn("_at", F.explode(F.when(late, F.array("_b", F.col("_b") + 1)).otherwise(F.array("_b"))))
     w = W.partitionBy(*keys, "_at").orderBy(F.col("_s")).rangeBetween(-seconds, 0)
-    r = e.withColumn("requests", F.count("*").over(w)).withColumn("used", F.sum(tokens).over(w))
-    return r.filter("_at = _b").drop("_s", "_b", "_at")
+    s = s.withColumn("requests", F.sum("_n").over(w)).withColumn("used", F.sum("_t").over(w)).filter(F.col("_at").eqNullSafe(F.col("_b")))
+    s = s.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_s").alias("_second"), "requests", "used")
+    on = e["_s"].eqNullSafe(s["_second"])
+    for i, k in enumerate(keys):
+        on = on & e[k].eqNullSafe(s[f"_k{i}"])
+    return e.join(s, on).select(*events.columns, "requests", "used")
 
 
 def failure_runs(events: DataFrame, key: str, order: list[str], ok: str, threshold: int, stretch: Column | None = None) -> DataFrame:

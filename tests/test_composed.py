@@ -175,3 +175,11 @@ def test_routes_hold_all_of_a_label(spark):
     assert got == sorted((q, i) for q, _ in e if q % 20 == 0 for i, label in e if label == q % 5)
     few = spark.createDataFrame([(q, q % 2) for q in range(4)], "query_id long, label long"), spark.createDataFrame([(i, i % 2) for i in range(50)], "id long, label long")
     assert sorted((x.query_id, x.id) for x in search.of_key(*few, "label", 7).collect()) == [(q, i) for q in range(4) for i in range(50) if i % 2 == q % 2]
+
+
+def test_sliding_rate_of_rows_without_time_or_key(spark):
+    rows = [(i, k, t, i % 7) for i, (k, t) in enumerate([(k, t) for k in ("a", None) for t in (None, 0, 0, 59, 60, 61, 119, 120, 181) for _ in range(5)])]
+    d = spark.createDataFrame(rows, "id long, k string, t long, tok long").withColumn("ts", F.timestamp_seconds("t"))
+    got = {r.id: (r.requests, r.used) for r in state.sliding_rate(d, ["k"], "ts", "tok", 60).collect()}
+    near = lambda r: [x[3] for x in rows if x[1] == r[1] and (x[2] is None if r[2] is None else x[2] is not None and r[2] - 60 <= x[2] <= r[2])]
+    assert got == {r[0]: (len(near(r)), sum(near(r))) for r in rows}
