@@ -90,49 +90,111 @@ def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = 0.85, tolerance:
     return r.select("id", "score")
 
 
+def _numbered(ids: DataFrame, name: str) -> DataFrame:
+    """(name, blk, bit): a bit of a 64-bit mask for every distinct value of a column; values are numbered within buckets of about a thousand."""
+    d = ids.select(F.col(ids.columns[0]).alias(name)).distinct()
+    buckets = max(1, -(-d.count() // 1024))
+    n = F.row_number().over(W.partitionBy("_b").orderBy(name)) - 1
+    d = d.withColumn("_b", F.pmod(F.xxhash64(name), F.lit(buckets))).withColumn("_n", n)
+    return d.select(name, (F.col("_b") + F.floor(F.col("_n") / 64) * buckets).cast("long").alias("blk"), (F.col("_n") % 64).cast("int").alias("bit"))
+
+
+def _bits(mask: str):
+    """A row per bit of a mask that is set."""
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(F.col(mask), i) == 1))
+
+
+def _mask(bit: str):
+    """The mask of the bits of a group."""
+    return F.bit_or(F.expr(f"shiftleft(1L, {bit})"))
+
+
+def _layer(front: DataFrame, step: DataFrame, seen: list[DataFrame], who: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """(blk, id, mask) of the nodes one step (at, to) from a front that none of the layers ``seen`` holds, for the origins (blk, open) only, among the nodes ``within`` (id)."""
+    f = front.join(who, "blk").select("blk", "id", F.col("mask").bitwiseAND(F.col("open")).alias("mask")).filter("mask <> 0")
+    new = f.join(step, F.col("id") == F.col("at")).select("blk", F.col("to").alias("id"), "mask")
+    if within is not None:
+        new = new.join(within, "id", "left_semi")
+    new = new.groupBy("blk", "id").agg(F.bit_or("mask").alias("mask")).withColumn("old", F.lit(0).cast("long"))
+    for s in seen:
+        new = new.unionByName(s.select("blk", "id", F.lit(0).cast("long").alias("mask"), F.col("mask").alias("old")))
+    new = new.groupBy("blk", "id").agg(F.bit_or("mask").alias("mask"), F.bit_or("old").alias("old"))
+    return write_once(new.select("blk", "id", F.expr("mask & ~old").alias("mask")).filter("mask <> 0"), "layer")
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 8, both: bool = False) -> DataFrame:
     """(src, dst, hops, path) of given pairs (src, dst): the least, in the order of its nodes, of the shortest paths of at most ``most`` edges.
 
     A source with one way out is searched from its only neighbour, a target with one way in from its own, so that all that hang on a hub share its search. Searches are kept by
-    source and by target, not by pair: a layer has a row per origin and node, with the least path between them. In a round the smaller front takes a step; where fronts of a pair
-    meet first, the least of the joined paths is the pair's, and origins without an open pair take part no more.
+    source and by target, not by pair, and 64 of them share a row: a layer has a row per node, with the mask of the origins at that distance, and no paths. In a round the smaller front
+    takes a step, and origins without an open pair take part no more. Where a pair's fronts met, distances to its target are carried back over the nodes that its sources reached; then
+    each pair walks from its source to the least neighbour that is nearer.
     """
     e = edges.select("src", "dst").filter("src <> dst")  # no shortest path has a loop
     e = write_once(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) if both else e, "edges")
-    only = lambda end, other, name: e.groupBy(end).agg(F.min(other).alias(name), F.max(other).alias("_max")).filter(F.col(name) == F.col("_max")).select(end, name)
-    p = pairs.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    p = write_once(pairs.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct(), "pairs")
+
+    def only(end: str, other: str, name: str) -> DataFrame:
+        g = e.join(p.select(end).distinct(), end, "left_semi").groupBy(end).agg(F.min(other).alias(name), F.max(other).alias("_max"))
+        return g.filter(F.col(name) == F.col("_max")).select(end, name)
+
     lead, tail = (F.col("src") != F.col("dst")) & F.col("_to").isNotNull(), (F.col("a") != F.col("dst")) & F.col("_from").isNotNull()
     p = p.join(only("src", "dst", "_to"), "src", "left").withColumn("a", F.when(lead, F.col("_to")).otherwise(F.col("src"))).withColumn("lead", lead)
     p = p.join(only("dst", "src", "_from"), "dst", "left").withColumn("z", F.when(tail, F.col("_from")).otherwise(F.col("dst"))).withColumn("tail", tail)
     p = write_once(p.select("src", "dst", "a", "z", "lead", "tail"), "pairs")
     left = F.lit(most) - F.col("lead").cast("int") - F.col("tail").cast("int")
-    open_ = write_once(p.groupBy("a", "z").agg(F.max(left).alias("left")).filter("left >= 0"), "open")
-    step = {"f": e.select(F.col("src").alias("at"), F.col("dst").alias("to")), "b": e.select(F.col("dst").alias("at"), F.col("src").alias("to"))}
-    ends = {"f": "a", "b": "z"}
-    layers = {s: [write_once(open_.select(F.col(c)).distinct().select(c, F.col(c).alias("id"), F.array(c).alias("path")), "layer")] for s, c in ends.items()}
-    origins = {s: layers[s][0].count() for s in ends}
+    open_ = p.groupBy("a", "z").agg(F.max(left).alias("left")).filter("left >= 0")
+    number = {c: write_once(_numbered(open_.select(c), c), "numbered") for c in "az"}
+    named = {c: number[c].select(c, F.col("blk").alias(f"{c}blk"), F.col("bit").alias(f"{c}bit")) for c in "az"}
+    open_ = write_once(open_.join(named["a"], "a").join(named["z"], "z"), "open")
+    step = {"a": e.select(F.col("src").alias("at"), F.col("dst").alias("to")), "z": e.select(F.col("dst").alias("at"), F.col("src").alias("to"))}
+    layers = {c: [write_once(number[c].groupBy("blk", F.col(c).alias("id")).agg(_mask("bit").alias("mask")), "layer")] for c in "az"}
+    origins = {c: layers[c][0].count() for c in "az"}
     size, met = dict(origins), []
+    few, many = ("a", "z") if origins["a"] <= origins["z"] else ("z", "a")
     for done in range(most + 1):
-        first, then = ("f", "b") if size["f"] * origins["b"] <= size["b"] * origins["f"] else ("b", "f")  # the smaller front of a pair is joined first
-        m = open_.select("a", "z").join(layers[first][-1].withColumnRenamed("path", first), ends[first]).join(layers[then][-1].withColumnRenamed("path", then), [ends[then], "id"])
-        m = m.groupBy("a", "z").agg(F.min(F.concat("f", F.slice("b", 2, most + 1))).alias("path"))
-        m = write_once(m.select("a", "z", F.lit(done).alias("hops"), "path"), "met")
+        m = layers[few][-1].select(F.col("blk").alias(f"{few}blk"), "id", _bits("mask").alias(f"{few}bit")).join(layers[many][-1].select(F.col("blk").alias(f"{many}blk"), "id", "mask"), "id")
+        m = m.groupBy(f"{few}blk", f"{few}bit", f"{many}blk").agg(F.bit_or("mask").alias("mask"))
+        m = open_.join(m, [f"{few}blk", f"{few}bit", f"{many}blk"]).filter(F.getbit("mask", F.col(f"{many}bit")) == 1)
+        m = write_once(m.select("a", "z", "zblk", "zbit", F.lit(done).alias("hops"), F.lit(len(layers["z"]) - 1).alias("deep")), "met")
         met.append(m)
-        open_ = write_once(open_.filter(F.col("left") > done).join(m, ["a", "z"], "left_anti"), "open")
+        open_ = write_once(open_.filter(F.col("left") > done).join(m.select("a", "z"), ["a", "z"], "left_anti"), "open")
         if done == most or not open_.limit(1).count():
             break
-        side = "f" if size["f"] <= size["b"] else "b"
-        end = ends[side]
-        front = layers[side][-1].join(open_.select(end).distinct(), end, "left_semi")
-        longer = F.concat("path", F.array("to")) if side == "f" else F.concat(F.array("to"), "path")
-        new = front.join(step[side], F.col("id") == F.col("at")).groupBy(end, F.col("to").alias("id")).agg(F.min(longer).alias("path"))
-        for old in layers[side]:
-            new = new.join(old, [end, "id"], "left_anti")
-        layers[side].append(write_once(new, "layer"))
-        size[side] = layers[side][-1].count()
-        if not size[side]:
+        c = "a" if size["a"] <= size["z"] else "z"
+        who = write_once(open_.groupBy(F.col(f"{c}blk").alias("blk")).agg(_mask(f"{c}bit").alias("open")), "who")
+        layers[c].append(_layer(layers[c][-1], step[c], layers[c], who))
+        size[c] = layers[c][-1].count()
+        if not size[c]:
+            break
+    found = write_once(_union(met), "found")
+    end = found.groupBy("zblk", "zbit").agg(F.max(F.col("hops") - 1).alias("need"), F.max("deep").alias("deep"))
+    end = open_.select("zblk", "zbit").distinct().withColumn("open", F.lit(len(layers["z"]) - 1)).join(end, ["zblk", "zbit"], "right")
+    end = write_once(end.select("zblk", "zbit", "need", F.greatest("deep", F.coalesce("open", F.lit(0))).alias("deep")), "ends")
+    near, longest = list(layers["z"]), found.agg(F.max("hops")).first()[0] or 0
+    reached = _union([x.select("id") for x in layers["a"]]).distinct()
+    for d in range(1, longest):
+        who = write_once(end.filter((F.col("deep") < d) & (F.col("need") >= d)).groupBy(F.col("zblk").alias("blk")).agg(_mask("zbit").alias("open")), "who")
+        if who.limit(1).count():
+            new = _layer(near[d - 1], step["z"], near[:d], who, reached)
+            near[d:] = [near[d].unionByName(new), *near[d + 1 :]] if d < len(near) else [new]
+    walk = found.select("a", "z", "zblk", "zbit", "hops", F.col("a").alias("at"), F.array("a").alias("path"))
+    ended = [walk.filter("hops = 0").select("a", "z", "hops", "path")]
+    walk = walk.filter("hops > 0")
+    for done in range(1, longest + 1):  # a walk's next node is its target, or the least that is as near as it has hops left
+        last = walk.filter(F.col("hops") == done)
+        ended.append(last.select("a", "z", "hops", F.concat("path", F.array("z")).alias("path")))
+        walk = write_once(walk.filter(F.col("hops") > done), "walk")
+        if done == longest:
             break
-    r = p.join(_union(met), ["a", "z"])
+        ask = walk.groupBy("at", "zblk", (F.col("hops") - done).alias("need")).agg(_mask("zbit").alias("mask"))
+        ask = write_once(ask, "ask").join(e, F.col("at") == F.col("src")).select("at", "zblk", "need", F.col("dst").alias("id"), "mask")
+        to = _union([x.select(F.lit(d).alias("need"), F.col("blk").alias("zblk"), "id", F.col("mask").alias("near")) for d, x in enumerate(near) if 0 < d < longest])
+        to = ask.join(to, ["need", "zblk", "id"]).withColumn("mask", F.col("mask").bitwiseAND(F.col("near"))).filter("mask <> 0")
+        to = to.select("at", "zblk", "need", "id", _bits("mask").alias("zbit")).groupBy("at", "zblk", "need", "zbit").agg(F.min("id").alias("to"))
+        walk = walk.withColumn("need", F.col("hops") - done).join(to, ["at", "zblk", "need", "zbit"])
+        walk = write_once(walk.select("a", "z", "zblk", "zbit", "hops", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path")), "walk")
+    r = p.join(_union(ended), ["a", "z"])
     hops = F.col("hops") + F.col("lead").cast("int") + F.col("tail").cast("int")
     path = F.concat(F.when(F.col("lead"), F.array("src")).otherwise(F.array().cast("array<string>")), "path", F.when(F.col("tail"), F.array("dst")).otherwise(F.array().cast("array<string>")))
     return r.select("src", "dst", hops.cast("int").alias("hops"), path.alias("path")).filter(F.col("hops") <= most)
