@@ -3,7 +3,11 @@
 import random
 from collections import defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from spanloom.operators import graph as G
+from spanloom.operators import search
 
 
 def _written(monkeypatch, module):
@@ -41,3 +45,19 @@ def test_layers_of_paths_are_shared_by_origins(spark, monkeypatch):
     r = G.shortest_paths(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(pairs, "src string, dst string"), 5, both=True)
     assert {(x.src, x.dst): (x.hops, list(x.path)) for x in r.collect()} == want
     assert max(rows["layer"]) <= len(nodes) + 1  # a row a node, not one an origin and node
+
+
+@pytest.mark.parametrize("blocks", [(256, 1 << 13), (2, 16)])
+def test_plans_give_few_rows_a_block(spark, monkeypatch, blocks):
+    monkeypatch.setattr(search, "QUERY_BLOCK", blocks[0])
+    monkeypatch.setattr(search, "ROW_BLOCK", blocks[1])
+    rows = [(i, "mod.alpha" if i % 3 else "mod.beta", f"src/doc{i}.py", "of gamma" if i % 7 == 0 else None) for i in range(200)]
+    c = spark.createDataFrame(rows, "id long, symbol string, path string, summary string").coalesce(1)
+    q = spark.createDataFrame([(i, t) for i, t in enumerate(["mod", "alpha gamma", "the", "doc1 beta"])], "query_id long, text string")
+    got = search.plan_scores(c, q, ["symbol", "path", "summary"], 5)
+    blocks_of = -(-200 // blocks[1])
+    assert got.count() <= 4 * 5 * 2 * blocks_of  # not a row a candidate and query
+    best = search.top(got, ["query_id"], 5, F.desc("score"), F.col("id")).filter("query_id < 3").collect()
+    assert [(r.query_id, r.id, r.score) for r in sorted(best, key=lambda r: (r.query_id, r["rank"]))] == [
+        (0, 0, 3.5), (0, 7, 3.5), (0, 14, 3.5), (0, 21, 3.5), (0, 28, 3.5), (1, 7, 5.3), (1, 14, 5.3), (1, 28, 5.3), (1, 35, 5.3), (1, 49, 5.3),
+        (2, 0, 0.5), (2, 7, 0.5), (2, 14, 0.5), (2, 21, 0.5), (2, 28, 0.5)]
