@@ -61,3 +61,24 @@ def test_plans_give_few_rows_a_block(spark, monkeypatch, blocks):
     assert [(r.query_id, r.id, r.score) for r in sorted(best, key=lambda r: (r.query_id, r["rank"]))] == [
         (0, 0, 3.5), (0, 7, 3.5), (0, 14, 3.5), (0, 21, 3.5), (0, 28, 3.5), (1, 7, 5.3), (1, 14, 5.3), (1, 28, 5.3), (1, 35, 5.3), (1, 49, 5.3),
         (2, 0, 0.5), (2, 7, 0.5), (2, 14, 0.5), (2, 21, 0.5), (2, 28, 0.5)]
+
+
+def test_words_are_counted_within_a_text_and_blocks_written_in_slices(spark, tmp_path, monkeypatch):
+    from collections import Counter
+
+    from spanloom.functions.text import counts
+    from spanloom.operators import textindex
+
+    words = [["b", "a", "b"], [], ["z"], ["a"] * 50]
+    got = spark.createDataFrame([(w,) for w in words], "t array<string>").select("t", counts(F.col("t")).alias("c")).collect()
+    assert all([(x.term, x.tf) for x in r.c] == sorted(Counter(r.t).items()) for r in got)
+    monkeypatch.setattr(textindex, "SLICE", 16)
+    docs = [(i, f"all word{i % 5} own{i}") for i in range(300)] + [(7, "again again")]
+    index = textindex.index_of(spark.createDataFrame(docs, "id long, text string"), f"file://{tmp_path}/i", ["text"])
+    q = spark.createDataFrame([(0, "word3 all"), (1, "again own7"), (2, "all")], "query_id long, text string")
+    for state in range(2):
+        hits = index.hits(q, {"text": 1.0}).select("query_id", "id").collect()
+        assert sorted((r.query_id, r.id) for r in hits) == sorted([(0, i) for i in range(300) if i % 5 == 3] + [(1, 7)] + [(2, i) for i in range(300)])
+        if not state:
+            assert max(r["count"] for r in index._read("postings").groupBy(F.input_file_name()).agg(F.sum("n").alias("count")).collect()) < 300  # not all of a bucket in one task
+            index.merge()
