@@ -101,7 +101,7 @@ def enriched_search(spark, sf):
 @register("trimmed_search", "R15 R16", None)
 def trimmed_search(spark, sf):
     """Twenty full-text hits a query, those of a third of the best one's score at least, made diverse, in 2,000 tokens: how many were kept."""
-    h = search.top(bm25_hits(spark, sf), ["query_id"], 20, F.desc(F.round("score_pos", 5)), F.col("id"))
+    h = search.top(bm25_hits(spark, sf, k=20), ["query_id"], 20, F.desc(F.round("score_pos", 5)), F.col("id"))
     h = h.withColumn("relevance", F.col("score_pos") / F.max("score_pos").over(W.partitionBy("query_id")))
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return composed.trimmed(h.join(d, "id").select("query_id", "id", "relevance", "text"), 2000)[1]
