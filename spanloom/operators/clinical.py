@@ -5,14 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions import phi
-from spanloom.runtime import spread
+from spanloom.runtime import row_batches, small, spread
 
 # Relations as (expression, type, base confidence).
 RELATIONS = [
@@ -34,14 +33,8 @@ RELATIONS = [
 def _rows(rows: DataFrame, text: str, each, schema: str) -> DataFrame:
     """Batches through ``each(text)``, which yields rows; null and empty texts give none."""
     key = [c for c in rows.columns if c != text][0]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.strip().split(" ")[0] for c in schema.split(",")]
-        for b in batches:
-            out = [(k, *r) for k, t in zip(b[key], b[text], strict=True) if t for r in each(t)]
-            yield pd.DataFrame(out, columns=[key, *names])
-
-    return spread(rows.select(key, text)).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {schema}")
+    kinds = f"{key} {rows.schema[key].dataType.simpleString()}, {schema}"
+    return spread(rows.select(key, text)).mapInArrow(row_batches(key, text, each, kinds), kinds)
 
 
 def findings(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -55,8 +48,8 @@ def redacted(rows: DataFrame, text: str = "text", patient: str | None = None, re
     key = [c for c in rows.columns if c != text][0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            new = [t and phi.redact(t, patient, some, shift, surrogates) for t in b.column(text).to_pylist()]
+        for b in small(batches, text):
+            new = [t and phi.redact(t, patient, some, shift, surrogates) for t in (x.as_py() for x in b.column(text))]
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(new, pa.string())], names=[key, "redacted"])
 
     return spread(rows.select(key, text)).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, redacted string")

@@ -82,3 +82,20 @@ def test_words_are_counted_within_a_text_and_blocks_written_in_slices(spark, tmp
         if not state:
             assert max(r["count"] for r in index._read("postings").groupBy(F.input_file_name()).agg(F.sum("n").alias("count")).collect()) < 300  # not all of a bucket in one task
             index.merge()
+
+
+def test_python_holds_few_texts_and_rows(spark, monkeypatch):
+    import pyarrow as pa
+
+    from spanloom import runtime
+
+    texts = ["x" * 100, None, "", "y" * 5000, *["z" * 400] * 50]
+    batch = pa.record_batch({"id": list(range(len(texts))), "text": texts})
+    monkeypatch.setattr(runtime, "TEXT_BYTES", 1000)
+    monkeypatch.setattr(runtime, "ROWS_OUT", 8)
+    parts = list(runtime.small(iter([batch]), "text"))
+    assert [i for p in parts for i in p.column("id").to_pylist()] == list(range(len(texts)))
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column("text").to_pylist()) <= 1000 for p in parts)
+    out = list(runtime.row_batches("id", "text", lambda t: ((i, t[i]) for i in range(20)), "id long, at int, letter string")(iter([batch])))
+    assert max(b.num_rows for b in out) <= 8 and sum(b.num_rows for b in out) == 52 * 20
+    assert [r for b in out for r in b.to_pylist()][:2] == [{"id": 0, "at": 0, "letter": "x"}, {"id": 0, "at": 1, "letter": "x"}]
