@@ -88,7 +88,9 @@ def nav_search(docs: DataFrame, queries: DataFrame, neighbours: DataFrame, fresh
 def hybrid(vector_hits: DataFrame, entities: DataFrame, neighbours: DataFrame, most: int = 15) -> DataFrame:
     """(query_id, id, origin, rank, density): vector hits (query_id, id, rank), then what the graph adds to them: of each entity (query_id, entity) that a relational
     query names, the nearest ``most`` neighbours (entity, id, distance). Density is the number of graph results over the number of merged ones."""
-    g = search.top(entities.join(neighbours, "entity"), ["query_id", "entity"], most, F.col("distance"), F.col("id")).select("query_id", "id", "distance")
+    near = neighbours.join(entities.select("entity").distinct(), "entity", "left_semi")  # an entity's nearest are picked once, before any query meets them
+    near = search.top(near, ["entity"], most, F.col("distance"), F.col("id")).select("entity", "id", "distance")
+    g = write_once(entities.join(near, "entity").select("query_id", "id", "distance"), "near")
     v = vector_hits.select("query_id", "id", F.struct(F.lit(0).alias("stage"), F.col("rank").alias("at")).alias("x"))
     first = v.unionByName(g.select("query_id", "id", F.struct(F.lit(1).alias("stage"), F.col("distance").alias("at")).alias("x"))).groupBy("query_id", "id").agg(F.min("x").alias("x"))
     n = first.groupBy("query_id").agg(F.count("*").alias("n")).join(g.groupBy("query_id").agg(F.count("*").alias("g")), "query_id", "left")

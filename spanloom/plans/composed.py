@@ -10,7 +10,7 @@ from spanloom.plans.base import EDGES, ENR, FILES, QUEUE, SPANS, TELE, edges, en
 from spanloom.plans.catalog import register
 from spanloom.plans.extras import _folder
 from spanloom.plans.retrieval import ALL, BM25, COS, METRIC, RERANK, bm25_hits, judged, nearest, semantic_search
-from spanloom.runtime import table
+from spanloom.runtime import table, write_once
 from spanloom.sources import convert
 from spanloom.sources import files as io
 from spanloom.streaming import state
@@ -66,6 +66,7 @@ def hybrid_retrieve(spark, sf):
     """Of queries that are relational (all but every third), the entity's neighbours join the ten nearest vectors."""
     c = nearest(spark, sf, 10)
     v = search.top(c, ["query_id"], 10, F.desc("score"), F.col("id")).select("query_id", F.concat(F.lit("v:"), "id").alias("id"), "rank")
+    v = write_once(v, "nearest")  # a result and the source of entities
     q = v.select("query_id").distinct().filter("query_id % 60 <> 0").select("query_id", F.concat(F.lit("n:"), F.floor(F.col("query_id") / 20) % 25).alias("entity"))
     e = edges(spark, sf)
     b = e.select(F.col("src").alias("entity"), F.col("dst").alias("id")).unionByName(e.select(F.col("dst").alias("entity"), F.col("src").alias("id"))).distinct()

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import graph as G
-from spanloom.operators import search
+from spanloom.operators import clinical, composed, search
+from spanloom.plans import catalog
 
 
 def _written(monkeypatch, module):
@@ -99,3 +100,19 @@ def test_python_holds_few_texts_and_rows(spark, monkeypatch):
     out = list(runtime.row_batches("id", "text", lambda t: ((i, t[i]) for i in range(20)), "id long, at int, letter string")(iter([batch])))
     assert max(b.num_rows for b in out) <= 8 and sum(b.num_rows for b in out) == 52 * 20
     assert [r for b in out for r in b.to_pylist()][:2] == [{"id": 0, "at": 0, "letter": "x"}, {"id": 0, "at": 1, "letter": "x"}]
+
+
+def test_a_hubs_neighbours_are_picked_before_queries_meet_them(spark, monkeypatch):
+    near = [("hub", f"c{i:03}", 1) for i in range(300)] + [("small", "x", 1), ("small", "c000", 2), ("other", "y", 1)]
+    hits = [(q, f"v{i}", i + 1) for q in range(40) for i in range(2)] + [(0, "c001", 3)]
+    asks = [(q, "hub" if q % 2 else "small") for q in range(39)] + [(0, "hub")]
+    rows = _written(monkeypatch, composed)
+    r = composed.hybrid(spark.createDataFrame(hits, "query_id long, id string, rank int"), spark.createDataFrame(asks, "query_id long, entity string"), spark.createDataFrame(near, "entity string, id string, distance int"), 15).collect()
+    assert rows["near"] == [19 * 15 + 20 * 2 + 15]  # not a row a query and neighbour
+    for q in range(40):
+        mine = [h for h in hits if h[0] == q]
+        graph = sorted((d, i) for e in {e for k, e in asks if k == q} for _, i, d in sorted((x for x in near if x[0] == e), key=lambda x: (x[2], x[1]))[:15])
+        want = [i for _, i, _ in mine] + [i for _, i in sorted((d, i) for i, d in {i: d for d, i in reversed(graph)}.items()) if i not in {h[1] for h in mine}]
+        got = sorted((x for x in r if x.query_id == q), key=lambda x: x["rank"])
+        assert [x.id for x in got] == want
+        assert all(x.density == pytest.approx(len(graph) / len(want)) for x in got)
