@@ -56,12 +56,18 @@ def redacted(rows: DataFrame, text: str = "text", patient: str | None = None, re
 
 
 def relations(rows: DataFrame, text: str = "text", least: float = 0.7) -> DataFrame:
-    """(key, source, target, type, confidence, context): confidence is .1 higher for matches of over five words and lower under three."""
-    compiled = [(kind, base, re.compile(p)) for p, kind, base in RELATIONS]
+    """(key, source, target, type, confidence, context): confidence is .1 higher for matches of over five words and lower under three.
+
+    An expression matches word characters and spaces only, so it is tried on each run of these that holds one of its phrases, which are found in one pass, and not from every place of the text.
+    """
+    phrases = lambda p: [re.compile("(?i)" + x) for x in re.findall(r"\(\?:([^?)]*)\)(?!\*)", p)]
+    compiled = [(kind, base, re.compile(p), phrases(p)) for p, kind, base in RELATIONS]
+    runs = re.compile(r"[\w ]+")
 
     def each(t: str):
-        for kind, base, p in compiled:
-            for m in p.finditer(t):
+        parts = runs.findall(t)
+        for kind, base, p, held in compiled:
+            for m in (m for x in parts if all(h.search(x) for h in held) for m in p.finditer(x)):
                 n = len(m[0].split())
                 c = min(1.0, max(0.0, base + (0.1 if n > 5 else -0.1 if n < 3 else 0.0)))
                 if c >= least:

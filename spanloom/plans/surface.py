@@ -14,7 +14,7 @@ from spanloom.plans.base import EDGES, ENR, EXT, FILES, NODES, edges, enrichment
 from spanloom.plans.catalog import register
 from spanloom.plans.graphs import INDEX
 from spanloom.plans.retrieval import ALL, COS, nearest
-from spanloom.runtime import scratch_dir, table
+from spanloom.runtime import scratch_dir, spread, table, write_once
 from spanloom.sources import tree as T
 
 FOLDERS = ["src", "src/gen", "node_modules/lib", "docs", "build/out", "lib/core", "lib/build/x", "tools"]
@@ -186,14 +186,17 @@ SELECT question, s AS name, x.name AS target, x.kind AS type, c AS confidence, C
 FROM r JOIN a USING (k) JOIN n ON n.id = 'drug:' || t WHERE c >= least""")
 def clinical_answers(spark, sf):
     """Relations found in sentences of each document's first words, the graph of them, and what treats, forbids, follows and monitors every name in it."""
-    all_words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
-    word = [F.coalesce(F.concat(F.lit("x"), F.get(all_words, F.lit(i))), F.lit("none")) for i in range(5)]
+    docs = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+    first = docs.select("id", F.regexp_extract_all(F.regexp_extract(F.lower("text"), "^(?:[^a-z]*+[a-z]++){0,5}", 0), F.lit("([a-z]+)"), F.lit(1)).alias("words"))
+    first = first.groupBy("words").agg(F.min("id").alias("id"))  # equal words say the same
+    word = [F.coalesce(F.concat(F.lit("x"), F.get("words", F.lit(i))), F.lit("none")) for i in range(5)]
     said = []
     for pattern, *_ in SENTENCES:
         at = pattern.replace("{", "}").split("}")
         said.append(F.concat(*[word[int(x)] if i % 2 else F.lit(x) for i, x in enumerate(at)]))
-    r = clinical.relations(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(". ", *said).alias("text")))
-    r = r.withColumn("confidence", F.round("confidence", 6))
+    r = clinical.relations(first.select("id", F.concat_ws(". ", *said).alias("text")))
+    # nodes, edges and names of four questions read the relations: they are found once
+    r = write_once(r.select("source", "target", "type", F.round("confidence", 6).alias("confidence")).distinct(), "relations")
     n, e = composed.clinical_graph(r)
     names = r.select(F.col("source").alias("name")).distinct()
     out = [composed.clinical_lookup(e, n, names, k, p, least).select(F.lit(q).alias("question"), "name", "target", "type", "confidence", "rank") for q, k, p, least in QUESTIONS]

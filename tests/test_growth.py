@@ -116,3 +116,26 @@ def test_a_hubs_neighbours_are_picked_before_queries_meet_them(spark, monkeypatc
         got = sorted((x for x in r if x.query_id == q), key=lambda x: x["rank"])
         assert [x.id for x in got] == want
         assert all(x.density == pytest.approx(len(graph) / len(want)) for x in got)
+
+
+def test_relations_are_tried_where_their_phrases_are_and_found_once(spark):
+    import re
+    import time
+
+    texts = ["A is Treated with b c. b\u0131g  may cause x, y causes  z; q linked to r s as side effect, t linked to u", "x managed with y\nz responds to w causes v", None, "", "causes", "a causes b can cause c\u00e9d",
+             "dru\u017f i\u017f linked to pain a\u017f \u017fide effect"]
+    want = []
+    for i, t in enumerate(texts):
+        for p, kind, base in clinical.RELATIONS:
+            for m in re.finditer(p, t or ""):
+                n = len(m[0].split())
+                c = min(1.0, max(0.0, base + (0.1 if n > 5 else -0.1 if n < 3 else 0.0)))
+                if c >= 0.7:
+                    want.append((i, m[1].strip(), m[2].strip(), kind, c, m[0]))
+    got = clinical.relations(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()
+    assert want and sorted(map(tuple, got)) == sorted(want)
+    start = time.perf_counter()
+    assert clinical.relations(spark.createDataFrame([(0, "word " * 20_000)], "id long, text string")).count() == 0
+    assert time.perf_counter() - start < 60  # not in proportion to the square of a text
+    plan = catalog.queries()["clinical_answers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan
