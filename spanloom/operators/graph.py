@@ -42,28 +42,40 @@ def where_used(index: DataFrame, symbols: DataFrame, limit: int) -> DataFrame:
     return best.withColumn("rank", n).filter(F.col("rank") <= limit).select("symbol", "rank", "path")
 
 
-def reach(edges: DataFrame, starts: DataFrame, hops: int, both: bool = False) -> DataFrame:
-    """(start, id, distance) of the nodes within ``hops`` of each start (id); the start itself only through a cycle.
+def reach(edges: DataFrame, starts: DataFrame | None, hops: int, both: bool = False) -> DataFrame:
+    """(start, id, distance) of the nodes within ``hops`` of each start (id; None: every node that an edge leaves); the start itself only through a cycle.
 
-    Edges are written once. A round joins its front with the edges that leave it, which are few when many starts share a front's nodes; the search ends when none is left.
+    Edges are written once. 64 starts share a row: a layer has a row per block of starts and node, with the mask of the starts at that distance, so that what rounds join and
+    shuffle grows with the edges and not with the pairs. From the second round on only edges that leave some edge's end are joined, and of earlier layers only nodes that are
+    reached again. Pairs are made at the end, from a block's names; the search ends when a layer is empty.
     """
     e = edges.select("src", "dst")
-    e = write_once(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) if both else e, "edges")
-    front = starts.select(F.col("id").alias("start"), F.col("id").alias("at"))
-    seen = None
-    for d in range(1, hops + 1):
-        out = write_once(e.join(front.select(F.col("at").alias("src")).distinct(), "src", "left_semi").distinct(), "leaving")
-        if seen is not None and not out.limit(1).count():
+    e = write_once(e.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))) if both else e, "edges")
+    ids = write_once((e.select("src") if starts is None else starts.select("id")).distinct(), "starts")
+    number = write_once(_numbered(ids, "start"), "numbered")
+    front = number.select("blk", F.col("start").alias("id"), F.expr("shiftleft(1L, bit)").alias("mask"))
+    step, layers = e, []
+    for d in range(hops):
+        if d == 1 and not both:
+            step = write_once(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"), "edges")
+        new = front.join(step, F.col("id") == F.col("src")).select("blk", F.col("dst").alias("id"), "mask").groupBy("blk", "id").agg(F.bit_or("mask").alias("mask"))
+        if layers:
+            new = write_once(new, "reached")
+            again = write_once(new.select("id").distinct(), "again")
+            new = new.withColumn("old", F.lit(0).cast("long"))
+            for s in layers:
+                new = new.unionByName(s.join(again, "id", "left_semi").select("blk", "id", F.lit(0).cast("long").alias("mask"), F.col("mask").alias("old")))
+            new = new.groupBy("blk", "id").agg(F.bit_or("mask").alias("mask"), F.bit_or("old").alias("old")).select("blk", "id", F.expr("mask & ~old").alias("mask")).filter("mask <> 0")
+        front = write_once(new, "layer")
+        layers.append(front)
+        if not front.limit(1).count():
             break
-        step = front.join(out, F.col("at") == F.col("src")).select("start", F.col("dst").alias("id")).distinct()
-        if seen is not None:
-            step = step.join(seen.select("start", "id"), ["start", "id"], "left_anti")
-        step = write_once(step.withColumn("distance", F.lit(d)), "reach")
-        discard(out)
-        seen = step if seen is None else seen.unionByName(step)
-        front = step.select("start", F.col("id").alias("at"))
     discard(e)
-    return seen
+    names = number.groupBy("blk").agg(F.transform(F.array_sort(F.collect_list(F.struct("bit", "start"))), lambda x: x["start"]).alias("names"))  # 64 at most
+    rows = _union([x.withColumn("distance", F.lit(d)) for d, x in enumerate(layers, 1)]).join(names, "blk")
+    one = F.array(F.get("names", F.round(F.log2(F.abs(F.col("mask").cast("double")))).cast("int")))
+    mine = F.when(F.bit_count("mask") == 1, one).otherwise(F.filter("names", lambda x, i: F.getbit(F.col("mask"), i) == 1))
+    return rows.select(F.explode(mine).alias("start"), "id", "distance")
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, most: int = 100) -> DataFrame:

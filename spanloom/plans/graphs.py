@@ -33,8 +33,7 @@ def lineage_files(spark, sf):
 
 @register("lineage_depth5", "G6", f"WITH RECURSIVE {EDGES}, w(start, id, d) AS (SELECT src, dst, 1 FROM edges UNION SELECT w.start, edges.dst, w.d + 1 FROM w JOIN edges ON edges.src = w.id WHERE w.d < 5) SELECT start, id, CAST(min(d) AS INTEGER) AS distance FROM w GROUP BY start, id")
 def lineage_depth5(spark, sf):
-    e = edges(spark, sf)
-    return G.reach(e, e.select(F.col("src").alias("id")).distinct(), 5)
+    return G.reach(edges(spark, sf), None, 5)
 
 
 @register("khop_both", "G5 R18 J18", f"WITH RECURSIVE {EDGES}, b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), s AS (SELECT 'r:' || r_regionkey AS id FROM region), w(start, id, d) AS (SELECT s.id, b.dst, 1 FROM s JOIN b ON b.src = s.id UNION SELECT w.start, b.dst, w.d + 1 FROM w JOIN b ON b.src = w.id WHERE w.d < 3) SELECT start, id, CAST(min(d) AS INTEGER) AS distance FROM w GROUP BY start, id")

@@ -118,6 +118,30 @@ def test_a_hubs_neighbours_are_picked_before_queries_meet_them(spark, monkeypatc
         assert all(x.density == pytest.approx(len(graph) / len(want)) for x in got)
 
 
+@pytest.mark.parametrize("both", [False, True])
+def test_starts_share_the_rows_of_a_layer(spark, monkeypatch, both):
+    rnd = random.Random(8)
+    edges = sorted({(f"n{rnd.randrange(150)}", rnd.choice(["hub", "n3", f"n{rnd.randrange(150)}"])) for _ in range(300)} | {("hub", "a"), ("a", "b"), ("b", "hub"), ("n1", "n1")})
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        if both:
+            near[b].add(a)
+    asked = None if not both else ["hub", "n1", "nowhere"]
+    want = {}
+    for start in asked or {a for a, _ in edges}:
+        at = {start}
+        for d in range(1, 4):
+            at = {z for x in at for z in near[x]}
+            for z in at:
+                want.setdefault((start, z), d)
+    rows = _written(monkeypatch, G)
+    r = G.reach(spark.createDataFrame(edges * 2, "src string, dst string"), asked and spark.createDataFrame([(x,) for x in asked], "id string"), 3, both).collect()
+    assert sorted((x.start, x.id, x.distance) for x in r) == sorted((*k, d) for k, d in want.items())
+    blocks = -(-len(asked or {a for a, _ in edges}) // 64)
+    assert max(rows["layer"]) <= blocks * len({x for e in edges for x in e})  # not a row a start and node
+
+
 def test_relations_are_tried_where_their_phrases_are_and_found_once(spark):
     import re
     import time
