@@ -163,3 +163,21 @@ def test_relations_are_tried_where_their_phrases_are_and_found_once(spark):
     assert time.perf_counter() - start < 60  # not in proportion to the square of a text
     plan = catalog.queries()["clinical_answers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "MapInArrow" not in plan
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_few_needles_and_terms_are_looked_for_where_texts_are_read(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(search, "QUERY_BLOCK", 1)
+        monkeypatch.setattr(search, "FEW", 1)
+    texts = ["alpha beta beta", "beta", "", None, "gamma' \\d alpha", "delta", "beta"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    needles = ["a b", "eta", "'", "\\d", "none", "", "a"]
+    rows = _written(monkeypatch, search)
+    got = search.rows_with(docs, spark.createDataFrame([(n,) for n in needles], "needle string"), "id", "text", "needle").collect()
+    assert sorted(map(tuple, got)) == sorted((i, n) for i, t in enumerate(texts) for n in needles if n and n in (t or ""))
+    assert ("rowruns" in rows) != few
+    index, figures = search.index_for(docs, spark.createDataFrame([(0, "beta ALPHA"), (1, "zeta")], "query_id long, text string"))
+    assert sorted((r.term, r.id, r.tf, r.len) for r in index.collect()) == [("alpha", 0, 1, 3), ("alpha", 4, 1, 2), ("beta", 0, 2, 3), ("beta", 1, 1, 1), ("beta", 6, 1, 1)]
+    assert figures == {"n_docs": 7, "avg_len": pytest.approx(8 / 7)}
+    assert sum(rows["postings"]) == 5 + 7
