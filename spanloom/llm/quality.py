@@ -69,7 +69,7 @@ def folds(texts: list[str]) -> np.ndarray:
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct 4-grams packed into 64 bits, index of each position's 4-gram, number of positions of each text)."""
-    c = np.frombuffer((START + START.join(texts)).encode("utf-16-le", "surrogatepass"), dtype=np.uint16).astype(np.int64)  # code points over U+FFFF are two symbols
+    c = np.frombuffer((START + START.join(texts)).encode("utf-16-le", "surrogatepass"), dtype=np.uint16)  # code points over U+FFFF are two symbols
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     if len(c) > int(size.sum()) + 3 * max(1, len(texts)):
         size = np.fromiter((len(t.encode("utf-16-le", "surrogatepass")) // 2 for t in texts), np.int64, len(texts))
@@ -77,21 +77,22 @@ def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = np.ones(len(c), bool)
     for k in range(3):
         inside[end - size - 3 + k] = False
-    at = np.flatnonzero(inside)
-    seen = np.zeros(1 << 16, np.int64)
+    seen = np.zeros(1 << 16, np.int32)
     seen[c] = 1
     letters = np.flatnonzero(seen)
     seen[letters] = np.arange(len(letters))
-    x, a = seen[c], len(letters)
-    if a * a <= 1 << 24:  # dense tables of pairs, then of pairs of pairs
-        pair = x[:-1] * a + x[1:]
-        mark = np.zeros(a * a, np.int64)
+    a = len(letters)
+    if a * a <= 1 << 22:  # dense tables of pairs, then of pairs of pairs; arrays of positions hold 32 bits, and no more of them than needed
+        pair = seen[c]
+        pair = pair[:-1] * np.int32(a) + pair[1:]
+        mark = np.zeros(a * a, np.int32)
         mark[pair] = 1
         pairs = np.flatnonzero(mark)
         mark[pairs] = np.arange(len(pairs))
-        p = mark[pair]
-        if len(pairs) ** 2 <= 1 << 25:
-            quad = p[at - 3] * len(pairs) + p[at - 1]
+        if len(pairs) ** 2 <= 1 << 24:
+            pair = mark[pair]
+            quad = (pair[:-2] * np.int32(len(pairs)) + pair[2:])[inside[3:]]  # the first three positions are a start's
+            del pair
             where = np.zeros(len(pairs) ** 2, np.int32)
             where[quad] = 1
             quads = np.flatnonzero(where)
@@ -99,7 +100,11 @@ def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             left, right = pairs[quads // max(1, len(pairs))], pairs[quads % max(1, len(pairs))]
             key = (letters[left // a] << 48) | (letters[left % a] << 32) | (letters[right // a] << 16) | letters[right % a]
             return key, where[quad], size
-    key, index = np.unique((c[at - 3] << 48) | (c[at - 2] << 32) | (c[at - 1] << 16) | c[at], return_inverse=True)
+    at = np.flatnonzero(inside)
+    key = c[at - 3].astype(np.int64)
+    for k in (2, 1, 0):
+        key = key << 16 | c[at - k]
+    key, index = np.unique(key, return_inverse=True)
     return key, index, size
 
 

@@ -163,3 +163,23 @@ def test_runs_of_a_word_gain_nothing_from_trusted_runs(spark):
 def test_different_numbers_are_no_repeats():
     assert quality.normal("a 12 13 14 14 b b") == f"a 00 00 00{quality.SAME} b{quality.SAME}"
     assert quality.normal("1 2 3") == "0 0 0"
+
+
+def test_codes_of_a_step_hold_little_memory():
+    import tracemalloc
+
+    rnd = np.random.default_rng(3)
+    texts = ["".join(map(chr, rnd.integers(97, 123, 1 << 12))) for _ in range(1 << 9)]
+    tracemalloc.start()
+    key, index, size = quality.codes(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20  # 64-bit arrays of all positions held twice as much
+    for some in (texts[:3], ["a", "", "b\U0001f600c"], [""], ["".join(map(chr, range(0x4E00, 0x4E00 + 3000)))]):
+        key, index, size = quality.codes(some)
+        want = []
+        for t in some:
+            c = [2, 2, 2, *np.frombuffer(t.encode("utf-16-le"), np.uint16).tolist()]
+            want += [c[i - 3] << 48 | c[i - 2] << 32 | c[i - 1] << 16 | c[i] for i in range(3, len(c))]
+        assert key[index].tolist() == want and key.tolist() == sorted(set(want))
+        assert size.tolist() == [len(t.encode("utf-16-le")) // 2 for t in some]
