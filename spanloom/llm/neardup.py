@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import text_slices
-from spanloom.runtime import discard, spread, write_once
+from spanloom.runtime import TEXT_BATCH, discard, spread, write_once
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 6
@@ -392,7 +392,7 @@ def _rest(loose: DataFrame, comps: DataFrame, sigs: DataFrame, cells: DataFrame)
 
 def node_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(node, root) of the nodes that have a near duplicate of another text."""
-    sigs = write_once(signatures(docs, text_col), "dartsig")
+    sigs = write_once(signatures(docs, text_col), "dartsig", TEXT_BATCH)
     b = sigs.select("node", F.explode("bands").alias("bucket")).distinct()
     hubs = b.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub <> top").select("bucket", "hub")
     hubs = write_once(hubs, "hubs")
@@ -400,14 +400,17 @@ def node_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     members = buckets.select("node").distinct()
     known = write_once(sigs.join(members, "node", "left_semi").groupBy("node").agg(F.first("sig").alias("sig")), "dartsig")
     discard(sigs)
-    cells = write_once(_cells(docs, members, text_col), "cells")
+    cells = write_once(_cells(docs, members, text_col), "cells", TEXT_BATCH)
     first = buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     pairs = write_once(_judged(first, known, cells), "pairs")
     links = pairs.filter("similar").select("a", "b")
     found = components(links)
-    loose = components(pairs.select("a", "b").unionByName(_loose(buckets.select("bucket", "node"), found, known)))
-    out = write_once(components(links.unionByName(_rest(loose, found, known, cells))), "comps")
-    for t in (known, hubs, buckets, pairs, cells):
+    # written before their components are found: two steps in Python of one stage are two workers a core, which live on and take turns from then on
+    agree = write_once(_loose(buckets.select("bucket", "node"), found, known), "agree")
+    loose = components(pairs.select("a", "b").unionByName(agree))
+    rest = write_once(_rest(loose, found, known, cells), "rest", TEXT_BATCH)
+    out = write_once(components(links.unionByName(rest)), "comps")
+    for t in (known, hubs, buckets, pairs, cells, agree, rest):
         discard(t)
     return out
 

@@ -41,7 +41,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import text_slices
-from spanloom.runtime import discard, spread, write_once
+from spanloom.runtime import TEXT_BATCH, discard, spread, write_once
 
 SLICE, STEP = 1 << 24, 1 << 21
 ORDER = 4
@@ -304,8 +304,8 @@ def _score(packed: DataFrame, scored: DataFrame, unknown: list[float | None]) ->
 
 def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, lang, n_symbols, log_prob, judged, held, perplexity, judged_perplexity, held_perplexity), materialised. ``trusted``: ids of trusted texts, in the first column."""
-    packed = write_once(pack(docs, id_col, text_col, lang_col), "lmslices")
-    counts = write_once(count_grams(packed, trusted), "lmcounts")
+    packed = write_once(pack(docs, id_col, text_col, lang_col), "lmslices", TEXT_BATCH)
+    counts = write_once(count_grams(packed, trusted), "lmcounts", TEXT_BATCH)
     nodes = write_once(ngrams(counts), "lmngrams")
     less, unknown, totals = discounts(nodes)
     table = write_once(facts(nodes, less, totals), "lmfacts")

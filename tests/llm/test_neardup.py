@@ -1,11 +1,14 @@
 import itertools
 import random
+import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanloom.llm import neardup
+from spanloom.runtime import BATCH, TEXT_BATCH, write_once
 
 
 def shingles(t):
@@ -152,3 +155,35 @@ def test_ids_and_empty(spark):
     assert sorted((r.class_id or -1, r.class_size) for r in got) == [(-1, 1), (1, 1), (1, 1), (5, 4), (5, 4), (5, 4), (5, 4)]
     assert sorted(r.text or "" for r in neardup.keep_one(d).collect()) == ["", "X y, z", "q", "r"]
     assert neardup.classes(d.limit(0)).collect() == [] and neardup.keep_one(d.limit(0)).collect() == []
+
+
+def test_a_task_has_one_python_worker_and_small_batches(spark, monkeypatch):
+    """A stage with two steps in Python holds two workers a core, which are kept and grow from then on."""
+    plans, limits, write = [], {}, neardup.write_once
+
+    def watched(df, tag="t", *args):
+        plans.append((tag, df._jdf.queryExecution().executedPlan().toString()))
+        limits[tag] = args
+        return write(df, tag, *args)
+
+    monkeypatch.setattr(neardup, "write_once", watched)
+    d = spark.createDataFrame(list(enumerate(corpus())), "doc_id long, text string")
+    assert neardup.node_classes(d).count()
+    assert {"dartsig", "cells", "star", "comps"} <= limits.keys()
+    for tag, plan in plans:
+        assert len(re.findall("MapInArrow", plan.split("Initial Plan")[0])) <= 1, tag
+    assert limits["cells"] == (TEXT_BATCH,)
+
+
+def test_text_batches_are_bounded(spark):
+    before = spark.conf.get(BATCH)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    rows = spark.range(9000).repartition(1).selectExpr("repeat('abcdefgh', 256) t").mapInArrow(run, "n long")
+    assert max(r.n for r in write_once(rows).collect()) > 2 * TEXT_BATCH
+    sizes = [r.n for r in write_once(rows, "t", TEXT_BATCH).collect()]
+    assert max(sizes) <= TEXT_BATCH and sum(sizes) > 9000 * 2048
+    assert spark.conf.get(BATCH) == before
