@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.runtime import write_once
 
+#: Queries and rows of a block, where a query meets all rows of its key; rows that are given at once, and tasks at most.
+QUERIES, ROWS, GIVEN, TASKS = 1 << 8, 1 << 16, 1 << 16, 10_000
+
 
 def min_max(rows: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
     """Adds ``normalized`` in [0, 1]; if all scores of a group are equal, 1 above zero and 0 else."""
@@ -24,6 +31,91 @@ def fuse_max(rows: DataFrame, weights: DataFrame, query: list[str]) -> DataFrame
     return best.select(*query, "id", F.col("x.score").alias("score"), F.col("x.route").alias("route"))
 
 
+def _rounded(x: np.ndarray, places: int) -> np.ndarray:
+    return np.copysign(np.floor(np.abs(x) * 10.0**places + 0.5) / 10.0**places, x) + 0.0
+
+
+def _row_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """(key, _b, ids): the rows (id, key) of each key in blocks of about ROWS ids, ascending within a block and from block to block; equal ids share one."""
+    n = max(1, -(-rows.count() // ROWS))
+    r = rows.select(key, F.col("id").cast("long").alias("id")).filter("id IS NOT NULL").repartitionByRange(n, key, "id").withColumn("_b", F.spark_partition_id())
+    return write_once(r.groupBy(key, "_b").agg(F.sort_array(F.collect_list("id")).alias("ids")), "rowblocks")
+
+
+def _met(blocks: DataFrame, queries: DataFrame, key: str) -> DataFrame:
+    """(_b, ids, qs): each block of rows with blocks of QUERIES of its key's queries (query_id, times, ...), or of those with its _b. Such rows are moved, and no pairs."""
+    own = [c for c in queries.columns if c not in (key, "_b")]
+    of = queries.groupBy(key).agg(F.ceil(F.count_distinct("query_id") / QUERIES).cast("int").alias("_n"))
+    groups = of.join(blocks.groupBy(key).agg(F.count("*").alias("_m")), key).agg(F.sum(F.col("_n") * F.col("_m"))).first()[0] or 1
+    q = queries.join(of, key)
+    q = q if "_b" in queries.columns else q.join(blocks.select(key, "_b"), key)
+    q = q.groupBy(key, "_b", F.pmod(F.xxhash64("query_id"), "_n").alias("_a")).agg(F.collect_list(F.struct(*own)).alias("qs"))
+    return q.join(blocks, [key, "_b"]).select("_b", "ids", "qs").repartition(int(min(groups, TASKS)))
+
+
+def _each(schema: str, f: Callable[[dict, int, np.ndarray], tuple]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over ``_met``: batches of what ``f(query, block, ids)`` gives as columns, where a query that is there more than once has its ids as often."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, block = b.column("ids")[i].values.to_numpy(), b.column("_b")[i].as_py()
+                for q in b.column("qs")[i].values:
+                    q = dict(q.items())
+                    held.append(f(q, block, np.repeat(ids, q["times"].as_py())))
+                    n += len(held[-1][0])
+                    if n >= GIVEN:
+                        yield made()
+                        held, n = [], 0
+        if held:
+            yield made()
+
+    return run
+
+
+def _list(value: pa.ListScalar, field: str) -> np.ndarray:
+    """A field of an array of structs."""
+    return value.values.field(field).to_numpy() if value.is_valid else np.empty(0)
+
+
+def _folded(hits: DataFrame, queries: DataFrame, rows: DataFrame, key: str, own: Callable, part: Callable, join: np.ufunc, places: int) -> DataFrame:
+    """Hits (query_id, id, score) of few rows a query, and all rows (id, key) of each query's (query_id, key) key with a score each, joined where they are the same row.
+
+    The pairs of queries and rows grow with the product of both. They are made where they are given and never moved: blocks of rows meet blocks of queries that carry
+    their own hits. ``part(query, block, ids)``: scores of rows, to be added or compared (``join``) with a hit's.
+    """
+    blocks = _row_blocks(rows, key)
+    queries = queries.groupBy("query_id", key).agg(F.count("*").alias("times"))
+    at = blocks.select(key, F.explode("ids").alias("id")).distinct().withColumn("_in", F.lit(True))
+    hits = write_once(hits.join(queries.select("query_id", key), "query_id", "left").join(at, [key, "id"], "left").select("query_id", "id", "score", "_in"), "hits")
+    inside = hits.filter("_in").groupBy("query_id").agg(F.collect_list(F.struct("id", "score")).alias("hits"))
+    queries = queries.join(inside, "query_id", "left")
+
+    def f(q, block, ids):
+        scores = part(q, block, ids)
+        if len(ids) > 1 and (ids[1:] == ids[:-1]).any():
+            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            ids, scores = ids[starts], join.reduceat(scores, starts)
+        hit, score = _list(q["hits"], "id"), _list(q["hits"], "score")
+        i = np.searchsorted(ids, hit)
+        here = np.flatnonzero(i < len(ids))
+        here = here[ids[i[here]] == hit[here]]
+        join.at(scores, i[here], score[here])
+        return np.full(len(ids), q["query_id"].as_py()), ids, _rounded(scores, places)
+
+    schema = "query_id long, id long, score double"
+    both = _met(blocks, own(blocks, queries), key).mapInArrow(_each(schema, f), schema)
+    return both.unionByName(hits.filter("_in IS NULL").select("query_id", "id", F.round("score", places).alias("score")))
+
+
+def fuse_max_keyed(hits: DataFrame, queries: DataFrame, rows: DataFrame, key: str, score: Callable, weight: float, places: int = 6) -> DataFrame:
+    """(query_id, id, score): ``fuse_max`` of routes that are fused already (hits), and of a route of all rows of a query's key, by ``score(query_id, ids)``; see ``_folded``."""
+    return _folded(hits, queries, rows, key, lambda _, q: q, lambda q, _, ids: score(q["query_id"].as_py(), ids) * weight, np.maximum, places)
+
+
 def rrf(rows: DataFrame, query: list[str], k: int = 60) -> DataFrame:
     """(query, id, score, best_rank): reciprocal ranks, summed; weights play no part."""
     n = F.row_number().over(W.partitionBy(*query, "route").orderBy(F.desc("score"), "id"))

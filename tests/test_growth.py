@@ -3,11 +3,12 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import graph as G
-from spanloom.operators import clinical, composed, search
+from spanloom.operators import clinical, composed, fusion, search
 from spanloom.plans import catalog
 
 
@@ -181,3 +182,41 @@ def test_few_needles_and_terms_are_looked_for_where_texts_are_read(spark, monkey
     assert sorted((r.term, r.id, r.tf, r.len) for r in index.collect()) == [("alpha", 0, 1, 3), ("alpha", 4, 1, 2), ("beta", 0, 2, 3), ("beta", 1, 1, 1), ("beta", 6, 1, 1)]
     assert figures == {"n_docs": 7, "avg_len": pytest.approx(8 / 7)}
     assert sum(rows["postings"]) == 5 + 7
+
+
+def _keyed(spark):
+    """(hits of a route, queries, rows, weights, both routes as rows): queries and ids that repeat, a key without rows, hits of other keys and of none, negative ids."""
+    rnd = random.Random(8)
+    q = [(i, i % 3) for i in range(0, 60, 5)] + [(10, 1), (70, 9)]
+    x = [(i, i % 3) for i in range(-20, 40)] + [(4, 1), (4, 1), (7, 1)]
+    hits = [(k, i, rnd.randrange(1, 1000) / 1000) for k in sorted({k for k, _ in q}) for i in rnd.sample(range(-25, 50), 6)]
+    score = lambda k, i: np.fmod(i * 37 + k * 11, 10) / 100.0
+    both = [("vec", *h) for h in hits] + [("size", k, i, float(score(k, i))) for k, a in q for i, b in x if a == b]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    w = frame([("vec", 1.0), ("size", 0.5)], "route string, weight double")
+    r = frame(both, "route string, query_id long, id long, score double")
+    return r.filter("route = 'vec'"), frame(q, "query_id long, key long"), frame(x, "id long, key long"), w, r, score
+
+
+def _rows(df):
+    return sorted((r.query_id, r.id, round(r.score, 6), *r[3:]) for r in df.collect())
+
+
+def test_many_queries_copy_rows_seldom(spark):
+    d = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(600)], "id long, v array<float>")
+    plan = search.nearest(d, d, "id", "v", 3)._jdf.queryExecution().analyzed().toString()
+    assert "explode(sequence(0, 0," in plan and "explode(sequence(0, 2," not in plan  # not once for each 256 queries
+    assert "array<double>" not in plan
+
+
+def test_a_route_of_all_rows_of_a_key_is_fused_where_it_is_made(spark, monkeypatch):
+    monkeypatch.setattr(fusion, "QUERIES", 3)
+    monkeypatch.setattr(fusion, "ROWS", 7)
+    hits, q, x, w, both, score = _keyed(spark)
+    assert _rows(fusion.fuse_max_keyed(fusion.fuse_max(hits, w, ["query_id"]), q, x, "key", score, 0.5)) == _rows(fusion.fuse_max(both, w, ["query_id"]).select("query_id", "id", "score"))
+
+
+@pytest.mark.parametrize("name", ["fuse_max"])
+def test_pairs_of_queries_and_rows_are_not_moved(spark, name):
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and plan.split("\n")[1].startswith(":- MapInArrow")  # before: an aggregate or a window over pairs
