@@ -132,6 +132,31 @@ def z_scores(rows: DataFrame, weights: DataFrame, query: list[str]) -> DataFrame
     return r.groupBy(*query, "id").agg(F.sum(F.col("_z") * F.coalesce("weight", F.lit(1.0))).alias("score"))
 
 
+def z_scores_keyed(hits: DataFrame, queries: DataFrame, rows: DataFrame, key: str, score: Callable, weight: float, places: int = 4) -> DataFrame:
+    """(query_id, id, score): ``z_scores`` of routes that are fused already (hits), and of a route of all rows of a query's key, by ``score(query_id, ids)``; see ``_folded``.
+
+    Scores are made twice: first for a count, mean, sum of squares, least and greatest of each query and block, which give a query's mean and deviation."""
+
+    def moments(q, _, ids):
+        s = score(q["query_id"].as_py(), ids)
+        return [q["query_id"].as_py()], [float(len(s))], [s.mean()], [((s - s.mean()) ** 2).sum()], [s.min()], [s.max()]
+
+    def own(blocks, queries):
+        schema = "query_id long, n double, mean double, squares double, low double, high double"
+        m = _met(blocks, queries.select("query_id", key, "times"), key).mapInArrow(_each(schema, moments), schema)
+        return queries.join(m.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(*m.columns[1:]))).alias("moments")), "query_id", "left")
+
+    def part(q, _, ids):
+        n, mean, squares, low, high = (_list(q["moments"], c) for c in ("n", "mean", "squares", "low", "high"))
+        if n.sum() < 2 or low.min() == high.max():
+            return np.zeros(len(ids))
+        middle = (n * mean).sum() / n.sum()
+        deviation = np.sqrt((squares + n * (mean - middle) ** 2).sum() / (n.sum() - 1))
+        return (score(q["query_id"].as_py(), ids) - middle) / deviation * weight
+
+    return _folded(hits, queries, rows, key, own, part, np.add, places)
+
+
 def fuse_z(rows: DataFrame, weights: DataFrame, query: list[str], least: int = 5, fallback: bool = True) -> DataFrame:
     """z-score fusion; queries with fewer than ``least`` rows use reciprocal ranks."""
     n = rows.groupBy(*query).agg(F.count("*").alias("_n"))

@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from spanloom.operators import graph as G
 from spanloom.operators import clinical, composed, fusion, search
 from spanloom.plans import catalog
+from tests.oracle import compare
 
 
 def _written(monkeypatch, module):
@@ -214,9 +216,22 @@ def test_a_route_of_all_rows_of_a_key_is_fused_where_it_is_made(spark, monkeypat
     monkeypatch.setattr(fusion, "ROWS", 7)
     hits, q, x, w, both, score = _keyed(spark)
     assert _rows(fusion.fuse_max_keyed(fusion.fuse_max(hits, w, ["query_id"]), q, x, "key", score, 0.5)) == _rows(fusion.fuse_max(both, w, ["query_id"]).select("query_id", "id", "score"))
+    got = fusion.z_scores_keyed(fusion.z_scores(hits, w, ["query_id"]), q, x, "key", score, 0.5, 6)
+    assert _rows(got) == _rows(fusion.z_scores(both, w, ["query_id"]))
+    same = fusion.z_scores_keyed(fusion.z_scores(hits, w, ["query_id"]), q, x, "key", lambda _, i: np.full(len(i), 0.1), 0.5, 6)
+    assert _rows(same) == _rows(fusion.z_scores(both.withColumn("score", F.when(F.col("route") == "size", 0.1).otherwise(F.col("score"))), w, ["query_id"]))
 
 
-@pytest.mark.parametrize("name", ["fuse_max"])
+def test_z_scores_of_few_rows_are_those_of_sql(spark, tmp_path):
+    rows = [(i, [1.0, float(i)], label) for i, label in ((0, 0), (21, 1))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("fuse_max", "fuse_zscore"):
+        assert compare(spark, catalog.queries()[name], catalog.oracle_sql()[name], str(tmp_path), con) is None
+
+
+@pytest.mark.parametrize("name", ["fuse_max", "fuse_zscore"])
 def test_pairs_of_queries_and_rows_are_not_moved(spark, name):
     plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("Union") and plan.split("\n")[1].startswith(":- MapInArrow")  # before: an aggregate or a window over pairs
