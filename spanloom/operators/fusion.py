@@ -42,19 +42,24 @@ def _row_blocks(rows: DataFrame, key: str) -> DataFrame:
     return write_once(r.groupBy(key, "_b").agg(F.sort_array(F.collect_list("id")).alias("ids")), "rowblocks")
 
 
-def _met(blocks: DataFrame, queries: DataFrame, key: str) -> DataFrame:
-    """(_b, ids, qs): each block of rows with blocks of QUERIES of its key's queries (query_id, times, ...), or of those with its _b. Such rows are moved, and no pairs."""
-    own = [c for c in queries.columns if c not in (key, "_b")]
-    of = queries.groupBy(key).agg(F.ceil(F.count_distinct("query_id") / QUERIES).cast("int").alias("_n"))
+def _meeting(blocks: DataFrame, queries: DataFrame, key: str) -> Callable[[DataFrame], DataFrame]:
+    """A function of these queries (query_id, key, times), with more columns of their own, that gives (_b, ids, qs): each block of rows with blocks of QUERIES of its key's
+    queries, or of those with its _b. Such rows are moved, and no pairs."""
+    of = queries.groupBy(key).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("_n"))
     groups = of.join(blocks.groupBy(key).agg(F.count("*").alias("_m")), key).agg(F.sum(F.col("_n") * F.col("_m"))).first()[0] or 1
-    q = queries.join(of, key)
-    q = q if "_b" in queries.columns else q.join(blocks.select(key, "_b"), key)
-    q = q.groupBy(key, "_b", F.pmod(F.xxhash64("query_id"), "_n").alias("_a")).agg(F.collect_list(F.struct(*own)).alias("qs"))
-    return q.join(blocks, [key, "_b"]).select("_b", "ids", "qs").repartition(int(min(groups, TASKS)))
+
+    def met(queries: DataFrame) -> DataFrame:
+        own = [c for c in queries.columns if c not in (key, "_b")]
+        q = queries.join(of, key)
+        q = q if "_b" in queries.columns else q.join(blocks.select(key, "_b"), key)
+        q = q.groupBy(key, "_b", F.pmod(F.xxhash64("query_id"), "_n").alias("_a")).agg(F.collect_list(F.struct(*own)).alias("qs"))
+        return q.join(blocks, [key, "_b"]).select("_b", "ids", "qs").repartition(int(min(groups, TASKS)))
+
+    return met
 
 
 def _each(schema: str, f: Callable[[dict, int, np.ndarray], tuple]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow over ``_met``: batches of what ``f(query, block, ids)`` gives as columns, where a query that is there more than once has its ids as often."""
+    """For mapInArrow over what ``_meeting`` gives: batches of what ``f(query, block, ids)`` gives as columns, where a query that is there more than once has its ids as often."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,39 +86,43 @@ def _list(value: pa.ListScalar, field: str) -> np.ndarray:
     return value.values.field(field).to_numpy() if value.is_valid else np.empty(0)
 
 
-def _folded(hits: DataFrame, queries: DataFrame, rows: DataFrame, key: str, own: Callable, part: Callable, join: np.ufunc, places: int) -> DataFrame:
-    """Hits (query_id, id, score) of few rows a query, and all rows (id, key) of each query's (query_id, key) key with a score each, joined where they are the same row.
+def _folded(hits: DataFrame, queries: DataFrame, rows: DataFrame, key: str, own: Callable, part: Callable, joins: dict[str, np.ufunc], places: int) -> DataFrame:
+    """Hits (query_id, id, score, ...) of few rows a query, and all rows (id, key) of each query's (query_id, key) key with a score each, joined where they are the same row.
 
     The pairs of queries and rows grow with the product of both. They are made where they are given and never moved: blocks of rows meet blocks of queries that carry
-    their own hits. ``part(query, block, ids)``: scores of rows, to be added or compared (``join``) with a hit's.
+    their own hits. ``part(query, block, ids)``: columns of rows, to be added or compared with a hit's as ``joins`` says of each.
     """
+    columns = list(joins)
     blocks = _row_blocks(rows, key)
     queries = queries.groupBy("query_id", key).agg(F.count("*").alias("times"))
     at = blocks.select(key, F.explode("ids").alias("id")).distinct().withColumn("_in", F.lit(True))
-    hits = write_once(hits.join(queries.select("query_id", key), "query_id", "left").join(at, [key, "id"], "left").select("query_id", "id", "score", "_in"), "hits")
-    inside = hits.filter("_in").groupBy("query_id").agg(F.collect_list(F.struct("id", "score")).alias("hits"))
-    queries = queries.join(inside, "query_id", "left")
+    hits = write_once(hits.join(queries.select("query_id", key), "query_id", "left").join(at, [key, "id"], "left").select("query_id", "id", *columns, "_in"), "hits")
+    met = _meeting(blocks, queries, key)
+    inside = hits.filter("_in").groupBy("query_id").agg(F.collect_list(F.struct("id", *columns)).alias("hits"))
+    own_of = own(met, queries)
+    queries = (queries if own_of is None else queries.join(own_of, "query_id")).join(inside, "query_id", "left")
 
     def f(q, block, ids):
-        scores = part(q, block, ids)
+        values = part(q, block, ids)
         if len(ids) > 1 and (ids[1:] == ids[:-1]).any():
             starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            ids, scores = ids[starts], join.reduceat(scores, starts)
-        hit, score = _list(q["hits"], "id"), _list(q["hits"], "score")
+            ids, values = ids[starts], [joins[c].reduceat(v, starts) for c, v in zip(columns, values, strict=True)]
+        hit = _list(q["hits"], "id")
         i = np.searchsorted(ids, hit)
         here = np.flatnonzero(i < len(ids))
         here = here[ids[i[here]] == hit[here]]
-        join.at(scores, i[here], score[here])
-        return np.full(len(ids), q["query_id"].as_py()), ids, _rounded(scores, places)
+        for c, v in zip(columns, values, strict=True):
+            joins[c].at(v, i[here], _list(q["hits"], c)[here])
+        return np.full(len(ids), q["query_id"].as_py()), ids, _rounded(values[0], places), *values[1:]
 
-    schema = "query_id long, id long, score double"
-    both = _met(blocks, own(blocks, queries), key).mapInArrow(_each(schema, f), schema)
-    return both.unionByName(hits.filter("_in IS NULL").select("query_id", "id", F.round("score", places).alias("score")))
+    schema = ", ".join(["query_id long", "id long", *(f"{c} {hits.schema[c].dataType.simpleString()}" for c in columns)])
+    both = met(queries).mapInArrow(_each(schema, f), schema)
+    return both.unionByName(hits.filter("_in IS NULL").select("query_id", "id", F.round("score", places).alias("score"), *columns[1:]))
 
 
 def fuse_max_keyed(hits: DataFrame, queries: DataFrame, rows: DataFrame, key: str, score: Callable, weight: float, places: int = 6) -> DataFrame:
     """(query_id, id, score): ``fuse_max`` of routes that are fused already (hits), and of a route of all rows of a query's key, by ``score(query_id, ids)``; see ``_folded``."""
-    return _folded(hits, queries, rows, key, lambda _, q: q, lambda q, _, ids: score(q["query_id"].as_py(), ids) * weight, np.maximum, places)
+    return _folded(hits, queries, rows, key, lambda *_: None, lambda q, _, ids: [score(q["query_id"].as_py(), ids) * weight], {"score": np.maximum}, places)
 
 
 def rrf(rows: DataFrame, query: list[str], k: int = 60) -> DataFrame:
@@ -123,6 +132,33 @@ def rrf(rows: DataFrame, query: list[str], k: int = 60) -> DataFrame:
     return r.groupBy(*query, "id").agg(F.sum(1.0 / (k + F.col("_r"))).alias("score"), F.min("_r").alias("best_rank"))
 
 
+def rrf_keyed(hits: DataFrame, queries: DataFrame, rows: DataFrame, key: str, score: Callable, k: int = 60, places: int = 6) -> DataFrame:
+    """(query_id, id, score, best_rank): ``rrf`` of routes that are fused already (hits), and of a route of all rows of a query's key, by ``score(query_id, ids)``; see ``_folded``.
+
+    Scores are made twice: first to count the rows of each query, block and score, which say how many rows of a query stand before a block's first of a score. What
+    is moved grows with the scores of a block that differ."""
+
+    def counts(q, block, ids):
+        scores, n = np.unique(score(q["query_id"].as_py(), ids), return_counts=True)
+        return np.full(len(n), q["query_id"].as_py()), np.full(len(n), block, np.int32), scores, n
+
+    def own(met, queries):
+        schema = "query_id long, _b int, score double, n long"
+        n = met(queries).mapInArrow(_each(schema, counts), schema)
+        before = F.coalesce(F.sum("n").over(W.partitionBy("query_id").orderBy(F.desc("score"), "_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        return n.withColumn("before", before).groupBy("query_id", "_b").agg(F.sort_array(F.collect_list(F.struct("score", "before"))).alias("places"))
+
+    def part(q, _, ids):
+        scores = _list(q["places"], "score")
+        i = np.searchsorted(scores, score(q["query_id"].as_py(), ids)).astype(np.uint16 if len(scores) < 1 << 16 else np.int64)
+        n, rank = np.bincount(i, minlength=len(scores)), np.empty(len(i), np.int64)
+        rank[np.argsort(i, kind="stable")] = np.arange(1, len(i) + 1) - np.repeat(np.cumsum(n) - n, n)
+        rank += _list(q["places"], "before")[i]
+        return [1.0 / (k + rank), rank.astype(np.int32)]
+
+    return _folded(hits, queries, rows, key, own, part, {"score": np.add, "best_rank": np.minimum}, places)
+
+
 def z_scores(rows: DataFrame, weights: DataFrame, query: list[str]) -> DataFrame:
     """(query, id, score): weighted sums of z-scores (sample deviation; 0 for one row or equal scores) of each route."""
     w = W.partitionBy(*query, "route")
@@ -141,20 +177,20 @@ def z_scores_keyed(hits: DataFrame, queries: DataFrame, rows: DataFrame, key: st
         s = score(q["query_id"].as_py(), ids)
         return [q["query_id"].as_py()], [float(len(s))], [s.mean()], [((s - s.mean()) ** 2).sum()], [s.min()], [s.max()]
 
-    def own(blocks, queries):
+    def own(met, queries):
         schema = "query_id long, n double, mean double, squares double, low double, high double"
-        m = _met(blocks, queries.select("query_id", key, "times"), key).mapInArrow(_each(schema, moments), schema)
-        return queries.join(m.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(*m.columns[1:]))).alias("moments")), "query_id", "left")
+        m = met(queries).mapInArrow(_each(schema, moments), schema)
+        return m.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(*m.columns[1:]))).alias("moments"))
 
     def part(q, _, ids):
         n, mean, squares, low, high = (_list(q["moments"], c) for c in ("n", "mean", "squares", "low", "high"))
         if n.sum() < 2 or low.min() == high.max():
-            return np.zeros(len(ids))
+            return [np.zeros(len(ids))]
         middle = (n * mean).sum() / n.sum()
         deviation = np.sqrt((squares + n * (mean - middle) ** 2).sum() / (n.sum() - 1))
-        return (score(q["query_id"].as_py(), ids) - middle) / deviation * weight
+        return [(score(q["query_id"].as_py(), ids) - middle) / deviation * weight]
 
-    return _folded(hits, queries, rows, key, own, part, np.add, places)
+    return _folded(hits, queries, rows, key, own, part, {"score": np.add}, places)
 
 
 def fuse_z(rows: DataFrame, weights: DataFrame, query: list[str], least: int = 5, fallback: bool = True) -> DataFrame:

@@ -218,6 +218,7 @@ def test_a_route_of_all_rows_of_a_key_is_fused_where_it_is_made(spark, monkeypat
     assert _rows(fusion.fuse_max_keyed(fusion.fuse_max(hits, w, ["query_id"]), q, x, "key", score, 0.5)) == _rows(fusion.fuse_max(both, w, ["query_id"]).select("query_id", "id", "score"))
     got = fusion.z_scores_keyed(fusion.z_scores(hits, w, ["query_id"]), q, x, "key", score, 0.5, 6)
     assert _rows(got) == _rows(fusion.z_scores(both, w, ["query_id"]))
+    assert _rows(fusion.rrf_keyed(fusion.rrf(hits, ["query_id"]), q, x, "key", score)) == _rows(fusion.rrf(both, ["query_id"]))
     same = fusion.z_scores_keyed(fusion.z_scores(hits, w, ["query_id"]), q, x, "key", lambda _, i: np.full(len(i), 0.1), 0.5, 6)
     assert _rows(same) == _rows(fusion.z_scores(both.withColumn("score", F.when(F.col("route") == "size", 0.1).otherwise(F.col("score"))), w, ["query_id"]))
 
@@ -227,11 +228,11 @@ def test_z_scores_of_few_rows_are_those_of_sql(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
-    for name in ("fuse_max", "fuse_zscore"):
+    for name in ("fuse_max", "fuse_rrf", "fuse_zscore"):
         assert compare(spark, catalog.queries()[name], catalog.oracle_sql()[name], str(tmp_path), con) is None
 
 
-@pytest.mark.parametrize("name", ["fuse_max", "fuse_zscore"])
+@pytest.mark.parametrize("name", ["fuse_max", "fuse_rrf", "fuse_zscore"])
 def test_pairs_of_queries_and_rows_are_not_moved(spark, name):
     plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("Union") and plan.split("\n")[1].startswith(":- MapInArrow")  # before: an aggregate or a window over pairs
