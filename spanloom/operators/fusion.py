@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from spanloom.runtime import write_once
 
-#: Queries and rows of a block, where a query meets all rows of its key; rows that are given at once, and tasks at most.
-QUERIES, ROWS, GIVEN, TASKS = 1 << 8, 1 << 16, 1 << 16, 10_000
+#: Queries and rows of a block, where a query meets all rows of its key; rows that are held and that are given at once, and tasks at most.
+QUERIES, ROWS, HELD, GIVEN, TASKS = 1 << 8, 1 << 16, 1 << 20, 1 << 16, 10_000
 
 
 def min_max(rows: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
@@ -59,12 +59,19 @@ def _meeting(blocks: DataFrame, queries: DataFrame, key: str) -> Callable[[DataF
 
 
 def _each(schema: str, f: Callable[[dict, int, np.ndarray], tuple]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow over what ``_meeting`` gives: batches of what ``f(query, block, ids)`` gives as columns, where a query that is there more than once has its ids as often."""
+    """For mapInArrow over what ``_meeting`` gives: batches of what ``f(query, block, ids)`` gives as columns, where a query that is there more than once has its ids as often.
+
+    Queries of a block that give as many rows each take turns, row by row: files hold an id once for many rows then, and not once a row."""
     names = [c.split()[0] for c in schema.split(", ")]
 
+    def made(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        even = len({len(x[0]) for x in held}) == 1
+        out = pa.RecordBatch.from_arrays([pa.array(np.stack(c, axis=1).ravel() if even else np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+        for i in range(0, out.num_rows, GIVEN):
+            yield out.slice(i, GIVEN)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        made = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
         for b in batches:
             for i in range(b.num_rows):
                 ids, block = b.column("ids")[i].values.to_numpy(), b.column("_b")[i].as_py()
@@ -72,11 +79,14 @@ def _each(schema: str, f: Callable[[dict, int, np.ndarray], tuple]) -> Callable[
                     q = dict(q.items())
                     held.append(f(q, block, np.repeat(ids, q["times"].as_py())))
                     n += len(held[-1][0])
-                    if n >= GIVEN:
-                        yield made()
+                    if n >= HELD:
+                        yield from made(held)
                         held, n = [], 0
+                if n >= GIVEN:  # the next block has other ids
+                    yield from made(held)
+                    held, n = [], 0
         if held:
-            yield made()
+            yield from made(held)
 
     return run
 
